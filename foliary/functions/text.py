@@ -111,6 +111,11 @@ def split_path(text: Column) -> Column:
     return F.split(text, PATH_SEPARATOR)
 
 
+def sorted_list(names: Column) -> Column:
+    """Names in code-point order, as they stand in messages."""
+    return F.array_join(F.array_sort(names), ", ")
+
+
 # -- hashing and bytes ------------------------------------------------------
 
 

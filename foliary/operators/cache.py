@@ -35,6 +35,11 @@ def misses(requests: DataFrame, cache: DataFrame, representative: str) -> DataFr
     return asked.join(cache.select("request_key"), "request_key", "left_anti")
 
 
+def asked_of(cache: DataFrame, requests: DataFrame) -> DataFrame:
+    """The cached answers that any of the requests asks for, once each."""
+    return cache.join(requests.select("request_key").distinct(), "request_key", "left_semi")
+
+
 def all_answers(cached: DataFrame, fresh: DataFrame) -> DataFrame:
     return cached.select("request_key", "response_json").unionByName(fresh.select("request_key", "response_json"))
 

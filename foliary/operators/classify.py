@@ -92,6 +92,12 @@ def children_of(types: DataFrame, parent_key: str) -> DataFrame:
     return types.where(F.col("parent_key") == parent_key)
 
 
+def with_children(types: DataFrame) -> DataFrame:
+    """Every type with each of its direct children, or null for a leaf."""
+    children = types.select(F.col("parent_key").alias("__p"), F.col("type_key").alias("child_key"))
+    return types.join(children, F.col("type_key") == F.col("__p"), "left").drop("__p")
+
+
 def keyword_scores(text: Column, tree: Sequence[TypeNode]) -> Column:
     """Keyword hits per type, in registry order; one pass over the text, no shuffle."""
     low = F.lower(text)

@@ -49,7 +49,7 @@ def content_part(content: Column) -> Column:
     pdf = is_pdf(content)
     return F.struct(
         F.when(pdf, F.lit("document")).otherwise(F.lit("text")).alias("type"),
-        F.when(pdf, F.base64(content)).otherwise(decoded(content)).alias("text"),
+        F.when(pdf, F.regexp_replace(F.base64(content), r"\s", "")).otherwise(decoded(content)).alias("text"),
     )
 
 

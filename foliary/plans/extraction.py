@@ -15,7 +15,7 @@ from foliary.functions.answers import raw_fields, relaxed, strict_errors, withou
 from foliary.functions.encode import cell
 from foliary.functions.text import is_blank
 from foliary.operators.assemble import merged_parts
-from foliary.operators.cache import empty_cache, misses
+from foliary.operators.cache import asked_of, empty_cache, misses
 from foliary.operators.requests import DEFAULT_MAX_TOKENS, TABLE_MAX_TOKENS, instruction, request_key, request_text
 from foliary.operators.skew import skew_join
 from foliary.operators.summary import FAILED, NO_RESULT, OK
@@ -123,8 +123,7 @@ def extract(
     cache = cache if cache is not None else empty_cache(docs.sparkSession)
     requests = staged(keyed_requests(docs, job, doc_id, text), "requests")
     fresh = fresh_answers(docs, requests, job, cache, doc_id, text)
-    wanted_keys = requests.select("request_key").distinct()
-    known = cache.join(wanted_keys, "request_key", "left_semi").select(
+    known = asked_of(cache, requests).select(
         "request_key", "response_json", F.lit(None).cast("string").alias("error")
     )
     answers = known.unionByName(fresh).withColumn("raw", raw_fields(without_fence(F.col("response_json"))))

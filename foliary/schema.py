@@ -24,6 +24,18 @@ _NAMES = {
 }
 
 
+_SIMPLE = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "date": T.DateType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+    "variant": T.VariantType(),
+    "array<string>": T.ArrayType(T.StringType()),
+}
+
+
 def field(
     name: str,
     data_type: T.DataType | str = "string",
@@ -34,7 +46,7 @@ def field(
     description: str | None = None,
 ) -> T.StructField:
     if isinstance(data_type, str):
-        data_type = T.DataType.fromDDL(data_type)
+        data_type = _SIMPLE.get(data_type) or T.DataType.fromDDL(data_type)
     meta: dict[str, Any] = {"required": required}
     if default is not None:
         meta["default"] = json.dumps(default)

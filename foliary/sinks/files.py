@@ -55,6 +55,16 @@ def classification_table(results: DataFrame, path: str = "selection_path") -> Da
     return results.select(F.col("path").alias("file_path"), F.col("type_key").alias("model_name"), *levels)
 
 
+def rendered_manifest(records: DataFrame, schema: T.StructType, as_html: bool = False) -> DataFrame:
+    """(out_path, content): each JSON record beside its Markdown or HTML form."""
+    make = render.html_document if as_html else render.markdown_document
+    extension = ".html" if as_html else ".md"
+    target = F.concat_ws("/", F.nullif(parent(F.col("path")), F.lit("")), F.concat(stem(F.col("path")), F.lit(extension)))
+    return records.select(
+        target.alias("out_path"), make(F.col("record"), schema, F.col("title"), F.col("source")).alias("content")
+    )
+
+
 # -- index --------------------------------------------------------------------
 
 

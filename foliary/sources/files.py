@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,10 @@ from foliary.schema import trimmed
 
 NO_FILES = "No supported input files found"
 
+# What windows-1252 puts at the code points 0x80-0x9f of iso-8859-1, undefined ones left out.
+_LATIN_CONTROLS = "".join(chr(c) for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+_WINDOWS_CHARS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+
 
 def scan_documents(spark: SparkSession, folder: str, recurse: bool = False) -> DataFrame:
     """(path, modificationTime, length, content) of supported files.
@@ -37,24 +41,28 @@ def with_relative_path(files: DataFrame, root: str) -> DataFrame:
     return files.withColumn("relative_path", relative_to(F.col("path"), root))
 
 
-def undecodable_files(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
-    """Names of the files that are not UTF-8, found line by line in splittable tasks."""
-    lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
-    bad = (
-        lines.where(~F.is_valid_utf8("value"))
-        .select(F.col("_metadata.file_path").alias("file"))
-        .distinct()
+def files_by_encoding(spark: SparkSession, folder: str) -> tuple[list[str], list[str]]:
+    """(UTF-8 files, other files), told apart line by line in splittable tasks.
+
+    Only file names reach the driver, which lists the files anyway.
+    """
+    found = (
+        spark.read.text(folder)
+        .groupBy(F.col("_metadata.file_path").alias("file"))
+        .agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+        .collect()
     )
-    return [row.file for row in bad.collect()]  # file names only: the driver lists the files anyway
+    return sorted(r.file for r in found if r.utf8), sorted(r.file for r in found if not r.utf8)
+
+
+def from_windows_1252(c: Column) -> Column:
+    """Text that was read as iso-8859-1 but written as windows-1252."""
+    return F.translate(c, _LATIN_CONTROLS, _WINDOWS_CHARS)
 
 
-def read_text_table(
-    spark: SparkSession, folder: str, schema: T.StructType | str | None = None, fallback: str = "windows-1252"
-) -> DataFrame:
-    """CSV files with header: UTF-8, and per file the fallback encoding where that fails."""
-    every = spark.read.text(folder).inputFiles()
-    legacy = set(undecodable_files(spark, folder))
-    plain = [f for f in every if f not in legacy]
+def read_text_table(spark: SparkSession, folder: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """CSV files with header: UTF-8, and windows-1252 for each file where that fails."""
+    plain, legacy = files_by_encoding(spark, folder)
 
     def read(files: list[str], encoding: str) -> DataFrame:
         reader = (
@@ -63,7 +71,13 @@ def read_text_table(
         )
         return (reader.schema(schema) if schema is not None else reader).csv(files)
 
-    tables = [read(files, enc) for files, enc in ((plain, "UTF-8"), (sorted(legacy), fallback)) if files]
+    tables = []
+    if plain:
+        tables.append(read(plain, "utf-8"))
+    if legacy:
+        old = read(legacy, "iso-8859-1")
+        text = [f.name for f in old.schema.fields if isinstance(f.dataType, T.StringType)]
+        tables.append(old.withColumns({name: from_windows_1252(F.col(name)) for name in text}))
     if not tables:
         raise ValueError(f"no table files in {folder}")
     table = tables[0]
