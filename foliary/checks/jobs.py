@@ -82,8 +82,8 @@ ROOTS = [i for i, n in enumerate(TREE) if n.parent is None]
 
 
 def classified_docs(spark: SparkSession, sf: str, roots_only: bool) -> DataFrame:
-    scored = docs(spark, sf).withColumn("scores", classify.keyword_scores(F.col("text"), TREE))
-    return classify.classified(scored, TREE, classify.keyword_chooser(), roots_only=roots_only)
+    scores = classify.keyword_scores(F.col("text"), TREE)
+    return classify.classified(docs(spark, sf), TREE, scores, roots_only=roots_only)
 
 
 @check("pipe_01_classify_from_roots", f"SELECT doc_id, path_text, type_key, status FROM {_classified_sql(ROOTS)}")
@@ -122,9 +122,7 @@ def classify_then_extract(spark: SparkSession, sf: str) -> DataFrame:
         key: Job(key, T.StructType([field(n) for n in names]), RuleProvider(), analyzed_at=AT)
         for key, names in _TYPE_FIELDS.items()
     }
-    per_type, left = extraction.dispatch(found, jobs)
-    united = extraction.all_results(per_type, left, ["doc_id", "path", "type_key", "status"])
-    return united.select(
+    return extraction.dispatch(found, jobs).results().select(
         "doc_id", "path", "type_key", "status", *[F.get_json_object("record_json", f"$.{n}").alias(n) for n in FIELDS]
     )
 
@@ -209,7 +207,7 @@ CUSTOMER_RECORD = T.StructType([
     field("customer_name", required=True), field("industry"), field("contact_email"), field("is_active", "boolean"),
     field("tags", "array<string>"),
 ])
-SUPPLIER_RECORD = T.StructType([field("company_name", required=True), field("website"), field("location")])
+SUPPLIER_RECORD = T.StructType([field("licensor", required=True), field("website"), field("location")])
 ORDER_RECORD = T.StructType([
     field("contract_id", required=True), field("client"), field("agreement_date", "date"), field("document_type"),
 ])
@@ -226,7 +224,7 @@ def _records(spark: SparkSession, sf: str) -> dict[str, normalise.Normalised]:
     nation = table(spark, sf, "nation")
     suppliers = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.concat(F.lit("b/"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("path"),
-        F.col("s_name").alias("company_name"), F.concat(F.lit("https://s"), F.col("s_suppkey").cast("string")).alias("website"),
+        F.col("s_name").alias("licensor"), F.concat(F.lit("https://s"), F.col("s_suppkey").cast("string")).alias("website"),
         F.col("n_name").alias("location"),
     )
     orders = table(spark, sf, "orders").select(
@@ -352,7 +350,7 @@ def classification_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @check(
     "snk_04_package_manifest",
-    """WITH d AS (SELECT doc_id, lang || 's/Documents' AS folder, source AS base FROM documents),
+    """WITH d AS (SELECT doc_id, lang || CASE WHEN ends_with(lang, 's') THEN '' ELSE 's' END || '/Documents' AS folder, source AS base FROM documents),
             r AS (SELECT *, row_number() OVER (PARTITION BY folder, base ORDER BY doc_id) - 1 AS n FROM d),
             w AS (SELECT *, folder || '/' || base || CASE WHEN n = 0 THEN '' ELSE '_' || n END AS target FROM r)
        SELECT doc_id, target || '.pdf' AS document_target, target || '.json' AS json_target FROM w""",
@@ -378,7 +376,7 @@ def database(spark: SparkSession, sf: str) -> DataFrame:
     made = stored.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity_id").alias("ids")).select(
         F.concat(F.lit("entities/"), "entity").alias("written"), "n", "ids"
     )
-    for type_key, key in (("customer_rec", "customer_name_id"), ("supplier_rec", "company_name_id"), ("order_rec", "contract_id_id")):
+    for type_key, key in (("customer_rec", "customer_name_id"), ("supplier_rec", "licensor_id"), ("order_rec", "contract_id_id")):
         rows = spark.read.parquet(f"{folder}/records/{type_key}")
         made = made.unionByName(
             rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("ids")).select(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.functions.text import join_path
+from foliary.session import staged
 
 MAX_TYPES = 1000
 
@@ -27,7 +28,8 @@ class TypeNode:
 
 
 CANDIDATE = "struct<ord:int,key:string,class_name:string>"
-Chooser = Callable[[DataFrame, str, int], DataFrame]
+Chooser = Callable[[Column, Column], Column]
+Asker = Callable[[DataFrame], DataFrame]
 
 
 def _candidates(nodes: Sequence[tuple[int, TypeNode]]) -> Column:
@@ -99,85 +101,137 @@ def with_children(types: DataFrame) -> DataFrame:
 
 
 def keyword_scores(text: Column, tree: Sequence[TypeNode]) -> Column:
-    """Keyword hits per type, in registry order; one pass over the text, no shuffle."""
-    low = F.lower(text)
+    """Keyword hits per type, in registry order; the text is lowered once and never moves."""
 
-    def hits(word: str) -> Column:
-        removed = F.length(low) - F.length(F.replace(low, F.lit(word), F.lit("")))
-        return (removed / len(word)).cast("int")
+    def counted(low: Column) -> Column:
+        scores = []
+        for node in tree:
+            total = F.lit(0)
+            for word in node.keywords:
+                removed = F.length(low) - F.length(F.replace(low, F.lit(word), F.lit("")))
+                total = total + (removed / len(word)).cast("int")
+            scores.append(total)
+        return F.array(*scores)
 
-    scores = []
-    for node in tree:
-        total = F.lit(0)
-        for word in node.keywords:
-            total = total + hits(word)
-        scores.append(total)
-    return F.array(*scores)
+    return _with(F.lower(text), counted)
 
 
-def keyword_chooser(scores: str = "scores") -> Chooser:
+def by_score(candidates: Column, scores: Column) -> Column:
     """Choose the candidate with most hits, the earlier one on a tie, none without hits."""
+    ranked = F.transform(
+        candidates,
+        lambda c: F.struct(F.get(scores, c["ord"]).alias("score"), (-c["ord"]).alias("earlier"), c["key"].alias("key")),
+    )
+    return F.array_max(F.filter(ranked, lambda r: r["score"] > 0))["key"]
 
-    def choose(df: DataFrame, candidates: str, _phase: int) -> DataFrame:
-        best = F.array_max(
-            F.transform(
-                candidates,
-                lambda c: F.struct(
-                    F.get(F.col(scores), c["ord"]).alias("score"), (-c["ord"]).alias("earlier"), c["key"].alias("key")
-                ),
-            )
-        )
-        return df.withColumn("choice", F.when(best["score"] > 0, best["key"]))
-
-    return choose
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
 
-def classified(
-    docs: DataFrame, tree: Sequence[TypeNode], chooser: Chooser, *, roots_only: bool = False
-) -> DataFrame:
-    """Walk the tree once per level: choose among the candidates, resolve, append, go on with its children.
 
-    A first choice that fits no candidate is a failure; a later one ends the walk.
-    Adds selection_path, type_key, status and error_message. Every level is a
-    projection, so documents never move.
-    """
+def _offers(tree: Sequence[TypeNode], roots_only: bool) -> tuple[Column, Column]:
+    """(candidates of the first phase, candidates by parent) as constants."""
     if len(tree) > MAX_TYPES:
         raise ValueError(f"a registry holds at most {MAX_TYPES} types")
     numbered = list(enumerate(tree))
-    first = [(i, n) for i, n in numbered if not roots_only or n.parent is None]
     by_parent: list[Column] = []
     for parent in dict.fromkeys(n.parent for n in tree if n.parent is not None):
         by_parent += [F.lit(parent), _candidates([(i, n) for i, n in numbered if n.parent == parent])]
     children = F.create_map(*by_parent) if by_parent else F.create_map().cast(f"map<string,array<{CANDIDATE}>>")
+    return _candidates([(i, n) for i, n in numbered if not roots_only or n.parent is None]), children
 
-    state = docs.withColumns(
-        {
-            "selection_path": F.array().cast("array<string>"),
-            "__open": F.lit(True),
-            "error_message": F.lit(None).cast("string"),
-        }
-    )
-    for phase in range(1, tree_depth(tree) + 1):
-        offered = _candidates(first) if phase == 1 else F.element_at(children, F.element_at("selection_path", -1))
-        none = F.array().cast(f"array<{CANDIDATE}>")
-        state = state.withColumn("__offered", F.when(F.col("__open"), F.coalesce(offered, none)).otherwise(none))
-        state = chooser(state, "__offered", phase).withColumn("__key", resolved(F.col("choice"), F.col("__offered")))
-        if phase == 1:
-            wrong = F.concat(F.lit("invalid type: "), F.coalesce("choice", F.lit("")))
-            state = state.withColumn("error_message", F.when(F.col("__key").isNull(), wrong))
-        state = state.withColumns(
-            {
-                "selection_path": F.when(
-                    F.col("__key").isNotNull(), F.concat("selection_path", F.array("__key"))
-                ).otherwise(F.col("selection_path")),
-                "__open": F.col("__open") & F.col("__key").isNotNull(),
-            }
-        ).drop("choice", "__key", "__offered")
+
+def _offered(path: Column, first: Column, children: Column) -> Column:
+    """What may be chosen after ``path``; an empty array at a leaf."""
+    none = F.array().cast(f"array<{CANDIDATE}>")
+    last = F.get(path, F.size(path) - 1)
+    return F.when(F.size(path) == 0, first).otherwise(F.coalesce(children[last], none))
+
+
+def _outcome(rows: DataFrame, first_choice: Column) -> DataFrame:
+    """type_key, path_text, status and error_message from selection_path."""
     chosen = F.size("selection_path") > 0
-    return state.drop("__open").withColumns(
+    wrong = F.concat(F.lit("invalid type: "), F.coalesce(first_choice, F.lit("")))
+    return rows.withColumns(
         {
-            "type_key": F.when(chosen, F.element_at("selection_path", -1)),
+            "type_key": F.get(F.col("selection_path"), F.size("selection_path") - 1),
             "path_text": join_path(F.col("selection_path")),
             "status": F.when(chosen, "ok").otherwise("failed"),
+            "error_message": F.when(~chosen, wrong),
         }
     )
+
+
+def classified(
+    docs: DataFrame, tree: Sequence[TypeNode], given: Column, chooser: Chooser = by_score, *, roots_only: bool = False
+) -> DataFrame:
+    """Walk down the tree: choose among the candidates, resolve, append, go on with its children.
+
+    ``given`` is worked out once per document (such as ``keyword_scores``) and handed to
+    the chooser in every phase.
+
+    A first choice that fits no candidate is a failure; a later one ends the walk.
+    Adds selection_path, type_key, path_text, status and error_message. The chooser is
+    an expression, so the walk is one too: documents never move.
+    """
+    first, children = _offers(tree, roots_only)
+    start = F.struct(
+        F.array().cast("array<string>").alias("path"), F.lit(True).alias("open"), F.lit(None).cast("string").alias("first")
+    )
+
+    def step(state: Column, phase: Column, known: Column) -> Column:
+        def choose(offer: Column) -> Column:
+            return _with(chooser(offer, known), lambda choice: settle(choice, resolved(choice, offer)))
+
+        def settle(choice: Column, key: Column) -> Column:
+            return _with(
+                key,
+                lambda k: F.struct(
+                    F.when(k.isNull(), state["path"]).otherwise(F.concat(state["path"], F.array(k))).alias("path"),
+                    k.isNotNull().alias("open"),
+                    F.when(phase == 1, choice).otherwise(state["first"]).alias("first"),
+                ),
+            )
+
+        return F.when(state["open"], _with(_offered(state["path"], first, children), choose)).otherwise(state)
+
+    phases = F.sequence(F.lit(1), F.lit(max(tree_depth(tree), 1)))
+    walk = _with(given, lambda known: F.aggregate(phases, start, lambda state, phase: step(state, phase, known)))
+    walked = docs.withColumn("__walk", walk).withColumn("selection_path", F.col("__walk.path"))
+    return _outcome(walked, F.col("__walk.first")).drop("__walk")
+
+
+def classified_by_calls(
+    docs: DataFrame, tree: Sequence[TypeNode], ask: Asker, *, doc_id: str = "doc_id", text: str = "text",
+    roots_only: bool = False,
+) -> DataFrame:
+    """The same walk with a provider that answers rows: ``ask`` turns (doc_id, text,
+    selection_path, offered) into (doc_id, choice).
+
+    Each phase asks once about the documents still under way and writes its answers
+    down, so no call is repeated when an executor is lost.
+    """
+    first, children = _offers(tree, roots_only)
+    state = docs.select(
+        doc_id, F.array().cast("array<string>").alias("selection_path"), F.lit(True).alias("open"),
+        F.lit(None).cast("string").alias("first"),
+    )
+    for phase in range(1, tree_depth(tree) + 1):
+        offered = state.where("open").withColumn("offered", _offered(F.col("selection_path"), first, children))
+        offered = offered.where(F.size("offered") > 0).select(doc_id, "selection_path", "offered")
+        asked = docs.select(doc_id, F.col(text).alias("text")).join(offered, doc_id)
+        choices = staged(ask(asked).select(doc_id, "choice"), "choices")
+        answered = offered.drop("selection_path").join(choices, doc_id)
+        keys = answered.select(doc_id, "choice", resolved(F.col("choice"), F.col("offered")).alias("key"))
+        state = staged(
+            state.join(keys, doc_id, "left").select(
+                doc_id,
+                F.when(F.col("key").isNull(), F.col("selection_path"))
+                .otherwise(F.concat("selection_path", F.array("key"))).alias("selection_path"),
+                (F.col("open") & F.col("key").isNotNull()).alias("open"),
+                (F.col("choice") if phase == 1 else F.col("first")).alias("first"),
+            ),
+            "classified",
+        )
+    return _outcome(state.drop("open"), F.col("first")).drop("first")

@@ -64,44 +64,58 @@ class Extraction:
     fresh: DataFrame
 
 
-def keyed_requests(docs: DataFrame, job: Job, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, group_key, part, request_key, native_json): one scan of the text, nothing heavy leaves it.
-
-    Text enters a key as its hash. The key of the first part stands for the whole
-    document. A provider that is a column expression answers in the same scan.
-    """
-    content = F.sha2(F.col(text), 256)
-    asked_parts = []
+def _asked_parts(job: Job, text: Column) -> Column:
+    """array<struct<part,request_key,native_json>> of a job: the text enters a key as its hash."""
+    content = F.sha2(text, 256)
+    parts = []
     for number, part in enumerate(job.part_schemas, 1):
         asked = F.concat_ws("\n", F.lit(instruction(part)), content, F.lit(job.extra))
         key = request_key(
             F.lit(job.provider_name), F.lit(job.model), F.lit(job.system), asked, F.lit(job.max_tokens),
             F.lit(job.type_key),
         )
-        native = job.provider.native(F.col(text), part.fieldNames())
-        asked_parts.append(
-            F.struct(
-                F.lit(number).alias("part"), key.alias("request_key"),
-                (F.lit(None).cast("string") if native is None else native).alias("native_json"),
-            )
-        )
-    return (
-        docs.where(F.col(text).isNotNull() & ~is_blank(F.col(text)))
-        .select(F.col(doc_id), F.array(*asked_parts).alias("parts"))
-        .select(doc_id, F.col("parts")[0]["request_key"].alias("group_key"), F.explode("parts").alias("r"))
-        .select(doc_id, "group_key", "r.*")
-    )
+        native = job.provider.native(text, part.fieldNames())
+        native = F.lit(None).cast("string") if native is None else native
+        parts.append(F.struct(F.lit(number).alias("part"), key.alias("request_key"), native.alias("native_json")))
+    return F.array(*parts)
+
+
+def keyed_requests(docs: DataFrame, jobs: Mapping[str, Job] | Job, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, type_key, group_key, part, request_key, native_json): one scan of the text, nothing heavy leaves it.
+
+    With several jobs each document takes the one of its ``type_key`` column. The key
+    of the first part stands for the whole document. A provider that is a column
+    expression answers in the same scan.
+    """
+    if isinstance(jobs, Job):
+        docs, jobs = docs.withColumn("type_key", F.lit(jobs.type_key)), {jobs.type_key: jobs}
+    keyed = _with_requests(docs.select(doc_id, "type_key", F.col(text).alias("text")), jobs, doc_id)
+    return _exploded(keyed, doc_id)
+
+
+def _with_requests(docs: DataFrame, jobs: Mapping[str, Job], doc_id: str) -> DataFrame:
+    """The given columns, with ``parts`` in place of ``text``; null for a blank text or a type without job."""
+    asked = None
+    for type_key, job in jobs.items():
+        own = F.col("type_key") == type_key
+        parts = _asked_parts(job, F.col("text"))
+        asked = F.when(own, parts) if asked is None else asked.when(own, parts)
+    has_text = F.col("text").isNotNull() & ~is_blank(F.col("text"))
+    return docs.withColumn("parts", F.when(has_text, asked)).drop("text")
+
+
+def _exploded(keyed: DataFrame, doc_id: str) -> DataFrame:
+    return keyed.select(
+        doc_id, "type_key", F.get("parts", 0)["request_key"].alias("group_key"), F.explode("parts").alias("r")
+    ).select(doc_id, "type_key", "group_key", "r.*")
 
 
 def fresh_answers(
     docs: DataFrame, requests: DataFrame, job: Job, cache: DataFrame, doc_id: str, text: str
 ) -> DataFrame:
     """Answers of the keys the cache lacks, each asked once."""
-    if job.provider.native(F.lit(""), job.wanted.fieldNames()) is not None:
-        todo = misses(requests.withColumn("ask", F.struct("native_json")), cache, "ask")
-        return todo.select(
-            "request_key", F.col("ask.native_json").alias("response_json"), F.lit(None).cast("string").alias("error")
-        )
+    if _is_native(job):
+        return _native_answers(requests, cache)
     todo = misses(requests.withColumn("ask", F.struct(doc_id, "part")), cache, "ask")
     asked = todo.select("request_key", F.col(f"ask.{doc_id}").alias(doc_id), F.col("ask.part").alias("part"))
     prompts = F.array(*[F.lit(instruction(part)) for part in job.part_schemas])
@@ -111,45 +125,67 @@ def fresh_answers(
     return staged(job.provider.answer(with_text.withColumn("request_text", body)), "answers")
 
 
+def _is_native(job: Job) -> bool:
+    return job.provider.native(F.lit(""), job.wanted.fieldNames()) is not None
+
+
+def _native_answers(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    todo = misses(requests.withColumn("ask", F.struct("native_json")), cache, "ask")
+    return todo.select(
+        "request_key", F.col("ask.native_json").alias("response_json"), F.lit(None).cast("string").alias("error")
+    )
+
+
 def extract(
     docs: DataFrame, job: Job, *, doc_id: str = "doc_id", path: str = "path", text: str = "text",
     cache: DataFrame | None = None,
 ) -> Extraction:
-    """Requests, cached and fresh answers, parse, strict check, lineage.
-
-    Answers are read and checked once per distinct request and only then handed to
-    the documents, so copies of a document cost a lookup. Errors are rows.
-    """
+    """Requests, cached and fresh answers, parse, strict check, lineage. Errors are rows."""
     cache = cache if cache is not None else empty_cache(docs.sparkSession)
     requests = staged(keyed_requests(docs, job, doc_id, text), "requests")
     fresh = fresh_answers(docs, requests, job, cache, doc_id, text)
-    known = asked_of(cache, requests).select(
-        "request_key", "response_json", F.lit(None).cast("string").alias("error")
-    )
-    answers = known.unionByName(fresh).withColumn("raw", raw_fields(without_fence(F.col("response_json"))))
+    return Extraction(_results(docs.select(doc_id, F.col(path).alias("path")), requests, fresh, job, cache, doc_id), fresh)
+
 
-    if job.part_size:
-        members = requests.groupBy("group_key", "part").agg(F.min("request_key").alias("request_key"))
-        parts = members.join(answers, "request_key")
-        answers = merged_parts(parts, ["group_key"], job.wanted.fieldNames(), carry="error")
-    else:
-        answers = answers.withColumnRenamed("request_key", "group_key")
-    checked = checked_answers(answers, job.wanted)
+def _results(
+    files: DataFrame, requests: DataFrame, fresh: DataFrame, job: Job, cache: DataFrame, doc_id: str
+) -> DataFrame:
+    """Answers are read and checked once per distinct request and only then handed to
+    the documents, so copies of a document cost a lookup.
+    """
+    fields = job.wanted.fieldNames() if job.part_size else None
+    checked = checked_answers(_raw_answers(requests, fresh, cache, fields), job.wanted)
     slim = requests.where("part = 1").select(doc_id, "group_key")
     joined = skew_join(slim, checked, ["group_key"], "left", spread=[doc_id])
-    results = docs.select(doc_id, F.col(path).alias("path")).join(joined, doc_id, "left").select(
+    return files.join(joined, doc_id, "left").select(
         doc_id, "path", F.col("group_key").alias("request_key"),
         F.coalesce("status", F.lit(NO_RESULT)).alias("status"),
         F.lit(job.type_key).alias("type_key"), with_lineage("record", job, F.col("path")).alias("record"),
         "errors", "error_class", "error_message",
     )
-    return Extraction(results, fresh)
+
+
+def _raw_answers(
+    requests: DataFrame, fresh: DataFrame, cache: DataFrame, merge_fields: Sequence[str] | None
+) -> DataFrame:
+    """(group_key, raw, error): cached and fresh answers as maps, parts merged when there are any."""
+    known = asked_of(cache, requests).select(
+        "request_key", "response_json", F.lit(None).cast("string").alias("error")
+    )
+    answers = known.unionByName(fresh).withColumn("raw", raw_fields(without_fence(F.col("response_json"))))
+    if merge_fields is None:
+        return answers.withColumnRenamed("request_key", "group_key")
+    members = requests.groupBy("group_key", "part").agg(F.min("request_key").alias("request_key"))
+    return merged_parts(members.join(answers, "request_key"), ["group_key"], merge_fields, carry="error")
 
 
 def checked_answers(answers: DataFrame, wanted: T.StructType) -> DataFrame:
-    """(group_key, record, status, errors, error_class, error_message) of answers with a raw map."""
+    """(group_key, record, errors, status, error_class, error_message) of answers with a raw map."""
     read = answers.withColumn("record", relaxed(F.col("raw"), wanted))
-    read = read.withColumn("errors", strict_errors(F.col("raw"), F.col("record"), wanted))
+    return _with_status(read.withColumn("errors", strict_errors(F.col("raw"), F.col("record"), wanted)))
+
+
+def _with_status(read: DataFrame) -> DataFrame:
     called = F.col("error").isNotNull()
     wrong = F.size("errors") > 0
     return read.select(
@@ -198,30 +234,71 @@ def table_job(type_key: str, record: T.StructType, provider: Provider, **options
     return Job(type_key, record, provider, max_tokens=TABLE_MAX_TOKENS, **options)  # type: ignore[arg-type]
 
 
-def dispatch(
-    classified_docs: DataFrame, jobs: Mapping[str, Job], *, doc_id: str = "doc_id", path: str = "path", text: str = "text"
-) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Extract each document with the job of its type. Returns the results per type, and the rows
-    without one: failed classifications, and types nobody gave a job for.
+@dataclass(frozen=True)
+class Dispatched:
+    """Documents with the requests of their own type, and the results as one table or per type."""
+
+    scan: DataFrame
+    docs: DataFrame
+    jobs: Mapping[str, Job]
+    cache: DataFrame
+    doc_id: str
+    text: str
+
+    def typed(self, type_key: str) -> DataFrame:
+        """Results of one type, with its record as a typed struct."""
+        own = self.scan.where(F.col("type_key") == type_key)
+        requests, job = _exploded(own, self.doc_id), self.jobs[type_key]
+        fresh = fresh_answers(self.docs, requests, job, self.cache, self.doc_id, self.text)
+        return _results(own.select(self.doc_id, "found.path"), requests, fresh, job, self.cache, self.doc_id)
+
+    def results(self) -> DataFrame:
+        """All documents in one table, the record as JSON text: one join for all types.
+
+        A document whose classification failed is a failure; one whose type nobody gave
+        a job for has no result.
+        """
+        requests = _exploded(self.scan, self.doc_id)
+        by_call = {k: j for k, j in self.jobs.items() if not _is_native(j)}
+        fresh = _native_answers(requests.where(~F.col("type_key").isin(*by_call)) if by_call else requests, self.cache)
+        for type_key, job in by_call.items():
+            own = requests.where(F.col("type_key") == type_key)
+            fresh = fresh.unionByName(fresh_answers(self.docs, own, job, self.cache, self.doc_id, self.text))
+
+        in_parts = any(j.part_size for j in self.jobs.values())
+        fields = list(dict.fromkeys(f for j in self.jobs.values() for f in j.wanted.fieldNames()))
+        answers = _raw_answers(requests, fresh, self.cache, fields if in_parts else None)
+        types = requests.groupBy("group_key").agg(F.min("type_key").alias("type_key"))
+        record, errors = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+        for type_key, job in self.jobs.items():
+            own, value = F.col("type_key") == type_key, relaxed(F.col("raw"), job.wanted)
+            record = F.when(own, F.to_json(value)).otherwise(record)
+            errors = F.when(own, strict_errors(F.col("raw"), value, job.wanted)).otherwise(errors)
+        read = answers.join(types, "group_key").select("group_key", "raw", "error", record.alias("record"), errors.alias("errors"))
+        slim = self.scan.select(
+            self.doc_id, "found.path", "type_key", F.get("parts", 0)["request_key"].alias("group_key"),
+            F.col("found.error_message").alias("why"),
+        )
+        joined = skew_join(slim, _with_status(read), ["group_key"], "left", spread=[self.doc_id])
+        return joined.select(
+            self.doc_id, "path", "type_key",
+            F.coalesce("status", F.when(F.col("type_key").isNull(), FAILED).otherwise(NO_RESULT)).alias("status"),
+            F.col("record").alias("record_json"), "errors", "error_class",
+            F.coalesce("error_message", "why").alias("error_message"),
+        )
 
-    The loop is over the given types; each filters the classified documents, which should be staged.
-    """
-    per_type = {}
-    for type_key, job in jobs.items():
-        own = classified_docs.where(F.col("type_key") == type_key)
-        per_type[type_key] = extract(own, job, doc_id=doc_id, path=path, text=text).results
-    known = F.coalesce(F.col("type_key").isin(*jobs), F.lit(False))
-    left = classified_docs.where(~known).select(
-        doc_id, path, "type_key",
-        F.when(F.col("type_key").isNull(), FAILED).otherwise(NO_RESULT).alias("status"),
-        F.col("error_message"),
-    )
-    return per_type, left
 
+def dispatch(
+    classified_docs: DataFrame, jobs: Mapping[str, Job], *, doc_id: str = "doc_id", path: str = "path",
+    text: str = "text", cache: DataFrame | None = None,
+) -> Dispatched:
+    """Extract each document with the job of its ``type_key``.
 
-def all_results(per_type: Mapping[str, DataFrame], left: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One long table over all types: the record as JSON text, the shared columns as they are."""
-    united = left.withColumn("record_json", F.lit(None).cast("string")).select(*columns, "record_json")
-    for rows in per_type.values():
-        united = united.unionByName(rows.withColumn("record_json", F.to_json("record")).select(*columns, "record_json"))
-    return united
+    Classification, keys and native answers come out of one scan of the texts; all
+    else works on the slim table written by that scan.
+    """
+    cache = cache if cache is not None else empty_cache(classified_docs.sparkSession)
+    found = F.struct(F.col(path).alias("path"), "error_message").alias("found")
+    typed = classified_docs.select(doc_id, "type_key", F.col(text).alias("text"), found)
+    scan = staged(_with_requests(typed, jobs, doc_id), "classified-requests")
+    return Dispatched(scan, classified_docs, jobs, cache, doc_id, text)
