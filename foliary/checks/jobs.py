@@ -240,14 +240,6 @@ def _records(spark: SparkSession, sf: str) -> dict[str, normalise.Normalised]:
     }
 
 
-def _mentions(parts: dict[str, normalise.Normalised]) -> DataFrame:
-    united: DataFrame | None = None
-    for part in parts.values():
-        united = part.mentions if united is None else united.unionByName(part.mentions)
-    assert united is not None
-    return united
-
-
 _ENTITY_SQL = """
   SELECT 'Customer' AS entity, c_name AS name, 'a/' || lpad(c_custkey::VARCHAR, 9, '0') AS first_path,
          CASE WHEN c_custkey % 3 <> 0 THEN 'c' || c_custkey || '@x.example' END AS contact_email,
@@ -268,7 +260,7 @@ _ENTITY_SQL = """
     f"SELECT *, md5(entity || '||' || name) AS entity_id FROM ({_ENTITY_SQL})",
 )
 def entity_table(spark: SparkSession, sf: str) -> DataFrame:
-    merged = normalise.entity_tables(_mentions(_records(spark, sf)))
+    merged = normalise.entity_tables(normalise.all_mentions(_records(spark, sf).values()))
     return merged.select(
         "entity", "name", F.col("first_seen.path").alias("first_path"), "contact_email", "website", "industry",
         "effective_date", "contract_type", "entity_id",
@@ -371,7 +363,7 @@ def package_manifest(spark: SparkSession, sf: str) -> DataFrame:
 def database(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "database")
     parts = _records(spark, sf)
-    normalise.write_database(parts, normalise.entity_tables(_mentions(parts)), folder, AT)
+    normalise.write_database(parts, normalise.entity_tables(normalise.all_mentions(parts.values())), folder, AT)
     stored = spark.read.parquet(f"{folder}/entities")
     made = stored.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity_id").alias("ids")).select(
         F.concat(F.lit("entities/"), "entity").alias("written"), "n", "ids"

@@ -35,7 +35,9 @@ def raw_fields(text: Column) -> Column:
     """
     whole = strip(text)
     items = F.from_json(F.concat(F.lit("["), whole, F.lit("]")), f"array<{RAW}>", {"allowSingleQuotes": "false"})
-    return F.when(F.endswith(whole, F.lit("}")) & (F.size(items) == 1), items[0])
+    # Going through one-item arrays keeps the parse from being worked out twice.
+    single = F.transform(F.filter(F.array(items), lambda i: F.size(i) == 1), lambda i: i[0])
+    return F.when(F.endswith(whole, F.lit("}")), F.get(single, 0))
 
 
 def is_json_object(text: Column) -> Column:
@@ -99,7 +101,7 @@ def relaxed(raw: Column, record: T.StructType) -> Column:
     return F.when(raw.isNotNull(), fields)
 
 
-def field_error(raw: Column, value: Column, f: T.StructField) -> Column:
+def field_problem(raw: Column, value: Column, f: T.StructField) -> Column:
     """``missing``, ``null``, ``type`` or ``enum`` when the strict rule is broken, else null."""
     given = raw[f.name]
     blank = given.isNull() | is_blank(given)
@@ -114,13 +116,19 @@ def field_error(raw: Column, value: Column, f: T.StructField) -> Column:
     if allowed is not None:
         outside = value.isNotNull() & ~value.isin(*allowed)
         problem = F.coalesce(problem, F.when(outside, F.lit("enum")))
-    return F.when(problem.isNotNull(), F.concat(F.lit(f"{f.name}: "), problem))
+    return problem
 
 
 def strict_errors(raw: Column, record: Column, schema: T.StructType) -> Column:
     """All broken rules of a parsed record, in field order; extra keys are ignored."""
-    broken = F.array_compact(F.array(*[field_error(raw, record[f.name], f) for f in schema.fields]))
-    return F.when(raw.isNull(), F.array(F.lit(MALFORMED))).otherwise(broken)
+    none = F.array().cast("array<string>")
+    broken = []
+    for f in schema.fields:
+        problem = field_problem(raw, record[f.name], f)
+        text = F.concat(F.lit(f"{f.name}: "), problem)
+        broken.append(F.when(problem.isNotNull(), F.array(text)).otherwise(none))
+    # Joined arrays stay inside generated code, which a filter over one array would not.
+    return F.when(raw.isNull(), F.array(F.lit(MALFORMED))).otherwise(F.concat(none, *broken))
 
 
 def unknown_keys(raw: Column, schema: T.StructType) -> Column:

@@ -14,16 +14,19 @@ FILENAME_REPLACED = r"[^0-9a-zA-Z_-]+"
 PATH_SEPARATOR = " -> "
 KEY_SEPARATOR = "||"
 
-# All Unicode white space; reads the same in Java and RE2 patterns.
+# All Unicode white space: as a pattern that reads the same in Java and RE2, and as characters.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+SPACE_CHARS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{SPACE}+\z", "")
+    return F.rtrim(c, F.lit(SPACE_CHARS))
 
 
 def is_blank(c: Column) -> Column:

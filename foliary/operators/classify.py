@@ -108,8 +108,8 @@ def keyword_scores(text: Column, tree: Sequence[TypeNode]) -> Column:
         for node in tree:
             total = F.lit(0)
             for word in node.keywords:
-                removed = F.length(low) - F.length(F.replace(low, F.lit(word), F.lit("")))
-                total = total + (removed / len(word)).cast("int")
+                removed = F.octet_length(low) - F.octet_length(F.replace(low, F.lit(word), F.lit("")))
+                total = total + (removed / len(word.encode())).cast("int")
             scores.append(total)
         return F.array(*scores)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliary import schema as S
-from foliary.functions.text import blank_to_null, strip
+from foliary.functions.text import blank_to_null, is_blank, strip
 from foliary.operators.skew import ordinal, skew_join
 
 # Entities in order of precedence, with the field names that identify them.
@@ -162,54 +162,65 @@ def reference_fields(record: T.StructType, exact_only: bool = False) -> dict[str
 # -- what is known about an entity --------------------------------------------
 
 
-def _first_filled(data: Column, keys: Iterable[str]) -> Column:
-    return F.coalesce(*[F.nullif(data[k], F.lit("")) for k in keys])
+Lookup = Column | Mapping[str, Column]
 
 
-def harvested(data: Column, metadata: Column | None, entity: str, field: str) -> dict[str, Column]:
-    """Attributes of the entity that ``field`` names, from a record as map<string,string>.
+def _first_filled(data: Lookup, keys: Iterable[str]) -> Column | None:
+    """The first value that is not empty; of a typed record only the fields it has."""
+    if isinstance(data, Column):
+        found = [data[k] for k in keys]
+    else:
+        found = [data[k].cast("string") for k in keys if k in data]
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in found]) if found else None
+
+
+def harvested(data: Lookup, metadata: Column | None, entity: str, field: str) -> dict[str, Column]:
+    """Attributes of the entity that ``field`` names, from a record: a map<string,string> column,
+    or the columns of a typed record by field name. Attributes that cannot be filled are left out.
 
     A filled record field goes before metadata; the record's own description counts
     only when the record has no metadata that could have carried one.
     """
-    found: dict[str, Column] = {}
+    found: dict[str, Column | None] = {}
     has_metadata = F.lit(False) if metadata is None else F.coalesce(F.size(metadata) > 0, F.lit(False))
     if metadata is not None:
         for attribute, keys in METADATA_KEYS.get(entity, {}).items():
             found[attribute] = F.when(has_metadata, _first_filled(metadata, keys))
     for attribute, keys in FIELD_KEYS.get(entity, {}).items():
         own = _first_filled(data, [k.format(field=field) for k in keys])
-        found[attribute] = F.coalesce(own, found[attribute]) if attribute in found else own
-    description = F.nullif(data["description"], F.lit(""))
-    if metadata is not None and "description" in METADATA_KEYS.get(entity, {}):
-        found["description"] = F.when(has_metadata, found["description"]).otherwise(description)
+        if own is not None:
+            found[attribute] = F.coalesce(own, found[attribute]) if attribute in found else own
+    description = _first_filled(data, ["description"])
+    if "description" in found:
+        own = F.lit(None).cast("string") if description is None else description
+        found["description"] = F.when(has_metadata, found["description"]).otherwise(own)
     else:
         found["description"] = description
-    return found
+    return {k: v for k, v in found.items() if v is not None}
 
 
 def merged_entities(mentions: DataFrame, order: Sequence[str], attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
     """One row per (entity, name): the first non-blank value of each attribute by ``order``.
 
     Aggregates before the shuffle, so a name that fills a third of all rows stays cheap.
+    Attributes that no mention carries are null.
     """
     seq = F.struct(*order)
-    first = [
-        F.min_by(a, F.when(F.col(a).isNotNull() & blank_to_null(F.col(a)).isNotNull(), seq)).alias(a)
-        for a in attributes
-    ]
-    return (
-        mentions.where("name is not null")
-        .groupBy("entity", "name")
-        .agg(F.min(seq).alias("first_seen"), *first)
-        .withColumn("entity_id", entity_id(F.col("entity"), F.col("name")))
+    carried = [a for a in attributes if a in mentions.columns]
+    first = [F.min_by(a, F.when(~is_blank(F.col(a)), seq)).alias(a) for a in carried]
+    merged = mentions.where("name is not null").groupBy("entity", "name").agg(F.min(seq).alias("first_seen"), *first)
+    empty = F.lit(None).cast("string")
+    return merged.select(
+        "entity", "name", "first_seen", *[F.col(a) if a in carried else empty.alias(a) for a in attributes],
+        entity_id(F.col("entity"), F.col("name")).alias("entity_id"),
     )
 
 
 def upserted(old: DataFrame, mentions: DataFrame, order: Sequence[str], attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
     """Old entities take part as mentions of their first sighting, so they keep what they know."""
     before = old.select("entity", "name", *[F.col(f"first_seen.{o}").alias(o) for o in order], *attributes)
-    return merged_entities(before.unionByName(mentions.select(*before.columns)), order, attributes)
+    new = mentions.select(*[c for c in before.columns if c in mentions.columns])
+    return merged_entities(before.unionByName(new, allowMissingColumns=True), order, attributes)
 
 
 def dense_ids(entities: DataFrame) -> DataFrame:

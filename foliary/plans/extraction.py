@@ -80,20 +80,18 @@ def _asked_parts(job: Job, text: Column) -> Column:
     return F.array(*parts)
 
 
-def keyed_requests(docs: DataFrame, jobs: Mapping[str, Job] | Job, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, type_key, group_key, part, request_key, native_json): one scan of the text, nothing heavy leaves it.
+def keyed_requests(docs: DataFrame, jobs: Mapping[str, Job], doc_id: str, text: str, *keep: str | Column) -> DataFrame:
+    """(doc_id, type_key, parts, kept columns), written by one scan of the text; nothing heavy leaves it.
 
-    With several jobs each document takes the one of its ``type_key`` column. The key
-    of the first part stands for the whole document. A provider that is a column
-    expression answers in the same scan.
+    Each document takes the job of its ``type_key`` column. A provider that is a column
+    expression answers in the same scan. Written before parts are exploded, because a
+    filter that the explode brings along would work out every answer twice.
     """
-    if isinstance(jobs, Job):
-        docs, jobs = docs.withColumn("type_key", F.lit(jobs.type_key)), {jobs.type_key: jobs}
-    keyed = _with_requests(docs.select(doc_id, "type_key", F.col(text).alias("text")), jobs, doc_id)
-    return _exploded(keyed, doc_id)
+    typed = docs.select(doc_id, "type_key", F.col(text).alias("text"), *keep)
+    return staged(_with_requests(typed, jobs), "requests")
 
 
-def _with_requests(docs: DataFrame, jobs: Mapping[str, Job], doc_id: str) -> DataFrame:
+def _with_requests(docs: DataFrame, jobs: Mapping[str, Job]) -> DataFrame:
     """The given columns, with ``parts`` in place of ``text``; null for a blank text or a type without job."""
     asked = None
     for type_key, job in jobs.items():
@@ -105,6 +103,7 @@ def _with_requests(docs: DataFrame, jobs: Mapping[str, Job], doc_id: str) -> Dat
 
 
 def _exploded(keyed: DataFrame, doc_id: str) -> DataFrame:
+    """(doc_id, type_key, group_key, part, request_key, native_json); the first part's key stands for the document."""
     return keyed.select(
         doc_id, "type_key", F.get("parts", 0)["request_key"].alias("group_key"), F.explode("parts").alias("r")
     ).select(doc_id, "type_key", "group_key", "r.*")
@@ -142,7 +141,8 @@ def extract(
 ) -> Extraction:
     """Requests, cached and fresh answers, parse, strict check, lineage. Errors are rows."""
     cache = cache if cache is not None else empty_cache(docs.sparkSession)
-    requests = staged(keyed_requests(docs, job, doc_id, text), "requests")
+    typed = docs.withColumn("type_key", F.lit(job.type_key))
+    requests = _exploded(keyed_requests(typed, {job.type_key: job}, doc_id, text), doc_id)
     fresh = fresh_answers(docs, requests, job, cache, doc_id, text)
     return Extraction(_results(docs.select(doc_id, F.col(path).alias("path")), requests, fresh, job, cache, doc_id), fresh)
 
@@ -299,6 +299,5 @@ def dispatch(
     """
     cache = cache if cache is not None else empty_cache(classified_docs.sparkSession)
     found = F.struct(F.col(path).alias("path"), "error_message").alias("found")
-    typed = classified_docs.select(doc_id, "type_key", F.col(text).alias("text"), found)
-    scan = staged(_with_requests(typed, jobs, doc_id), "classified-requests")
+    scan = keyed_requests(classified_docs, jobs, doc_id, text, found)
     return Dispatched(scan, classified_docs, jobs, cache, doc_id, text)

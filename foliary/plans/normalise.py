@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliary.operators.entities import (
-    ATTRIBUTES, as_text_map, clean_name, entity_id, flat_value, harvested, merged_entities, reference_fields,
+    ATTRIBUTES, clean_name, entity_id, flat_value, harvested, merged_entities, reference_fields,
 )
 
 ORDER = ("batch", "path", "pos")
@@ -40,38 +42,50 @@ def normalise(
             stored.append(F.when(name.isNotNull(), entity_id(F.lit(references[f.name]), name)).alias(f"{f.name}_id"))
         else:
             stored.append(flat_value(F.col(f.name), f.dataType).alias(f.name))
-    flat = records.select(F.col(path).alias("path") if path != "path" else F.col("path"),
-                          *[c for c in stored])
+    flat = records.select(F.col(path).alias("path"), *stored)
 
     simple = {
         f.name: F.col(f.name) for f in record.fields
         if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
     }
-    data = F.col("__data")
+    if not references:
+        none = F.lit(None).cast("string")
+        return Normalised(flat, records.where(F.lit(False)).select(
+            F.lit(batch).cast("long").alias("batch"), F.col(path).alias("path"), F.lit(0).alias("pos"),
+            none.alias("entity"), none.alias("field"), none.alias("name"),
+        ))
     meta = F.col(metadata) if metadata else None
-    rows = []
-    for position, f in enumerate(record.fields):
-        if f.name not in references:
-            continue
-        entity = references[f.name]
-        known = harvested(data, meta, entity, f.name)
-        empty = F.lit(None).cast("string")
-        rows.append(
-            F.struct(
-                F.lit(entity).alias("entity"), clean_name(F.col(f.name).cast("string")).alias("name"),
-                F.lit(position).alias("pos"), F.lit(f.name).alias("field"),
-                *[known.get(a, empty).alias(a) for a in ATTRIBUTES],
-            )
-        )
+    places = {i: f.name for i, f in enumerate(record.fields) if f.name in references}
+    known = {i: harvested(simple, meta, references[name], name) for i, name in places.items()}
+    carried = [a for a in ATTRIBUTES if any(a in attributes for attributes in known.values())]
     mentions = (
-        records.withColumn("__data", as_text_map(simple))
-        .select(F.lit(batch).cast("long").alias("batch"), F.col(path).alias("path"), F.explode(F.array(*rows)).alias("m"))
-        .select("batch", "path", "m.*")
+        records.withColumn("pos", F.explode(F.array(*[F.lit(i) for i in places])))
+        .select(
+            F.lit(batch).cast("long").alias("batch"), F.col(path).alias("path"), "pos",
+            _by_position({i: F.lit(references[name]) for i, name in places.items()}).alias("entity"),
+            _by_position({i: F.lit(name) for i, name in places.items()}).alias("field"),
+            _by_position({i: clean_name(F.col(name).cast("string")) for i, name in places.items()}).alias("name"),
+            *[_by_position({i: known[i][a] for i in places if a in known[i]}).alias(a) for a in carried],
+        )
         .where("name is not null")
     )
     return Normalised(flat, mentions)
 
 
+def _by_position(values: Mapping[int, Column]) -> Column:
+    """The value of the mention at hand; the other ones are not worked out."""
+    (first, value), *others = values.items()
+    chosen = F.when(F.col("pos") == first, value)
+    for position, value in others:
+        chosen = chosen.when(F.col("pos") == position, value)
+    return chosen
+
+
+def all_mentions(parts: Iterable[Normalised]) -> DataFrame:
+    """Mentions of several record types as one table."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.mentions for p in parts])
+
+
 def entity_tables(mentions: DataFrame) -> DataFrame:
     """All entities in one table, to be written with one folder per entity."""
     return merged_entities(mentions, ORDER)
