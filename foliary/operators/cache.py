@@ -61,7 +61,8 @@ def new_entries(fresh: DataFrame, existing: DataFrame, created_at: str) -> DataF
 
 
 def append(entries: DataFrame, path: str) -> None:
-    """Append new entries; one writer at a time keeps the key unique."""
-    entries.repartition("prefix", F.substring("request_key", 3, 1)).write.mode("append").partitionBy(
-        "prefix"
-    ).parquet(path)
+    """Append new entries; one writer at a time keeps the key unique.
+
+    Rebalancing puts a small prefix into one file and splits a large one.
+    """
+    entries.hint("rebalance", "prefix").write.mode("append").partitionBy("prefix").parquet(path)
