@@ -442,8 +442,8 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     supported = docs(spark, sf).where(X.has_supported_suffix(F.col("path")))
     results = extraction.extract(supported, _job()).results
     by_source = results.withColumn("source", X.parent(F.col("path")))
-    found = by_source.groupBy("source").agg(*[F.count(f"record.{n}").alias(f"with_{n}") for n in FIELDS])
-    return summary.run_summary(by_source, ["source"]).join(found, "source")
+    found = [F.count(f"record.{n}").alias(f"with_{n}") for n in FIELDS]
+    return summary.run_summary(by_source, ["source"], more=found)
 
 
 check(

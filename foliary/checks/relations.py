@@ -16,13 +16,14 @@ from foliary.operators.assemble import latest_by_field
 from foliary.operators.requests import part_requests
 from foliary.operators.skew import ordinal
 from foliary.schema import parts
+from foliary.session import staged
 from foliary.sources.files import union_results
 
 # -- joins --------------------------------------------------------------------
 
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.md5("text").alias("request_key"))
+    return staged(table(spark, sf, "documents").select("doc_id", F.md5("text").alias("request_key")), "keys")
 
 
 @check(

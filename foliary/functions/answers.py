@@ -15,6 +15,7 @@ from foliary.schema import default_of, enum_of, is_required
 
 RAW = "map<string,string>"
 MALFORMED = "answer: malformed"
+_BETWEEN = "\x1f"
 
 # Words read as booleans besides what a cast accepts.
 TRUE_WORDS, FALSE_WORDS = ("on",), ("off",)
@@ -105,30 +106,21 @@ def field_problem(raw: Column, value: Column, f: T.StructField) -> Column:
     """``missing``, ``null``, ``type`` or ``enum`` when the strict rule is broken, else null."""
     given = raw[f.name]
     blank = given.isNull() | is_blank(given)
-    problem = F.when(~blank & value.isNull(), F.lit("type"))
-    if is_required(f) and default_of(f) is None:
-        problem = (
-            F.when(~F.map_contains_key(raw, f.name), F.lit("missing"))
-            .when(blank, F.lit("null"))
-            .otherwise(problem)
-        )
     allowed = enum_of(f)
-    if allowed is not None:
-        outside = value.isNotNull() & ~value.isin(*allowed)
-        problem = F.coalesce(problem, F.when(outside, F.lit("enum")))
-    return problem
+    # A value that was read is not missing, blank or of the wrong type, so nothing else is worked out for it.
+    right = F.lit(None).cast("string") if allowed is None else F.when(~value.isin(*allowed), F.lit("enum"))
+    problem = F.when(value.isNotNull(), right)
+    if is_required(f) and default_of(f) is None:
+        problem = problem.when(~F.map_contains_key(raw, f.name), F.lit("missing")).when(blank, F.lit("null"))
+    return problem.when(~blank, F.lit("type"))
 
 
 def strict_errors(raw: Column, record: Column, schema: T.StructType) -> Column:
     """All broken rules of a parsed record, in field order; extra keys are ignored."""
-    none = F.array().cast("array<string>")
-    broken = []
-    for f in schema.fields:
-        problem = field_problem(raw, record[f.name], f)
-        text = F.concat(F.lit(f"{f.name}: "), problem)
-        broken.append(F.when(problem.isNotNull(), F.array(text)).otherwise(none))
-    # Joined arrays stay inside generated code, which a filter over one array would not.
-    return F.when(raw.isNull(), F.array(F.lit(MALFORMED))).otherwise(F.concat(none, *broken))
+    messages = [F.concat(F.lit(f"{f.name}: "), field_problem(raw, record[f.name], f)) for f in schema.fields]
+    # Joined and split again: unlike a filter over an array this stays inside generated code.
+    broken = F.array_remove(F.split(F.concat_ws(_BETWEEN, *messages), _BETWEEN), "")
+    return F.when(raw.isNull(), F.array(F.lit(MALFORMED))).otherwise(broken)
 
 
 def unknown_keys(raw: Column, schema: T.StructType) -> Column:

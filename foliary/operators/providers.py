@@ -53,11 +53,13 @@ class CallProvider:
     """Calls ``connect()`` once per task and the returned function once per request text.
 
     At most ``concurrency`` tasks call at the same time. A failing call is an error
-    row; it never fails the job. Stage the result: a recomputed task would call again.
+    row; it never fails the job. The extraction job writes the answers down once per
+    wave, so with many requests ``waves`` bounds what a lost executor can cost.
     """
 
     connect: Callable[[], Callable[[str], str]]
     concurrency: int = 32
+    waves: int = 1
     send: str = "request_text"
 
     def native(self, text: Column, fields: Sequence[str]) -> None:

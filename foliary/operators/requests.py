@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from foliary import schema
 from foliary.functions.text import decoded, is_pdf, parts_key
 from foliary.operators.skew import skew_join
+from foliary.session import staged
 
 # Fixed values.
 PROVIDERS = {"anthropic": "anthropic", "claude": "anthropic", "openai": "openai"}
@@ -130,7 +131,7 @@ def uploads(files: DataFrame, file_id: str, content: str) -> DataFrame:
     The reference is a function of the hash, so no join is needed to hand it out;
     the join back only tells which file stands for the content.
     """
-    hashed = files.select(file_id, F.sha2(content, 256).alias("digest"))
+    hashed = staged(files.select(file_id, F.sha2(content, 256).alias("digest")), "digests")
     first = hashed.groupBy("digest").agg(F.min(file_id).alias("uploaded_as"), F.count(F.lit(1)).alias("copies"))
     return skew_join(hashed, first, ["digest"], "left", spread=[file_id]).withColumn(
         "file_ref", F.concat(F.lit("file-"), F.substring("digest", 1, 24))

@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from foliary.session import staged
 
-HOT_SHARE = 64
-SALTS = 64
+# A key is hot when it owns more than 1/HOT_SHARE of the rows and too many for one task.
+HOT_SHARE = 1024
+HOT_ROWS = 100_000
+SALTS = 128
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys that own more than 1/``share`` of all rows: fewer than ``share`` rows by counting."""
+def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
+    """Keys that own more than 1/``share`` of all rows, so fewer than ``share`` keys, and more than ``rows`` rows."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.where(F.col("__n") * share > total).select(*keys)
+    return counts.where((F.col("__n") > rows) & (F.col("__n") * share > total)).select(*keys)
 
 
 def skew_join(
@@ -27,18 +29,20 @@ def skew_join(
     how: str = "left",
     *,
     spread: Sequence[str],
-    share: int = HOT_SHARE,
+    hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join a large ``left`` to a ``right`` that is unique per key.
 
     Rows of hot keys are spread over ``salts`` tasks by a hash of the ``spread``
     columns (stable under task retry); only the matching right rows are copied.
+    The keys of ``left`` are counted first, so ``left`` should be cheap to read twice:
+    stage what is worked out from heavy columns.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"skew_join keeps left rows only, not how={how!r}")
     keys = list(keys)
-    hot = hot_keys(left.select(*keys), keys, share)
+    hot = hot_keys(left.select(*keys), keys, rows=hot_rows)
     renamed = F.broadcast(hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")))
 
     def flagged(side: DataFrame) -> DataFrame:
@@ -76,16 +80,15 @@ def ordinal(
     slices. Each slice numbers its own rows; the rows before a slice are added from a
     broadcast table that holds only slices continuing a group: fewer rows than slices.
     """
-    spark = df.sparkSession
     columns = df.columns
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = list(group)
     keyed = df.select(
         "*", *[(c if isinstance(c, Column) else F.col(c)).alias(f"__o{i}") for i, c in enumerate(order)]
     )
     order_keys = [f"__o{i}" for i in range(len(order))]
     sliced = staged(
-        keyed.repartitionByRange(slices, *group, *order_keys).withColumn("__slice", F.spark_partition_id()),
+        keyed.repartitionByRange(*([slices] if slices else []), *group, *order_keys)
+        .withColumn("__slice", F.spark_partition_id()),
         "ordinal",
     )
 

@@ -28,12 +28,18 @@ DOCUMENT_AREAS = {
 OK, FAILED, NO_RESULT = "ok", "failed", "no_result"
 
 
-def run_summary(results: DataFrame, by: Sequence[str] = (), count_no_result_as_success: bool = True) -> DataFrame:
-    """total, success and failure counts; documents without a result count as success unless told otherwise."""
+def run_summary(
+    results: DataFrame, by: Sequence[str] = (), count_no_result_as_success: bool = True, more: Sequence[Column] = ()
+) -> DataFrame:
+    """total, success and failure counts; documents without a result count as success unless told otherwise.
+
+    ``more`` aggregates ride along in the same pass.
+    """
     good = [OK, NO_RESULT] if count_no_result_as_success else [OK]
     ok = F.col("status").isin(*good)
     return results.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("failure")
+        F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("failure"),
+        *more,
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -119,9 +120,15 @@ def fresh_answers(
     asked = todo.select("request_key", F.col(f"ask.{doc_id}").alias(doc_id), F.col("ask.part").alias("part"))
     prompts = F.array(*[F.lit(instruction(part)) for part in job.part_schemas])
     body = request_text(prompts[F.col("part") - 1], F.concat_ws("\n", F.col("text"), F.lit(job.extra)))
-    with_text = docs.select(doc_id, F.col(text).alias("text")).join(asked, doc_id)
-    # Written once: a lost executor must not call the provider a second time.
-    return staged(job.provider.answer(with_text.withColumn("request_text", body)), "answers")
+    texts = docs.select(doc_id, F.col(text).alias("text"))
+    # Answers are written down wave by wave: what is written is never asked again.
+    waves = max(getattr(job.provider, "waves", 1), 1)
+    asked = staged(asked, "asked") if waves > 1 else asked
+    answers = []
+    for wave in range(waves):
+        turn = asked.where(F.pmod(F.xxhash64("request_key"), F.lit(waves)) == wave)
+        answers.append(staged(job.provider.answer(texts.join(turn, doc_id).withColumn("request_text", body)), "answers"))
+    return reduce(DataFrame.unionByName, answers)
 
 
 def _is_native(job: Job) -> bool:
@@ -142,22 +149,22 @@ def extract(
     """Requests, cached and fresh answers, parse, strict check, lineage. Errors are rows."""
     cache = cache if cache is not None else empty_cache(docs.sparkSession)
     typed = docs.withColumn("type_key", F.lit(job.type_key))
-    requests = _exploded(keyed_requests(typed, {job.type_key: job}, doc_id, text), doc_id)
+    scan = keyed_requests(typed, {job.type_key: job}, doc_id, text, F.col(path).alias("path"))
+    requests = _exploded(scan, doc_id)
     fresh = fresh_answers(docs, requests, job, cache, doc_id, text)
-    return Extraction(_results(docs.select(doc_id, F.col(path).alias("path")), requests, fresh, job, cache, doc_id), fresh)
+    return Extraction(_results(scan, requests, fresh, job, cache, doc_id), fresh)
 
 
 def _results(
-    files: DataFrame, requests: DataFrame, fresh: DataFrame, job: Job, cache: DataFrame, doc_id: str
+    scan: DataFrame, requests: DataFrame, fresh: DataFrame, job: Job, cache: DataFrame, doc_id: str
 ) -> DataFrame:
     """Answers are read and checked once per distinct request and only then handed to
     the documents, so copies of a document cost a lookup.
     """
     fields = job.wanted.fieldNames() if job.part_size else None
     checked = checked_answers(_raw_answers(requests, fresh, cache, fields), job.wanted)
-    slim = requests.where("part = 1").select(doc_id, "group_key")
-    joined = skew_join(slim, checked, ["group_key"], "left", spread=[doc_id])
-    return files.join(joined, doc_id, "left").select(
+    slim = scan.select(doc_id, "path", F.get("parts", 0)["request_key"].alias("group_key"))
+    return skew_join(slim, checked, ["group_key"], "left", spread=[doc_id]).select(
         doc_id, "path", F.col("group_key").alias("request_key"),
         F.coalesce("status", F.lit(NO_RESULT)).alias("status"),
         F.lit(job.type_key).alias("type_key"), with_lineage("record", job, F.col("path")).alias("record"),
@@ -250,7 +257,8 @@ class Dispatched:
         own = self.scan.where(F.col("type_key") == type_key)
         requests, job = _exploded(own, self.doc_id), self.jobs[type_key]
         fresh = fresh_answers(self.docs, requests, job, self.cache, self.doc_id, self.text)
-        return _results(own.select(self.doc_id, "found.path"), requests, fresh, job, self.cache, self.doc_id)
+        scan = own.select(self.doc_id, "found.path", "parts")
+        return _results(scan, requests, fresh, job, self.cache, self.doc_id)
 
     def results(self) -> DataFrame:
         """All documents in one table, the record as JSON text: one join for all types.

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from foliary.functions.answers import raw_fields, relaxed, strict_errors
 from foliary.functions.text import has_supported_suffix, relative_to
+from foliary.operators.requests import content_part
 from foliary.operators.summary import or_failure_row
 from foliary.schema import trimmed
 
@@ -31,6 +32,14 @@ def scan_documents(spark: SparkSession, folder: str, recurse: bool = False) -> D
     return files.where(has_supported_suffix(F.col("path")))
 
 
+def read_documents(spark: SparkSession, folder: str, recurse: bool = False) -> DataFrame:
+    """(doc_id, path, text) of supported files: UTF-8 text with undecodable bytes left out, a PDF as base64."""
+    part = content_part(F.col("content"))
+    return scan_documents(spark, folder, recurse).select(
+        F.md5("path").alias("doc_id"), "path", part["text"].alias("text")
+    )
+
+
 def scan_or_failure(spark: SparkSession, folder: str, recurse: bool = False) -> DataFrame:
     """The scan without content, or one failure row for a folder without supported files."""
     found = scan_documents(spark, folder, recurse).select("path", "length")

@@ -16,6 +16,7 @@ from foliary.operators.summary import failure_summary, run_summary
 from foliary.plans.extraction import Job, dispatch, enrich_table, extract, table_job
 from foliary.schema import field, parts
 from foliary.session import new_folder
+from foliary.sources.files import read_documents
 
 FACTS = T.StructType([field(n) for n in ("email", "phone", "ip_address", "license")])
 TEXTS = [
@@ -88,6 +89,20 @@ def test_one_call_per_distinct_text_and_none_on_the_second_run(spark, docs, tmp_
     assert new_entries(second.fresh, read_cache(spark, cache), "2024-01-02 00:00:00").count() == 0
 
 
+def test_waves_ask_the_same(spark, docs, tmp_path):
+    provider = counting_provider(str(tmp_path))
+    job = Job("t", FACTS, CallProvider(provider.connect, concurrency=2, waves=3))
+    assert extract(docs, job).results.where("record.email = 'e'").count() == 4
+    assert len(list(tmp_path.iterdir())) == 3
+
+
+def test_from_folder_to_records(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"Write to ann@x.example \xff")
+    (tmp_path / "b.docx").write_text("no")
+    rows = extract(read_documents(spark, str(tmp_path)), Job("t", FACTS, RuleProvider())).results.collect()
+    assert [(r.path.rsplit("/", 1)[-1], r.record.email) for r in rows] == [("a.txt", "ann@x.example")]
+
+
 def test_errors_are_rows(spark, tmp_path):
     shape = T.StructType([field("email", required=True)])
     docs = spark.createDataFrame(

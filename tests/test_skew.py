@@ -22,8 +22,8 @@ def rows():
 
 def test_hot_keys_are_few(spark, rows):
     frame = spark.createDataFrame(rows, "id int, k string")
-    assert {r.k for r in hot_keys(frame, ["k"]).collect()} == {"hot", None}
-    assert hot_keys(frame, ["id"]).count() == 0
+    assert {r.k for r in hot_keys(frame, ["k"], 64, 0).collect()} == {"hot", None}
+    assert hot_keys(frame, ["id"], 64, 0).count() == 0
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
@@ -31,7 +31,7 @@ def test_skew_join(spark, rows, how):
     left = spark.createDataFrame(rows, "id int, k string")
     known = {k: f"v-{k}" for _, k in rows if k and (k == "hot" or hash(k) % 2)}
     right = spark.createDataFrame([*known.items(), (None, "never")], "k string, v string")
-    got = sorted((tuple(r) for r in skew_join(left, right, ["k"], how, spread=["id"]).collect()), key=repr)
+    got = sorted((tuple(r) for r in skew_join(left, right, ["k"], how, spread=["id"], hot_rows=20).collect()), key=repr)
     want = {
         "left": [(k, i, known.get(k)) for i, k in rows],
         "inner": [(k, i, known[k]) for i, k in rows if k in known],
@@ -47,7 +47,7 @@ def test_hot_rows_are_spread(spark, rows):
     try:
         left = spark.createDataFrame(rows, "id int, k string")
         right = left.where("k is not null").select("k").distinct().withColumn("v", F.upper("k"))
-        joined = skew_join(left, right, ["k"], spread=["id"]).where("k = 'hot'")
+        joined = skew_join(left, right, ["k"], spread=["id"], hot_rows=20).where("k = 'hot'")
         tasks = {r[0] for r in joined.select(F.spark_partition_id()).distinct().collect()}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -61,7 +61,7 @@ def test_outer_rows_of_the_right_are_refused(spark, rows):
         skew_join(frame, frame, ["k"], "full", spread=["id"])
 
 
-@pytest.mark.parametrize("slices", [1, 3, 16])
+@pytest.mark.parametrize("slices", [None, 1, 3, 16])
 def test_ordinal(spark, rows, slices):
     shuffled = spark.createDataFrame(random.Random(2).sample(rows, len(rows)), "id int, k string")
     got = {r.id: r.n for r in ordinal(shuffled, ["k"], ["id"], "n", slices=slices).collect()}
