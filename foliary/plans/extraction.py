@@ -110,12 +110,36 @@ def _exploded(keyed: DataFrame, doc_id: str) -> DataFrame:
     ).select(doc_id, "type_key", "group_key", "r.*")
 
 
-def fresh_answers(
+def answered(
     docs: DataFrame, requests: DataFrame, job: Job, cache: DataFrame, doc_id: str, text: str
-) -> DataFrame:
-    """Answers of the keys the cache lacks, each asked once."""
+) -> tuple[DataFrame, DataFrame]:
+    """((request_key, response_json, error) of all asked keys once each, those of them the cache lacked)."""
     if _is_native(job):
-        return _native_answers(requests, cache)
+        rows = _native_answers(requests, cache)
+        return rows.drop("is_fresh"), rows.where("is_fresh").drop("is_fresh")
+    fresh = _called_answers(docs, requests, job, cache, doc_id, text)
+    known = asked_of(cache, requests).select("request_key", "response_json", no_error())
+    return known.unionByName(fresh), fresh
+
+
+def _is_native(job: Job) -> bool:
+    return job.provider.native(F.lit(""), job.wanted.fieldNames()) is not None
+
+
+def _native_answers(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """The cached answer, else the one from the scan: one pass over the cache."""
+    asked = requests.groupBy("request_key").agg(F.min("native_json").alias("native_json"))
+    known = cache.select("request_key", F.col("response_json").alias("cached_json"))
+    return asked.join(known, "request_key", "left").select(
+        "request_key", F.coalesce("cached_json", "native_json").alias("response_json"), no_error(),
+        F.col("cached_json").isNull().alias("is_fresh"),
+    )
+
+
+def _called_answers(
+    docs: DataFrame, requests: DataFrame, job: Job, cache: DataFrame, doc_id: str, text: str
+) -> DataFrame:
+    """Calls the provider for each missing key once, with the text of one document that needs it."""
     todo = misses(requests.withColumn("ask", F.struct(doc_id, "part")), cache, "ask")
     asked = todo.select("request_key", F.col(f"ask.{doc_id}").alias(doc_id), F.col("ask.part").alias("part"))
     prompts = F.array(*[F.lit(instruction(part)) for part in job.part_schemas])
@@ -131,15 +155,8 @@ def fresh_answers(
     return reduce(DataFrame.unionByName, answers)
 
 
-def _is_native(job: Job) -> bool:
-    return job.provider.native(F.lit(""), job.wanted.fieldNames()) is not None
-
-
-def _native_answers(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    todo = misses(requests.withColumn("ask", F.struct("native_json")), cache, "ask")
-    return todo.select(
-        "request_key", F.col("ask.native_json").alias("response_json"), F.lit(None).cast("string").alias("error")
-    )
+def no_error() -> Column:
+    return F.lit(None).cast("string").alias("error")
 
 
 def extract(
@@ -151,18 +168,16 @@ def extract(
     typed = docs.withColumn("type_key", F.lit(job.type_key))
     scan = keyed_requests(typed, {job.type_key: job}, doc_id, text, F.col(path).alias("path"))
     requests = _exploded(scan, doc_id)
-    fresh = fresh_answers(docs, requests, job, cache, doc_id, text)
-    return Extraction(_results(scan, requests, fresh, job, cache, doc_id), fresh)
+    answers, fresh = answered(docs, requests, job, cache, doc_id, text)
+    return Extraction(_results(scan, requests, answers, job, doc_id), fresh)
 
 
-def _results(
-    scan: DataFrame, requests: DataFrame, fresh: DataFrame, job: Job, cache: DataFrame, doc_id: str
-) -> DataFrame:
+def _results(scan: DataFrame, requests: DataFrame, answers: DataFrame, job: Job, doc_id: str) -> DataFrame:
     """Answers are read and checked once per distinct request and only then handed to
     the documents, so copies of a document cost a lookup.
     """
     fields = job.wanted.fieldNames() if job.part_size else None
-    checked = checked_answers(_raw_answers(requests, fresh, cache, fields), job.wanted)
+    checked = checked_answers(_raw_answers(requests, answers, fields), job.wanted)
     slim = scan.select(doc_id, "path", F.get("parts", 0)["request_key"].alias("group_key"))
     return skew_join(slim, checked, ["group_key"], "left", spread=[doc_id]).select(
         doc_id, "path", F.col("group_key").alias("request_key"),
@@ -172,18 +187,13 @@ def _results(
     )
 
 
-def _raw_answers(
-    requests: DataFrame, fresh: DataFrame, cache: DataFrame, merge_fields: Sequence[str] | None
-) -> DataFrame:
-    """(group_key, raw, error): cached and fresh answers as maps, parts merged when there are any."""
-    known = asked_of(cache, requests).select(
-        "request_key", "response_json", F.lit(None).cast("string").alias("error")
-    )
-    answers = known.unionByName(fresh).withColumn("raw", raw_fields(without_fence(F.col("response_json"))))
+def _raw_answers(requests: DataFrame, answers: DataFrame, merge_fields: Sequence[str] | None) -> DataFrame:
+    """(group_key, raw, error): answers as maps, parts merged when there are any."""
+    read = answers.withColumn("raw", raw_fields(without_fence(F.col("response_json"))))
     if merge_fields is None:
-        return answers.withColumnRenamed("request_key", "group_key")
+        return read.withColumnRenamed("request_key", "group_key")
     members = requests.groupBy("group_key", "part").agg(F.min("request_key").alias("request_key"))
-    return merged_parts(members.join(answers, "request_key"), ["group_key"], merge_fields, carry="error")
+    return merged_parts(members.join(read, "request_key"), ["group_key"], merge_fields, carry="error")
 
 
 def checked_answers(answers: DataFrame, wanted: T.StructType) -> DataFrame:
@@ -256,9 +266,8 @@ class Dispatched:
         """Results of one type, with its record as a typed struct."""
         own = self.scan.where(F.col("type_key") == type_key)
         requests, job = _exploded(own, self.doc_id), self.jobs[type_key]
-        fresh = fresh_answers(self.docs, requests, job, self.cache, self.doc_id, self.text)
-        scan = own.select(self.doc_id, "found.path", "parts")
-        return _results(scan, requests, fresh, job, self.cache, self.doc_id)
+        answers, _ = answered(self.docs, requests, job, self.cache, self.doc_id, self.text)
+        return _results(own.select(self.doc_id, "found.path", "parts"), requests, answers, job, self.doc_id)
 
     def results(self) -> DataFrame:
         """All documents in one table, the record as JSON text: one join for all types.
@@ -268,21 +277,22 @@ class Dispatched:
         """
         requests = _exploded(self.scan, self.doc_id)
         by_call = {k: j for k, j in self.jobs.items() if not _is_native(j)}
-        fresh = _native_answers(requests.where(~F.col("type_key").isin(*by_call)) if by_call else requests, self.cache)
+        native = requests.where(~F.col("type_key").isin(*by_call)) if by_call else requests
+        answers = _native_answers(native, self.cache).drop("is_fresh")
         for type_key, job in by_call.items():
             own = requests.where(F.col("type_key") == type_key)
-            fresh = fresh.unionByName(fresh_answers(self.docs, own, job, self.cache, self.doc_id, self.text))
+            answers = answers.unionByName(answered(self.docs, own, job, self.cache, self.doc_id, self.text)[0])
 
         in_parts = any(j.part_size for j in self.jobs.values())
         fields = list(dict.fromkeys(f for j in self.jobs.values() for f in j.wanted.fieldNames()))
-        answers = _raw_answers(requests, fresh, self.cache, fields if in_parts else None)
+        raw = _raw_answers(requests, answers, fields if in_parts else None)
         types = requests.groupBy("group_key").agg(F.min("type_key").alias("type_key"))
         record, errors = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
         for type_key, job in self.jobs.items():
             own, value = F.col("type_key") == type_key, relaxed(F.col("raw"), job.wanted)
             record = F.when(own, F.to_json(value)).otherwise(record)
             errors = F.when(own, strict_errors(F.col("raw"), value, job.wanted)).otherwise(errors)
-        read = answers.join(types, "group_key").select("group_key", "raw", "error", record.alias("record"), errors.alias("errors"))
+        read = raw.join(types, "group_key").select("group_key", "raw", "error", record.alias("record"), errors.alias("errors"))
         slim = self.scan.select(
             self.doc_id, "found.path", "type_key", F.get("parts", 0)["request_key"].alias("group_key"),
             F.col("found.error_message").alias("why"),
