@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -119,33 +120,64 @@ def write_index(lines: DataFrame, folder: str, target: str) -> None:
 # -- writing files --------------------------------------------------------------
 
 
+def _placer(root: str) -> Callable[[str, Callable[[Any, str], None]], None]:
+    """A function that fills ``root``/name through a part file, so that a file is whole or not there."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(_uri(root))
+    made: set[str] = set()
+
+    def place(name: str, fill: Callable[[Any, str], None]) -> None:
+        target = f"{base}/{name}"
+        folder = target.rsplit("/", 1)[0]
+        if folder not in made:
+            store.create_dir(folder, recursive=True)
+            made.add(folder)
+        fill(store, target + ".part")
+        store.move(target + ".part", target)
+
+    return place
+
+
+def _uri(path: str) -> str:
+    """Spark writes local paths as ``file:/x``, pyarrow wants ``file:///x``."""
+    return "file:///" + path[len("file:/"):].lstrip("/") if path.startswith("file:/") else path
+
+
 def write_files(manifest: DataFrame, root: str, path: str = "out_path", content: str = "content") -> None:
-    """One file per row, below ``root``. A retried task writes the same file again, whole or not at all."""
+    """One file per row, below ``root``. A retried task writes the same files again."""
 
     def write(rows: Iterator[Row]) -> None:
-        from pyarrow import fs
-
-        where = root if "://" in root or root.startswith("/") else root.replace("file:", "", 1)
-        store, base = fs.FileSystem.from_uri(where)
-        made: set[str] = set()
+        place = _placer(root)
         for row in rows:
-            target = f"{base}/{row[path]}"
-            folder = target.rsplit("/", 1)[0]
-            if folder not in made:
-                store.create_dir(folder, recursive=True)
-                made.add(folder)
             data = row[content]
-            with store.open_output_stream(target + ".part") as out:
-                out.write(data.encode() if isinstance(data, str) else bytes(data))
-            store.move(target + ".part", target)
+            data = data.encode() if isinstance(data, str) else bytes(data)
+
+            def fill(store: Any, target: str, data: bytes = data) -> None:
+                with store.open_output_stream(target) as out:
+                    out.write(data)
+
+            place(row[path], fill)
 
     manifest.select(path, content).foreachPartition(write)
 
 
-def copy_sources(manifest: DataFrame, scan: DataFrame, root: str) -> None:
-    """Copy the bytes of each source file to its document target; bytes are read where they are written."""
-    placed = scan.select("path", "content").join(manifest.select("path", "document_target"), "path")
-    write_files(placed, root, "document_target", "content")
+def copy_sources(manifest: DataFrame, root: str, source: str = "path", target: str = "document_target") -> None:
+    """Copy each source file to its target. Tasks stream from file to file, so bytes never pass through Spark."""
+
+    def copy(rows: Iterator[Row]) -> None:
+        from pyarrow import fs
+
+        place = _placer(root)
+        for row in rows:
+            origin, name = fs.FileSystem.from_uri(_uri(row[source]))
+
+            def fill(store: Any, part: str, origin: Any = origin, name: str = name) -> None:
+                fs.copy_files(name, part, source_filesystem=origin, destination_filesystem=store)
+
+            place(row[target], fill)
+
+    manifest.select(source, target).foreachPartition(copy)
 
 
 def write_table(enriched: DataFrame, target: str) -> None:

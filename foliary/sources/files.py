@@ -96,12 +96,11 @@ def read_text_table(spark: SparkSession, folder: str, schema: T.StructType | str
 
 
 def read_records(spark: SparkSession, folder: str, recurse: bool = False) -> DataFrame:
-    """(path, text) of a folder with one JSON object per file, ordered by path."""
+    """(path, text) of a folder with one JSON object per file. Sort slim results by path, not the texts."""
     return (
         spark.read.option("wholetext", True).option("pathGlobFilter", "*.json")
         .option("recursiveFileLookup", str(recurse).lower()).text(folder)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-        .orderBy("path")
     )
 
 

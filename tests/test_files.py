@@ -72,7 +72,7 @@ def test_package_copies_bytes(spark, folder, tmp_path):
     rows = scan.select("path")
     made = sinks.package_manifest(rows, F.array(F.lit("Agreement"), F.lit("Terms")), F.lit("doc"), ["path"])
     out = tmp_path / "out"
-    sinks.copy_sources(made, scan, str(out))
+    sinks.copy_sources(made, str(out))
     files = {p.name: p.read_bytes() for p in (out / "Agreements" / "Terms").iterdir()}
     assert sorted(files) == ["doc.pdf", "doc_1.pdf", "doc_2.pdf"] and b"deep" in files.values()
 
