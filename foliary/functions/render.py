@@ -13,6 +13,10 @@ STYLESHEET = "https://cdn.jsdelivr.net/npm/github-markdown-css@5.2.0/github-mark
 SOURCE_LABEL = "Source PDF"
 INDEX_TITLE = "Documents"
 NULL_TEXT, TRUE_TEXT, FALSE_TEXT = "None", "True", "False"
+HTML_OPEN = "<!doctype html><html><head><meta charset='utf-8'>"
+HTML_STYLE = f'<link rel="stylesheet" href="{STYLESHEET}">'
+HTML_BODY = '</title></head><body class="markdown-body">'
+HTML_CLOSE = "</body></html>"
 
 
 def label(name: str) -> str:
@@ -108,11 +112,8 @@ def markdown_document(record: Column, schema: T.StructType, title: Column, sourc
 
 
 def html_page(title: Column, body: Column) -> Column:
-    return F.concat(
-        F.lit("<!doctype html><html><head><meta charset='utf-8'>"),
-        F.lit(f'<link rel="stylesheet" href="{STYLESHEET}">'),
-        F.lit("<title>"), title, F.lit('</title></head><body class="markdown-body">'), body, F.lit("</body></html>"),
-    )
+    """A whole page; ``title`` and ``body`` are escaped already."""
+    return F.concat(F.lit(HTML_OPEN + HTML_STYLE + "<title>"), title, F.lit(HTML_BODY), body, F.lit(HTML_CLOSE))
 
 
 def html_document(record: Column, schema: T.StructType, title: Column, source: Column | None = None) -> Column:

@@ -163,9 +163,19 @@ def extract(
     docs: DataFrame, job: Job, *, doc_id: str = "doc_id", path: str = "path", text: str = "text",
     cache: DataFrame | None = None,
 ) -> Extraction:
-    """Requests, cached and fresh answers, parse, strict check, lineage. Errors are rows."""
-    cache = cache if cache is not None else empty_cache(docs.sparkSession)
+    """Requests, cached and fresh answers, parse, strict check, lineage. Errors are rows.
+
+    Without a cache, a provider that is a column expression needs no exchange at all:
+    the job is then one pass over the documents.
+    """
     typed = docs.withColumn("type_key", F.lit(job.type_key))
+    if cache is None and _is_native(job) and not job.part_size:
+        kept = [F.col(doc_id), F.col("type_key"), F.col(text).alias("text"), F.col(path).alias("path")]
+        asked = _with_requests(typed.select(*kept), {job.type_key: job})
+        rows = checked_answers(_own_answers(asked), job.wanted, keep=(doc_id, "path"))
+        return Extraction(_shaped(rows, job, doc_id), _own_answers(asked).where("group_key is not null").groupBy(
+            F.col("group_key").alias("request_key")).agg(F.min("response_json").alias("response_json"), F.min("error").alias("error")))
+    cache = cache if cache is not None else empty_cache(docs.sparkSession)
     scan = keyed_requests(typed, {job.type_key: job}, doc_id, text, F.col(path).alias("path"))
     requests = _exploded(scan, doc_id)
     answers, fresh = answered(docs, requests, job, cache, doc_id, text)
@@ -179,14 +189,27 @@ def _results(scan: DataFrame, requests: DataFrame, answers: DataFrame, job: Job,
     fields = job.wanted.fieldNames() if job.part_size else None
     checked = checked_answers(_raw_answers(requests, answers, fields), job.wanted)
     slim = scan.select(doc_id, "path", F.get("parts", 0)["request_key"].alias("group_key"))
-    return skew_join(slim, checked, ["group_key"], "left", spread=[doc_id]).select(
-        doc_id, "path", F.col("group_key").alias("request_key"),
-        F.coalesce("status", F.lit(NO_RESULT)).alias("status"),
+    return _shaped(skew_join(slim, checked, ["group_key"], "left", spread=[doc_id]), job, doc_id)
+
+
+def _shaped(rows: DataFrame, job: Job, doc_id: str) -> DataFrame:
+    return rows.select(
+        doc_id, "path", F.col("group_key").alias("request_key"), F.coalesce("status", F.lit(NO_RESULT)).alias("status"),
         F.lit(job.type_key).alias("type_key"), with_lineage("record", job, F.col("path")).alias("record"),
         "errors", "error_class", "error_message",
     )
 
 
+def _own_answers(asked: DataFrame) -> DataFrame:
+    """Each document with its own native answer: group_key, response_json, raw and error in place of parts."""
+    first = F.get("parts", 0)
+    read = asked.select(
+        *[c for c in asked.columns if c != "parts"], first["request_key"].alias("group_key"),
+        first["native_json"].alias("response_json"), no_error(),
+    )
+    return read.withColumn("raw", raw_fields(without_fence(F.col("response_json"))))
+
+
 def _raw_answers(requests: DataFrame, answers: DataFrame, merge_fields: Sequence[str] | None) -> DataFrame:
     """(group_key, raw, error): answers as maps, parts merged when there are any."""
     read = answers.withColumn("raw", raw_fields(without_fence(F.col("response_json"))))
@@ -196,21 +219,24 @@ def _raw_answers(requests: DataFrame, answers: DataFrame, merge_fields: Sequence
     return merged_parts(members.join(read, "request_key"), ["group_key"], merge_fields, carry="error")
 
 
-def checked_answers(answers: DataFrame, wanted: T.StructType) -> DataFrame:
+def checked_answers(answers: DataFrame, wanted: T.StructType, keep: Sequence[str] = ()) -> DataFrame:
     """(group_key, record, errors, status, error_class, error_message) of answers with a raw map."""
     read = answers.withColumn("record", relaxed(F.col("raw"), wanted))
-    return _with_status(read.withColumn("errors", strict_errors(F.col("raw"), F.col("record"), wanted)))
+    return _with_status(read.withColumn("errors", strict_errors(F.col("raw"), F.col("record"), wanted)), keep)
 
 
-def _with_status(read: DataFrame) -> DataFrame:
+def _with_status(read: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows without a request get no status and no errors."""
+    asked = F.col("group_key").isNotNull()
     called = F.col("error").isNotNull()
     wrong = F.size("errors") > 0
     return read.select(
-        "group_key", "record", "errors",
-        F.when(called | wrong, FAILED).otherwise(OK).alias("status"),
-        F.when(called, "ProviderError").when(F.col("raw").isNull(), "MalformedAnswer").when(wrong, "ValidationError")
-        .alias("error_class"),
-        F.when(called, F.col("error")).when(wrong, F.array_join("errors", "; ")).alias("error_message"),
+        *keep, "group_key", "record", F.when(asked, F.col("errors")).alias("errors"),
+        F.when(asked & (called | wrong), FAILED).when(asked, OK).alias("status"),
+        F.when(~asked, F.lit(None)).when(called, "ProviderError").when(F.col("raw").isNull(), "MalformedAnswer")
+        .when(wrong, "ValidationError").alias("error_class"),
+        F.when(~asked, F.lit(None)).when(called, F.col("error")).when(wrong, F.array_join("errors", "; "))
+        .alias("error_message"),
     )
 
 
@@ -229,7 +255,8 @@ def enrich_table(
 ) -> DataFrame:
     """The table with one text column per field of the type, named with ``prefix``.
 
-    Blank rows and rows with an error keep empty columns; rows are never lost.
+    Blank rows and rows with an error keep empty columns; rows are never lost. Without a
+    cache, a native provider fills the columns in one pass.
     """
     if column not in table.columns:
         raise ValueError(f"Column {column!r} not found in the table")
@@ -237,14 +264,17 @@ def enrich_table(
     taken = [prefix + f for f in fields if prefix + f in table.columns]
     if taken:
         raise ValueError(f"output columns already exist: {', '.join(taken)}")
-    done = extract(
-        table.withColumn("path", F.lit("")), job, doc_id=row_id, path="path", text=column, cache=cache
-    ).results
-    usable = F.col("status") == OK
-    cells = done.select(
-        row_id, *[F.when(usable, cell(F.col("record")[f], t)).otherwise(F.lit("")).alias(prefix + f) for f, t in fields.items()]
-    )
-    return table.join(cells, row_id, "left")
+    usable = F.coalesce(F.col("status") == OK, F.lit(False))
+    cells = [
+        F.when(usable, cell(F.col("record")[f], t)).otherwise(F.lit("")).alias(prefix + f) for f, t in fields.items()
+    ]
+    if cache is None and _is_native(job) and not job.part_size:
+        kept = [F.lit(job.type_key).alias("type_key"), F.col(column).alias("text"), F.struct("*").alias("row")]
+        asked = _with_requests(table.select(*kept), {job.type_key: job})
+        return checked_answers(_own_answers(asked), job.wanted, keep=("row",)).select("row.*", *cells)
+    slim = table.select(row_id, F.col(column), F.lit("").alias("path"))
+    done = extract(slim, job, doc_id=row_id, text=column, cache=cache).results
+    return table.join(done.select(row_id, *cells), row_id, "left")
 
 
 def table_job(type_key: str, record: T.StructType, provider: Provider, **options: object) -> Job:
@@ -258,7 +288,7 @@ class Dispatched:
     scan: DataFrame
     docs: DataFrame
     jobs: Mapping[str, Job]
-    cache: DataFrame
+    cache: DataFrame | None
     doc_id: str
     text: str
 
@@ -266,7 +296,7 @@ class Dispatched:
         """Results of one type, with its record as a typed struct."""
         own = self.scan.where(F.col("type_key") == type_key)
         requests, job = _exploded(own, self.doc_id), self.jobs[type_key]
-        answers, _ = answered(self.docs, requests, job, self.cache, self.doc_id, self.text)
+        answers, _ = answered(self.docs, requests, job, self._cache(), self.doc_id, self.text)
         return _results(own.select(self.doc_id, "found.path", "parts"), requests, answers, job, self.doc_id)
 
     def results(self) -> DataFrame:
@@ -275,35 +305,48 @@ class Dispatched:
         A document whose classification failed is a failure; one whose type nobody gave
         a job for has no result.
         """
-        requests = _exploded(self.scan, self.doc_id)
+        keep = (self.doc_id, "path", "type_key", "why")
+        files = self.scan.select(
+            self.doc_id, "found.path", "type_key", F.col("found.error_message").alias("why"), "parts"
+        )
+        in_parts = any(j.part_size for j in self.jobs.values())
         by_call = {k: j for k, j in self.jobs.items() if not _is_native(j)}
+        if self.cache is None and not in_parts and not by_call:
+            rows = _with_status(self._read(_own_answers(files)), keep)
+        else:
+            slim = files.select(*keep, F.get("parts", 0)["request_key"].alias("group_key"))
+            checked = _with_status(self._read(self._distinct_answers(by_call, in_parts)))
+            rows = skew_join(slim, checked, ["group_key"], "left", spread=[self.doc_id])
+        return rows.select(
+            self.doc_id, "path", "type_key",
+            F.coalesce("status", F.when(F.col("type_key").isNull(), FAILED).otherwise(NO_RESULT)).alias("status"),
+            F.col("record").alias("record_json"), "errors", "error_class",
+            F.coalesce("error_message", "why").alias("error_message"),
+        )
+
+    def _distinct_answers(self, by_call: Mapping[str, Job], in_parts: bool) -> DataFrame:
+        """(group_key, type_key, raw, error) once per distinct request."""
+        requests = _exploded(self.scan, self.doc_id)
         native = requests.where(~F.col("type_key").isin(*by_call)) if by_call else requests
-        answers = _native_answers(native, self.cache).drop("is_fresh")
+        answers = _native_answers(native, self._cache()).drop("is_fresh")
         for type_key, job in by_call.items():
             own = requests.where(F.col("type_key") == type_key)
-            answers = answers.unionByName(answered(self.docs, own, job, self.cache, self.doc_id, self.text)[0])
-
-        in_parts = any(j.part_size for j in self.jobs.values())
+            answers = answers.unionByName(answered(self.docs, own, job, self._cache(), self.doc_id, self.text)[0])
         fields = list(dict.fromkeys(f for j in self.jobs.values() for f in j.wanted.fieldNames()))
-        raw = _raw_answers(requests, answers, fields if in_parts else None)
         types = requests.groupBy("group_key").agg(F.min("type_key").alias("type_key"))
+        return _raw_answers(requests, answers, fields if in_parts else None).join(types, "group_key")
+
+    def _read(self, answers: DataFrame) -> DataFrame:
+        """Record as JSON text and errors, each answer by the rules of its type."""
         record, errors = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
         for type_key, job in self.jobs.items():
             own, value = F.col("type_key") == type_key, relaxed(F.col("raw"), job.wanted)
             record = F.when(own, F.to_json(value)).otherwise(record)
             errors = F.when(own, strict_errors(F.col("raw"), value, job.wanted)).otherwise(errors)
-        read = raw.join(types, "group_key").select("group_key", "raw", "error", record.alias("record"), errors.alias("errors"))
-        slim = self.scan.select(
-            self.doc_id, "found.path", "type_key", F.get("parts", 0)["request_key"].alias("group_key"),
-            F.col("found.error_message").alias("why"),
-        )
-        joined = skew_join(slim, _with_status(read), ["group_key"], "left", spread=[self.doc_id])
-        return joined.select(
-            self.doc_id, "path", "type_key",
-            F.coalesce("status", F.when(F.col("type_key").isNull(), FAILED).otherwise(NO_RESULT)).alias("status"),
-            F.col("record").alias("record_json"), "errors", "error_class",
-            F.coalesce("error_message", "why").alias("error_message"),
-        )
+        return answers.withColumns({"record": record, "errors": errors})
+
+    def _cache(self) -> DataFrame:
+        return empty_cache(self.docs.sparkSession) if self.cache is None else self.cache
 
 
 def dispatch(
@@ -315,7 +358,6 @@ def dispatch(
     Classification, keys and native answers come out of one scan of the texts; all
     else works on the slim table written by that scan.
     """
-    cache = cache if cache is not None else empty_cache(classified_docs.sparkSession)
     found = F.struct(F.col(path).alias("path"), "error_message").alias("found")
     scan = keyed_requests(classified_docs, jobs, doc_id, text, found)
     return Dispatched(scan, classified_docs, jobs, cache, doc_id, text)

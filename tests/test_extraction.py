@@ -68,6 +68,13 @@ def test_parts_give_the_same_records(spark, docs, size):
     assert sorted(whole.collect()) == sorted(split.collect())
 
 
+def test_with_and_without_a_cache_agree(spark, docs):
+    job = Job("t", T.StructType([field("email", required=True), field("license")]), RuleProvider())
+    narrow, general = extract(docs, job), extract(docs, job, cache=empty_cache(spark))
+    assert sorted(map(repr, narrow.results.collect())) == sorted(map(repr, general.results.collect()))
+    assert sorted(narrow.fresh.collect()) == sorted(general.fresh.collect())
+
+
 def test_number_of_part_calls():
     shape = T.StructType([field(f"f{i}") for i in range(78)])
     assert len(parts(shape, 2)) == 39
@@ -164,6 +171,8 @@ def test_enriched_table(spark, docs):
     job = table_job("t", FACTS, RuleProvider())
     rows = {r.id: r for r in enrich_table(table, "id", "note", job, "x_").collect()}
     assert len(rows) == 6 and rows[1].x_email == "ann@x.example" and rows[4].x_email == "" and rows[5].x_email == ""
+    again = enrich_table(table, "id", "note", job, "x_", cache=empty_cache(spark)).select(*rows[1].__fields__)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, rows.values()))
     with pytest.raises(ValueError, match="not found"):
         enrich_table(table, "id", "missing", job)
 

@@ -27,10 +27,15 @@ def docs(spark):
 
 
 def test_text_is_not_read_after_the_scan(docs):
-    results = extract(docs, Job("t", T.StructType([field("email")]), RuleProvider())).results
+    results = extract(docs, Job("t", T.StructType([field("email")]), RuleProvider()), cache=empty_cache(docs.sparkSession)).results
     assert "text:string" not in plan(results) and "documents.parquet" not in plan(results)
 
 
+def test_native_answers_without_a_cache_are_one_pass(docs):
+    results = extract(docs, Job("t", T.StructType([field("email")]), RuleProvider())).results
+    assert "Exchange" not in plan(results) and "Join" not in plan(results)
+
+
 def test_no_python_and_no_cross_join_in_native_jobs(spark, docs):
     frames = [
         extract(docs, Job("t", T.StructType([field("email")]), RuleProvider())).results,
