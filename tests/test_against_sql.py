@@ -8,9 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from foliary.checks import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 
 
@@ -33,6 +33,8 @@ def rows_of(columns, rows):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
