@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliary.llm.chat import TURNS_PER_BLOCK, format_chats
 from foliary.llm.exact import exact_groups
 from foliary.llm.shards import shuffled_shards
 from foliary.llm.shared import LOWER, UPPER
@@ -44,3 +45,26 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_sharding")
 def sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shuffled_shards(table(spark, folder, "documents")).drop("place")
+
+
+@query(
+    "op6_chat_format",
+    f"""
+    WITH t AS (SELECT conv_id, turn, role, md5(coalesce(text, chr(0) || 'null')) AS digest, any_value(text) AS text
+               FROM conversations GROUP BY ALL),
+    p AS (SELECT *, row_number() OVER w - 1 AS position, list(struct_pack(r := role, d := digest)) OVER w AS prefix,
+                 count(*) OVER (PARTITION BY conv_id) AS n_turns
+          FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, digest
+                              ROWS UNBOUNDED PRECEDING)),
+    whole AS (SELECT prefix, n_turns, min(conv_id) AS conv_id, count(*) AS copies FROM p WHERE position = n_turns - 1
+              GROUP BY prefix, n_turns),
+    kept AS (SELECT conv_id, copies FROM whole
+             WHERE NOT EXISTS (FROM p WHERE p.prefix = whole.prefix AND p.position < p.n_turns - 1))
+    SELECT p.conv_id, position // {TURNS_PER_BLOCK} AS part, p.n_turns, k.copies,
+           string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10), ''
+                      ORDER BY position) AS text
+    FROM p JOIN kept k ON p.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY ALL
+    """,
+)
+def chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return format_chats(table(spark, folder, "conversations"))
