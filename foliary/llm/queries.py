@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliary.llm.chat import TURNS_PER_BLOCK, format_chats
 from foliary.llm.exact import exact_groups
+from foliary.llm.language import fit, held_out, identify
 from foliary.llm.shards import shuffled_shards
 from foliary.llm.shared import LOWER, UPPER
 
@@ -29,6 +31,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    found = identify(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query(
     "op4_exact_dedup",
     f"""
