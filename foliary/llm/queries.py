@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.llm.chat import TURNS_PER_BLOCK, format_chats
+from foliary.llm.decontaminate import contamination
 from foliary.llm.exact import exact_groups
 from foliary.llm.language import fit, held_out, identify
 from foliary.llm.shards import shuffled_shards
@@ -52,6 +53,11 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op8_decontamination")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op9_sharding")
 def sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shuffled_shards(table(spark, folder, "documents")).drop("place")
