@@ -11,6 +11,7 @@ from foliary.llm.chat import TURNS_PER_BLOCK, format_chats
 from foliary.llm.decontaminate import contamination
 from foliary.llm.exact import exact_groups
 from foliary.llm.language import fit, held_out, identify
+from foliary.llm.score import score
 from foliary.llm.shards import shuffled_shards
 from foliary.llm.shared import LOWER, UPPER
 
@@ -53,6 +54,13 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op7_lm_score")
+def lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return score(table(spark, folder, "documents")).select(
+        "doc_id", (~F.col("teaches")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query("op8_decontamination")
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
