@@ -14,6 +14,7 @@ from foliary.llm.language import fit, held_out, identify
 from foliary.llm.score import score
 from foliary.llm.shards import shuffled_shards
 from foliary.llm.shared import LOWER, UPPER
+from foliary.llm.substrings import without_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,6 +42,12 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query("op3_substring_dedup")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = without_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(
     "op4_exact_dedup",
     f"""

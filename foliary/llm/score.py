@@ -53,9 +53,9 @@ class Block:
         self.pairs, self.pair = np.unique(pairs, return_inverse=True)
 
 
-def score_parts(docs: DataFrame) -> DataFrame:
+def score_parts(docs: DataFrame, block_bytes: int) -> DataFrame:
     """Per document what its score is made of, and rows of corpus counts (kind ``words`` and ``states``)."""
-    count, bits = B.sizes(docs)
+    count, bits = B.sizes(docs, block_bytes=block_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
     every = B.in_blocks(docs, count).withColumn("teaches", learned())
 
@@ -171,7 +171,7 @@ def score_parts(docs: DataFrame) -> DataFrame:
     )
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, *, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """doc_id, teaches, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     Tokens are the words with A-Z lower-cased, then one end; a null text has the end alone. The base is the word count
@@ -185,7 +185,7 @@ def score(docs: DataFrame) -> DataFrame:
     Nothing of the model is broadcast: blocks of documents ask shards of words and pairs, and get back only their own part
     of the automaton. Texts are shuffled once.
     """
-    parts = staged(score_parts(docs), "lm-parts")
+    parts = staged(score_parts(docs, block_bytes), "lm-parts")
     sums = parts.groupBy("kind").agg(
         F.sum("n_known").alias("known"), F.sum(F.when(F.col("teaches"), F.col("n_tokens"))).alias("tokens"),
     )
