@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliary.llm.chat import TURNS_PER_BLOCK, format_chats
 from foliary.llm.decontaminate import contamination
 from foliary.llm.exact import exact_groups
+from foliary.llm.jaccard import similar_groups
 from foliary.llm.language import fit, held_out, identify
 from foliary.llm.score import score
 from foliary.llm.shards import shuffled_shards
@@ -78,6 +79,11 @@ def sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shuffled_shards(table(spark, folder, "documents")).drop("place")
 
 
+@query("op5_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_groups(table(spark, folder, "documents"))
+
+
 @query(
     "op6_chat_format",
     f"""
