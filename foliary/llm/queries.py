@@ -12,6 +12,7 @@ from foliary.llm.decontaminate import contamination
 from foliary.llm.exact import exact_groups
 from foliary.llm.jaccard import similar_groups
 from foliary.llm.language import fit, held_out, identify
+from foliary.llm.packing import pack
 from foliary.llm.score import score
 from foliary.llm.shards import shuffled_shards
 from foliary.llm.shared import LOWER, UPPER
@@ -105,3 +106,8 @@ def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 )
 def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return format_chats(table(spark, folder, "conversations"))
+
+
+@query("op10_packing")
+def packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"))
