@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from foliary.llm.chat import TURNS_PER_BLOCK, format_chats
 from foliary.llm.decontaminate import contamination
 from foliary.llm.exact import exact_groups
+from foliary.llm.html import fit as fit_pages
+from foliary.llm.html import main_text
 from foliary.llm.jaccard import similar_groups
 from foliary.llm.language import fit, held_out, identify
 from foliary.llm.packing import pack
@@ -44,6 +46,12 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query("op2_html_text")
+def html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return main_text(pages, fit_pages(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op3_substring_dedup")
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = without_repeats(table(spark, folder, "documents"))
