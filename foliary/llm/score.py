@@ -54,7 +54,7 @@ class Block:
 
 
 def score_parts(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Per document what its score is made of, and rows of corpus counts (kind ``words`` and ``states``)."""
+    """Per document what its score is made of (kind ``text``), and corpus counts, a row per block (kind ``corpus``)."""
     count, bits = B.sizes(docs, block_bytes=block_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
     every = B.in_blocks(docs, count).withColumn("teaches", learned())
@@ -101,12 +101,11 @@ def score_parts(docs: DataFrame, block_bytes: int) -> DataFrame:
         )
         known = int(((total > 0) & (distinct != BEGIN)).sum())
         shard = rows[0]["shard"]
+        # The number of distinct words of the shard goes to one of its blocks.
         out = [
-            {"block": r["block"], "shard": shard, "words": B.packed(w), "pairs": B.packed(p), "known": None}
-            for r, w, p in zip(rows, words, pairs, strict=True)
+            {"block": r["block"], "shard": shard, "words": B.packed(w), "pairs": B.packed(p), "known": 0 if i else known}
+            for i, (r, w, p) in enumerate(zip(rows, words, pairs, strict=True))
         ]
-        # The number of distinct words of the shard, spread over negative block numbers.
-        out.append({"block": -1 - shard, "shard": shard, "words": b"", "pairs": b"", "known": known})
         return pa.Table.from_pylist(out, pa.schema([
             ("block", pa.int32()), ("shard", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary()), ("known", pa.int64()),
         ]))
@@ -120,8 +119,7 @@ def score_parts(docs: DataFrame, block_bytes: int) -> DataFrame:
     def walked(table: pa.Table, answers: pa.Table) -> pa.Table:
         replies = sorted(B.rows_of(answers), key=lambda r: r["shard"])
         if not table.num_rows:
-            known = sum(r["known"] or 0 for r in replies)
-            return pa.Table.from_pylist([{"kind": "words", "n_known": known}], out_schema)
+            return out_schema.empty_table()
         block = Block(table)
         words = np.concatenate([np.frombuffer(r["words"], np.int64) for r in replies])
         pairs = np.concatenate([np.frombuffer(r["pairs"], np.int64) for r in replies])
@@ -154,7 +152,10 @@ def score_parts(docs: DataFrame, block_bytes: int) -> DataFrame:
             ],
             schema=out_schema,
         )
-        states = pa.Table.from_pylist([{"kind": "states", "arcs": used.tolist(), "fails": once.tolist()}], out_schema)
+        known = sum(r["known"] for r in replies)
+        states = pa.Table.from_pylist(
+            [{"kind": "corpus", "n_known": known, "arcs": used.tolist(), "fails": once.tolist()}], out_schema
+        )
         return pa.concat_tables([per_doc, states])
 
     replies = B.per_group(
@@ -191,8 +192,8 @@ def score(docs: DataFrame, *, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     )
     found = {r["kind"]: r for r in sums.collect()}
     tokens = (found["text"]["tokens"] or 0) if "text" in found else 0
-    distinct = (found["words"]["known"] or 0) if "words" in found else 0
-    levels = parts.where("kind = 'states'").select(F.posexplode(F.arrays_zip("arcs", "fails"))).groupBy("pos").agg(
+    distinct = (found["corpus"]["known"] or 0) if "corpus" in found else 0
+    levels = parts.where("kind = 'corpus'").select(F.posexplode(F.arrays_zip("arcs", "fails"))).groupBy("pos").agg(
         F.sum("col.arcs").alias("used"), F.sum("col.fails").alias("once")
     ).collect()
     fail = np.full(CLASSES, 0.5)
