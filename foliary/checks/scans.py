@@ -27,23 +27,22 @@ ORDER_RECORD = T.StructType([
 
 @check(
     "src_01_directory_scan",
-    """SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, true AS found_only_by_recursion
-       FROM documents GROUP BY source""",
+    """SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, false AS at_top
+       FROM documents WHERE doc_id % 3 <> 0 GROUP BY source
+       UNION ALL SELECT 'top', CAST(sum(strlen(text) + 1) AS BIGINT), true FROM documents WHERE doc_id % 3 = 0""",
 )
 def directory_scan(spark: SparkSession, sf: str) -> DataFrame:
-    folder = new_folder(spark, "crawl")
-    table(spark, sf, "documents").select("source", "text").write.partitionBy("source").text(folder)
-    by_source = F.regexp_extract("path", r"/source=([^/]+)/", 1)
+    folder = new_folder(spark, "crawl") + "/top folder"
+    rows = table(spark, sf, "documents").select("doc_id", "source", "text")
+    rows.where("doc_id % 3 = 0").select("text").write.text(folder)
+    rows.where("doc_id % 3 <> 0").select("source", "text").write.mode("append").partitionBy("source").text(folder)
+    by_source = F.coalesce(F.nullif(F.regexp_extract("path", r"/source=([^/]+)/", 1), F.lit("")), F.lit("top"))
     deep = sources.scan_documents(spark, folder, recurse=True).groupBy(by_source.alias("source")).agg(
         F.sum("length").alias("bytes")
     )
-    flat = F.regexp_extract("path", r"/source=([^/]+)/[^/]*/", 1)
-    nested = (
-        sources.scan_documents(spark, folder, recurse=True).select(flat.alias("sub")).where("sub <> ''").distinct()
-    )
-    return deep.join(nested, deep.source == nested["sub"], "left").select(
-        "source", "bytes", F.col("sub").isNull().alias("found_only_by_recursion")
-    )
+    flat = sources.scan_documents(spark, folder).groupBy(by_source.alias("found")).agg(F.sum("length").alias("top_bytes"))
+    same = (deep["source"] == flat["found"]) & (deep["bytes"] == flat["top_bytes"])
+    return deep.join(flat, same, "left").select("source", "bytes", F.col("found").isNotNull().alias("at_top"))
 
 
 @check(
@@ -102,12 +101,13 @@ def record_directory(spark: SparkSession, sf: str) -> DataFrame:
 @check(
     "src_06_content_typing",
     """SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'document' ELSE 'text' END AS part_type,
-              md5(CASE WHEN doc_id % 6 = 0 THEN base64(encode('%PDF' || text)) ELSE replace(text, chr(65533), '') END)
+              md5(CASE WHEN doc_id % 6 = 0 THEN base64(encode('%PDF' || text || chr(65533)))
+                       ELSE text || chr(65533) END)
               AS part_hash
        FROM documents""",
 )
 def content_typing(spark: SparkSession, sf: str) -> DataFrame:
-    body = F.col("text").cast("binary")
+    body = F.concat("text", F.lit("\ufffd")).cast("binary")
     content = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("%PDF").cast("binary"), body)).when(
         F.col("doc_id") % 6 == 1, F.concat(F.unhex(F.lit("FF")), body, F.unhex(F.lit("C3")))
     ).otherwise(body)
@@ -118,7 +118,7 @@ def content_typing(spark: SparkSession, sf: str) -> DataFrame:
 @check(
     "src_07_content_memo",
     """SELECT doc_id, sha256(text) AS digest, min(doc_id) OVER (PARTITION BY text) AS uploaded_as,
-              count(*) OVER (PARTITION BY text) AS copies, 'file-' || substr(sha256(text), 1, 24) AS file_ref
+              count(*) OVER (PARTITION BY text) AS copies, 'file-' || sha256(text) AS file_ref
        FROM documents""",
 )
 def content_memo(spark: SparkSession, sf: str) -> DataFrame:
@@ -280,18 +280,25 @@ def provider_routing(spark: SparkSession, sf: str) -> DataFrame:
 
 @check(
     "prj_09_message_lists",
-    """WITH k AS (SELECT *, CASE WHEN conv_id % 4 = 0 AND turn % 3 = 1 THEN 'document' ELSE 'string' END AS kind
-                  FROM conversations),
+    """WITH k AS (SELECT conv_id, turn, text,
+                         CASE WHEN conv_id % 4 = 0 AND turn % 3 = 1 THEN 'document' ELSE 'string' END AS kind
+                  FROM conversations
+                  UNION ALL SELECT -1 - user_id % 7, event_id, props, 'string' FROM events),
             m AS (SELECT *, bool_or(kind <> 'string') OVER (PARTITION BY conv_id) AS mixed FROM k)
        SELECT conv_id, turn AS seq, CASE WHEN kind = 'document' THEN 'document' ELSE 'text' END AS type, text
        FROM m WHERE mixed
        UNION ALL
-       SELECT conv_id, turn // 200 AS seq, 'text', string_agg(text, chr(10) ORDER BY turn) FROM m
-       WHERE NOT mixed GROUP BY conv_id, turn // 200""",
+       SELECT conv_id, 0 AS seq, 'text', string_agg(text, chr(10) ORDER BY turn) FROM m
+       WHERE NOT mixed GROUP BY conv_id""",
 )
 def message_lists(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when((F.col("conv_id") % 4 == 0) & (F.col("turn") % 3 == 1), "document").otherwise("string")
-    rows = table(spark, sf, "conversations").withColumn("kind", kind)
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "text", kind.alias("kind"))
+    lists = table(spark, sf, "events").select(
+        (-1 - F.col("user_id") % 7).alias("conv_id"), F.col("event_id").alias("turn"), F.col("props").alias("text"),
+        F.lit("string").alias("kind"),
+    )
+    rows = rows.unionByName(lists)
     return requests.normalised_messages(rows, "conv_id", "turn", "kind", "text")
 
 

@@ -131,12 +131,19 @@ def is_pdf(content: Column) -> Column:
     return F.substring(content, 1, 4) == F.lit("%PDF").cast("binary")
 
 
+# Characters that no text may hold, so they can stand for another one for a while.
+_ASIDE = "\ufffe\ufdd0\ufffe"
+
+
 def decoded(content: Column) -> Column:
-    """Bytes as UTF-8 text with undecodable bytes left out.
+    """Bytes as UTF-8 text with undecodable bytes left out; replacement characters of the text itself stay.
 
-    Replacement characters are removed after decoding, so a genuine U+FFFD goes too.
+    Those are put aside while the undecodable bytes become such characters and go.
     """
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+    text = content.cast("string")
+    aside = F.replace(text, F.lit("\ufffd"), F.lit(_ASIDE))
+    mended = F.replace(F.replace(F.make_valid_utf8(aside), F.lit("\ufffd"), F.lit("")), F.lit(_ASIDE), F.lit("\ufffd"))
+    return F.when(F.is_valid_utf8(text), text).otherwise(mended)
 
 
 # -- audit text -------------------------------------------------------------

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from foliary.functions.text import join_path
 from foliary.session import staged
 
-MAX_TYPES = 1000
+# A registry of more bytes than this is joined without a broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -70,9 +71,7 @@ def resolved(choice: Column, candidates: Column) -> Column:
 
 
 def resolve_names(rows: DataFrame, name: str, tree: Sequence[TypeNode], out: str = "type_key") -> DataFrame:
-    """The same against the whole registry, as two broadcast joins to a dimension of fixed size."""
-    if len(tree) > MAX_TYPES:
-        raise ValueError(f"a registry holds at most {MAX_TYPES} types")
+    """The same against the whole registry, as two joins; broadcast while the registry is small in bytes."""
     exact = {n.key: n.key for n in tree}
     loose: dict[str, str] = {}
     for n in tree:
@@ -81,9 +80,11 @@ def resolve_names(rows: DataFrame, name: str, tree: Sequence[TypeNode], out: str
     spark = rows.sparkSession
     by_key = spark.createDataFrame(list(exact.items()), "__n string, __exact string")
     by_lower = spark.createDataFrame(list(loose.items()), "__l string, __loose string")
+    if sum(len(n.key.encode()) for n in tree) * 4 <= BROADCAST_BYTES:
+        by_key, by_lower = F.broadcast(by_key), F.broadcast(by_lower)
     return (
-        rows.join(F.broadcast(by_key), F.col(name) == F.col("__n"), "left")
-        .join(F.broadcast(by_lower), F.lower(name) == F.col("__l"), "left")
+        rows.join(by_key, F.col(name) == F.col("__n"), "left")
+        .join(by_lower, F.lower(name) == F.col("__l"), "left")
         .withColumn(out, F.coalesce("__exact", "__loose"))
         .drop("__n", "__exact", "__l", "__loose")
     )
@@ -132,8 +133,6 @@ def _with(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _offers(tree: Sequence[TypeNode], roots_only: bool) -> tuple[Column, Column]:
     """(candidates of the first phase, candidates by parent) as constants."""
-    if len(tree) > MAX_TYPES:
-        raise ValueError(f"a registry holds at most {MAX_TYPES} types")
     numbered = list(enumerate(tree))
     by_parent: list[Column] = []
     for parent in dict.fromkeys(n.parent for n in tree if n.parent is not None):

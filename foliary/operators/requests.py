@@ -21,7 +21,6 @@ DEFAULT_MAX_TOKENS = 2048
 TABLE_MAX_TOKENS = 2000
 
 PART = "struct<type:string,text:string>"
-TURNS_PER_SEGMENT = 200
 
 
 def instruction(record: T.StructType) -> str:
@@ -96,15 +95,11 @@ def part_requests(docs: DataFrame, n_parts: int) -> DataFrame:
     return docs.withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(n_parts))))
 
 
-def normalised_messages(
-    items: DataFrame, owner: str, position: str, kind: str, text: str, per_segment: int = TURNS_PER_SEGMENT
-) -> DataFrame:
+def normalised_messages(items: DataFrame, owner: str, position: str, kind: str, text: str) -> DataFrame:
     """Message lists as typed parts: (owner, seq, type, text).
 
-    A list of plain strings becomes newline-joined text; a list with any other kind
-    keeps its items apart. Long lists are joined in segments of ``per_segment``
-    positions (joined by newline they give the whole text), so that one huge list
-    never meets in one task. ``position`` counts from 0 and is unique per owner.
+    A list of plain strings becomes one part of newline-joined text, of any length: it is the text of one request.
+    A list with any other kind keeps its items apart. Items at the same position stand in the order of their texts.
     """
     mixed = (
         items.groupBy(owner)
@@ -113,8 +108,8 @@ def normalised_messages(
         .select(owner, "mixed")
     )
     marked = skew_join(items, mixed, [owner], "left", spread=[owner, position])
-    # Segments of strings and single items share one grouping: an item alone is its own segment.
-    segment = F.when(F.col("mixed"), F.col(position)).otherwise(F.floor(F.col(position) / per_segment))
+    # Whole lists and single items share one grouping: an item alone is its own part.
+    segment = F.when(F.col("mixed"), F.col(position)).otherwise(0)
     part_type = F.when(F.col("mixed") & (F.col(kind) != "string"), F.col(kind)).otherwise("text")
     return (
         marked.select(owner, segment.cast("long").alias("seq"), part_type.alias("type"),
@@ -134,7 +129,7 @@ def uploads(files: DataFrame, file_id: str, content: str) -> DataFrame:
     hashed = staged(files.select(file_id, F.sha2(content, 256).alias("digest")), "digests")
     first = hashed.groupBy("digest").agg(F.min(file_id).alias("uploaded_as"), F.count(F.lit(1)).alias("copies"))
     return skew_join(hashed, first, ["digest"], "left", spread=[file_id]).withColumn(
-        "file_ref", F.concat(F.lit("file-"), F.substring("digest", 1, 24))
+        "file_ref", F.concat(F.lit("file-"), "digest")
     )
 
 

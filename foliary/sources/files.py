@@ -22,16 +22,24 @@ _WINDOWS_CHARS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š
 
 
 def scan_documents(spark: SparkSession, folder: str, recurse: bool = False) -> DataFrame:
-    """(path, modificationTime, length, content) of supported files.
+    """(path, modificationTime, length, content) of supported files, without ``recurse`` only those right in the folder.
 
-    Columns that are not used later, above all ``content``, are never read.
+    Columns that are not used later, above all ``content``, are never read. Sub-folders are always listed, since a flat
+    listing takes names like ``k=v`` for partitions and leaves files out.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", str(recurse).lower()).load(folder)
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    if not recurse:
+        files = files.where(F.size(F.split("path", "/")) == depth_of(spark, folder) + 1)
     return files.where(has_supported_suffix(F.col("path")))
 
 
+def depth_of(spark: SparkSession, folder: str) -> int:
+    """Number of steps in the full path of a folder, as its file system names it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return len(system.makeQualified(path).toString().split("/"))
+
+
 def read_documents(spark: SparkSession, folder: str, recurse: bool = False) -> DataFrame:
     """(doc_id, path, text) of supported files: UTF-8 text with undecodable bytes left out, a PDF as base64."""
     part = content_part(F.col("content"))
@@ -50,18 +58,13 @@ def with_relative_path(files: DataFrame, root: str) -> DataFrame:
     return files.withColumn("relative_path", relative_to(F.col("path"), root))
 
 
-def files_by_encoding(spark: SparkSession, folder: str) -> tuple[list[str], list[str]]:
-    """(UTF-8 files, other files), told apart line by line in splittable tasks.
-
-    Only file names reach the driver, which lists the files anyway.
-    """
-    found = (
+def files_by_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, utf8) of every file, told apart line by line in splittable tasks."""
+    return (
         spark.read.text(folder)
         .groupBy(F.col("_metadata.file_path").alias("file"))
         .agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
-        .collect()
     )
-    return sorted(r.file for r in found if r.utf8), sorted(r.file for r in found if not r.utf8)
 
 
 def from_windows_1252(c: Column) -> Column:
@@ -70,29 +73,41 @@ def from_windows_1252(c: Column) -> Column:
 
 
 def read_text_table(spark: SparkSession, folder: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV files with header: UTF-8, and windows-1252 for each file where that fails."""
-    plain, legacy = files_by_encoding(spark, folder)
-
-    def read(files: list[str], encoding: str) -> DataFrame:
-        reader = (
-            spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-            .option("encoding", encoding).option("lineSep", "\n")
-        )
-        return (reader.schema(schema) if schema is not None else reader).csv(files)
-
-    tables = []
-    if plain:
-        tables.append(read(plain, "utf-8"))
-    if legacy:
-        old = read(legacy, "iso-8859-1")
-        text = [f.name for f in old.schema.fields if isinstance(f.dataType, T.StringType)]
-        tables.append(old.withColumns({name: from_windows_1252(F.col(name)) for name in text}))
-    if not tables:
-        raise ValueError(f"no table files in {folder}")
-    table = tables[0]
-    for other in tables[1:]:
-        table = table.unionByName(other, allowMissingColumns=True)
-    return table
+    """CSV files with header: UTF-8, and windows-1252 for each file where that fails.
+
+    All files are read once, byte by byte; their encoding is looked up by file and applied to the columns.
+    """
+    reader = (
+        spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+        .option("encoding", "iso-8859-1").option("lineSep", "\n")
+    )
+    read = (reader.schema(schema) if schema is not None else reader).csv(folder)
+    kinds = files_by_encoding(spark, folder)
+    known = read.select("*", F.col("_metadata.file_path").alias("__file")).join(
+        kinds.select(F.col("file").alias("__file"), "utf8"), "__file", "left"
+    )
+
+    def text(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        return F.when(F.col("utf8"), F.decode(F.encode(c, "iso-8859-1"), "utf-8")).otherwise(from_windows_1252(c))
+
+    return known.select(*[
+        (text(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")).alias(utf8_name(f.name))
+        for f in read.schema.fields
+    ])
+
+
+def utf8_name(name: str) -> str:
+    """A column name from a header that was read byte by byte."""
+    try:
+        return name.encode("iso-8859-1").decode("utf-8").removeprefix("\ufeff")
+    except UnicodeError:
+        return name
+
+
+def plain_path(encoded: Column) -> Column:
+    """A path as it is named, from the encoded form of file metadata (where a plus sign stands for itself)."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
 
 
 def read_records(spark: SparkSession, folder: str, recurse: bool = False) -> DataFrame:
@@ -100,7 +115,7 @@ def read_records(spark: SparkSession, folder: str, recurse: bool = False) -> Dat
     return (
         spark.read.option("wholetext", True).option("pathGlobFilter", "*.json")
         .option("recursiveFileLookup", str(recurse).lower()).text(folder)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        .select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
     )
 
 

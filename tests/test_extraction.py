@@ -186,9 +186,8 @@ def test_routing_and_extra(spark):
     assert [r[0] for r in sizes] == [2, 1, 1]
 
 
-def test_long_message_lists_come_in_segments(spark):
+def test_long_message_lists_are_one_part(spark):
     rows = spark.range(0, 1000).select(F.lit(1).alias("c"), F.col("id").alias("turn"), F.lit("string").alias("kind"), F.col("id").cast("string").alias("text"))
-    out = normalised_messages(rows, "c", "turn", "kind", "text", per_segment=64).orderBy("seq").collect()
-    assert len(out) == 16
-    assert "\n".join(r.text for r in out) == "\n".join(map(str, range(1000)))
+    out = normalised_messages(rows, "c", "turn", "kind", "text").collect()
+    assert [(r.seq, r.text) for r in out] == [(0, "\n".join(map(str, range(1000))))]
     assert part_requests(rows.select("turn"), 3).count() == 3000

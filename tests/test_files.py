@@ -33,6 +33,39 @@ def test_scan(spark, folder):
     assert names(sources.scan_documents(spark, str(folder), recurse=True)) == ["x.PDF", "y.txt", "z.md"]
 
 
+def test_flat_scan_beside_folders_that_look_like_partitions(spark, tmp_path):
+    (tmp_path / "k=v" / "w").mkdir(parents=True)
+    (tmp_path / "a b.txt").write_text("top")
+    (tmp_path / "k=v" / "b.txt").write_text("deep")
+    (tmp_path / "k=v" / "w" / "c.txt").write_text("deeper")
+    assert names(sources.scan_documents(spark, str(tmp_path))) == ["a b.txt"]
+    assert names(sources.scan_documents(spark, str(tmp_path), recurse=True)) == ["a b.txt", "b.txt", "c.txt"]
+
+
+def test_odd_file_names(spark, tmp_path):
+    for name in ("a b.csv", "c[1].csv", "d%20e.csv", "ü+.csv"):
+        (tmp_path / name).write_text(f"id,nöte\n1,é {name[0]}\n", encoding="utf-8")
+    (tmp_path / "old.csv").write_bytes("id,nöte\n2,“é”\n".encode("cp1252"))
+    rows = sources.read_text_table(spark, str(tmp_path), "id int, note string")
+    assert sorted(r.note for r in rows.collect()) == ["é a", "é c", "é d", "é ü", "“é”"]
+    for name in ("x y.json", "p%20q+[1].json", "ß.json"):
+        (tmp_path / name).write_text("{}")
+    assert names(sources.read_records(spark, str(tmp_path))) == ["p%20q+[1].json", "x y.json", "ß.json"]
+
+
+def test_replacement_characters_and_fractions_stay(spark):
+    from foliary.functions.encode import cell
+    from foliary.functions.text import decoded
+
+    rows = spark.createDataFrame([(b"a\xef\xbf\xbdb",), (b"\xffa\xef\xbf\xbdb\xc3",), (b"plain",), (b"\xe2\x82",)], "c binary")
+    assert [r[0] for r in rows.select(decoded(F.col("c"))).collect()] == ["a\ufffdb", "a\ufffdb", "plain", ""]
+    shape = T.StructType.fromDDL("t timestamp, n struct<at: timestamp_ntz, days: array<date>>")
+    one = spark.sql("SELECT timestamp'2024-01-02 10:00:00.123456' t, named_struct('at', timestamp_ntz'2024-01-02 10:00:00', 'days', array(date'2024-01-03')) n")
+    text = one.select(tagged_json(F.lit("k"), F.struct("t", "n"), shape)).first()[0]
+    assert json.loads(text) == {"record_type": "k", "t": "2024-01-02T10:00:00.123456", "n": {"at": "2024-01-02T10:00:00", "days": ["2024-01-03"]}}
+    assert spark.sql("SELECT 12345678.5D d").select(cell(F.col("d"), T.DoubleType())).first()[0] == "12345678.5"
+
+
 def test_scan_without_content_reads_none(spark, folder):
     plan = sources.scan_or_failure(spark, str(folder))._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[1].split("\n")[0]
