@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliary.llm.shared import ascii_lower, key_filter, may_contain
+from foliary.llm.shared import ascii_lower
+from foliary.operators.keyfilter import key_filter, may_contain
 from foliary.session import staged
 
 PREFIX_CHARS = 256
