@@ -1,7 +1,8 @@
 """The answer table: keyed lookups, misses, union and append.
 
 Rows are (request_key, response_json, created_at), partitioned by the first two hex
-digits of the key so that a lookup of few keys reads few folders.
+digits of the key so that a lookup of few keys reads few folders. Runs that overlap may
+append one key twice; every lookup takes the newest row of a key, so results never multiply.
 """
 
 from __future__ import annotations
@@ -28,21 +29,38 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(path)
 
 
+def latest(cache: DataFrame) -> DataFrame:
+    """(request_key, response_json), one row per key: the newest, of equally new ones the largest answer."""
+    age = [F.col("created_at")] if "created_at" in cache.columns else []
+    newest = F.max_by("response_json", F.struct(*age, "response_json"))
+    return cache.groupBy("request_key").agg(newest.alias("response_json"))
+
+
+def narrowed(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    """The folders of the cache that can hold any of the keys; at most 256 prefixes are looked up first."""
+    if "prefix" not in cache.columns:
+        return cache
+    prefix = F.substring("request_key", 1, PREFIX_LENGTH).alias("prefix")
+    found = sorted(r["prefix"] for r in keys.select(prefix).distinct().collect() if r["prefix"] is not None)
+    return cache.where(F.col("prefix").isin(found)) if found else cache.where(F.lit(False))
+
+
 def hits(requests: DataFrame, cache: DataFrame, spread: list[str]) -> DataFrame:
     """Every request with its cached answer, or null."""
-    known = cache.select("request_key", "response_json")
+    known = latest(narrowed(cache, requests))
     return skew_join(requests, known, ["request_key"], "left", spread=spread)
 
 
 def misses(requests: DataFrame, cache: DataFrame, representative: str) -> DataFrame:
     """Each unanswered key once, with the smallest ``representative`` that asks for it."""
     asked = requests.groupBy("request_key").agg(F.min(representative).alias(representative))
-    return asked.join(cache.select("request_key"), "request_key", "left_anti")
+    return asked.join(narrowed(cache, requests).select("request_key"), "request_key", "left_anti")
 
 
 def asked_of(cache: DataFrame, requests: DataFrame) -> DataFrame:
-    """The cached answers that any of the requests asks for, once each."""
-    return cache.join(requests.select("request_key").distinct(), "request_key", "left_semi")
+    """(request_key, response_json) of the cached answers that any of the requests asks for, once each."""
+    keys = requests.select("request_key").distinct()
+    return latest(narrowed(cache, keys).join(keys, "request_key", "left_semi"))
 
 
 def all_answers(cached: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -55,7 +73,7 @@ def new_entries(fresh: DataFrame, existing: DataFrame, created_at: str) -> DataF
         fresh.where("response_json is not null")
         .groupBy("request_key")
         .agg(F.min("response_json").alias("response_json"))
-        .join(existing.select("request_key"), "request_key", "left_anti")
+        .join(narrowed(existing, fresh).select("request_key"), "request_key", "left_anti")
         .select(
             "request_key",
             "response_json",

@@ -50,17 +50,23 @@ class RuleProvider:
 
 @dataclass(frozen=True)
 class CallProvider:
-    """Calls ``connect()`` once per task and the returned function once per request text.
+    """Calls ``connect()`` once per task and the returned function once per request.
 
-    At most ``concurrency`` tasks call at the same time. A failing call is an error
-    row; it never fails the job. The extraction job writes the answers down once per
-    wave, so with many requests ``waves`` bounds what a lost executor can cost.
+    The function gets the text of the request, or with ``send="request"`` all of it as a mapping: provider, model, system,
+    max_tokens, temperature and parts (each with type and text, where a PDF is a ``document`` in base64). At most
+    ``concurrency`` tasks call at the same time and a task makes about ``calls_per_task`` calls: what is more waits for
+    the next wave. A failing call is an error row; it never fails the job. The extraction job writes the answers down
+    once per wave, so a lost executor costs no more than the calls of one.
     """
 
-    connect: Callable[[], Callable[[str], str]]
+    connect: Callable[[], Callable[..., str]]
     concurrency: int = 32
     waves: int = 1
     send: str = "request_text"
+    calls_per_task: int = 1000
+
+    def waves_for(self, requests: int) -> int:
+        return max(self.waves, 1, -(-requests // (self.concurrency * self.calls_per_task)))
 
     def native(self, text: Column, fields: Sequence[str]) -> None:
         return None
@@ -72,9 +78,9 @@ class CallProvider:
             ask = connect()
             for batch in batches:
                 rows = []
-                for key, text in zip(batch["request_key"], batch[send]):
+                for key, sent in zip(batch["request_key"], batch[send]):
                     try:
-                        rows.append((key, ask(text), None))
+                        rows.append((key, ask(sent), None))
                     except Exception as exc:  # noqa: BLE001 - reported as a row
                         rows.append((key, None, f"{type(exc).__name__}: {exc}"))
                 yield pd.DataFrame(rows, columns=["request_key", "response_json", "error"])

@@ -63,6 +63,11 @@ def routed(provider: Column) -> tuple[Column, Column]:
     return route, F.when(route.isNull(), error)
 
 
+def unknown_provider(name: str) -> str | None:
+    """The error of a job whose provider is not known."""
+    return None if name.lower() in PROVIDERS else f"Unknown provider '{name.lower()}'"
+
+
 def with_option_defaults(requests: DataFrame) -> DataFrame:
     """Fill provider, model, small_model, temperature and max_tokens of each request row."""
     provider = F.lower(F.coalesce("provider", F.lit("anthropic")))

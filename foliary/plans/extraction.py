@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +17,11 @@ from foliary.functions.encode import cell
 from foliary.functions.text import is_blank
 from foliary.operators.assemble import merged_parts
 from foliary.operators.cache import asked_of, empty_cache, misses
-from foliary.operators.requests import DEFAULT_MAX_TOKENS, TABLE_MAX_TOKENS, instruction, request_key, request_text
+from foliary.operators.keyfilter import key_filter, may_contain
+from foliary.operators.requests import (
+    DEFAULT_MAX_TOKENS, TABLE_MAX_TOKENS, instruction, request_key, request_text, routed, text_part, unknown_provider,
+    with_extra, with_option_defaults,
+)
 from foliary.operators.skew import skew_join
 from foliary.operators.summary import FAILED, NO_RESULT, OK
 from foliary.session import staged
@@ -47,6 +51,7 @@ class Job:
     system: str = SYSTEM
     extra: str | None = None
     max_tokens: int = DEFAULT_MAX_TOKENS
+    temperature: float | None = None
     analyzed_at: str | None = None
     part_size: int | None = None
     wanted: T.StructType = field(init=False)
@@ -65,9 +70,13 @@ class Extraction:
     fresh: DataFrame
 
 
-def _asked_parts(job: Job, text: Column) -> Column:
-    """array<struct<part,request_key,native_json>> of a job: the text enters a key as its hash."""
+def _asked_parts(job: Job, text: Column, kind: Column) -> Column:
+    """array<struct<part,request_key,native_json,error>> of a job: the text enters a key as its hash.
+
+    A provider that is a column expression reads text only, so of a document in base64 it knows nothing.
+    """
     content = F.sha2(text, 256)
+    error = unknown_provider(job.provider_name)
     parts = []
     for number, part in enumerate(job.part_schemas, 1):
         asked = F.concat_ws("\n", F.lit(instruction(part)), content, F.lit(job.extra))
@@ -75,9 +84,12 @@ def _asked_parts(job: Job, text: Column) -> Column:
             F.lit(job.provider_name), F.lit(job.model), F.lit(job.system), asked, F.lit(job.max_tokens),
             F.lit(job.type_key),
         )
-        native = job.provider.native(text, part.fieldNames())
+        native = None if error else job.provider.native(F.when(kind == "text", text).otherwise(""), part.fieldNames())
         native = F.lit(None).cast("string") if native is None else native
-        parts.append(F.struct(F.lit(number).alias("part"), key.alias("request_key"), native.alias("native_json")))
+        parts.append(F.struct(
+            F.lit(number).alias("part"), key.alias("request_key"), native.alias("native_json"),
+            F.lit(error).cast("string").alias("error"),
+        ))
     return F.array(*parts)
 
 
@@ -88,36 +100,44 @@ def keyed_requests(docs: DataFrame, jobs: Mapping[str, Job], doc_id: str, text:
     expression answers in the same scan. Written before parts are exploded, because a
     filter that the explode brings along would work out every answer twice.
     """
-    typed = docs.select(doc_id, "type_key", F.col(text).alias("text"), *keep)
+    typed = docs.select(doc_id, "type_key", F.col(text).alias("text"), kind_of(docs).alias("__kind"), *keep)
     return staged(_with_requests(typed, jobs), "requests")
 
 
+def kind_of(docs: DataFrame) -> Column:
+    """Whether a row is text or a document in base64, as ``read_documents`` says in the column ``kind``; text without one."""
+    return F.coalesce("kind", F.lit("text")) if "kind" in docs.columns else F.lit("text")
+
+
 def _with_requests(docs: DataFrame, jobs: Mapping[str, Job]) -> DataFrame:
-    """The given columns, with ``parts`` in place of ``text``; null for a blank text or a type without job."""
+    """The given columns, with ``parts`` in place of text and kind; null for a blank text or a type without job."""
     asked = None
     for type_key, job in jobs.items():
         own = F.col("type_key") == type_key
-        parts = _asked_parts(job, F.col("text"))
+        parts = _asked_parts(job, F.col("text"), F.col("__kind"))
         asked = F.when(own, parts) if asked is None else asked.when(own, parts)
     has_text = F.col("text").isNotNull() & ~is_blank(F.col("text"))
-    return docs.withColumn("parts", F.when(has_text, asked)).drop("text")
+    return docs.withColumn("parts", F.when(has_text, asked)).drop("text", "__kind")
 
 
 def _exploded(keyed: DataFrame, doc_id: str) -> DataFrame:
-    """(doc_id, type_key, group_key, part, request_key, native_json); the first part's key stands for the document."""
+    """(doc_id, type_key, group_key, part, request_key, native_json, error); the first part's key stands for the document."""
     return keyed.select(
         doc_id, "type_key", F.get("parts", 0)["request_key"].alias("group_key"), F.explode("parts").alias("r")
     ).select(doc_id, "type_key", "group_key", "r.*")
 
 
 def answered(
-    docs: DataFrame, requests: DataFrame, job: Job, cache: DataFrame, doc_id: str, text: str
+    docs: DataFrame, requests: DataFrame, jobs: Mapping[str, Job], cache: DataFrame, doc_id: str, text: str
 ) -> tuple[DataFrame, DataFrame]:
-    """((request_key, response_json, error) of all asked keys once each, those of them the cache lacked)."""
-    if _is_native(job):
+    """((request_key, response_json, error) of all asked keys once each, those of them the cache lacked).
+
+    The jobs are either all native or all called; ``docs`` have the type_key of their job.
+    """
+    if all(_is_native(job) for job in jobs.values()):
         rows = _native_answers(requests, cache)
         return rows.drop("is_fresh"), rows.where("is_fresh").drop("is_fresh")
-    fresh = _called_answers(docs, requests, job, cache, doc_id, text)
+    fresh = _called_answers(docs, requests, jobs, cache, doc_id, text)
     known = asked_of(cache, requests).select("request_key", "response_json", no_error())
     return known.unionByName(fresh), fresh
 
@@ -127,31 +147,76 @@ def _is_native(job: Job) -> bool:
 
 
 def _native_answers(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """The cached answer, else the one from the scan: one pass over the cache."""
-    asked = requests.groupBy("request_key").agg(F.min("native_json").alias("native_json"))
-    known = cache.select("request_key", F.col("response_json").alias("cached_json"))
+    """The cached answer, else the one from the scan."""
+    asked = requests.groupBy("request_key").agg(F.min("native_json").alias("native_json"), F.min("error").alias("error"))
+    known = asked_of(cache, requests).select("request_key", F.col("response_json").alias("cached_json"))
     return asked.join(known, "request_key", "left").select(
-        "request_key", F.coalesce("cached_json", "native_json").alias("response_json"), no_error(),
-        F.col("cached_json").isNull().alias("is_fresh"),
+        "request_key", F.coalesce("cached_json", "native_json").alias("response_json"),
+        F.when(F.col("cached_json").isNull(), F.col("error")).alias("error"), F.col("cached_json").isNull().alias("is_fresh"),
     )
 
 
-def _called_answers(
-    docs: DataFrame, requests: DataFrame, job: Job, cache: DataFrame, doc_id: str, text: str
+def missing_requests(
+    docs: DataFrame, missing: DataFrame, jobs: Mapping[str, Job], doc_id: str, text: str
 ) -> DataFrame:
-    """Calls the provider for each missing key once, with the text of one document that needs it."""
-    todo = misses(requests.withColumn("ask", F.struct(doc_id, "part")), cache, "ask")
-    asked = todo.select("request_key", F.col(f"ask.{doc_id}").alias(doc_id), F.col("ask.part").alias("part"))
+    """(request_key, type_key, part, kind, text) of the missing keys, once each, from the one document that stands for each.
+
+    The keys are worked out again in the scan. A bit table of the missing (key, document) pairs lets only their texts into
+    the exchange: cached and repeated texts stay where they are.
+    """
+    typed = docs.select(doc_id, "type_key", F.col(text).alias("text"), kind_of(docs).alias("__kind"))
+    kept = typed.select("*", F.col("text").alias("body"), F.col("__kind").alias("kind"))
+    asked = _with_requests(kept, jobs).select(doc_id, "type_key", "body", "kind", F.explode("parts").alias("r"))
+    rows = asked.select(doc_id, "type_key", "kind", F.col("body").alias("text"), F.col("r.part"), F.col("r.request_key"))
+    bits = key_filter(missing.select("request_key", doc_id))
+    chosen = may_contain(rows, bits, [F.col("request_key"), F.col(doc_id)], "__asked").where("__asked")
+    return (
+        chosen.join(missing.select("request_key"), "request_key", "left_semi")
+        .groupBy("request_key").agg(F.min(F.struct("type_key", "part", "kind", "text")).alias("r"))
+        .select("request_key", "r.*")
+    )
+
+
+def as_sent(rows: DataFrame, type_key: str, job: Job) -> DataFrame:
+    """The rows of ``missing_requests`` of one type with the request, as a text and as a struct with all options."""
     prompts = F.array(*[F.lit(instruction(part)) for part in job.part_schemas])
-    body = request_text(prompts[F.col("part") - 1], F.concat_ws("\n", F.col("text"), F.lit(job.extra)))
-    texts = docs.select(doc_id, F.col(text).alias("text"))
-    # Answers are written down wave by wave: what is written is never asked again.
-    waves = max(getattr(job.provider, "waves", 1), 1)
-    asked = staged(asked, "asked") if waves > 1 else asked
+    prompt = prompts[F.col("part") - 1]
+    own = rows.where(F.col("type_key") == type_key)
+    body = request_text(prompt, F.concat_ws("\n", F.col("text"), F.lit(job.extra)))
+    parts = F.array(text_part(prompt), F.struct(F.col("kind").alias("type"), F.col("text")))
+    options = with_option_defaults(own.withColumns({
+        "provider": F.lit(job.provider_name), "model": F.lit(job.model).cast("string"), "small_model": F.lit(None).cast("string"),
+        "temperature": F.lit(job.temperature).cast("double"), "max_tokens": F.lit(job.max_tokens),
+        "parts": with_extra(parts, F.lit(job.extra).cast("string")), "system": F.lit(job.system), "request_text": body,
+    }))
+    route, error = routed(F.col("provider"))
+    request = F.struct(route.alias("provider"), "model", "system", "max_tokens", "temperature", "parts")
+    return options.select("request_key", "part", "text", "request_text", request.alias("request"), error.alias("route_error"))
+
+
+def _called_answers(
+    docs: DataFrame, requests: DataFrame, jobs: Mapping[str, Job], cache: DataFrame, doc_id: str, text: str
+) -> DataFrame:
+    """Calls the providers for each missing key once. All types and waves read one written table of the missing texts."""
+    todo = misses(requests.withColumn("ask", F.struct(doc_id)), cache, "ask")
+    missing = staged(todo.select("request_key", F.col(f"ask.{doc_id}").alias(doc_id)), "missing")
+    count = missing.count()
+    waves = max([getattr(job.provider, "waves_for", lambda n: 1)(count) for job in jobs.values()])
+    texts = staged(
+        missing_requests(docs, missing, jobs, doc_id, text)
+        .withColumn("wave", F.pmod(F.xxhash64("request_key"), F.lit(waves)).cast("int")),
+        "asked", "wave",
+    )
     answers = []
-    for wave in range(waves):
-        turn = asked.where(F.pmod(F.xxhash64("request_key"), F.lit(waves)) == wave)
-        answers.append(staged(job.provider.answer(texts.join(turn, doc_id).withColumn("request_text", body)), "answers"))
+    for type_key, job in jobs.items():
+        for wave in range(waves):
+            sent = as_sent(texts.where(F.col("wave") == wave), type_key, job)
+            refused = sent.where("route_error is not null").select(
+                "request_key", F.lit(None).cast("string").alias("response_json"), F.col("route_error").alias("error")
+            )
+            given = job.provider.answer(sent.where("route_error is null"))
+            # Answers are written down wave by wave: what is written is never asked again.
+            answers.append(staged(given.unionByName(refused), "answers"))
     return reduce(DataFrame.unionByName, answers)
 
 
@@ -169,16 +234,18 @@ def extract(
     the job is then one pass over the documents.
     """
     typed = docs.withColumn("type_key", F.lit(job.type_key))
+    jobs = {job.type_key: job}
     if cache is None and _is_native(job) and not job.part_size:
-        kept = [F.col(doc_id), F.col("type_key"), F.col(text).alias("text"), F.col(path).alias("path")]
-        asked = _with_requests(typed.select(*kept), {job.type_key: job})
+        kept = [F.col(doc_id), F.col("type_key"), F.col(text).alias("text"), F.col(path).alias("path"),
+                kind_of(docs).alias("__kind")]
+        asked = _with_requests(typed.select(*kept), jobs)
         rows = checked_answers(_own_answers(asked), job.wanted, keep=(doc_id, "path"))
         return Extraction(_shaped(rows, job, doc_id), _own_answers(asked).where("group_key is not null").groupBy(
             F.col("group_key").alias("request_key")).agg(F.min("response_json").alias("response_json"), F.min("error").alias("error")))
     cache = cache if cache is not None else empty_cache(docs.sparkSession)
-    scan = keyed_requests(typed, {job.type_key: job}, doc_id, text, F.col(path).alias("path"))
+    scan = keyed_requests(typed, jobs, doc_id, text, F.col(path).alias("path"))
     requests = _exploded(scan, doc_id)
-    answers, fresh = answered(docs, requests, job, cache, doc_id, text)
+    answers, fresh = answered(typed, requests, jobs, cache, doc_id, text)
     return Extraction(_results(scan, requests, answers, job, doc_id), fresh)
 
 
@@ -205,7 +272,7 @@ def _own_answers(asked: DataFrame) -> DataFrame:
     first = F.get("parts", 0)
     read = asked.select(
         *[c for c in asked.columns if c != "parts"], first["request_key"].alias("group_key"),
-        first["native_json"].alias("response_json"), no_error(),
+        first["native_json"].alias("response_json"), first["error"].alias("error"),
     )
     return read.withColumn("raw", raw_fields(without_fence(F.col("response_json"))))
 
@@ -269,12 +336,20 @@ def enrich_table(
         F.when(usable, cell(F.col("record")[f], t)).otherwise(F.lit("")).alias(prefix + f) for f, t in fields.items()
     ]
     if cache is None and _is_native(job) and not job.part_size:
-        kept = [F.lit(job.type_key).alias("type_key"), F.col(column).alias("text"), F.struct("*").alias("row")]
+        kept = [F.lit(job.type_key).alias("type_key"), F.col(column).alias("text"), F.lit("text").alias("__kind"),
+                F.struct("*").alias("row")]
         asked = _with_requests(table.select(*kept), {job.type_key: job})
         return checked_answers(_own_answers(asked), job.wanted, keep=("row",)).select("row.*", *cells)
-    slim = table.select(row_id, F.col(column), F.lit("").alias("path"))
-    done = extract(slim, job, doc_id=row_id, text=column, cache=cache).results
-    return table.join(done.select(row_id, *cells), row_id, "left")
+    # Answers are joined by content, not by an id of the caller, which may repeat or be null.
+    content = F.sha2(F.col(column), 256)
+    slim = table.select(content.alias("__content"), F.col(column).alias("text"), F.lit("").alias("path"))
+    done = extract(slim, job, doc_id="__content", cache=cache).results.select("__content", F.struct(*cells).alias("cells"))
+    once = done.where("__content is not null").groupBy("__content").agg(F.first("cells").alias("cells"))
+    found = skew_join(table.withColumn("__content", content), once, ["__content"], "left", spread=table.columns)
+    return found.select(
+        *[F.col(f"`{c}`") for c in table.columns],
+        *[F.coalesce(F.col("cells")[prefix + f], F.lit("")).alias(prefix + f) for f in fields],
+    )
 
 
 def table_job(type_key: str, record: T.StructType, provider: Provider, **options: object) -> Job:
@@ -292,11 +367,21 @@ class Dispatched:
     doc_id: str
     text: str
 
+    @cached_property
+    def called_answers(self) -> DataFrame:
+        """Answers of all called types, asked and written down once however often results are taken."""
+        jobs = {k: j for k, j in self.jobs.items() if not _is_native(j)}
+        requests = _exploded(self.scan.where(F.col("type_key").isin(*jobs)), self.doc_id)
+        return answered(self.docs, requests, jobs, self._cache(), self.doc_id, self.text)[0]
+
     def typed(self, type_key: str) -> DataFrame:
         """Results of one type, with its record as a typed struct."""
         own = self.scan.where(F.col("type_key") == type_key)
         requests, job = _exploded(own, self.doc_id), self.jobs[type_key]
-        answers, _ = answered(self.docs, requests, job, self._cache(), self.doc_id, self.text)
+        if _is_native(job):
+            answers = _native_answers(requests, self._cache()).drop("is_fresh")
+        else:
+            answers = self.called_answers.join(requests.select("request_key").distinct(), "request_key", "left_semi")
         return _results(own.select(self.doc_id, "found.path", "parts"), requests, answers, job, self.doc_id)
 
     def results(self) -> DataFrame:
@@ -329,9 +414,8 @@ class Dispatched:
         requests = _exploded(self.scan, self.doc_id)
         native = requests.where(~F.col("type_key").isin(*by_call)) if by_call else requests
         answers = _native_answers(native, self._cache()).drop("is_fresh")
-        for type_key, job in by_call.items():
-            own = requests.where(F.col("type_key") == type_key)
-            answers = answers.unionByName(answered(self.docs, own, job, self._cache(), self.doc_id, self.text)[0])
+        if by_call:
+            answers = answers.unionByName(self.called_answers)
         fields = list(dict.fromkeys(f for j in self.jobs.values() for f in j.wanted.fieldNames()))
         types = requests.groupBy("group_key").agg(F.min("type_key").alias("type_key"))
         return _raw_answers(requests, answers, fields if in_parts else None).join(types, "group_key")

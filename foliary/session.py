@@ -46,12 +46,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/foliary/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and return the written table.
+def staged(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write ``df`` once into the shared folder, in a folder per value of ``by``, and return the written table.
 
     Cuts the lineage so that a lost executor costs one re-read, and pins values
     that must not change between two uses (slice numbers, provider answers).
     """
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -41,10 +41,10 @@ def depth_of(spark: SparkSession, folder: str) -> int:
 
 
 def read_documents(spark: SparkSession, folder: str, recurse: bool = False) -> DataFrame:
-    """(doc_id, path, text) of supported files: UTF-8 text with undecodable bytes left out, a PDF as base64."""
+    """(doc_id, path, text, kind) of supported files: UTF-8 text with undecodable bytes left out, a PDF as base64."""
     part = content_part(F.col("content"))
     return scan_documents(spark, folder, recurse).select(
-        F.md5("path").alias("doc_id"), "path", part["text"].alias("text")
+        F.md5("path").alias("doc_id"), "path", part["text"].alias("text"), part["type"].alias("kind")
     )
 
 

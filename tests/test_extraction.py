@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliary.catalog import AGREEMENT, EMPLOYMENT_AGREEMENT, LICENSE_AGREEMENT
-from foliary.operators.cache import append, empty_cache, new_entries, read_cache
+from foliary.operators.cache import append, asked_of, empty_cache, misses, new_entries, read_cache
 from foliary.operators.providers import CallProvider, RuleProvider
 from foliary.operators.requests import normalised_messages, part_requests, routed, with_extra
 from foliary.operators.summary import failure_summary, run_summary
+from foliary.plans import extraction
 from foliary.plans.extraction import Job, dispatch, enrich_table, extract, table_job
 from foliary.schema import field, parts
-from foliary.session import new_folder
+from foliary.session import new_folder, staged
 from foliary.sources.files import read_documents
 
 FACTS = T.StructType([field(n) for n in ("email", "phone", "ip_address", "license")])
@@ -191,3 +192,100 @@ def test_long_message_lists_are_one_part(spark):
     out = normalised_messages(rows, "c", "turn", "kind", "text").collect()
     assert [(r.seq, r.text) for r in out] == [(0, "\n".join(map(str, range(1000))))]
     assert part_requests(rows.select("turn"), 3).count() == 3000
+
+
+def test_repeated_cache_rows_do_not_multiply_results(spark, docs, tmp_path):
+    job = Job("t", FACTS, RuleProvider())
+    fresh = extract(docs, job, cache=empty_cache(spark)).fresh
+    folder = new_folder(spark, "cache")
+    for day in ("2024-01-01", "2024-01-02"):
+        append(new_entries(fresh, empty_cache(spark), f"{day} 00:00:00"), folder)
+    done = extract(docs, job, cache=read_cache(spark, folder))
+    assert sorted(map(repr, done.results.collect())) == sorted(map(repr, extract(docs, job).results.collect()))
+    assert done.fresh.count() == 0
+
+
+def test_lookup_reads_only_the_folders_of_its_keys(spark, docs):
+    folder = new_folder(spark, "cache")
+    rows = spark.range(2000).select(F.md5(F.col("id").cast("string")).alias("request_key"), F.lit("{}").alias("response_json"))
+    append(new_entries(rows, empty_cache(spark), "2024-01-01 00:00:00"), folder)
+    found = asked_of(read_cache(spark, folder), rows.limit(3))
+    assert found.count() == 3
+    filters = found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "prefix" in filters
+
+
+def test_table_rows_with_repeated_and_null_ids(spark):
+    rows = [("r", "x a@b.co"), ("r", "y"), (None, "z c@d.co"), (None, None), ("r", "x a@b.co")]
+    table = spark.createDataFrame(rows, "id string, note string")
+    job = table_job("t", T.StructType([field("email")]), RuleProvider())
+    plain = sorted(map(repr, enrich_table(table, "id", "note", job).collect()))
+    assert len(plain) == 5
+    assert plain == sorted(map(repr, enrich_table(table, "id", "note", job, cache=empty_cache(spark)).collect()))
+
+
+def whole_request(folder):
+    def connect():
+        import json
+        import uuid
+
+        def ask(request):
+            sent = {k: request[k] for k in ("provider", "model", "system", "max_tokens", "temperature")}
+            sent["parts"] = [(p["type"], p["text"]) for p in request["parts"]]
+            Path(folder, uuid.uuid4().hex).write_text(json.dumps(sent))
+            return '{"email": "e"}'
+
+        return ask
+
+    return CallProvider(connect, concurrency=2, send="request", calls_per_task=1)
+
+
+def test_a_called_provider_gets_the_whole_request(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("plain")
+    (tmp_path / "in" / "b.pdf").write_bytes(b"%PDF-1 x@y.example")
+    docs = read_documents(spark, str(tmp_path / "in"))
+    job = Job("t", FACTS, whole_request(str(tmp_path / "out")), provider_name="OpenAI", model="o3", extra="Be brief.", max_tokens=99)
+    assert extract(docs, job).results.where("status = 'ok'").count() == 2
+    sent = [json.loads(p.read_text()) for p in (tmp_path / "out").iterdir()]
+    assert len(sent) == 2
+    for s in sent:
+        assert (s["provider"], s["model"], s["max_tokens"], s["temperature"]) == ("openai", "o3", 99, 1.0)
+        assert s["parts"][2] == ["text", "Be brief."] and s["parts"][0][0] == "text"
+    assert {s["parts"][1][0] for s in sent} == {"text", "document"}
+    native = {r.path.rsplit("/", 1)[-1]: r for r in extract(docs, Job("t", FACTS, RuleProvider())).results.collect()}
+    assert native["b.pdf"].record.email is None
+    for provider in (RuleProvider(), job.provider):
+        bad = extract(docs, Job("t", FACTS, provider, provider_name="Nobody")).results.collect()
+        assert {(r.status, r.error_class, r.error_message) for r in bad} == {("failed", "ProviderError", "Unknown provider 'nobody'")}
+    assert len(list((tmp_path / "out").iterdir())) == 2
+
+
+def test_only_missing_texts_enter_an_exchange(spark):
+    docs = spark.range(400).select(
+        "id", F.lit("t").alias("type_key"), F.concat(F.lit("text "), (F.col("id") % 100).cast("string")).alias("text")
+    )
+    jobs = {"t": Job("t", FACTS, CallProvider(lambda: lambda text: "{}"))}
+    requests = extraction._exploded(extraction.keyed_requests(docs, jobs, "id", "text"), "id")
+    missing = misses(requests.withColumn("ask", F.struct("id")), empty_cache(spark), "ask").where("ask.id < 10").select(
+        "request_key", "ask.id"
+    )
+    frame = extraction.missing_requests(docs, staged(missing, "m"), jobs, "id", "text")
+    assert frame.count() == 10
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    # The flag is tested below every exchange that carries a text.
+    for piece in final.split("Exchange hashpartitioning")[1:]:
+        if "body" in piece.split("Scan")[0] or " text#" in piece.split("\n")[1]:
+            assert "__bits" in piece
+
+
+def test_called_types_are_asked_once(spark, docs, tmp_path):
+    typed = docs.withColumns({"type_key": F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"), "error_message": F.lit(None).cast("string")})
+    provider = counting_provider(str(tmp_path))
+    done = dispatch(typed, {"a": Job("a", FACTS, provider), "b": Job("b", FACTS, provider)})
+    assert done.results().where("status = 'ok'").count() == 4
+    assert done.typed("a").where("record.email = 'e'").count() == 2
+    assert len(list(tmp_path.iterdir())) == 3
