@@ -111,7 +111,7 @@ ORDER_ANSWER = T.StructType([
     "fn_06_strict_validation",
     """SELECT o_orderkey, concat_ws('; ',
          CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status: enum' END,
-         CASE o_orderkey % 4 WHEN 0 THEN 'priority: missing' WHEN 1 THEN 'priority: null' END,
+         CASE o_orderkey % 4 WHEN 0 THEN 'priority: missing' WHEN 1 THEN 'priority: null' WHEN 2 THEN 'priority: type' END,
          CASE WHEN o_orderkey % 5 = 0 THEN 'customer: type' END,
          CASE WHEN o_orderkey % 3 = 0 THEN 'ordered: type' END) AS errors FROM orders""",
 )
@@ -119,17 +119,17 @@ def strict_validation(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("o_orderkey")
     text = F.concat(
         F.lit('{"status": "'), "o_orderstatus", F.lit('", '),
-        F.when(key % 4 == 0, "").when(key % 4 == 1, '"priority": " ", ').otherwise('"priority": "high", '),
+        F.when(key % 4 == 0, "").when(key % 4 == 1, '"priority": " ", ')
+        .when(key % 8 == 2, '"priority": 5, ').when(key % 8 == 6, '"priority": {"a": ["b"]}, ').otherwise('"priority": "high", '),
         F.lit('"customer": '), F.when(key % 5 == 0, '"many"').otherwise(F.col("o_custkey").cast("string")),
         F.lit(', "ordered": "'),
         F.when(key % 3 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")),
         F.lit('", "extra": {"x": 1}}'),
     )
-    rows = table(spark, sf, "orders").select("o_orderkey", A.raw_fields(text).alias("raw"))
+    rows = table(spark, sf, "orders").select("o_orderkey", text.alias("answer"), A.raw_fields(text).alias("raw"))
     rows = rows.withColumn("r", A.relaxed(F.col("raw"), ORDER_ANSWER))
-    return rows.select(
-        "o_orderkey", F.array_join(A.strict_errors(F.col("raw"), F.col("r"), ORDER_ANSWER), "; ").alias("errors")
-    )
+    errors = A.strict_errors(F.col("raw"), F.col("r"), ORDER_ANSWER, F.col("answer"))
+    return rows.select("o_orderkey", F.array_join(errors, "; ").alias("errors"))
 
 
 @check(

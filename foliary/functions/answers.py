@@ -108,16 +108,64 @@ def field_problem(raw: Column, value: Column, f: T.StructField) -> Column:
     blank = given.isNull() | is_blank(given)
     allowed = enum_of(f)
     # A value that was read is not missing, blank or of the wrong type, so nothing else is worked out for it.
-    right = F.lit(None).cast("string") if allowed is None else F.when(~value.isin(*allowed), F.lit("enum"))
+    right = F.lit(None).cast("string") if allowed is None else F.when(_outside(value, f.dataType, allowed), F.lit("enum"))
     problem = F.when(value.isNotNull(), right)
     if is_required(f) and default_of(f) is None:
         problem = problem.when(~F.map_contains_key(raw, f.name), F.lit("missing")).when(blank, F.lit("null"))
     return problem.when(~blank, F.lit("type"))
 
 
-def strict_errors(raw: Column, record: Column, schema: T.StructType) -> Column:
-    """All broken rules of a parsed record, in field order; extra keys are ignored."""
-    messages = [F.concat(F.lit(f"{f.name}: "), field_problem(raw, record[f.name], f)) for f in schema.fields]
+def _outside(value: Column, data_type: T.DataType, allowed: list[str]) -> Column:
+    if isinstance(data_type, T.ArrayType):
+        return F.exists(value, lambda x: ~x.isin(*allowed))
+    return ~value.isin(*allowed)
+
+
+def _json_path(names: tuple[str, ...]) -> str:
+    return "$" + "".join(f"['{n}']" for n in names)
+
+
+def kind_problems(answer: Column, record: Column, f: T.StructField, above: tuple[str, ...] = ()) -> list[Column]:
+    """``path: type`` messages for values whose JSON kind does not fit, at any depth of structs.
+
+    ``answer`` is the answer as a variant, which keeps what the text of a value cannot tell: whether it was text, a number,
+    a list or an object. Text is wanted as text, lists and objects as such; other values may come as text.
+    """
+    path = (*above, f.name)
+    given = F.schema_of_variant(F.try_variant_get(answer, _json_path(path), "variant"))
+    value = record[f.name]
+    there = given.isNotNull() & (given != "VOID")
+    message = F.lit(".".join(path) + ": type")
+    if isinstance(f.dataType, T.StringType):
+        return [F.when(there & (given != "STRING"), message)]
+    if isinstance(f.dataType, T.ArrayType):
+        inner = f.dataType.elementType
+        wanted = r"ARRAY<(STRING|VOID)>" if isinstance(inner, T.StringType) else "ARRAY<(OBJECT.*|VOID)>" if isinstance(
+            inner, T.StructType) else "ARRAY<.*>"
+        return [F.when(there & ~given.rlike(rf"\A{wanted}\z"), message)]
+    if isinstance(f.dataType, T.StructType):
+        nested = [m for n in f.dataType.fields for m in kind_problems(answer, value, n, path)]
+        return [F.when(there & ~given.startswith("OBJECT"), message), *nested]
+    if isinstance(f.dataType, T.MapType):
+        return [F.when(there & ~given.startswith("OBJECT"), message)]
+    # A leaf of a struct that was given but could not be read; at the top field_problem tells.
+    return [F.when(there & value.isNull(), message)] if above else []
+
+
+def strict_errors(raw: Column, record: Column, schema: T.StructType, answer: Column | None = None) -> Column:
+    """All broken rules of a parsed record, in field order; extra keys are ignored.
+
+    With ``answer``, the JSON text that ``raw`` was read from, the JSON kinds of the values are checked as well.
+    """
+    messages = []
+    variant = F.try_parse_json(answer) if answer is not None else None
+    for f in schema.fields:
+        plain = F.concat(F.lit(f"{f.name}: "), field_problem(raw, record[f.name], f))
+        kinds = kind_problems(variant, record, f) if variant is not None else []
+        if kinds and not isinstance(f.dataType, T.StructType):
+            messages.append(F.coalesce(plain, *kinds))
+        else:
+            messages += [plain, *kinds]
     # Joined and split again: unlike a filter over an array this stays inside generated code.
     broken = F.array_remove(F.split(F.concat_ws(_BETWEEN, *messages), _BETWEEN), "")
     return F.when(raw.isNull(), F.array(F.lit(MALFORMED))).otherwise(broken)

@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from foliary.session import staged
 
-# A key is hot when it owns more than 1/HOT_SHARE of the rows and too many for one task.
-HOT_SHARE = 1024
+# A key is hot when it owns more rows than one task should meet; it is spread over one task per so many rows.
 HOT_ROWS = 100_000
-SALTS = 128
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
-    """Keys that own more than 1/``share`` of all rows, so fewer than ``share`` keys, and more than ``rows`` rows."""
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
+    """(keys, __salts): keys with more than ``rows`` rows and the number of tasks that each is spread over."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.where((F.col("__n") > rows) & (F.col("__n") * share > total)).select(*keys)
+    return counts.where(F.col("__n") > rows).select(*keys, F.ceil(F.col("__n") / max(rows, 1)).cast("int").alias("__salts"))
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether Catalyst will broadcast ``df`` anyway, by its own estimate."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return 0 <= int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
 
 
 def skew_join(
@@ -30,20 +33,24 @@ def skew_join(
     *,
     spread: Sequence[str],
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join a large ``left`` to a ``right`` that is unique per key.
 
-    Rows of hot keys are spread over ``salts`` tasks by a hash of the ``spread``
-    columns (stable under task retry); only the matching right rows are copied.
-    The keys of ``left`` are counted first, so ``left`` should be cheap to read twice:
-    stage what is worked out from heavy columns.
+    A right side that Catalyst broadcasts needs no more. Otherwise the keys of ``left`` are counted once and the hot ones
+    written down, so ``left`` should be cheap to read twice: stage what is worked out from heavy columns. Without a hot key
+    the join is a plain one, left to AQE. Rows of a hot key are spread over tasks of about ``hot_rows`` rows by a hash of
+    the ``spread`` columns (stable under task retry); only the matching right rows are copied. The table of hot
+    keys is broadcast if it is small, by the size it was written with.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"skew_join keeps left rows only, not how={how!r}")
     keys = list(keys)
-    hot = hot_keys(left.select(*keys), keys, rows=hot_rows)
-    renamed = F.broadcast(hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")))
+    if is_small(right):
+        return left.join(right, keys, how)
+    hot = staged(hot_keys(left.select(*keys), keys, hot_rows), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    renamed = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__salts")
 
     def flagged(side: DataFrame) -> DataFrame:
         matches = None
@@ -52,17 +59,10 @@ def skew_join(
             matches = same if matches is None else matches & same
         return side.join(renamed, matches, "left").drop(*[f"__h_{k}" for k in keys])
 
-    salted = flagged(left).withColumn(
-        "__salt",
-        F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)),
-    )
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    copied = (
-        flagged(right)
-        .withColumn("__salt", F.explode(F.when(F.col("__hot"), every_salt).otherwise(F.array(F.lit(0)))))
-        .drop("__hot")
-    )
-    return salted.drop("__hot").join(copied, keys + ["__salt"], how).drop("__salt")
+    salts = F.coalesce("__salts", F.lit(1))
+    salted = flagged(left).withColumn("__salt", F.pmod(F.xxhash64(*spread), salts).cast("int"))
+    copied = flagged(right).withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return salted.drop("__salts").join(copied, keys + ["__salt"], how).drop("__salt")
 
 
 def ordinal(

@@ -254,7 +254,7 @@ def _results(scan: DataFrame, requests: DataFrame, answers: DataFrame, job: Job,
     the documents, so copies of a document cost a lookup.
     """
     fields = job.wanted.fieldNames() if job.part_size else None
-    checked = checked_answers(_raw_answers(requests, answers, fields), job.wanted)
+    checked = checked_answers(_raw_answers(requests, answers, fields), job.wanted, typed_kinds=not _is_native(job))
     slim = scan.select(doc_id, "path", F.get("parts", 0)["request_key"].alias("group_key"))
     return _shaped(skew_join(slim, checked, ["group_key"], "left", spread=[doc_id]), job, doc_id)
 
@@ -286,10 +286,17 @@ def _raw_answers(requests: DataFrame, answers: DataFrame, merge_fields: Sequence
     return merged_parts(members.join(read, "request_key"), ["group_key"], merge_fields, carry="error")
 
 
-def checked_answers(answers: DataFrame, wanted: T.StructType, keep: Sequence[str] = ()) -> DataFrame:
-    """(group_key, record, errors, status, error_class, error_message) of answers with a raw map."""
+def checked_answers(
+    answers: DataFrame, wanted: T.StructType, keep: Sequence[str] = (), typed_kinds: bool = False
+) -> DataFrame:
+    """(group_key, record, errors, status, error_class, error_message) of answers with a raw map.
+
+    Answers of providers that were called keep their JSON text, so the kinds of their values are checked too; those of column
+    expressions and merged parts have none.
+    """
     read = answers.withColumn("record", relaxed(F.col("raw"), wanted))
-    return _with_status(read.withColumn("errors", strict_errors(F.col("raw"), F.col("record"), wanted)), keep)
+    whole = without_fence(F.col("response_json")) if typed_kinds and "response_json" in answers.columns else None
+    return _with_status(read.withColumn("errors", strict_errors(F.col("raw"), F.col("record"), wanted, whole)), keep)
 
 
 def _with_status(read: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -15,6 +15,7 @@ from foliary.functions.text import folder_path, parent, stem
 from foliary.operators.naming import unique_names
 from foliary.operators.skew import ordinal
 from foliary.operators.summary import longest_path
+from foliary.session import staged
 
 
 def json_target(path: Column, type_key: Column, sub: bool = True) -> Column:
@@ -48,7 +49,12 @@ def package_manifest(results: DataFrame, ancestry: Column, base: Column, order:
 
 
 def classification_table(results: DataFrame, path: str = "selection_path") -> DataFrame:
-    """file_path, model_name and path_level_1..n, n being the longest path (one number read)."""
+    """file_path, model_name and path_level_1..n, n being the longest path.
+
+    The number of columns depends on the rows, so the slim rows are written first: the classification runs once.
+    """
+    results = staged(results.select("path", "type_key", F.col(path).alias("__levels")), "classification")
+    path = "__levels"
     longest = longest_path(results, path).first()["longest"]
     levels = [
         F.coalesce(F.get(F.col(path), i), F.lit("")).alias(f"path_level_{i + 1}") for i in range(longest)

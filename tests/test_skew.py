@@ -22,12 +22,19 @@ def rows():
 
 def test_hot_keys_are_few(spark, rows):
     frame = spark.createDataFrame(rows, "id int, k string")
-    assert {r.k for r in hot_keys(frame, ["k"], 64, 0).collect()} == {"hot", None}
-    assert hot_keys(frame, ["id"], 64, 0).count() == 0
+    assert {(r.k, r["__salts"]) for r in hot_keys(frame, ["k"], 100).collect()} == {("hot", 4), (None, 2)}
+    assert hot_keys(frame, ["id"], 1).count() == 0
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_skew_join(spark, rows, how):
+def test_skew_join(spark, rows, how, no_broadcast):
     left = spark.createDataFrame(rows, "id int, k string")
     known = {k: f"v-{k}" for _, k in rows if k and (k == "hot" or hash(k) % 2)}
     right = spark.createDataFrame([*known.items(), (None, "never")], "k string, v string")

@@ -168,3 +168,18 @@ def test_cells(spark):
 def test_audit_text(spark):
     parts = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(x).alias("text")) for t, x in (("text", "a\n\nb \n"), ("document", "c"))])
     assert spark.range(1).select(X.audit_text(parts)).first()[0] == "content[0] (text):\n  a\n\n  b\ncontent[1] (document):\n  c"
+
+
+@pytest.mark.parametrize("text,errors", [
+    ('{"s": "x", "l": ["a"], "o": {"a": 1, "t": "u"}, "e": ["p"]}', []),
+    ('{"s": 5, "l": ["a"]}', ["s: type"]),
+    ('{"s": ["a"], "l": [{"a": 1}]}', ["s: type", "l: type"]),
+    ('{"s": {"x": 1}, "o": {"a": "x", "t": 7}}', ["s: type", "o.a: type", "o.t: type"]),
+    ('{"s": null, "l": [1, "b"], "o": [1], "e": ["p", "z"]}', ["l: type", "o: type", "e: enum"]),
+    ('{"s": "5", "l": [], "o": {"a": 12.0, "t": null}, "e": []}', ["o.a: type"]),
+])
+def test_kinds_of_values(spark, text, errors):
+    shape = T.StructType([field("s"), field("l", "array<string>"), field("o", "struct<a:bigint,t:string>"), field("e", "array<string>", enum=("p", "q"))])
+    rows = spark.createDataFrame([(text,)], "t string").select("t", A.raw_fields(F.col("t")).alias("raw"))
+    rows = rows.withColumn("r", A.relaxed(F.col("raw"), shape))
+    assert rows.select(A.strict_errors(F.col("raw"), F.col("r"), shape, F.col("t"))).first()[0] == errors
