@@ -289,7 +289,7 @@ def incremental_crawl(spark: SparkSession, sf: str) -> DataFrame:
     schema = "doc_id bigint, path string, text string"
     for parity in (0, 1):
         every.where(F.col("doc_id") % 2 == parity).write.mode("append").parquet(source)
-        incremental.run_available(spark, source, schema, _job(), target, checkpoint, with_entities=False)
+        incremental.run_available(spark, source, schema, _job(), target, checkpoint)
     return _result_columns(incremental.results(spark, target))
 
 

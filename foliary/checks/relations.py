@@ -130,6 +130,27 @@ def reverse_references(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@check(
+    "jn_07_record_entities",
+    """SELECT s_suppkey, s_name, s_nationkey, n_name FROM supplier
+       LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey % 5 <> 0""",
+)
+def record_entities(spark: SparkSession, sf: str) -> DataFrame:
+    nation = table(spark, sf, "nation").where("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    return entities.record_entities(rows, nation, "s_nationkey", ["s_suppkey"])
+
+
+@check(
+    "jn_07_ordered_members",
+    """SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS position
+       FROM orders""",
+)
+def ordered_members(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return entities.members(rows, "o_custkey", ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
 @check(
     "jn_08_delete_keeps",
     """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem

@@ -10,13 +10,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliary.functions import dates
 from foliary.functions.text import blank_to_null, is_blank, strip
-from foliary.schema import default_of, enum_of, is_required
+from foliary.schema import default_of, enum_of, is_required, parse_of
 
 RAW = "map<string,string>"
 MALFORMED = "answer: malformed"
 _BETWEEN = "\x1f"
 
+# How a field may be given besides its plain form; the year after a colon ends the window of two-digit years.
+PARSERS = {
+    "written_date": lambda c, year: dates.written_date(c),
+    "full_date": dates.full_date,
+    "month_year": dates.month_year,
+    "year_in_text": lambda c, year: dates.year_in_text(c),
+}
+
 # Words read as booleans besides what a cast accepts.
 TRUE_WORDS, FALSE_WORDS = ("on",), ("off",)
 
@@ -81,13 +90,21 @@ def cast_text(c: Column, data_type: T.DataType) -> Column:
     return c.try_cast(data_type)
 
 
+def parsed(text: Column, rule: str | None) -> Column:
+    """The text with what the field's own parser reads in plain form; what it cannot read stays as it is."""
+    if rule is None:
+        return text
+    name, _, year = rule.partition(":")
+    return F.coalesce(PARSERS[name](text, int(year or 0)).cast("string"), text)
+
+
 def relaxed_field(raw: Column, f: T.StructField) -> Column:
     """One field of the relaxed parse.
 
-    A missing key takes the declared default; a null or blank value becomes null.
+    A missing key takes the declared default; a null or blank value becomes null; a declared parser comes first.
     """
     text = blank_to_null(raw[f.name]) if not isinstance(f.dataType, T.StringType) else raw[f.name]
-    value = scrubbed(cast_text(text, f.dataType), f.dataType)
+    value = scrubbed(cast_text(parsed(text, parse_of(f)), f.dataType), f.dataType)
     default = default_of(f)
     if default is None:
         return value

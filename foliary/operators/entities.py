@@ -247,6 +247,16 @@ def references_to(records: DataFrame, entity_key: str, record_key: str) -> DataF
     )
 
 
+def record_entities(records: DataFrame, entities: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
+    """Every record with the row of the entity it points at, or nulls. ``entities`` is unique on ``key``."""
+    return skew_join(records, entities, [key], "left", spread=spread)
+
+
+def members(records: DataFrame, entity_key: str, order: Sequence[str]) -> DataFrame:
+    """The records of every entity as rows with their position from 1; a large entity spans many tasks."""
+    return ordinal(records.where(F.col(entity_key).isNotNull()), [entity_key], order, "position")
+
+
 def usage(facts: DataFrame) -> DataFrame:
     """Per entity, which record type and field refer to it, how often and with how many names."""
     named = facts.where("name is not null").groupBy("entity", "type_key", "field", "name").agg(

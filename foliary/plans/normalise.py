@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from foliary.operators.entities import (
     ATTRIBUTES, clean_name, entity_id, flat_value, harvested, merged_entities, reference_fields,
 )
+from foliary.session import staged
 
 ORDER = ("batch", "path", "pos")
 
@@ -92,9 +93,38 @@ def entity_tables(mentions: DataFrame) -> DataFrame:
 
 
 def write_database(normalised: dict[str, Normalised], entities: DataFrame, target: str, stamp: str) -> None:
-    """One table per record type, and one folder per entity under ``entities``."""
+    """One table per record type with a folder per run, and one folder per entity under ``entities``.
+
+    A run adds its records beside those of earlier runs; the same stamp again replaces its own. An entity that is stored
+    already keeps its attributes and its ``created_at``, and takes on what it lacked.
+    """
     at = F.lit(stamp).cast("timestamp_ntz")
-    stamps = {"created_at": at, "updated_at": at}
+    run = "run=" + stamp.replace(":", "-").replace(" ", "_")
     for type_key, tables in normalised.items():
-        tables.records.withColumns(stamps).write.mode("overwrite").parquet(f"{target}/records/{type_key}")
-    entities.withColumns(stamps).write.mode("overwrite").partitionBy("entity").parquet(f"{target}/entities")
+        stamped = tables.records.withColumns({"created_at": at, "updated_at": at})
+        stamped.write.mode("overwrite").parquet(f"{target}/records/{type_key}/{run}")
+    fresh = entities.withColumns({"created_at": at, "updated_at": at})
+    stored = stored_entities(entities, f"{target}/entities")
+    if stored is not None:
+        fresh = staged(_merged(stored, fresh), "entities")
+    fresh.write.mode("overwrite").partitionBy("entity").parquet(f"{target}/entities")
+
+
+def stored_entities(entities: DataFrame, path: str) -> DataFrame | None:
+    spark = entities.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    stamps = T.StructType.fromDDL("created_at timestamp_ntz, updated_at timestamp_ntz")
+    return spark.read.schema(T.StructType([*entities.schema.fields, *stamps.fields])).parquet(path)
+
+
+def _merged(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stored values first; an entity met again is updated now."""
+    new = fresh.select(*[F.col(c).alias(f"__{c}") for c in fresh.columns])
+    same = (F.col("entity") == F.col("__entity")) & (F.col("name") == F.col("__name"))
+    columns = [
+        (F.coalesce(F.col(f"__{c}"), F.col(c)) if c == "updated_at" else F.coalesce(F.col(c), F.col(f"__{c}"))).alias(c)
+        for c in stored.columns
+    ]
+    return stored.join(new, same, "full_outer").select(*columns)

@@ -44,7 +44,9 @@ def field(
     default: Any = None,
     enum: tuple[str, ...] | None = None,
     description: str | None = None,
+    parse: str | None = None,
 ) -> T.StructField:
+    """``parse`` names how a value that was not given in ISO form is read before validation (see ``answers.PARSERS``)."""
     if isinstance(data_type, str):
         data_type = _SIMPLE.get(data_type) or T.DataType.fromDDL(data_type)
     meta: dict[str, Any] = {"required": required}
@@ -54,6 +56,8 @@ def field(
         meta["enum"] = list(enum)
     if description is not None:
         meta["description"] = description
+    if parse is not None:
+        meta["parse"] = parse
     return T.StructField(name, data_type, True, meta)
 
 
@@ -69,6 +73,10 @@ def enum_of(f: T.StructField) -> list[str] | None:
     return f.metadata.get("enum")
 
 
+def parse_of(f: T.StructField) -> str | None:
+    return f.metadata.get("parse")
+
+
 def with_lineage(record: T.StructType) -> T.StructType:
     extra = [field("source_filename"), field("analyzed_at", "timestamp_ntz"), field("llm_model")]
     return T.StructType([*trimmed(record).fields, *extra])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +15,7 @@ from foliary.functions.encode import tagged_json
 from foliary.functions.text import folder_path, parent, stem
 from foliary.operators.naming import unique_names
 from foliary.operators.skew import ordinal
-from foliary.operators.summary import longest_path
+from foliary.operators.summary import FAILED, OK, longest_path
 from foliary.session import staged
 
 
@@ -150,40 +151,57 @@ def _uri(path: str) -> str:
     return "file:///" + path[len("file:/"):].lstrip("/") if path.startswith("file:/") else path
 
 
-def write_files(manifest: DataFrame, root: str, path: str = "out_path", content: str = "content") -> None:
-    """One file per row, below ``root``. A retried task writes the same files again."""
+WRITTEN = "path string, status string, error_message string"
 
-    def write(rows: Iterator[Row]) -> None:
+
+def _each_file(rows: DataFrame, root: str, filler: Callable[[Any], Callable[[Any, str], None]]) -> DataFrame:
+    """(path, status, error_message) per row of (path, source): written now, once, and a file that fails is a row."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = _placer(root)
-        for row in rows:
-            data = row[content]
-            data = data.encode() if isinstance(data, str) else bytes(data)
+        for batch in batches:
+            names, errors = batch.column(0).to_pylist(), []
+            for name, source in zip(names, batch.column(1).to_pylist(), strict=True):
+                try:
+                    place(name, filler(source))
+                    errors.append(None)
+                except Exception as exc:  # noqa: BLE001 - reported as a row
+                    errors.append(f"{type(exc).__name__}: {exc}")
+            states = [OK if e is None else FAILED for e in errors]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(states, pa.string()), pa.array(errors, pa.string())],
+                names=["path", "status", "error_message"],
+            )
 
-            def fill(store: Any, target: str, data: bytes = data) -> None:
-                with store.open_output_stream(target) as out:
-                    out.write(data)
+    return staged(rows.mapInArrow(write, WRITTEN), "written")
 
-            place(row[path], fill)
 
-    manifest.select(path, content).foreachPartition(write)
+def write_files(manifest: DataFrame, root: str, path: str = "out_path", content: str = "content") -> DataFrame:
+    """One file per row, below ``root``; gives back what became of each. A retried task writes the same files again."""
 
+    def filler(data: Any) -> Callable[[Any, str], None]:
+        def fill(store: Any, target: str) -> None:
+            with store.open_output_stream(target) as out:
+                out.write(data)
 
-def copy_sources(manifest: DataFrame, root: str, source: str = "path", target: str = "document_target") -> None:
-    """Copy each source file to its target. Tasks stream from file to file, so bytes never pass through Spark."""
+        return fill
 
-    def copy(rows: Iterator[Row]) -> None:
-        from pyarrow import fs
+    return _each_file(manifest.select(path, F.col(content).cast("binary")), root, filler)
 
-        place = _placer(root)
-        for row in rows:
-            origin, name = fs.FileSystem.from_uri(_uri(row[source]))
 
-            def fill(store: Any, part: str, origin: Any = origin, name: str = name) -> None:
-                fs.copy_files(name, part, source_filesystem=origin, destination_filesystem=store)
+def copy_sources(manifest: DataFrame, root: str, source: str = "path", target: str = "document_target") -> DataFrame:
+    """Copy each source file to its target; gives back what became of each. Bytes stream from file to file, not through Spark."""
+
+    def filler(origin: str) -> Callable[[Any, str], None]:
+        def fill(store: Any, part: str) -> None:
+            from pyarrow import fs
+
+            files, name = fs.FileSystem.from_uri(_uri(origin))
+            fs.copy_files(name, part, source_filesystem=files, destination_filesystem=store)
 
-            place(row[target], fill)
+        return fill
 
-    manifest.select(source, target).foreachPartition(copy)
+    return _each_file(manifest.select(target, source), root, filler)
 
 
 def write_table(enriched: DataFrame, target: str) -> None:

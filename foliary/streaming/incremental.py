@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.operators.cache import empty_cache
+from foliary.operators.cache import CACHE_SCHEMA, PREFIX_LENGTH, empty_cache
 from foliary.operators.entities import upserted
 from foliary.plans.extraction import Job, extract
 from foliary.plans.normalise import ORDER, entity_tables, normalise
 from foliary.session import staged
 
 EPOCH = "1970-01-01 00:00:00"
+CACHE = f"{CACHE_SCHEMA}, batch int"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -26,11 +27,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def _earlier(spark: SparkSession, folder: str, batch: int) -> DataFrame | None:
+def _earlier(spark: SparkSession, folder: str, batch: int, schema: str | None = None) -> DataFrame | None:
     """Rows of all batches before this one; a batch folder is written whole, so a repeat replaces it."""
     if not _exists(spark, folder):
         return None
-    rows = spark.read.parquet(folder)
+    rows = (spark.read.schema(schema) if schema else spark.read).parquet(folder)
     return rows.where(F.col("batch") < batch)
 
 
@@ -42,15 +43,17 @@ def batch_writer(spark: SparkSession, job: Job, target: str, with_entities: bool
     """
 
     def write(docs: DataFrame, batch: int) -> None:
-        cached = _earlier(spark, f"{target}/cache", batch)
-        cache = empty_cache(spark) if cached is None else cached.select("request_key", "response_json", "created_at")
+        cached = _earlier(spark, f"{target}/cache", batch, CACHE)
+        cache = empty_cache(spark) if cached is None else cached.drop("batch")
         done = extract(docs, job, cache=cache)
         results = staged(done.results, "results")
         results.write.mode("overwrite").parquet(f"{target}/results/batch={batch}")
         fresh = done.fresh.where("response_json is not null").select(
-            "request_key", "response_json", F.lit(job.analyzed_at or EPOCH).cast("timestamp_ntz").alias("created_at")
+            "request_key", "response_json", F.lit(job.analyzed_at or EPOCH).cast("timestamp_ntz").alias("created_at"),
+            F.substring("request_key", 1, PREFIX_LENGTH).alias("prefix"),
         )
-        fresh.write.mode("overwrite").parquet(f"{target}/cache/batch={batch}")
+        # By prefix, so that a later batch reads only the folders of its own keys.
+        fresh.write.mode("overwrite").partitionBy("prefix").parquet(f"{target}/cache/batch={batch}")
         if with_entities:
             good = results.where("status = 'ok'").select("path", *[
                 F.col(f"record.{f}").alias(f) for f in job.wanted.fieldNames()

@@ -127,3 +127,14 @@ def test_database(spark, normalised):
     stored = spark.read.parquet(f"{target}/entities")
     assert stored.where("entity = 'Contract'").count() == 2 and "created_at" in stored.columns
     assert spark.read.parquet(f"{target}/records/rec").count() == 4
+
+
+def test_a_second_run_keeps_what_is_stored(spark):
+    shape = T.StructType([field("customer_name"), field("contact_email")])
+    target = new_folder(spark, "database")
+    for stamp, rows in (("2024-01-01 00:00:00", [("p", "Ann", None), ("q", "Bob", "b@x")]), ("2024-01-02 00:00:00", [("r", "Ann", "a@x"), ("s", "Cid", None)])):
+        parts = {"t": normalise(spark.createDataFrame(rows, "path string, customer_name string, contact_email string"), shape, "path")}
+        write_database(parts, entity_tables(all_mentions(parts.values())), target, stamp)
+    stored = {r.name: (r.contact_email, str(r.created_at)[:10], str(r.updated_at)[:10]) for r in spark.read.parquet(f"{target}/entities").collect()}
+    assert stored == {"Ann": ("a@x", "2024-01-01", "2024-01-02"), "Bob": ("b@x", "2024-01-01", "2024-01-01"), "Cid": (None, "2024-01-02", "2024-01-02")}
+    assert spark.read.parquet(f"{target}/records/t").count() == 4

@@ -130,3 +130,14 @@ def test_written_index(spark, tmp_path):
 def test_types_from_files(spark, tmp_path):
     (tmp_path / "my_Type.json").write_text(SHAPE.json())
     assert load_types(spark, str(tmp_path)) == {"my_Type": SHAPE}
+
+
+def test_failed_writes_are_rows(spark, tmp_path):
+    (tmp_path / "taken").write_text("a file, not a folder")
+    rows = spark.createDataFrame([("ok/a.txt", "x"), ("taken/b.txt", "y")], "out_path string, content string")
+    done = {r.path: (r.status, r.error_message) for r in sinks.write_files(rows, str(tmp_path)).collect()}
+    assert done["ok/a.txt"] == ("ok", None) and (tmp_path / "ok" / "a.txt").read_text() == "x"
+    assert done["taken/b.txt"][0] == "failed" and done["taken/b.txt"][1]
+    copies = spark.createDataFrame([(f"file://{tmp_path}/ok/a.txt", "c/a.txt"), (f"file://{tmp_path}/none", "c/n.txt")], "path string, document_target string")
+    states = {r.path: r.status for r in sinks.copy_sources(copies, str(tmp_path)).collect()}
+    assert states == {"c/a.txt": "ok", "c/n.txt": "failed"}

@@ -183,3 +183,11 @@ def test_kinds_of_values(spark, text, errors):
     rows = spark.createDataFrame([(text,)], "t string").select("t", A.raw_fields(F.col("t")).alias("raw"))
     rows = rows.withColumn("r", A.relaxed(F.col("raw"), shape))
     assert rows.select(A.strict_errors(F.col("raw"), F.col("r"), shape, F.col("t"))).first()[0] == errors
+
+
+def test_declared_parsers_run_before_validation(spark):
+    shape = T.StructType([field("day", "date", parse="written_date"), field("due", "date", parse="full_date:2025"), field("year", "bigint", parse="year_in_text")])
+    text = '{"day": "April 3rd, 2025", "due": "4/5/24", "year": "105,000 (2007)"}'
+    rows = spark.createDataFrame([(text,), ('{"day": "someday", "due": "2024-01-02", "year": 1999}',)], "t string").select(A.raw_fields(F.col("t")).alias("raw"))
+    got = [(str(r.v.day), str(r.v.due), r.v.year, r.e) for r in rows.select(A.relaxed(F.col("raw"), shape).alias("v"), A.strict_errors(F.col("raw"), A.relaxed(F.col("raw"), shape), shape).alias("e")).collect()]
+    assert got == [("2025-04-03", "2024-04-05", 2007, []), ("None", "2024-01-02", 1999, ["day: type"])]
