@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foliary.llm import blocks as B
 from foliary.llm.components import components
 from foliary.llm.words import Words, joined, mix, slices
+from foliary.operators.keyfilter import key_filter, may_contain
 from foliary.session import staged
 
 SHINGLE = 3
@@ -338,7 +339,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         .select("digest", F.col("component").alias("family"), "chunks", F.col("keeper").alias("__keeper")),
         "shingle-wanted",
     )
-    slim = docs.select("doc_id", "text")
+    # Texts that no family wants are told apart by a bit table and enter no exchange.
+    bits = key_filter(wanted.select("__keeper"))
+    slim = may_contain(docs.select("doc_id", "text"), bits, [F.col("doc_id")], "__wanted").where("__wanted").drop("__wanted")
     texts = slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["__keeper"])).select("digest", "family", "chunks", "text")
     return labelled(every, classes, components(verified(texts)))
 
