@@ -16,6 +16,7 @@ HEADLINE = (
     "jn_02_cache_misses", "jn_06_reference_by_name", "jn_08_delete_keeps", "agg_03_part_merge", "agg_04_entity_merge",
     "agg_06_entity_usage", "fn_06_strict_validation", "fn_12_written_dates", "fn_16_entity_tagging", "fn_21_markdown_records",
     "src_07_content_memo", "win_01_unique_names", "win_03_dense_ids", "snk_07_index_lines",
+    "udf_01_provider_hook", "udf_01_part_filled_cache",
 )
 
 

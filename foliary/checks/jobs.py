@@ -201,6 +201,61 @@ def provider_hook(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.extract(docs(spark, sf), job).results.select("doc_id", "status", "record.email", "error_class")
 
 
+def _email_job(concurrency: int = 8) -> Job:
+    provider = CallProvider(connect_email_finder, concurrency=concurrency)
+    return Job("documents_Email", T.StructType([field("email")]), provider, analyzed_at=AT)
+
+
+@check(
+    "udf_01_part_filled_cache",
+    f"""SELECT doc_id, CASE WHEN lang <> 'en' AND contains(text, 'phone') THEN 'failed' ELSE 'ok' END AS status,
+               CASE WHEN lang = 'en' THEN 'cached@x.example' WHEN contains(text, 'phone') THEN NULL
+                    ELSE nullif(regexp_extract(text, '{DOCUMENT_RULES["email"]}', 1), '') END AS email FROM
+        (SELECT doc_id, text, CASE WHEN bool_or(lang = 'en') OVER (PARTITION BY text) THEN 'en' ELSE 'other' END AS lang
+         FROM documents)""",
+)
+def part_filled_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """English texts are answered already, some of them twice; only the others are asked."""
+    every, job = docs(spark, sf), _email_job()
+    typed = every.withColumn("type_key", F.lit(job.type_key))
+    keys = extraction.keyed_requests(typed, {job.type_key: job}, "doc_id", "text", "lang").where("lang = 'en'")
+    known = keys.select(
+        F.get("parts", 0)["request_key"].alias("request_key"), F.lit('{"email": "cached@x.example"}').alias("response_json"),
+        F.lit(AT).cast("timestamp_ntz").alias("created_at"),
+    )
+    return extraction.extract(every, job, cache=known).results.select("doc_id", "status", "record.email")
+
+
+@check(
+    "pipe_02_called_dispatch",
+    f"""SELECT doc_id, type_key, CASE WHEN contains(text, 'phone') THEN 'failed' ELSE 'ok' END AS status,
+               CASE WHEN contains(text, 'phone') THEN NULL
+                    ELSE nullif(regexp_extract(text, '{DOCUMENT_RULES["email"]}', 1), '') END AS email
+        FROM (SELECT doc_id, text, 'mail_' || lang AS type_key FROM documents)""",
+)
+def called_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    """A called provider for every type: all of them read one table of the missing texts."""
+    found = docs(spark, sf).select(
+        "doc_id", "path", "text", F.concat(F.lit("mail_"), "lang").alias("type_key"), F.lit(None).cast("string").alias("error_message")
+    )
+    provider = CallProvider(connect_email_finder, concurrency=8)
+    jobs = {f"mail_{lang}": Job(f"mail_{lang}", T.StructType([field("email")]), provider, analyzed_at=AT) for lang in ("en", "de", "fr", "es")}
+    return extraction.dispatch(found, jobs).results().select(
+        "doc_id", "type_key", "status", F.get_json_object("record_json", "$.email").alias("email")
+    )
+
+
+@check("pipe_01_called_classification", f"SELECT doc_id, path_text, type_key, status FROM {_classified_sql(ROOTS)}")
+def called_classification(spark: SparkSession, sf: str) -> DataFrame:
+    """The walk with choices that come back as rows, one question per document and level."""
+
+    def ask(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", classify.by_score(F.col("offered"), classify.keyword_scores(F.col("text"), TREE)).alias("choice"))
+
+    found = classify.classified_by_calls(docs(spark, sf), TREE, ask, roots_only=True)
+    return found.select("doc_id", "path_text", "type_key", "status")
+
+
 # -- normalisation ----------------------------------------------------------------------
 
 CUSTOMER_RECORD = T.StructType([

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.functions.text import join_path
+from foliary.operators.keyfilter import key_filter, may_contain
 from foliary.session import staged
 
 # A registry of more bytes than this is joined without a broadcast.
@@ -219,7 +220,11 @@ def classified_by_calls(
     for phase in range(1, tree_depth(tree) + 1):
         offered = state.where("open").withColumn("offered", _offered(F.col("selection_path"), first, children))
         offered = offered.where(F.size("offered") > 0).select(doc_id, "selection_path", "offered")
-        asked = docs.select(doc_id, F.col(text).alias("text")).join(offered, doc_id)
+        # Texts of documents whose walk has ended are left out by a bit table before the join.
+        texts = may_contain(
+            docs.select(doc_id, F.col(text).alias("text")), key_filter(offered.select(doc_id)), [F.col(doc_id)], "__open"
+        ).where("__open").drop("__open")
+        asked = texts.join(offered, doc_id)
         choices = staged(ask(asked).select(doc_id, "choice"), "choices")
         answered = offered.drop("selection_path").join(choices, doc_id)
         keys = answered.select(doc_id, "choice", resolved(F.col("choice"), F.col("offered")).alias("key"))
