@@ -36,6 +36,34 @@ def packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
+def pack_small(values: np.ndarray, kind=np.uint8) -> bytes:
+    """Whole numbers that nearly all fit ``kind``: those as such, and the others beside them with their places."""
+    most = np.iinfo(kind).max
+    large = np.flatnonzero(values >= most)
+    head = np.array([len(values), len(large)], np.int64)
+    return b"".join((
+        head.tobytes(), np.minimum(values, most).astype(kind).tobytes(), large.astype(np.int64).tobytes(),
+        values[large].astype(np.int64).tobytes(),
+    ))
+
+
+def unpack_small(data: bytes, kind=np.uint8) -> np.ndarray:
+    size, large = np.frombuffer(data, np.int64, 2)
+    values = np.frombuffer(data, kind, size, 16).astype(np.int64)
+    rest = np.frombuffer(data[16 + int(size) * np.dtype(kind).itemsize:], np.int64)
+    values[rest[:large]] = rest[large:]
+    return values
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Rising numbers below 2^63 by their steps, which are short where there are many."""
+    return pack_small(np.diff(keys.astype(np.int64), prepend=0), np.uint32)
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack_small(data, np.uint32)).astype(np.uint64)
+
+
 def cut_points(keys: np.ndarray, bits: int) -> np.ndarray:
     """Where the keys of each shard begin in the sorted ``keys``; one entry more than shards."""
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)

@@ -71,15 +71,13 @@ def score_parts(docs: DataFrame, block_bytes: int) -> DataFrame:
         return pa.Table.from_pylist([
             {
                 "shard": s, "block": number, "words": B.packed(block.words[w[s]: w[s + 1]]),
-                "word_counts": B.packed(words[w[s]: w[s + 1]]),
-                "pairs_high": B.packed((block.pairs[p[s]: p[s + 1]] >> LOW).astype(np.uint32)),
-                "pairs_low": B.packed(block.pairs[p[s]: p[s + 1]].astype(np.uint16)),
-                "pair_counts": B.packed(pairs[p[s]: p[s + 1]]),
+                "word_counts": B.pack_small(words[w[s]: w[s + 1]]),
+                "pairs": B.pack_sorted(block.pairs[p[s]: p[s + 1]]), "pair_counts": B.pack_small(pairs[p[s]: p[s + 1]]),
             }
             for s in range(1 << bits)
         ], pa.schema([
             ("shard", pa.int32()), ("block", pa.int32()), ("words", pa.binary()), ("word_counts", pa.binary()),
-            ("pairs_high", pa.binary()), ("pairs_low", pa.binary()), ("pair_counts", pa.binary()),
+            ("pairs", pa.binary()), ("pair_counts", pa.binary()),
         ]))
 
     def totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -90,20 +88,16 @@ def score_parts(docs: DataFrame, block_bytes: int) -> DataFrame:
     def answered(table: pa.Table) -> pa.Table:
         rows = B.rows_of(table)
         words, distinct, total = totals(
-            [np.frombuffer(r["words"], np.uint64) for r in rows], [np.frombuffer(r["word_counts"], np.uint32) for r in rows]
+            [np.frombuffer(r["words"], np.uint64) for r in rows], [B.unpack_small(r["word_counts"]) for r in rows]
         )
         pairs, _, _ = totals(
-            [
-                (np.frombuffer(r["pairs_high"], np.uint32).astype(np.uint64) << LOW)
-                | np.frombuffer(r["pairs_low"], np.uint16).astype(np.uint64) for r in rows
-            ],
-            [np.frombuffer(r["pair_counts"], np.uint32) for r in rows],
+            [B.unpack_sorted(r["pairs"]) for r in rows], [B.unpack_small(r["pair_counts"]) for r in rows]
         )
         known = int(((total > 0) & (distinct != BEGIN)).sum())
         shard = rows[0]["shard"]
         # The number of distinct words of the shard goes to one of its blocks.
         out = [
-            {"block": r["block"], "shard": shard, "words": B.packed(w), "pairs": B.packed(p), "known": 0 if i else known}
+            {"block": r["block"], "shard": shard, "words": B.pack_small(w), "pairs": B.pack_small(p), "known": 0 if i else known}
             for i, (r, w, p) in enumerate(zip(rows, words, pairs, strict=True))
         ]
         return pa.Table.from_pylist(out, pa.schema([
@@ -121,8 +115,8 @@ def score_parts(docs: DataFrame, block_bytes: int) -> DataFrame:
         if not table.num_rows:
             return out_schema.empty_table()
         block = Block(table)
-        words = np.concatenate([np.frombuffer(r["words"], np.int64) for r in replies])
-        pairs = np.concatenate([np.frombuffer(r["pairs"], np.int64) for r in replies])
+        words = np.concatenate([B.unpack_small(r["words"]) for r in replies])
+        pairs = np.concatenate([B.unpack_small(r["pairs"]) for r in replies])
         # The walk: a token leaves the state of the word before it, by its own arc if there is one and else over the
         # failure arc to the root; either way it arrives in its own state. All steps of a block are worked out at once.
         of_word, of_pair, of_state = words[block.word], pairs[block.pair], words[block.state]
@@ -161,7 +155,7 @@ def score_parts(docs: DataFrame, block_bytes: int) -> DataFrame:
     replies = B.per_group(
         B.per_group(
             every, "block", asked,
-            "shard int, block int, words binary, word_counts binary, pairs_high binary, pairs_low binary, pair_counts binary",
+            "shard int, block int, words binary, word_counts binary, pairs binary, pair_counts binary",
         ),
         "shard", answered, "block int, shard int, words binary, pairs binary, known long",
     )
