@@ -9,6 +9,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Characters that the full lower-casing of a string leaves alone, besides ASCII.
 PLAIN = r"^[\x00-\x7F\x{DF}-\x{F6}\x{F8}-\x{FF}]*$"
 
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. The fast built-in does it where no other letter would change."""
     return F.when(text.rlike(PLAIN), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
