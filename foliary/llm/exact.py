@@ -65,7 +65,10 @@ def exact_groups(
 
 
 def without_copies(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Only the keys of the others meet the texts."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    The keys of the others are joined to the texts: where they are too many for a broadcast, the texts are shuffled once.
+    """
     gone = exact_groups(docs, id_column=id_column, text_column=text_column).where(~F.col("kept")).select(
         F.col("doc_id").alias("__gone"), F.col("n_bytes").alias("__bytes"), F.col("text_sha256").alias("__digest")
     ).distinct()
