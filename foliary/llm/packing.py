@@ -20,11 +20,11 @@ END_ID = 1
 VOCABULARY = 1 << 16
 # Tokens in one shard of the index, entries of the cache of encoded words, terms of a query, neighbours looked at.
 SHARD_TOKENS = 2_000_000
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 2_500_000
 QUERY_TERMS = 24
 NEIGHBOURS = 16
 K1, LENGTH_WEIGHT = 1.2, 0.75
-TEXT_SLICE = 1 << 20
+TEXT_SLICE = 2 << 20
 
 # Bytes after a space at which a text may be cut without changing its tokens: printable ASCII, and first bytes of
 # characters of several bytes that begin no white space.
@@ -56,14 +56,14 @@ class Encoder:
         self.pool = np.zeros(0, np.uint16)
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Take in new words; ``keys`` are sorted."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.array([len(i) for i in found], np.int64)
         begin = len(self.pool) + np.cumsum(size) - size
         self.pool = np.concatenate([self.pool, np.array([i for ids in found for i in ids], np.uint16)])
-        keys = np.concatenate([self.known, keys])
-        order = np.argsort(keys)
-        self.known = keys[order]
-        self.begin, self.size = np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+        at = np.searchsorted(self.known, keys)
+        self.known = np.insert(self.known, at, keys)
+        self.begin, self.size = np.insert(self.begin, at, begin), np.insert(self.size, at, size)
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of each text's ids."""
