@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -16,8 +17,8 @@ from foliary.llm.words import Words, joined, mix, slices
 from foliary.operators.keyfilter import key_filter, may_contain
 from foliary.session import staged
 
+# Defaults: links at 100 * intersection >= 90 * union. Then the sets differ in at most (n + m) / 19 elements.
 SHINGLE = 3
-# Links at 100 * intersection >= 90 * union. Then the sets differ in at most (n + m) / 19 elements.
 PERCENT = 90
 SPARE = 2
 SHARD_BITS = 6
@@ -26,7 +27,7 @@ FAMILY_CHUNK = 512
 SEGMENT = 32
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Sorted distinct shingle hashes per text, a slice of texts at a time.
 
     A text of fewer words than a shingle has one element, its whole sequence; a text without words has none.
@@ -34,11 +35,11 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
     for row, _, data, offsets in slices(texts):
         words = Words(data, offsets)
         hashes = words.hashes(lower=True)
-        grams = joined(hashes, SHINGLE)
+        grams = joined(hashes, shingle)
         found = []
         for a, b in zip(words.first[:-1], words.first[1:], strict=True):
-            if b - a >= SHINGLE:
-                found.append(np.unique(grams[a: b - SHINGLE + 1]))
+            if b - a >= shingle:
+                found.append(np.unique(grams[a: b - shingle + 1]))
             else:
                 found.append(joined(np.append(hashes[a:b], np.uint64(b - a)), b - a + 1)[:1] if b > a else np.zeros(0, np.uint64))
         yield row, found
@@ -60,36 +61,44 @@ def class_tops() -> list[int]:
 TOPS = class_tops()
 
 
-def part_count(top: int) -> tuple[int, int]:
-    """Parts for sets of at most ``top`` elements: more than the elements in which linked sets may differ, by 1 + SPARE."""
-    return 2 * top * (100 - PERCENT) // (100 + PERCENT) + 1 + SPARE, SPARE
+def differing(n: int, top: int, percent: int) -> int:
+    """In how many elements a set of ``n`` and one linked to it can differ, if that has at most ``top``."""
+    return (n + min(top, n * 100 // percent)) * (100 - percent) // (100 + percent)
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def part_count(top: int, percent: int = PERCENT) -> int:
+    """Parts for sets of at most ``top`` elements: more than the elements in which linked sets may differ, by 1 and spare ones.
+
+    There are more spare parts the fewer elements a part has, so that parts of none or one need not be used.
+    """
+    most = 2 * top * (100 - percent) // (100 + percent)
+    mean = (100 + percent) / (2 * (100 - percent))
+    return most + 1 + SPARE + int(2 * most * (1 + mean) * math.exp(-mean))
+
+
+def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(signature, number of its set), such that linked sets have one in common.
 
-    The elements are dealt to parts by hash. Linked sets differ in fewer elements than there are parts, so they agree in
-    1 + SPARE parts at least; a signature is the hash of a part. Up to SPARE of the agreeing parts may be empty ones, so a
-    set gives signatures for its empty parts only if it has more than SPARE of them. A set takes part in its size class and,
-    if a linked set can be larger than that, in the next one.
+    The elements are dealt to parts by hash, and a signature is the hash of a part, empty or not. A set that can differ from a
+    linked one in d elements agrees with it in all parts but d, so it gives d + 1 signatures: the last ones in an order
+    that all sets share, by the number of elements of the part and then by hash. Of the parts in which two linked sets agree,
+    neither can have left out all, since the one that leaves out more of them leaves out fewer than there are. A set takes
+    part in its size class and in those up to the class of the largest set that can be linked to it.
     """
     codes, owners = [], []
     sizes = np.array([len(s) for s in sets])
     for number in np.flatnonzero(sizes):
         values, n = sets[number], int(sizes[number])
-        level = bisect_left(TOPS, n)
         spread = mix(values ^ np.uint64(0xA5A5A5A5))
-        for at in (level, level + 1) if n * 100 // PERCENT > TOPS[level] else (level,):
-            parts, spare = part_count(TOPS[at])
-            part = ((spread >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            order = np.argsort(part, kind="stable")
-            filled, begin = np.unique(part[order], return_index=True)
-            code = mix(np.add.reduceat(spread[order], begin) + mix(filled + np.uint64(at << 40)))
-            if parts - len(filled) > spare:
-                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), filled)
-                code = np.append(code, mix(mix(empty + np.uint64(at << 40)) + np.uint64(1)))
-            codes.append(code)
-            owners.append(np.full(len(code), number))
+        for at in range(bisect_left(TOPS, n), bisect_left(TOPS, n * 100 // percent) + 1):
+            parts = part_count(TOPS[at], percent)
+            part = (((spread >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+            total = np.zeros(parts, np.uint64)
+            np.add.at(total, part, spread)
+            code = mix(total + mix(np.arange(parts, dtype=np.uint64) + np.uint64(at << 40)))
+            heavy = np.lexsort((code, np.bincount(part, minlength=parts)))
+            codes.append(code[heavy[-1 - differing(n, TOPS[at], percent):]])
+            owners.append(np.full(len(codes[-1]), number))
     if not codes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(codes), np.concatenate(owners)
@@ -110,7 +119,8 @@ def stars(codes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Trie:
     """Sets in one global order of elements, with shared beginnings stored once, as runs of at most SEGMENT elements."""
 
-    def __init__(self):
+    def __init__(self, percent: int = PERCENT):
+        self.percent = percent
         self.run, self.kids, self.ends, self.low, self.high = [np.zeros(0, np.int64)], [{}], [[]], [1 << 60], [0]
         self.members: list[list[int]] = [[]]
 
@@ -167,16 +177,16 @@ class Trie:
             else:
                 rest = n
             for number in self.ends[at]:
-                if 100 * common >= PERCENT * (n + depth - common):
+                if 100 * common >= self.percent * (n + depth - common):
                     yield number
             best = common + min(rest, self.high[at] - depth)
             # The union is smallest for the smallest set below.
-            if 100 * best < PERCENT * (n + max(self.low[at], best) - best) or settled(self.members[at]):
+            if 100 * best < self.percent * (n + max(self.low[at], best) - best) or settled(self.members[at]):
                 continue
             todo += [(kid, depth, common) for kid in self.kids[at].values()]
 
 
-def forest(left: list[np.ndarray], right: list[np.ndarray] | None) -> list[tuple[int, int]]:
+def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect all linked sets of ``left`` (or of ``left`` with ``right``, numbered on), without circles."""
     every = left + (right or [])
     owner = list(range(len(every)))
@@ -190,7 +200,7 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None) -> list[tuple
     vocabulary, place = np.unique(np.concatenate(every), return_inverse=True)
     ranks = np.split(place, np.cumsum([len(s) for s in every])[:-1])
     mark = np.zeros(len(vocabulary), bool)
-    trie, found = Trie(), []
+    trie, found = Trie(percent), []
     if right is not None:
         for i in range(len(left)):
             trie.add(i, ranks[i])
@@ -212,13 +222,13 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None) -> list[tuple
     return found
 
 
-def set_table(docs: DataFrame) -> DataFrame:
+def set_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, digest of the set, for every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, sets in shingle_sets(batch.column(1)):
+            for row, sets in shingle_sets(batch.column(1), shingle):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
@@ -230,7 +240,7 @@ def set_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(measured, f"doc_id {kind}, n_shingles long, digest long")
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of set digests with a signature in common, as stars: each code ties its sets to one of them."""
     layout = pa.schema([("shard", pa.int32()), ("codes", pa.binary()), ("owners", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
 
@@ -251,8 +261,8 @@ def candidates(docs: DataFrame) -> DataFrame:
             ], layout)
 
         for batch in batches:
-            for _, sets in shingle_sets(batch.column(0)):
-                codes, owners = signatures(sets)
+            for _, sets in shingle_sets(batch.column(0), shingle):
+                codes, owners = signatures(sets, percent)
                 held.append((codes, np.array([set_digest(s) for s in sets], np.int64)[owners]))
                 if sum(len(c) for c, _ in held) > BATCH_ENTRIES:
                     yield flushed()
@@ -272,7 +282,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     return B.per_group(dealt, "shard", tied, "a long, b long")
 
 
-def verified(texts: DataFrame) -> DataFrame:
+def verified(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between digests, from (digest, family, chunks, text): one text per set that has a candidate.
 
     A family is compared in chunks of about FAMILY_CHUNK sets, every chunk with itself and with every other, so a task holds
@@ -282,7 +292,7 @@ def verified(texts: DataFrame) -> DataFrame:
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column(0).to_pylist()
-            for row, sets in shingle_sets(batch.column(3)):
+            for row, sets in shingle_sets(batch.column(3), shingle):
                 # An id may stand on several rows; only the text that has the set counts.
                 right = pa.array([set_digest(s) == asked[row + i] for i, s in enumerate(sets)], pa.bool_())
                 yield pa.RecordBatch.from_arrays(
@@ -303,9 +313,9 @@ def verified(texts: DataFrame) -> DataFrame:
         arrays = [np.frombuffer(r["elements"], np.uint64) for r in rows]
         split = sum(r["chunk"] == rows[0]["low"] for r in rows)
         if rows[0]["low"] == rows[0]["high"]:
-            links = forest(arrays, None)
+            links = forest(arrays, None, percent)
         else:
-            links = forest(arrays[:split], arrays[split:]) if 0 < split < len(rows) else []
+            links = forest(arrays[:split], arrays[split:], percent) if 0 < split < len(rows) else []
         return pa.table({
             "a": pa.array([rows[i]["digest"] for i, _ in links], pa.int64()),
             "b": pa.array([rows[j]["digest"] for _, j in links], pa.int64()),
@@ -314,11 +324,11 @@ def verified(texts: DataFrame) -> DataFrame:
     return paired.groupBy("family", "low", "high").applyInArrow(compared, "a long, b long")
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
+def similar_groups(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of (doc_id, text).
 
-    Sets of distinct 3-word shingles of the words with A-Z lower-cased; fewer words make one shingle. Documents are linked when
-    100 times the intersection is at least 90 times the union, and empty sets never. ``component_id`` is the smallest id that
+    Sets of distinct shingles of ``shingle`` words with A-Z lower-cased; fewer words make one shingle. Documents are linked when
+    100 times the intersection is at least ``percent`` times the union, and empty sets never. ``component_id`` is the smallest id that
     links reach; rows that share an id are judged each by its own text. A row without an id keeps a null component unless
     it is linked to one with an id. An empty table gives no rows; further columns are not looked at.
 
@@ -328,11 +338,11 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     3. Within a family, sets in one global order are stored in a trie and looked up in it.
     4. Families and the resulting components are found by star joins.
     """
-    every = staged(set_table(docs), "shingle-sets")
+    every = staged(set_table(docs, shingle), "shingle-sets")
     classes = staged(
         every.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("keeper")), "shingle-classes"
     )
-    family = staged(components(candidates(docs)), "shingle-families")
+    family = staged(components(candidates(docs, shingle, percent)), "shingle-families")
     chunks = family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / FAMILY_CHUNK).cast("int").alias("chunks"))
     wanted = staged(
         family.join(chunks, "component").join(classes, family["node"] == classes["digest"])
@@ -343,7 +353,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     bits = key_filter(wanted.select("__keeper"))
     slim = may_contain(docs.select("doc_id", "text"), bits, [F.col("doc_id")], "__wanted").where("__wanted").drop("__wanted")
     texts = slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["__keeper"])).select("digest", "family", "chunks", "text")
-    return labelled(every, classes, components(verified(texts)))
+    return labelled(every, classes, components(verified(texts, shingle, percent)))
 
 
 def labelled(every: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -365,9 +375,9 @@ def labelled(every: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFra
     )
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
+def one_of_each_group(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their group, with all columns; an id that repeats stays if one row does."""
-    groups = similar_groups(docs)
+    groups = similar_groups(docs, shingle=shingle, percent=percent)
     gone = (
         groups.groupBy("doc_id").agg(F.max(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("stays"))
         .where(~F.col("stays")).select(F.col("doc_id").alias("__gone"))

@@ -63,8 +63,8 @@ def shingles(text, size=3):
     return {tuple(w[i: i + size]) for i in range(len(w) - size + 1)}
 
 
-def jaccard_groups(rows):
-    sets = [shingles(t) for _, t in rows]
+def jaccard_groups(rows, size=3, percent=90):
+    sets = [shingles(t, size) for _, t in rows]
     owner = list(range(len(rows)))
 
     def root(i):
@@ -75,7 +75,7 @@ def jaccard_groups(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 owner[root(i)] = root(j)
     least = defaultdict(lambda: None)
     for i, (doc_id, _) in enumerate(rows):

@@ -146,6 +146,39 @@ def test_linked_sets_share_a_signature_and_the_trie_finds_links():
     assert groups(jaccard.forest(sets[:half], sets[half:])) == groups(across)
 
 
+def test_near_copies_of_the_pipeline(spark, small):
+    rng = random.Random(5)
+    near = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(near)), (2, " ".join([*near[:30], "x", *near[31:60], "y", *near[61:]])), (3, " ".join([*near[:20], *["z"] * 15, *near[35:]]))]
+    for i in range(60):
+        text = [f"v{rng.randrange(400)}" for _ in range(rng.choice((3, 4, 5, 30, 80, 400)))]
+        rows += [(10 * i + 10, " ".join(text))]
+        for j in range(1, 4):
+            for _ in range(max(1, len(text) // 50)):
+                text[rng.randrange(len(text))] = "new"
+            rows.append((10 * i + 10 + j, " ".join(text)))
+    for pairs, docs in ((rows, spark.createDataFrame(rows, "doc_id long, text string")), small):
+        wanted = brute.jaccard_groups(pairs, size=5, percent=80)
+        same(jaccard.similar_groups(docs, shingle=5, percent=80), ["doc_id", "n_shingles", "component_id"], wanted)
+        kept = [r.doc_id for r in corpus_pipeline.near_copies(spark, docs, FOLDER).collect()]
+        assert sorted(kept) == sorted(d for d, _, c in wanted if c == d)
+        assert pairs is not rows or (2 not in kept and 3 in kept)
+
+
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_linked_sets_share_a_signature_at_any_similarity(percent):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 6, 9, 13, 28, 60, 200, 900):
+        for _ in range(60):
+            whole = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+            gone = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+            more = rng.integers(0, 1 << 62, int(rng.integers(0, (n - gone) * 100 // percent - n + 1)), dtype=np.uint64)
+            other = np.unique(np.concatenate([whole[gone:], more]))
+            assert 100 * (n - gone) >= percent * (n + len(more))
+            codes, owners = jaccard.signatures([np.unique(whole), other], percent)
+            assert np.intersect1d(codes[owners == 0], codes[owners == 1]).size
+
+
 @pytest.mark.parametrize("table", ["awkward", "small"])
 def test_scores(request, table):
     rows, docs = request.getfixturevalue(table)
