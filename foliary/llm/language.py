@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,10 @@ DIMENSIONS = 4096
 SAMPLE_PER_LANGUAGE = 250
 CENTROIDS = 4
 UNKNOWN = "und"
-TINY_FLOOR = 0.02
+# Texts with under 2^TINY_BITS different cells (about 32 bytes) hold too little to judge.
+TINY_FLOOR, TINY_BITS = 0.02, 7
+# A floor is this quantile of the cosines of at least so many training rows, each to centroids learnt without its fold.
+FLOOR_QUANTILE, FLOOR_ROWS, FOLDS = 0.005, 50, 4
 LETTER = re.compile(r"[^\W\d_]")
 # Documents in one block of vectors, and bytes of text in it (a longer text makes a block of its own).
 BLOCK_ROWS, BLOCK_BYTES = 64, 256 << 10
@@ -27,7 +31,8 @@ FACTORS = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
 class LanguageModel:
     """``centroids`` holds CENTROIDS unit vectors per language, at most; ``owner`` the language of each.
 
-    ``floors[b]`` is the cosine under which a text of 2^b to 2^(b+1) bytes is too far from every centroid.
+    ``floors[i, b]`` is the cosine to the nearest centroid, one of language i, under which a text with 2^b to 2^(b+1)
+    different cells is too far. Cells tell how much a text says: many bytes of a repeated word fill few of them.
     """
 
     languages: list[str]
@@ -36,8 +41,18 @@ class LanguageModel:
     idf: np.ndarray
     floors: np.ndarray
 
-    def floor(self, size: int) -> float:
-        return float(self.floors[min(size.bit_length() - 1, len(self.floors) - 1)]) if size else 2.0
+    def nearest(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language number, cosine to its nearest centroid, and whether that is under the floor, per text."""
+        points = vectors(texts, self.idf)
+        cosine = points @ self.centroids.T
+        best = np.argmax(cosine, axis=1)
+        language, top = self.owner[best], cosine[np.arange(len(texts)), best]
+        return language, top, top < self.floors[language, bands(points)]
+
+
+def bands(points: np.ndarray) -> np.ndarray:
+    """The b of 2^b <= number of different cells < 2^(b+1); 0 for none."""
+    return np.log2(np.maximum((points > 0).sum(axis=1), 1)).astype(int)
 
 
 def gram_counts(texts: list[bytes]) -> np.ndarray:
@@ -90,13 +105,34 @@ def clusters(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return (np.array(centres) / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def floors(sizes: np.ndarray, cosines: np.ndarray) -> np.ndarray:
-    """Half of the smallest cosine among training texts of at least 2^b bytes; texts under 32 bytes hold too little to judge."""
-    found = []
-    for b in range(int(sizes.max()).bit_length()):
-        long_enough = cosines[sizes >= 1 << b]
-        found.append(TINY_FLOOR if b < 5 else 0.5 * float(long_enough.min()))
-    return np.array(found)
+def floors(points: np.ndarray, labels: np.ndarray, languages: list[str], centroids: int) -> np.ndarray:
+    """A low quantile of the cosines of training rows to centroids that were learnt without them, per language and band.
+
+    A band with too few rows of the language takes those of all languages, and if these are too few as well, the bands around
+    it. Equal texts are in one fold.
+    """
+    fold = np.array([zlib.crc32(p.tobytes()) % FOLDS for p in points])
+    cosines = np.full(len(points), np.nan)
+    for language in languages:
+        for f in range(FOLDS):
+            own = labels == language
+            learnt, asked = own & (fold != f), own & (fold == f)
+            if learnt.any() and asked.any():
+                cosines[asked] = np.max(points[asked] @ clusters(points[learnt], centroids).T, axis=1)
+    judged = ~np.isnan(cosines)
+    band = bands(points)
+    found = np.full((len(languages), DIMENSIONS.bit_length()), TINY_FLOOR)
+    if not judged.any():
+        return found
+    for b in range(TINY_BITS, found.shape[1]):
+        for i, language in enumerate(languages):
+            rows = judged & (labels == language) & (band == b)
+            for around in range(found.shape[1]):
+                if rows.sum() >= FLOOR_ROWS:
+                    break
+                rows = judged & (np.abs(band - b) <= around)
+            found[i, b] = np.quantile(cosines[rows], FLOOR_QUANTILE)
+    return found
 
 
 def fit(labelled: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS) -> LanguageModel:
@@ -108,7 +144,7 @@ def fit(labelled: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, centroi
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return LanguageModel([], np.zeros(0, int), np.zeros((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS, np.float32), np.full(1, 2.0))
+        return LanguageModel([], np.zeros(0, int), np.zeros((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS, np.float32), np.zeros((0, 0)))
     pick = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
     share = F.lit(0)
     for language, n in sorted(sizes.items()):
@@ -121,13 +157,12 @@ def fit(labelled: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, centroi
                 rows = vectors(held)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(languages[start: start + len(held)]), pa.array([len(t) for t in held], pa.int64()),
-                        pa.array([r.tobytes() for r in rows], pa.binary()),
+                        pa.array(languages[start: start + len(held)]), pa.array([r.tobytes() for r in rows], pa.binary()),
                     ],
-                    names=["lang", "size", "vector"],
+                    names=["lang", "vector"],
                 )
 
-    rows = usable.where(pick < share).select("text", "lang").mapInArrow(taught, "lang string, size long, vector binary").collect()
+    rows = usable.where(pick < share).select("text", "lang").mapInArrow(taught, "lang string, vector binary").collect()
     languages = sorted({r["lang"] for r in rows})
     points = np.array([np.frombuffer(r["vector"], np.float32) for r in rows])
     labels = np.array([r["lang"] for r in rows])
@@ -136,15 +171,14 @@ def fit(labelled: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, centroi
     points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
     found = [clusters(points[labels == language], centroids) for language in languages]
     owner = np.concatenate([[i] * len(c) for i, c in enumerate(found)]).astype(int)
-    every = np.concatenate(found)
-    return LanguageModel(languages, owner, every, idf, floors(np.array([r["size"] for r in rows]), np.max(points @ every.T, axis=1)))
+    return LanguageModel(languages, owner, np.concatenate(found), idf, floors(points, labels, languages, centroids))
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, rejected for every row of ``docs``, from the whole text alone.
 
-    ``score`` is the cosine to the nearest centroid (0 to 1). A text is rejected when that cosine is under half of the smallest
-    one met in training among texts at least as long. A null text or one without a letter is ``und`` with score 0 and rejected. Repeated rows give repeated
+    ``score`` is the cosine to the nearest centroid (0 to 1). A text is rejected when that cosine is under the floor of
+    that language for texts with as many different n-gram cells (see ``floors``). A null text or one without a letter is ``und`` with score 0 and rejected. Repeated rows give repeated
     rows, an empty table none; further columns are not looked at. A model without languages answers ``und``.
     """
     spark = docs.sparkSession
@@ -156,7 +190,8 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_column: str = "doc_id"
             texts = batch.column(1).to_pylist()
             names, scores, rejected = [], [], []
             for start, held in blocks(texts):
-                cosine = vectors(held, model.idf) @ model.centroids.T
+                if model.languages:
+                    language, cosine, far = model.nearest(held)
                 for i in range(len(held)):
                     text = texts[start + i]
                     if not model.languages or text is None or not LETTER.search(text):
@@ -164,10 +199,9 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_column: str = "doc_id"
                         scores.append(0.0)
                         rejected.append(True)
                     else:
-                        best = int(np.argmax(cosine[i]))
-                        names.append(model.languages[model.owner[best]])
-                        scores.append(float(min(1.0, max(0.0, cosine[i, best]))))
-                        rejected.append(scores[-1] < model.floor(len(held[i])))
+                        names.append(model.languages[language[i]])
+                        scores.append(float(min(1.0, max(0.0, cosine[i]))))
+                        rejected.append(bool(far[i]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
                 names=["doc_id", "lang_pred", "score", "rejected"],
@@ -196,10 +230,8 @@ def known_language(docs: DataFrame) -> DataFrame:
             texts = batch.column(at).to_pylist()
             stays = []
             for start, held in blocks(texts):
-                near = np.max(vectors(held, model.idf) @ model.centroids.T, axis=1, initial=0.0)
-                stays += [
-                    near[i] >= model.floor(len(held[i])) and bool(LETTER.search(texts[start + i] or "")) for i in range(len(held))
-                ]
+                far = model.nearest(held)[2] if model.languages else np.ones(len(held), bool)
+                stays += [not far[i] and bool(LETTER.search(texts[start + i] or "")) for i in range(len(held))]
             yield batch.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -327,6 +327,23 @@ def test_language(spark, awkward, empty):
     assert kept.columns[-1] == "slot" and kept.count() >= 0.98 * docs.count()
 
 
+def test_foreign_and_random_texts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(6)
+    letters = {"latin": "abcdefghijklmnopqrstuvwxyz    ", "base64": "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "+/",
+               "hex": "0123456789abcdef", "greek": "αβγδεζηθικλμνξοπρστυφχψω   ", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя   ",
+               "cjk": "".join(map(chr, range(0x4E00, 0x9FA0))), "digits": "0123456789 "}
+    odd = [(-n, "".join(rng.choice(stock) for _ in range(n)) + " a", name) for name, stock in letters.items() for n in (100, 300, 1000, 3000, 10_000, 30_000)]
+    model = language.fit(docs.where(~language.held_out()))
+    strange = spark.createDataFrame(odd, "doc_id long, text string, lang string")
+    assert [r for r in language.identify(strange, model).collect() if not r.rejected] == []
+    clean = docs.where("NOT text RLIKE '[%$*#&!]{2}'")
+    told = clean.where(language.held_out())
+    assert language.identify(told, model).where("not rejected").count() >= 0.98 * told.count()
+    kept = language.known_language(docs.union(strange.selectExpr("doc_id", "text", "CAST(NULL AS string)")))
+    assert kept.where("doc_id < 0").count() == 0 and kept.count() >= 0.98 * docs.count()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><script>var t="</p><p>no";</script></head><body><nav><ul><li><a href="/a">Nav</a></li></ul></nav>
 <article><h1>Head &amp; shoulders</h1><p>One <b>bold</b>\n word&nbsp;here.<p>Two<br>lines &lt;ok&gt; <!-- no --></p></article><footer>&copy; end</footer>"""
 
