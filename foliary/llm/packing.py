@@ -18,11 +18,12 @@ from foliary.session import new_folder
 WINDOW = 2048
 END_ID = 1
 VOCABULARY = 1 << 16
-# Tokens in one shard of the index, entries of the cache of encoded words, terms of a query, neighbours looked at.
+# Tokens in one shard of the index, entries of the cache of encoded words, neighbours in the first batch of a ranking. A term
+# that more than one in COMMON tails of the shard have is held as a row of weights.
 SHARD_TOKENS = 2_000_000
 CACHE_ENTRIES = 2_500_000
-QUERY_TERMS = 24
 NEIGHBOURS = 16
+COMMON = 8
 K1, LENGTH_WEIGHT = 1.2, 0.75
 TEXT_SLICE = 2 << 20
 
@@ -196,24 +197,47 @@ class Index:
         self.by_owner, self.by_weight = self.owner[order], self.weight[order]
         self.postings = np.searchsorted(self.term[order], np.arange(VOCABULARY + 1))
         self.size = len(tails)
-
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score for the terms that weigh most in the seed."""
-        part = slice(self.first[seed], self.first[seed + 1])
-        best = np.argsort(-self.weight[part], kind="stable")[:QUERY_TERMS]
-        spans = [slice(self.postings[t], self.postings[t + 1]) for t in self.term[part][best]]
-        owners, weights = [self.by_owner[s] for s in spans], [self.by_weight[s] for s in spans]
-        score = np.bincount(np.concatenate(owners), np.concatenate(weights), self.size)
+        common = np.flatnonzero(np.diff(self.postings) > max(1, self.size // COMMON))
+        self.row = np.full(VOCABULARY, -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.size), np.float32)
+        for row, t in zip(self.rows, common, strict=True):
+            part = slice(self.postings[t], self.postings[t + 1])
+            row[self.by_owner[part]] = self.by_weight[part]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for all terms of the seed; the end mark is no term."""
+        terms = self.term[self.first[seed]: self.first[seed + 1]]
+        terms = terms[terms != END_ID]
+        row = self.row[terms]
+        score = self.rows[row[row >= 0]].sum(axis=0, dtype=np.float32).astype(np.float64)
+        spans = [slice(self.postings[t], self.postings[t + 1]) for t in terms[row < 0]]
+        if spans:
+            owners, weights = [self.by_owner[s] for s in spans], [self.by_weight[s] for s in spans]
+            score += np.bincount(np.concatenate(owners), np.concatenate(weights), self.size)
+        return score
+
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[np.ndarray]:
+        """All unused documents with a score above 0, by falling score, in batches that grow."""
+        score = self.scores(seed)
         score[used] = 0
-        top = np.argsort(-score, kind="stable")[:NEIGHBOURS] if self.size <= 256 else np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS]
-        top = top[np.lexsort((top, -score[top]))]
-        return top[score[top] > 0]
+        left = np.flatnonzero(score > 0)
+        many = NEIGHBOURS
+        while len(left):
+            if len(left) > many:
+                split = np.argpartition(-score[left], many)
+                top, left = left[split[:many]], left[split[many:]]
+            else:
+                top, left = left, left[:0]
+            yield top[np.lexsort((top, -score[top]))]
+            many *= 4
 
 
 def packed(tails: list[np.ndarray], index: Index) -> Iterator[tuple[int, int, int, int, int]]:
     """(tail, from, length, sequence, offset): every seed with its neighbours fills a window, the last of them cut to fit.
 
-    Seeds go from the longest to the shortest. The rest of a cut document stays in the index for later seeds.
+    A seed's ranking is followed to its end. Only when no unused document with a term in common is left, the longest
+    unused ones fill the window. Seeds go from the longest to the shortest. The rest of a cut document stays in the index for later seeds.
     """
     length = np.array([len(t) for t in tails])
     done = np.zeros(len(tails), np.int64)
@@ -236,13 +260,15 @@ def packed(tails: list[np.ndarray], index: Index) -> Iterator[tuple[int, int, in
         piece = put(int(seed), WINDOW)
         filled += piece[2]
         yield piece
-        near = index.neighbours(int(seed), used) if filled < WINDOW else []
-        for fits in (True, False):
-            for tail in near:
-                if filled < WINDOW and not used[tail] and (not fits or length[tail] - done[tail] <= WINDOW - filled):
-                    piece = put(int(tail), WINDOW - filled)
-                    filled += piece[2]
-                    yield piece
+        for near in index.neighbours(int(seed), used) if filled < WINDOW else ():
+            for fits in (True, False):
+                for tail in near:
+                    if filled < WINDOW and not used[tail] and (not fits or length[tail] - done[tail] <= WINDOW - filled):
+                        piece = put(int(tail), WINDOW - filled)
+                        filled += piece[2]
+                        yield piece
+            if filled == WINDOW:
+                break
         while filled < WINDOW and following < len(order):
             if used[order[following]]:
                 following += 1

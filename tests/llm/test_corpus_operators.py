@@ -283,6 +283,28 @@ def test_packing(request, table, shard_tokens):
         assert at <= packing.WINDOW
 
 
+def windows_of(tails):
+    index = packing.Index([np.array(t, np.uint16) for t in tails], np.ones(packing.VOCABULARY), 100.0)
+    found = defaultdict(list)
+    for tail, _, length, sequence, _ in packing.packed(tails, index):
+        found[sequence].append((tail, length))
+    return found
+
+
+def test_windows_are_filled_by_neighbours_to_the_end_of_the_ranking():
+    # Two topics without a common term; lengths alternate, so filling by length would mix them.
+    tails = [[*([100 + i % 2, 200 + i % 2] * 60)[: 119 - i], packing.END_ID] for i in range(80)]
+    first = windows_of(tails)[0]
+    assert len(first) > packing.NEIGHBOURS + 1 and sum(n for _, n in first) == packing.WINDOW and {t % 2 for t, _ in first} == {0}
+
+
+def test_every_term_of_a_seed_counts():
+    # The seed has 60 terms of its own that weigh more than the one it shares with the shortest document.
+    seed = [*range(1000, 1060)] * 4
+    tails = [[*seed, 7, packing.END_ID], *[[50 + i] * 200 + [packing.END_ID] for i in range(5)], [7, 8, packing.END_ID]]
+    assert [t for t, _ in windows_of(tails)[0]][:2] == [0, 6]
+
+
 def test_encoder_agrees_with_the_tokenizer():
     import pyarrow as pa
     from tokenizers import Tokenizer
