@@ -14,6 +14,7 @@ from foliary.llm.html import fit as fit_pages
 from foliary.llm.html import main_text
 from foliary.llm.jaccard import similar_groups
 from foliary.llm.language import fit, held_out, identify
+from foliary.llm.merkle import FIELDS, folded, manifest, path_digest
 from foliary.llm.packing import pack
 from foliary.llm.score import score
 from foliary.llm.shards import shuffled_shards
@@ -119,3 +120,73 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_packing")
 def packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
+
+
+def sql_leaf(text: str) -> str:
+    """SQL for the hash of a row with ``text`` in place of its text."""
+    fields = [text if f == "text" else f for f in FIELDS]
+    values = [f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields]
+    return f"sha256({' || '.join(values)})"
+
+
+def sql_climb(name: str, base: str) -> str:
+    """SQL that takes every row of ``base`` (tree, leaf_no, position, node, copy, proof) up to its tree's root, level by level."""
+    return f"""
+    {name} AS (
+      SELECT tree, leaf_no, position, node, copy, proof, count(*) OVER (PARTITION BY tree) AS n
+      FROM (SELECT *, leaf_no AS position FROM {base})
+      UNION ALL
+      SELECT u.tree, leaf_no, u.position // 3, sha256(array_to_string(l, '')),
+             sha256(array_to_string(l[1:u.position % 3], '') || copy || array_to_string(l[u.position % 3 + 2:], '')),
+             proof || array_to_string(l[1:u.position % 3], '') || array_to_string(l[u.position % 3 + 2:], ''), (n + 2) // 3
+      FROM {name} u JOIN (SELECT tree, position // 3 AS run, list(node ORDER BY position) AS l
+                          FROM (SELECT DISTINCT tree, position, node FROM {name}) GROUP BY ALL) r
+        ON u.tree = r.tree AND u.position // 3 = r.run
+      WHERE n > 1)"""
+
+
+SQL_CRC32 = """(4294967295 - list_reduce(list_prepend(4294967295::BIGINT, [ord(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+        lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)),
+            lambda s, i: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END)))"""
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""
+    WITH RECURSIVE docs AS (
+      SELECT doc_id, coalesce('s' || source, '') AS tree, {sql_leaf("text")} AS leaf,
+             CASE WHEN {SQL_CRC32} % 2 = 0 THEN {sql_leaf("replace(text, chr(10), '')")} ELSE {sql_leaf("text")} END AS altered
+      FROM documents),
+    leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, altered) - 1 AS leaf_no FROM docs),
+    leaf_base AS (SELECT tree, leaf_no, leaf AS node, altered AS copy, '' AS proof FROM leaves),
+    {sql_climb("climb", "leaf_base")},
+    tops AS (SELECT * FROM climb WHERE n = 1),
+    tree_base AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS leaf_no, node, '' AS copy, '' AS proof, tree AS of
+                  FROM (SELECT DISTINCT tree, node FROM tops)),
+    further_base AS (SELECT '' AS tree, b.leaf_no, b.node, '' AS copy, '' AS proof FROM tree_base b),
+    {sql_climb("tree_climb", "further_base")},
+    -- The copies of all leaves go through the upper tree by the steps of their own tree's root.
+    steps AS (SELECT b.of, c.position, c.node, c.proof, c.n, c.leaf_no FROM tree_climb c JOIN tree_base b USING (leaf_no)),
+    runs AS (SELECT n, position // 3 AS run, list(node ORDER BY position) AS l
+             FROM (SELECT DISTINCT n, position, node FROM tree_climb) GROUP BY ALL),
+    fold AS (
+      SELECT t.tree, t.leaf_no, t.copy AS value, s.leaf_no AS position, (SELECT max(n) FROM tree_climb) AS n
+      FROM tops t JOIN tree_base s ON s.of = t.tree
+      UNION ALL
+      SELECT f.tree, f.leaf_no, sha256(array_to_string(l[1:f.position % 3], '') || value || array_to_string(l[f.position % 3 + 2:], '')),
+             f.position // 3, (f.n + 2) // 3
+      FROM fold f JOIN runs r ON r.n = f.n AND r.run = f.position // 3 WHERE f.n > 1)
+    SELECT l.doc_id, l.leaf, t.node AS subroot, (SELECT node FROM tree_climb WHERE n = 1 LIMIT 1) AS root,
+           sha256(t.proof || s.proof) AS proof_sha256, f.value AS folded_root,
+           f.value = (SELECT node FROM tree_climb WHERE n = 1 LIMIT 1) AS verified
+    FROM leaves l JOIN tops t ON t.tree = l.tree AND t.leaf_no = l.leaf_no
+    JOIN steps s ON s.of = l.tree AND s.n = 1 JOIN fold f ON f.tree = l.tree AND f.leaf_no = l.leaf_no AND f.n = 1
+    """,
+)
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = manifest(table(spark, folder, "documents"), altered=F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))))
+    at = folded(F.col("altered_leaf"), F.col("path"))
+    shown = found.select("doc_id", "leaf", "subroot", "root", path_digest(F.col("path")).alias("proof_sha256"), at.alias("folded_root"))
+    hexed = {c: F.lower(F.hex(c)) for c in ("leaf", "subroot", "root", "folded_root")}
+    return shown.withColumns(hexed).withColumn("verified", F.col("folded_root") == F.col("root"))
