@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,27 +15,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.llm.words import BYTE_CODE, STEP, mix, slices
+from foliary.llm.words import mix
 from foliary.session import new_folder
 
 WINDOW = 2048
 END_ID = 1
 VOCABULARY = 1 << 16
-# Tokens in one shard of the index, entries of the cache of encoded words, neighbours in the first batch of a ranking. A term
+# Tokens in one shard of the index, neighbours in the first batch of a ranking. A term
 # that more than one in COMMON tails of the shard have is held as a row of weights.
 SHARD_TOKENS = 2_000_000
-CACHE_ENTRIES = 2_500_000
 NEIGHBOURS = 16
 COMMON = 8
 K1, LENGTH_WEIGHT = 1.2, 0.75
 TEXT_SLICE = 2 << 20
 
-# Bytes after a space at which a text may be cut without changing its tokens: printable ASCII, and first bytes of
-# characters of several bytes that begin no white space.
-SAFE = np.zeros(256, bool)
-SAFE[0x21:0x7F] = True
-SAFE[0xC3:] = True
-SAFE[[0xE1, 0xE2, 0xE3]] = False
+# How the byte-level kind of tokenizer file parts a text (a fixed value of the format).
+PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def default_tokenizer() -> str:
@@ -41,62 +39,68 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def text_slices(column: pa.Array, limit: int = TEXT_SLICE) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of whole texts of about ``limit`` characters. A null is an empty text."""
+    held: list[str] = []
+    first = size = 0
+    for value in column.cast(pa.large_binary()):
+        raw = value.as_py() or b""
+        held.append(raw.decode("utf-8", "replace"))
+        size += len(raw)
+        if size >= limit:
+            yield first, held
+            first, held, size = first + len(held), [], 0
+    if held:
+        yield first, held
+
+
+def plain_ranks(path: str) -> dict[bytes, int] | None:
+    """Bytes of every token and its id, where the file is plain byte-level BPE whose ids follow its merges; else None."""
+    file = json.loads(Path(path).read_text("utf-8"))
+    model, parts = file["model"], file["pre_tokenizer"] or {}
+    options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    merged = [first + second for first, second in (m if isinstance(m, list) else m.split(" ") for m in model.get("merges", ()))]
+    vocabulary = model.get("vocab", {})
+    fits = (
+        model["type"] == "BPE" and not any(model.get(o) for o in options) and file["normalizer"] is None
+        and parts.get("type") == "ByteLevel" and parts.get("use_regex", True) and not parts.get("add_prefix_space", True)
+        and all(vocabulary.get(m) == 256 + i for i, m in enumerate(merged)) and len(vocabulary) >= 256 + len(merged)
+    )
+    if not fits:
+        return None
+    # Printable bytes stand for themselves, the others for the characters from 256 on.
+    shown = [b for b in range(256) if chr(b).isprintable() and b != 0x20]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    special = {t["content"] for t in file["added_tokens"]}
+    return {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+
+
 class Encoder:
-    """Ids of many texts. A word with the space before it always has the same ids, so each is encoded once and looked up."""
+    """Ids of texts as the tokenizer of a file gives them.
+
+    For the plain byte-level kind a second implementation of the same merges does the work at a multiple of the speed; it is
+    told nothing of added tokens, so texts that hold one go through the tokenizer itself, as do files of any other kind.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint16)
-
-    def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        """Take in new words; ``keys`` are sorted."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.array([len(i) for i in found], np.int64)
-        begin = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, np.array([i for ids in found for i in ids], np.uint16)])
-        at = np.searchsorted(self.known, keys)
-        self.known = np.insert(self.known, at, keys)
-        self.begin, self.size = np.insert(self.begin, at, begin), np.insert(self.size, at, size)
-
-    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and the number of each text's ids."""
-        if not len(data):
-            return np.zeros(0, np.uint16), np.zeros(len(offsets) - 1, np.int64)
-        cut = np.zeros(len(data), bool)
-        cut[:-1] = (data[:-1] == 0x20) & SAFE[data[1:]]
-        inner = offsets[1:-1]
-        cut[inner[inner > 0] - 1] = False
-        first = offsets[:-1]
-        cut[first[first < len(data)]] = True
-        start = np.flatnonzero(cut)
-        length = np.diff(np.append(start, len(data)))
-        place = np.arange(len(data)) - np.repeat(start, length)
-        powers = np.multiply.accumulate(np.full(int(length.max()), STEP, np.uint64))
-        hashes = mix(np.add.reduceat(BYTE_CODE[data] * powers[place], start) + length.astype(np.uint64))
-        keys, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_ENTRIES:
-            self.clear()
-        at = np.minimum(np.searchsorted(self.known, keys), max(0, len(self.known) - 1))
-        new = self.known[at] != keys if len(self.known) else np.ones(len(keys), bool)
-        if new.any():
-            raw = data.tobytes()
-            self.learn(keys[new], [
-                raw[start[i]: start[i] + length[i]].decode("utf-8", "replace") for i in sample[new]
-            ])
-            at = np.searchsorted(self.known, keys)
-        size, begin = self.size[at][which], self.begin[at][which]
-        before = np.cumsum(size) - size
-        tokens = self.pool[np.repeat(begin - before, size) + np.arange(int(size.sum()))]
-        until = np.concatenate([[0], np.cumsum(size)])
-        return tokens, np.diff(until[np.searchsorted(start, offsets)])
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if self.tokenizer.get_vocab_size() > VOCABULARY:
+            raise ValueError(f"{path} has more than {VOCABULARY} tokens")
+        ranks = plain_ranks(path)
+        self.quick = None
+        if ranks:
+            import tiktoken
+
+            self.quick = tiktoken.Encoding("plain", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.quick is None or any(a in text for a in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
+        return np.frombuffer(array("H", self.quick.encode_ordinary(text)), np.uint16)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -125,12 +129,10 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
         spread = mix(np.arange(VOCABULARY, dtype=np.uint64) + np.uint64(99))
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for row, to, data, offsets in slices(batch.column(1), TEXT_SLICE):
-                tokens, count = encode.ids(data, offsets)
-                edges = np.concatenate([[0], np.cumsum(count)])
+            for row, texts in text_slices(batch.column(1)):
                 out: list[tuple] = []
-                for i in range(to - row):
-                    ids = np.append(tokens[edges[i]: edges[i + 1]], np.uint16(END_ID))
+                for i, text in enumerate(texts):
+                    ids = np.append(encode.ids(text), np.uint16(END_ID))
                     total = len(ids)
                     for start in range(0, total - WINDOW + 1, WINDOW):
                         out.append(("full", row + i, start, WINDOW, check_sum(ids[start: start + WINDOW]), total, 2 * sequence, 0, b""))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliary.llm.binpacking import pack_best
 from foliary.llm.chat import TURNS_PER_BLOCK, format_chats
 from foliary.llm.decontaminate import contamination
 from foliary.llm.exact import exact_groups
@@ -190,3 +191,8 @@ def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     shown = found.select("doc_id", "leaf", "subroot", "root", path_digest(F.col("path")).alias("proof_sha256"), at.alias("folded_root"))
     hexed = {c: F.lower(F.hex(c)) for c in ("leaf", "subroot", "root", "folded_root")}
     return shown.withColumns(hexed).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op11_bestfit_packing")
+def bestfit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_best(table(spark, folder, "documents"))
