@@ -16,6 +16,7 @@ from foliary.llm.html import main_text
 from foliary.llm.jaccard import similar_groups
 from foliary.llm.language import fit, held_out, identify
 from foliary.llm.merkle import FIELDS, folded, manifest, path_digest
+from foliary.llm.negatives import HIGH, LOW, NEGATIVES, POSITIVES, SCALE, hard_negatives
 from foliary.llm.packing import pack
 from foliary.llm.score import score
 from foliary.llm.shards import shuffled_shards
@@ -196,3 +197,31 @@ def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_bestfit_packing")
 def bestfit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_best(table(spark, folder, "documents"))
+
+
+@query(
+    "op13_hard_negatives",
+    f"""
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS whole
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+                 list_inner_product(a.whole, b.whole)::BIGINT AS score
+          FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= {POSITIVES})
+    SELECT anchor_id, positive_id,
+           row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank,
+           other_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND {LOW} * positive_score <= 100 * score AND 100 * score <= {HIGH} * positive_score
+    QUALIFY rank <= {NEGATIVES}
+    """,
+)
+def mined_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
