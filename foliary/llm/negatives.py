@@ -224,6 +224,8 @@ def spans(values: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
     for batch in batches:
+        if not batch.num_rows:
+            continue
         rows = Rows.of(batch)
         for begin in range(0, len(rows.ids), TILE_ROWS):
             yield rows.take(slice(begin, begin + TILE_ROWS))
@@ -326,7 +328,7 @@ def hard_negatives(
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
     asked = staged(asked.select("*", block), "negatives-anchors", "block")
     shared_turn = spark.sparkContext.broadcast(turn)
-    folder = new_folder(spark, "negatives")
+    folder, written = new_folder(spark, "negatives"), []
     layout = "anchor_id long, positive_id long, positive_score long, found_id long, found_score long"
     names = [c.split()[0] for c in layout.split(", ")]
 
@@ -335,9 +337,10 @@ def hard_negatives(
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
     for number in range(blocks):
-        anchors_of = spark.sparkContext.broadcast(
-            asked.where(F.col("block") == number).select("vec_id", "label", "whole").toArrow()
-        )
+        some = asked.where(F.col("block") == number).select("vec_id", "label", "whole").toArrow()  # one block
+        if not some.num_rows:
+            continue
+        anchors_of = spark.sparkContext.broadcast(some)
 
         def same(batches: Iterator[pa.RecordBatch], block=anchors_of) -> Iterator[pa.RecordBatch]:
             near = Anchors.of(block.value, shared_turn.value)
@@ -365,10 +368,12 @@ def hard_negatives(
             columns = (near.ids[a], mark_ids[a, place], marks[a, place], found.id[key, k], found.score[key, k])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-        top(table.mapInArrow(others, layout), negatives).write.parquet(f"{folder}/block={number}")
+        written.append(f"{folder}/block={number}")
+        top(table.mapInArrow(others, layout), negatives).write.parquet(written[-1])
         known.unpersist()
         anchors_of.unpersist()
-    found = spark.read.schema(f"{layout}, rank int").parquet(*[f"{folder}/block={n}" for n in range(blocks)])
+    ranked = f"{layout}, rank int"
+    found = spark.read.schema(ranked).parquet(*written) if written else spark.createDataFrame([], ranked)
     return found.select(
         F.col("anchor_id"), F.col("positive_id"), F.col("rank"), F.col("found_id").alias("negative_id"),
         F.col("positive_score"), F.col("found_score").alias("negative_score"),
