@@ -6,7 +6,7 @@ So a key that fills a third of a table costs one entry per block, and no group g
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,10 @@ def sizes(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES, shard_bytes: int =
     return max(1, -(-total // block_bytes)), max(MIN_SHARD_BITS, (total // shard_bytes).bit_length())
 
 
-def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    """(block, doc_id, text); rows with one doc_id share a block. Column names of ``docs`` beyond these do not matter."""
+def in_blocks(docs: DataFrame, blocks: int, by: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(block, doc_id, text); rows alike in ``by`` share a block. Column names of ``docs`` beyond these do not matter."""
     return docs.select(
-        F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text"
+        F.pmod(F.xxhash64(F.lit("block"), *by), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text"
     )
 
 

@@ -162,14 +162,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = ERROR_RATE, bl
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, rate: float = ERROR_RATE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, contaminated, n_items, item_ids (sorted). Rows that share an id share a finding."""
-    found = leaks(docs, benchmark, rate=rate).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    renamed = found.select(F.col("doc_id").alias("__id"), "item_ids")
+    """One row per row of ``docs``: doc_id, contaminated, n_items, item_ids (sorted). Rows that share an id share a finding.
+
+    Test items are told apart by their ids; all items without one count as a single item, which is not among the ids.
+    """
+    found = leaks(docs, benchmark, rate=rate).groupBy("doc_id").agg(
+        F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max(F.col("item_id").isNull().cast("int")).alias("nameless")
+    )
+    renamed = found.select(F.col("doc_id").alias("__id"), "item_ids", "nameless")
     every = docs.select("doc_id").join(renamed, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     ids = F.coalesce("item_ids", F.expr(f"CAST(array() AS array<{benchmark.schema['item_id'].dataType.simpleString()}>)"))
-    return every.select(
-        "doc_id", (F.size(ids) > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids")
-    )
+    many = (F.size(ids) + F.coalesce("nameless", F.lit(0))).cast("long")
+    return every.select("doc_id", (many > 0).alias("contaminated"), many.alias("n_items"), ids.alias("item_ids"))
 
 
 def without_leaks(

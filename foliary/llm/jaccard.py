@@ -21,7 +21,6 @@ from foliary.session import staged
 SHINGLE = 3
 PERCENT = 90
 SPARE = 2
-SHARD_BITS = 6
 BATCH_ENTRIES = 1 << 20
 FAMILY_CHUNK = 512
 SEGMENT = 32
@@ -241,7 +240,11 @@ def set_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def candidates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of set digests with a signature in common, as stars: each code ties its sets to one of them."""
+    """Pairs (a, b) of set digests with a signature in common, as stars: each code ties its sets to one of them.
+
+    Codes are dealt to shards by their upper bits, as many shards as the bytes of text ask for.
+    """
+    _, bits = B.sizes(docs)
     layout = pa.schema([("shard", pa.int32()), ("codes", pa.binary()), ("owners", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,14 +253,14 @@ def candidates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         def flushed() -> pa.RecordBatch:
             codes, owners, a, b = stars(np.concatenate([c for c, _ in held]), np.concatenate([o for _, o in held]))
             held.clear()
-            cut = B.cut_points(codes, SHARD_BITS)
-            share = np.array_split(np.arange(len(a)), 1 << SHARD_BITS)
+            cut = B.cut_points(codes, bits)
+            share = np.array_split(np.arange(len(a)), 1 << bits)
             return pa.RecordBatch.from_pylist([
                 {
                     "shard": s, "codes": B.packed(codes[cut[s]: cut[s + 1]]), "owners": B.packed(owners[cut[s]: cut[s + 1]]),
                     "a": B.packed(a[share[s]]), "b": B.packed(b[share[s]]),
                 }
-                for s in range(1 << SHARD_BITS)
+                for s in range(1 << bits)
             ], layout)
 
         for batch in batches:

@@ -20,7 +20,8 @@ UNKNOWN = "und"
 TINY_FLOOR, TINY_BITS = 0.02, 7
 # A floor is this quantile of the cosines of at least so many training rows, each to centroids learnt without its fold.
 FLOOR_QUANTILE, FLOOR_ROWS, FOLDS = 0.005, 50, 4
-LETTER = re.compile(r"[^\W\d_]")
+# Letters, and signs for numbers such as halves and squares, which are told apart below.
+LETTER_OR_SIGN = re.compile(r"[^\W\d_]")
 # Documents in one block of vectors, and bytes of text in it (a longer text makes a block of its own).
 BLOCK_ROWS, BLOCK_BYTES = 64, 256 << 10
 GRAMS = (1, 2, 3, 4)
@@ -50,6 +51,10 @@ class LanguageModel:
         return language, top, top < self.floors[language, bands(points)]
 
 
+def has_letter(text: str | None) -> bool:
+    return any(m.group().isalpha() for m in LETTER_OR_SIGN.finditer(text or ""))
+
+
 def bands(points: np.ndarray) -> np.ndarray:
     """The b of 2^b <= number of different cells < 2^(b+1); 0 for none."""
     return np.log2(np.maximum((points > 0).sum(axis=1), 1)).astype(int)
@@ -194,7 +199,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_column: str = "doc_id"
                     language, cosine, far = model.nearest(held)
                 for i in range(len(held)):
                     text = texts[start + i]
-                    if not model.languages or text is None or not LETTER.search(text):
+                    if not model.languages or not has_letter(text):
                         names.append(UNKNOWN)
                         scores.append(0.0)
                         rejected.append(True)
@@ -231,7 +236,7 @@ def known_language(docs: DataFrame) -> DataFrame:
             stays = []
             for start, held in blocks(texts):
                 far = model.nearest(held)[2] if model.languages else np.ones(len(held), bool)
-                stays += [not far[i] and bool(LETTER.search(texts[start + i] or "")) for i in range(len(held))]
+                stays += [not far[i] and has_letter(texts[start + i]) for i in range(len(held))]
             yield batch.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -57,7 +57,7 @@ def score_parts(docs: DataFrame, block_bytes: int) -> DataFrame:
     """Per document what its score is made of (kind ``text``), and corpus counts, a row per block (kind ``corpus``)."""
     count, bits = B.sizes(docs, block_bytes=block_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    every = B.in_blocks(docs, count).withColumn("teaches", learned())
+    every = B.in_blocks(docs, count, ("doc_id", "text")).withColumn("teaches", learned())
 
     def asked(table: pa.Table) -> pa.Table:
         block = Block(table)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from foliary.llm import blocks as B
 from foliary.llm.words import Words, joined, mix, slices, windows
@@ -208,14 +209,16 @@ def without_repeats(
 
     A word goes when a window of ``window`` words around it, all in one document, also starts earlier: in a document of smaller
     id, or in the same one. Windows are judged on the input. Documents that share an id stand in the order of their
-    texts; a null id comes first. A null text has no words. An empty table gives no rows; further columns are not
-    looked at.
+    texts; a null id comes first, and ids are whole numbers (others are refused). A null text has no words. An empty
+    table gives no rows; further columns are not looked at.
 
     The reference, which is the corpus itself, is dealt to shards by content: windows that share an anchor form a passage, and equal
     windows always have equal anchors. Equal passages are one reference passage; where different passages share
     an anchor, their words go to the shard, which builds a suffix automaton of them in the order of their first
     occurrence and streams each through it. So a text meets only the part of the reference that could match it.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id has to be a whole number: the earlier of two equal passages is that of the smaller id")
     count, bits = B.sizes(docs, block_bytes=block_bytes)
     every = B.in_blocks(docs, count)
     kind = docs.schema["doc_id"].dataType.simpleString()

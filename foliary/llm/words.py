@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,11 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 TO_LOWER = np.arange(256, dtype=np.uint8)
 TO_LOWER[65:91] += 32
-_random = np.random.default_rng(17)
-BYTE_CODE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
+# Words up to so many bytes are hashed side by side, eight bytes at a time; longer ones each by a digest.
+SHORT = 64
+# Odd factors without a pattern, one per place of a run of words.
+FACTORS = np.random.default_rng(17).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def mix(value: np.ndarray) -> np.ndarray:
@@ -47,20 +50,25 @@ class Words:
         return np.repeat(np.arange(len(self.count)), self.count)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of every word."""
-        n = len(self.start)
-        if not n:
-            return np.zeros(0, np.uint64)
+        """A 64-bit hash of every word. Every eight bytes are mixed in before the next, so no pattern of letters cancels out."""
         data = TO_LOWER[self.data] if lower else self.data
+        data = np.concatenate([data, np.zeros(8, np.uint8)])
+        # Eight bytes from every place on.
+        eight = np.ndarray(len(data) - 7, "<u8", data.tobytes(), strides=(1,))
         length = self.end - self.start
-        head = self.start[0]
-        place = np.zeros(len(data), np.int64)
-        place[head:] = np.arange(head, len(data)) - np.repeat(self.start, np.diff(np.append(self.start, len(data))))
-        longest = int(length.max())
-        powers = np.multiply.accumulate(np.full(longest + 1, STEP, np.uint64))
-        value = BYTE_CODE[data] * powers[np.minimum(place, longest)]
-        value[SPACE[self.data]] = 0
-        return mix(np.add.reduceat(value, self.start) + length.astype(np.uint64))
+        value = length.astype(np.uint64)
+        which = np.flatnonzero(length <= SHORT)
+        for done in range(0, SHORT, 8):
+            which = which[length[which] > done]
+            if not len(which):
+                break
+            spare = 8 * np.maximum(0, done + 8 - length[which]).astype(np.uint64)
+            part = eight[self.start[which] + done] << spare
+            value[which] = mix((value[which] + STEP) ^ part)
+        for i in np.flatnonzero(length > SHORT):
+            digest = hashlib.blake2b(data[self.start[i]: self.end[i]].tobytes(), digest_size=8).digest()
+            value[i] = int.from_bytes(digest, "little")
+        return value
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i]:self.end[i]].tobytes()
@@ -90,9 +98,8 @@ def windows(values: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
 def joined(values: np.ndarray, size: int) -> np.ndarray:
     """Hash of ``size`` hashes in a row, from each place; the last ``size - 1`` places are of no use."""
     total = np.zeros(len(values), np.uint64)
-    factor = np.uint64(1)
-    with np.errstate(over="ignore"):
-        for shift in range(size):
-            factor = factor * STEP
-            total[: len(values) - shift] += values[shift:] * factor
+    for shift in range(size):
+        total[: len(values) - shift] += values[shift:] * FACTORS[shift % len(FACTORS)]
+        if shift % len(FACTORS) == len(FACTORS) - 1:
+            total = mix(total)
     return mix(total)

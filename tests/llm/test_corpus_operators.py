@@ -456,7 +456,8 @@ def test_pipeline(spark, small, empty):
         elif name == "exact copies":
             assert kept == {r[0] for r in brute.exact(pairs) if r[3]}
         elif name == "near copies":
-            assert kept == {d for d, _, c in brute.jaccard_groups(pairs) if c == d}
+            near = brute.jaccard_groups(pairs, size=corpus_pipeline.NEAR_WORDS, percent=corpus_pipeline.NEAR_PERCENT)
+            assert kept == {d for d, _, c in near if c == d}
         else:
             items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
             assert set(left) - kept >= {d for d, t in pairs if any(i in decontaminate.normal(t) for i in items)}
@@ -464,3 +465,33 @@ def test_pipeline(spark, small, empty):
     assert {r.doc_id for r in corpus_pipeline.run(spark, FOLDER).collect()} == set(left)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty.withColumn("source", empty.block), FOLDER).count() == 0, name
+
+
+def test_patterned_words_are_told_apart(spark):
+    one, other = thue_morse(1024)
+    rows = [(1, f"{one} {one} {one}"), (2, f"{other} {other} {other}"), (3, " ".join([one] * 25)), (4, " ".join([other] * 25))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.similar_groups(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 2}
+    same(substrings.without_repeats(docs), ["doc_id", "n_words", "n_removed", "kept"], brute.repeats(rows, 20))
+    known = {r.doc_id: r.n_known for r in score.score(docs).collect()}
+    taught = {t.split()[0] for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1}
+    assert known == {d: sum(w in taught for w in t.split()) + 1 for d, t in rows}
+
+
+def test_number_signs_are_no_letters(spark):
+    docs = spark.createDataFrame([(0, "½ ² ①"), (1, "Ⅷ ½"), (2, "")], "doc_id long, text string")
+    model = language.fit(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    assert {r.lang_pred for r in language.identify(docs, model).collect()} == {"und"}
+
+
+def test_items_without_an_id_count(spark):
+    docs = spark.createDataFrame([(1, "x the secret passage of the test y"), (2, "nothing here to be found at all")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "the secret passage of the test")], "item_id long, text string")
+    found = {r.doc_id: (r.contaminated, r.n_items, r.item_ids) for r in decontaminate.contamination(docs, items).collect()}
+    assert found == {1: (True, 1, []), 2: (False, 0, [])}
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, items).collect()] == [2]
+
+
+def test_passages_need_whole_numbers_as_ids(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        substrings.without_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
