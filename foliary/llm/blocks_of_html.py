@@ -11,7 +11,11 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span"
     " strike strong sub sup time tt u var wbr".split()
 )
-RAW = frozenset("script style title textarea noscript template iframe xmp svg math object".split())
+# Elements without text of the page. Only of the first four does an open one reach to the end of the page.
+RAW = frozenset("script style title textarea template iframe xmp".split())
+TO_THE_END = frozenset("script style title textarea".split())
+# Formulas and drawings stand in a line of text, with all that is in them.
+IN_LINE = frozenset("math svg".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article aside body div fieldset footer form header html li main nav section table td th tr ul ol dl".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -79,20 +83,27 @@ def leaves(html: str | None) -> list[Leaf]:
         if not tag:
             continue
         attributes = match[3] if match[2] else match[6]
+        inline = tag in INLINE or tag in IN_LINE or not IN_LINE.isdisjoint(stack)
         if match[1] or match[4]:
-            if tag not in INLINE:
+            if not inline:
                 flush()
             if tag in stack:
                 while stack.pop() != tag:
                     marks.pop()
                 marks.pop()
             continue
-        if tag in RAW:
-            if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+        if tag in RAW and not attributes.endswith("/"):
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+            if end or tag in TO_THE_END:
                 at = end.end() if end else len(html)
-            continue
-        if tag not in INLINE:
+                continue
+        if tag in CONTAINERS or tag in ("p", "h1", "h2", "h3"):
+            # An open formula or drawing ends where a part of the page begins.
+            while stack and not IN_LINE.isdisjoint(stack):
+                stack.pop()
+                marks.pop()
+            inline = False
+        if not inline:
             flush()
         if tag in CLOSES:
             for depth in range(len(stack) - 1, -1, -1):

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from foliary.llm.blocks_of_html import Leaf, leaves
 from foliary.llm.words import Words
 
-# Pages that teach, their largest size, and blocks of a training sequence: the bounds of what reaches the driver.
-SAMPLE_PAGES, SAMPLE_BYTES, SAMPLE_BLOCKS, COPIES = 100, 32 << 10, 64, 5
+# Pages that teach and their bytes in all, the bounds of what reaches the driver; blocks of a training sequence and
+# sequences of a page, whatever its size; copies of a page.
+SAMPLE_PAGES, SAMPLE_BYTES, SAMPLE_BLOCKS, SEQUENCES, COPIES = 100, 8 << 20, 64, 6, 5
 PATH_CELLS, WORD_CELLS, SHAPE = 192, 48, 6
 WIDTH = PATH_CELLS + WORD_CELLS + SHAPE
 HIDDEN = 16
@@ -25,7 +26,7 @@ ROUNDS, LEARNING_RATE = 9, 0.01
 PAGES_AT_ONCE = 64
 
 # Names that mark what is not the article.
-ASIDE_TAGS = frozenset("nav footer aside form button select option menu dialog fieldset legend figcaption".split())
+ASIDE_TAGS = frozenset("nav footer aside form button select option menu dialog fieldset legend".split())
 ASIDE_NAMES = frozenset(
     "ad ads advert advertisement banner sponsor sponsored promo sidebar side menu nav navigation breadcrumb breadcrumbs footer"
     " header masthead cookie cookies notice consent gdpr popup modal overlay newsletter subscribe share sharing social related"
@@ -170,11 +171,16 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def taught_label(block: Leaf) -> bool:
-    """What the markup itself says of a block: the article, unless a step of its path names something else."""
+    """What the markup itself says of a block: the article, unless a step of its path names something else.
+
+    A header inside an article is its head line and belongs to it.
+    """
     main = False
     for mark in block.path:
         tag, *names = mark.split(".")
-        if tag in ASIDE_TAGS or ASIDE_NAMES.intersection(names) or tag == "header":
+        if tag == "header" and main:
+            names = [n for n in names if n != "header"]
+        if tag in ASIDE_TAGS or ASIDE_NAMES.intersection(names) or (tag == "header" and not main):
             return False
         main = main or tag in ("article", "main") or bool(MAIN_NAMES.intersection(names))
     return main
@@ -191,62 +197,86 @@ INSIDE = (
     "<table><tr><td>{2}</td><td>{0}</td></tr></table>", "<ol><li>{0}</li><li>{2}</li></ol>", "<div>{0}</div>",
     "<p>{0} <a>{2}</a> <em>{1}</em></p>",
 )
+HEADS = (
+    "<header><h1>{2}</h1></header>", "<header><h1>{2}</h1><p>{0}</p></header>", "<h2>{2}</h2>",
+    "<figure><img><figcaption>{0}</figcaption></figure>", "<noscript><p>{0}</p></noscript>",
+)
+# What an article and a menu stand in on pages that name nothing.
+BARE = (("<div>", "</div>"), ('<div id="page">', "</div>"), ("<section>", "</section>"), ("<table><tr><td>", "</td></tr></table>"))
 SHELLS = (
     ("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' class="post entry"'), ("div", ' id="main-content"'),
     ("section", ' class="article-body"'),
 )
 
 
-def variants(html: str, rng: random.Random, sentences: list[str]) -> Iterator[str]:
-    """The page itself, and copies with other containers and with further parts around and inside the article.
+def shell(page: str, tag: str, opening: str, closing: str) -> str:
+    return re.sub(rf"<{tag}(?=[\s>])[^>]*>", lambda _: opening, page).replace(f"</{tag}>", closing)
+
+
+def variants(html: str, rng: random.Random, sentences: list[str]) -> Iterator[tuple[str, str]]:
+    """(page as it is shown, page whose markup says what is what): the page itself, and copies.
 
-    What the parts say is taken from other articles, so that the words alone do not tell them from the article.
+    Copies have other containers, some of them without any name, and further parts around and inside the article. What
+    the parts say is taken from other articles, so that the words alone do not tell them from the article.
     """
-    yield html
+    yield html, html
     for _ in range(COPIES):
-        tag, names = rng.choice(SHELLS)
-        page = re.sub(r"<article[^>]*>", f"<{tag}{names}>", html).replace("</article>", f"</{tag}>")
-        if rng.random() < 0.5:
-            page = page.replace("<nav>", '<div class="menu">').replace("</nav>", "</div>")
-            page = page.replace("<footer>", '<div class="footer">').replace("</footer>", "</div>")
+        page = html
         for _ in range(rng.randint(2, 6)):
             words = rng.choice(sentences), rng.choice(sentences), rng.choice(sentences)[:12]
-            if rng.random() < 0.3:
+            chance = rng.random()
+            if chance < 0.25:
                 said = rng.choice(INSIDE).format(*words)
-                spots = [m.start() for m in re.finditer(rf"</{tag}>", page)][-1:]
+                spots = [m.start() for m in re.finditer("</article>", page)][-1:]
+            elif chance < 0.4:
+                said = rng.choice(HEADS).format(*words)
+                spots = [m.end() for m in re.finditer(r"<article(?=[\s>])[^>]*>", page)][:1]
             else:
                 said = rng.choice(EXTRA).format(*words, t="aside").replace("</aside>", "</@>")
                 kind = rng.choice(PLAIN_ASIDES) if rng.random() < 0.4 else "div"
                 label = "" if kind != "div" else f' {rng.choice(("class", "id"))}="{rng.choice(NAMES_OF_ASIDES)}{rng.choice(("", " box", "-inner"))}"'
                 said = said.replace("<aside>", f"<{kind}{label}>").replace("</@>", f"</{kind}>")
-                spots = [m.start() for m in re.finditer(rf"<{tag}\b|</{tag}>|<p>|</body>|<footer|<nav", page)]
+                places = r"<article\b|</article>|</body>|<footer|<nav" if kind == "header" else r"<article\b|</article>|<p>|</body>|<footer|<nav"
+                spots = [m.start() for m in re.finditer(places, page)]
+                if kind == "header":
+                    spots = [at for at in spots if page[:at].count("<article") == page[:at].count("</article>")]
             if spots:
                 at = rng.choice(spots)
                 page = page[:at] + said + page[at:]
-        yield page
+        if rng.random() < 0.5:
+            head = " ".join(rng.choice(sentences).split()[: rng.randint(1, 6)])
+            page = re.sub(r"(<h1[^>]*>).*?(</h1>)", lambda m: m[1] + head + m[2], page, count=1, flags=re.S)
+        tag, names = rng.choice(SHELLS)
+        opening, closing = rng.choice(BARE) if rng.random() < 0.4 else (f"<{tag}{names}>", f"</{tag}>")
+        shown = shell(page, "article", opening, closing)
+        if rng.random() < 0.5:
+            menu, end = rng.choice(BARE) if rng.random() < 0.5 else ('<div class="menu">', "</div>")
+            shown = shell(shell(shown, "nav", menu, end), "footer", '<div class="footer">', "</div>")
+        yield shown, page
 
 
-def fit(pages: DataFrame, *, sample_pages: int = SAMPLE_PAGES) -> Labeller:
-    """Learn from about ``sample_pages`` pages of moderate size, chosen by a hash of their id.
+def fit(pages: DataFrame, *, sample_pages: int = SAMPLE_PAGES, sample_bytes: int = SAMPLE_BYTES) -> Labeller:
+    """Learn from about ``sample_pages`` pages of any size and ``sample_bytes`` at most, chosen by a hash of their id and text.
 
     Pages have no labels; the markup of well-formed ones gives them (``taught_label``), and copies with other markup and added
     parts teach what the page as a whole looks like. Without a page that has an article the labeller stays untaught.
     """
-    usable = pages.where(F.col("html").isNotNull() & (F.octet_length("html") <= SAMPLE_BYTES)).select("page_id", "html")
-    count = usable.count()
-    share = min(1 << 30, (sample_pages << 30) // max(1, count))
+    usable = pages.where(F.col("html").isNotNull()).select("page_id", "html")
+    whole = usable.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("html")).alias("bytes")).first()
+    share = min(1 << 30, (sample_pages << 30) // max(1, whole["n"]), (sample_bytes << 30) // max(1, whole["bytes"] or 0))
     chosen = usable.where(F.pmod(F.xxhash64(F.lit("sample"), "page_id", "html"), F.lit(1 << 30)) < share)
     texts = [r["html"] for r in sorted(chosen.limit(4 * sample_pages).collect(), key=lambda r: (str(r["page_id"]), r["html"]))]
     rng = random.Random(3)
     sentences = [b.text for h in texts for b in leaves(h) if taught_label(b)][: 50 * sample_pages] or ["text"]
     taught = []
     for html in texts:
-        for page in variants(html, rng, sentences):
-            blocks = leaves(page)
-            labels = np.array([taught_label(b) for b in blocks], np.float32)
-            if labels.any():
+        for shown, told in variants(html, rng, sentences):
+            blocks = leaves(shown)
+            labels = np.array([taught_label(b) for b in leaves(told)], np.float32)
+            if labels.any() and len(labels) == len(blocks):
                 rows = features(blocks)
-                for begin in range(0, len(blocks), SAMPLE_BLOCKS):
+                begins = list(range(0, len(blocks), SAMPLE_BLOCKS))
+                for begin in begins if len(begins) <= SEQUENCES else rng.sample(begins, SEQUENCES):
                     taught.append((rows[begin: begin + SAMPLE_BLOCKS], labels[begin: begin + SAMPLE_BLOCKS]))
     model = Labeller()
     if taught:

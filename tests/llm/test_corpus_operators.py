@@ -11,6 +11,7 @@ import brute
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
@@ -495,3 +496,38 @@ def test_items_without_an_id_count(spark):
 def test_passages_need_whole_numbers_as_ids(spark):
     with pytest.raises(TypeError, match="whole number"):
         substrings.without_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+HEAD, FIRST = "Bridge closes", "The old bridge over the river closed on Monday, the council said, after cracks were found."
+SECOND = "Engineers will inspect it for two weeks before traffic may return to the crossing."
+
+
+def page_in(opening, closing, inside=""):
+    return (
+        '<html><body><nav><ul><li><a href="a">Home</a></li><li><a href="b">News</a></li></ul></nav>'
+        f"{opening}<h1>{HEAD}</h1><p>{FIRST}{inside}</p><p>{SECOND}</p>{closing}<footer><p>Copyright Some Press</p></footer></body></html>"
+    )
+
+
+def test_layouts_without_names_and_rare_elements(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    model = html.fit(pages)
+    whole = [HEAD, FIRST, SECOND]
+    for opening, closing in (("<article>", "</article>"), ("<div id=page>", "</div>"), ("<div>", "</div>"),
+                             ("<table><tr><td>", "</td></tr></table>"), ("<article><svg><path d=1>", "</article>")):
+        assert html.texts_of([page_in(opening, closing)], model) == ["\n".join(whole)], opening
+    head = f"<article><header><h1>{HEAD}</h1></header>"
+    assert html.texts_of([page_in("", "").replace(f"<h1>{HEAD}</h1>", head).replace("<footer>", "</article><footer>")], model) == ["\n".join(whole)]
+    formula = page_in("<article>", "</article>", " Then <math><mi>x</mi><mo>=</mo></math> 1.")
+    assert html.texts_of([formula], model) == ["\n".join([HEAD, f"{FIRST} Then x= 1.", SECOND])]
+    assert "Seen from above." in html.texts_of([page_in("<article>", "</article>", "<noscript>Seen from above.</noscript>")], model)[0]
+    menu = f'<table><tr><td><a href="a">Home</a> <a href="b">News</a></td></tr><tr><td><h1>{HEAD}</h1><p>{FIRST}</p><p>{SECOND}</p></td></tr></table>'
+    assert html.texts_of([menu], model) == ["\n".join(whole)]
+
+
+def test_large_pages_teach(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    large = pages.withColumn("html", F.concat("html", F.lit("<!-- " + "x" * 40_000 + " -->")))
+    rows = pages.collect()
+    wanted = ["\n".join(b.text for b in html.leaves(r.html) if "article" in b.path) for r in rows]
+    assert html.texts_of([r.html for r in rows], html.fit(large)) == wanted
