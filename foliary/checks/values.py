@@ -60,7 +60,7 @@ def code_fence(spark: SparkSession, sf: str) -> DataFrame:
 def parse_object(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("event_id", A.raw_fields(broken_props()).alias("raw"))
     return rows.select(
-        "event_id", F.col("raw").isNotNull().alias("parsed"), A.cast_text(F.col("raw")["k"], T.LongType()).alias("k")
+        "event_id", F.col("raw").isNotNull().alias("parsed"), A.relaxed_value(F.col("raw")["k"], T.LongType()).alias("k")
     )
 
 
@@ -126,12 +126,64 @@ def strict_validation(spark: SparkSession, sf: str) -> DataFrame:
         F.when(key % 3 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")),
         F.lit('", "extra": {"x": 1}}'),
     )
-    rows = table(spark, sf, "orders").select("o_orderkey", text.alias("answer"), A.raw_fields(text).alias("raw"))
+    given = table(spark, sf, "orders").select("o_orderkey", text.alias("answer"))
+    rows = given.select("o_orderkey", A.raw_fields(F.col("answer")).alias("raw"))
     rows = rows.withColumn("r", A.relaxed(F.col("raw"), ORDER_ANSWER))
-    errors = A.strict_errors(F.col("raw"), F.col("r"), ORDER_ANSWER, F.col("answer"))
+    errors = A.strict_errors(F.col("raw"), F.col("r"), ORDER_ANSWER)
     return rows.select("o_orderkey", F.array_join(errors, "; ").alias("errors"))
 
 
+ADDRESS = T.StructType([
+    field("street", required=True), field("kind", enum=("home", "work"), default="home"), field("floor", "bigint"),
+])
+NESTED_ANSWER = T.StructType([
+    field("buyer", T.StructType([field("name", required=True), field("at", ADDRESS, required=True)]), required=True),
+    field("lines", T.ArrayType(T.StructType([field("item", "bigint", required=True), field("note"), field("paid", "boolean", default=True)])),
+          required=True),
+    field("marks", "array<string>", enum=("O", "F", "P")),
+])
+
+
+@check(
+    "fn_06_nested_records",
+    """SELECT o_orderkey, concat_ws('; ',
+         CASE WHEN o_orderkey % 3 = 0 THEN 'buyer.name: missing' END,
+         CASE o_orderkey % 5 WHEN 0 THEN 'buyer.at: type' WHEN 1 THEN 'buyer.at.street: null' WHEN 2 THEN 'buyer.at.kind: enum'
+              WHEN 3 THEN 'buyer.at.floor: type' END,
+         CASE o_orderkey % 4 WHEN 0 THEN 'lines[1].item: missing' WHEN 1 THEN 'lines[0].item: type; lines[1].note: type'
+              WHEN 2 THEN 'lines: null' END,
+         CASE WHEN o_orderkey % 7 = 0 THEN 'marks[1]: type' WHEN o_orderkey % 7 = 1 THEN 'marks[0]: enum' END) AS errors,
+         CASE o_orderkey % 5 WHEN 1 THEN 'home' WHEN 2 THEN 'moon' WHEN 3 THEN 'work' WHEN 4 THEN 'home' END AS kind,
+         CASE WHEN o_orderkey % 4 <> 2 THEN 1 + (o_orderkey % 2) END AS n_paid
+       FROM orders""",
+)
+def nested_records(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    customer = F.col("o_custkey").cast("string")
+    at = (
+        F.when(key % 5 == 0, '"a street"').when(key % 5 == 1, '{"street": " "}').when(key % 5 == 2, '{"street": "s", "kind": "moon"}')
+        .when(key % 5 == 3, '{"street": "s", "kind": "work", "floor": "top"}').otherwise('{"street": "s", "floor": "3"}')
+    )
+    lines = (
+        F.when(key % 4 == 0, F.concat(F.lit('[{"item": '), customer, F.lit('}, {"paid": false}]')))
+        .when(key % 4 == 1, '[{"item": "many"}, {"item": 1, "note": 7}]').when(key % 4 == 2, "null")
+        .otherwise(F.concat(F.lit('[{"item": "'), customer, F.lit('"}, {"item": 2, "paid": "on"}]')))
+    )
+    marks = F.when(key % 7 == 0, '["O", 5]').when(key % 7 == 1, '["X"]').otherwise(F.concat(F.lit('["'), "o_orderstatus", F.lit('"]')))
+    name = F.when(key % 3 == 0, "").otherwise(F.concat(F.lit('"name": "'), customer, F.lit('", ')))
+    text = F.concat(
+        F.lit('{"buyer": {'), name, F.lit('"at": '), at, F.lit('}, "lines": '), lines, F.lit(', "marks": '), marks, F.lit("}")
+    )
+    given = table(spark, sf, "orders").select("o_orderkey", text.alias("answer"))
+    rows = given.select("o_orderkey", A.raw_fields(F.col("answer")).alias("raw"))
+    rows = rows.withColumn("r", A.relaxed(F.col("raw"), NESTED_ANSWER))
+    paid = F.size(F.filter("r.lines", lambda x: x["paid"]))
+    return rows.select(
+        "o_orderkey", F.array_join(A.strict_errors(F.col("raw"), F.col("r"), NESTED_ANSWER), "; ").alias("errors"),
+        F.col("r.buyer.at.kind").alias("kind"), F.when(paid >= 0, paid).cast("long").alias("n_paid"),
+    )
+
+
 @check(
     "fn_07_up_cast",
     """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS ordered,

@@ -1,11 +1,14 @@
 """Reading a provider's JSON answer: fence, parse, scrub, default, validate.
 
-An answer is parsed once into a map of raw texts; every field is then cast by
-itself, so one bad value is reported by name and never loses the other fields.
+An answer is parsed once into a map of variants, which keep what the text of a value cannot tell: whether it was text, a
+number, a list or an object. Record and errors are both read by walking the schema over those variants, so one bad value
+is reported by its path (``lines[1].street: null``) and never loses the other fields.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +17,7 @@ from foliary.functions import dates
 from foliary.functions.text import blank_to_null, is_blank, strip
 from foliary.schema import default_of, enum_of, is_required, parse_of
 
-RAW = "map<string,string>"
+RAW = "map<string,variant>"
 MALFORMED = "answer: malformed"
 _BETWEEN = "\x1f"
 
@@ -39,7 +42,7 @@ def without_fence(answer: Column) -> Column:
 
 
 def raw_fields(text: Column) -> Column:
-    """Top-level keys with their raw text; null unless the text is one whole JSON object.
+    """Top-level keys with their values as variants; null unless the text is one whole JSON object.
 
     Reading the text as the only item of an array also rejects anything after the object.
     """
@@ -98,91 +101,165 @@ def parsed(text: Column, rule: str | None) -> Column:
     return F.coalesce(PARSERS[name](text, int(year or 0)).cast("string"), text)
 
 
-def relaxed_field(raw: Column, f: T.StructField) -> Column:
-    """One field of the relaxed parse.
+def text_of(value: Column) -> Column:
+    """A variant as text: a scalar's own, a list or an object as JSON; null for JSON null or nothing."""
+    return F.coalesce(F.try_variant_get(value, "$", "string"), F.when(~F.is_variant_null(value), F.to_json(value)))
+
+
+def inner(value: Column, name: str) -> Column:
+    """A key of a variant object; null only where the key is missing."""
+    return F.try_variant_get(value, f"$['{name}']", "variant")
+
+
+def items_of(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def entries_of(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(value)`` with ``value`` worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), lambda v: make(v)), 0)
+
+
+def is_object(value: Column) -> Column:
+    return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
+
+
+def relaxed_value(value: Column, data_type: T.DataType, rule: str | None = None) -> Column:
+    """A variant as ``data_type``, or null where it does not fit; blank text is null at every level."""
+    if isinstance(data_type, T.StructType):
+        fields = F.struct(*[
+            bound(inner(value, f.name), lambda at, f=f: relaxed_field(at, at.isNotNull(), f)).alias(f.name) for f in data_type.fields
+        ])
+        return F.when(is_object(value), fields)
+    if isinstance(data_type, T.ArrayType):
+        return F.transform(items_of(value), lambda x: relaxed_value(x, data_type.elementType))
+    if isinstance(data_type, T.MapType):
+        read = F.transform_values(entries_of(value), lambda _, v: relaxed_value(v, data_type.valueType))
+        if isinstance(data_type.keyType, T.StringType):
+            return read
+        return F.transform_keys(read, lambda k, _: cast_text(k, data_type.keyType))
+    if isinstance(data_type, T.VariantType):
+        return F.when(~F.is_variant_null(value), value)
+    if isinstance(data_type, T.StringType):
+        return blank_to_null(parsed(text_of(value), rule))
+    # Blank text, a list or an object casts to nothing.
+    return cast_text(parsed(F.try_variant_get(value, "$", "string"), rule), data_type)
+
+
+def relaxed_field(value: Column, present: Column, f: T.StructField) -> Column:
+    """One field of the relaxed parse, at any depth.
 
     A missing key takes the declared default; a null or blank value becomes null; a declared parser comes first.
     """
-    text = blank_to_null(raw[f.name]) if not isinstance(f.dataType, T.StringType) else raw[f.name]
-    value = scrubbed(cast_text(parsed(text, parse_of(f)), f.dataType), f.dataType)
+    read = relaxed_value(value, f.dataType, parse_of(f))
     default = default_of(f)
     if default is None:
-        return value
+        return read
     filled = F.lit(default).cast(f.dataType) if not isinstance(default, (list, dict)) else F.from_json(
         F.lit(f.metadata["default"]), f.dataType.simpleString())
-    return F.when(F.map_contains_key(raw, f.name), value).otherwise(filled)
+    return F.when(present, read).otherwise(filled)
 
 
 def relaxed(raw: Column, record: T.StructType) -> Column:
     """The whole record; null when the answer could not be read at all."""
-    fields = F.struct(*[relaxed_field(raw, f).alias(f.name) for f in record.fields])
-    return F.when(raw.isNotNull(), fields)
+    fields = []
+    for f in record.fields:
+        present = F.map_contains_key(raw, f.name)
+        read = bound(raw[f.name], lambda v, f=f, present=present: relaxed_field(v, present, f)) if _is_nested(f.dataType) else (
+            relaxed_field(raw[f.name], present, f)
+        )
+        fields.append(read.alias(f.name))
+    return F.when(raw.isNotNull(), F.struct(*fields))
 
 
-def field_problem(raw: Column, value: Column, f: T.StructField) -> Column:
-    """``missing``, ``null``, ``type`` or ``enum`` when the strict rule is broken, else null."""
-    given = raw[f.name]
-    blank = given.isNull() | is_blank(given)
-    allowed = enum_of(f)
-    # A value that was read is not missing, blank or of the wrong type, so nothing else is worked out for it.
-    right = F.lit(None).cast("string") if allowed is None else F.when(_outside(value, f.dataType, allowed), F.lit("enum"))
-    problem = F.when(value.isNotNull(), right)
-    if is_required(f) and default_of(f) is None:
-        problem = problem.when(~F.map_contains_key(raw, f.name), F.lit("missing")).when(blank, F.lit("null"))
-    return problem.when(~blank, F.lit("type"))
+def _said(path: Column, word: str) -> Column:
+    return F.concat(path, F.lit(f": {word}"))
 
 
-def _outside(value: Column, data_type: T.DataType, allowed: list[str]) -> Column:
-    if isinstance(data_type, T.ArrayType):
-        return F.exists(value, lambda x: ~x.isin(*allowed))
-    return ~value.isin(*allowed)
+def _scalar_problem(kind: Column, value: Column, data_type: T.DataType, allowed: list[str] | None, path: Column) -> Column:
+    """``type`` or ``enum`` of a value that came with something, else null. Text is wanted as text; others may come as text."""
+    problem = F.when(value.isNull(), _said(path, "type"))
+    if isinstance(data_type, T.StringType):
+        problem = problem.when(kind != "STRING", _said(path, "type"))
+    return problem if allowed is None else problem.when(~value.isin(*allowed), _said(path, "enum"))
 
 
-def _json_path(names: tuple[str, ...]) -> str:
-    return "$" + "".join(f"['{n}']" for n in names)
+def _inside(given: Column, kind: Column, value: Column, data_type: T.DataType, allowed: list[str] | None, path: Column) -> Column:
+    """The messages of a value that came with something, as one text; null or empty for none."""
+    if isinstance(data_type, T.StructType):
+        found = F.concat_ws(_BETWEEN, *[
+            _at(inner(given, f.name), value[f.name], lambda g, k, v, f=f: problems(g, k, k.isNotNull(), v, f, F.concat(path, F.lit(f".{f.name}"))))
+            for f in data_type.fields
+        ])
+    elif isinstance(data_type, T.ArrayType):
+        def item(x: Column, i: Column) -> Column:
+            at = F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+            nothing = F.lit(None).cast("string") if data_type.containsNull else _said(at, "null")
+            return _at(x, F.get(value, i), lambda g, k, v: F.when(_blank(g, k), nothing).otherwise(
+                _inside(g, k, v, data_type.elementType, allowed, at)))
+
+        found = F.concat_ws(_BETWEEN, F.transform(items_of(given), item))
+    elif isinstance(data_type, T.MapType):
+        def entry(e: Column) -> Column:
+            at = F.concat(path, F.lit("."), e["key"])
+            return _at(e["value"], value[cast_text(e["key"], data_type.keyType)], lambda g, k, v: F.when(
+                ~_blank(g, k), _inside(g, k, v, data_type.valueType, allowed, at)))
+
+        found = F.concat_ws(_BETWEEN, F.transform(F.map_entries(entries_of(given)), entry))
+    else:
+        return _scalar_problem(kind, value, data_type, allowed, path)
+    return F.when(value.isNull(), _said(path, "type")).otherwise(found)
+
+
+def _at(given: Column, value: Column, make: Callable[[Column, Column, Column], Column]) -> Column:
+    """``make(given, kind of given, value)`` with each worked out once."""
+    return bound(
+        F.struct(given.alias("given"), value.alias("value")),
+        lambda x: bound(
+            F.struct(x["given"].alias("given"), F.schema_of_variant(x["given"]).alias("kind"), x["value"].alias("value")),
+            lambda y: make(y["given"], y["kind"], y["value"]),
+        ),
+    )
+
+
+def _blank(given: Column, kind: Column) -> Column:
+    """JSON null, nothing, or blank text."""
+    return kind.isNull() | (kind == "VOID") | ((kind == "STRING") & is_blank(F.try_variant_get(given, "$", "string")))
+
+
+def _is_nested(data_type: T.DataType) -> bool:
+    return isinstance(data_type, (T.StructType, T.ArrayType, T.MapType))
+
+
+def problems(given: Column, kind: Column, present: Column, value: Column, f: T.StructField, path: Column) -> Column:
+    """All messages of a field as one text: ``missing``, ``null``, ``type`` or ``enum`` at its own or a deeper path."""
+    found = _inside(given, kind, value, f.dataType, enum_of(f), path)
+    # A value that was read is not missing, blank or of the wrong type, so nothing else is worked out for it.
+    problem = F.when(value.isNotNull(), found)
+    if is_required(f) and default_of(f) is None:
+        problem = problem.when(~present, _said(path, "missing")).when(_blank(given, kind), _said(path, "null"))
+    return problem.when(~_blank(given, kind), _said(path, "type"))
 
 
-def kind_problems(answer: Column, record: Column, f: T.StructField, above: tuple[str, ...] = ()) -> list[Column]:
-    """``path: type`` messages for values whose JSON kind does not fit, at any depth of structs.
+def strict_errors(raw: Column, record: Column, schema: T.StructType, reject_unknown: bool = False) -> Column:
+    """All broken rules of a parsed record, in field order and at any depth. Extra keys are ignored unless ``reject_unknown``.
 
-    ``answer`` is the answer as a variant, which keeps what the text of a value cannot tell: whether it was text, a number,
-    a list or an object. Text is wanted as text, lists and objects as such; other values may come as text.
-    """
-    path = (*above, f.name)
-    given = F.schema_of_variant(F.try_variant_get(answer, _json_path(path), "variant"))
-    value = record[f.name]
-    there = given.isNotNull() & (given != "VOID")
-    message = F.lit(".".join(path) + ": type")
-    if isinstance(f.dataType, T.StringType):
-        return [F.when(there & (given != "STRING"), message)]
-    if isinstance(f.dataType, T.ArrayType):
-        inner = f.dataType.elementType
-        wanted = r"ARRAY<(STRING|VOID)>" if isinstance(inner, T.StringType) else "ARRAY<(OBJECT.*|VOID)>" if isinstance(
-            inner, T.StructType) else "ARRAY<.*>"
-        return [F.when(there & ~given.rlike(rf"\A{wanted}\z"), message)]
-    if isinstance(f.dataType, T.StructType):
-        nested = [m for n in f.dataType.fields for m in kind_problems(answer, value, n, path)]
-        return [F.when(there & ~given.startswith("OBJECT"), message), *nested]
-    if isinstance(f.dataType, T.MapType):
-        return [F.when(there & ~given.startswith("OBJECT"), message)]
-    # A leaf of a struct that was given but could not be read; at the top field_problem tells.
-    return [F.when(there & value.isNull(), message)] if above else []
-
-
-def strict_errors(raw: Column, record: Column, schema: T.StructType, answer: Column | None = None) -> Column:
-    """All broken rules of a parsed record, in field order; extra keys are ignored.
-
-    With ``answer``, the JSON text that ``raw`` was read from, the JSON kinds of the values are checked as well.
+    A list may hold nulls unless its type says otherwise (``ArrayType(..., containsNull=False)``).
     """
     messages = []
-    variant = F.try_parse_json(answer) if answer is not None else None
     for f in schema.fields:
-        plain = F.concat(F.lit(f"{f.name}: "), field_problem(raw, record[f.name], f))
-        kinds = kind_problems(variant, record, f) if variant is not None else []
-        if kinds and not isinstance(f.dataType, T.StructType):
-            messages.append(F.coalesce(plain, *kinds))
+        given, present, path = raw[f.name], F.map_contains_key(raw, f.name), F.lit(f.name)
+        if _is_nested(f.dataType):
+            messages.append(_at(given, record[f.name], lambda g, k, v, f=f, p=present, at=path: problems(g, k, p, v, f, at)))
         else:
-            messages += [plain, *kinds]
+            # Stays inside generated code.
+            messages.append(problems(given, F.schema_of_variant(given), present, record[f.name], f, path))
+    if reject_unknown:
+        messages.append(F.transform(unknown_keys(raw, schema), lambda k: _said(k, "unknown")))
     # Joined and split again: unlike a filter over an array this stays inside generated code.
     broken = F.array_remove(F.split(F.concat_ws(_BETWEEN, *messages), _BETWEEN), "")
     return F.when(raw.isNull(), F.array(F.lit(MALFORMED))).otherwise(broken)
@@ -201,8 +278,7 @@ def empty_keys(raw: Column, schema: T.StructType) -> Column:
     came = F.array_intersect(_names(schema), F.map_keys(raw))
 
     def empty(key: Column) -> Column:
-        text = raw[key]
-        return text.isNull() | is_blank(text) | text.rlike(r"\A(\[\s*\]|\{\s*\})\z")
+        return _blank(raw[key], F.schema_of_variant(raw[key])) | F.to_json(raw[key]).isin("[]", "{}")
 
     return F.array_sort(F.filter(came, empty))
 

@@ -54,6 +54,8 @@ class Job:
     temperature: float | None = None
     analyzed_at: str | None = None
     part_size: int | None = None
+    # Whether a key that the record does not have is an error.
+    reject_unknown: bool = False
     wanted: T.StructType = field(init=False)
 
     def __post_init__(self) -> None:
@@ -239,7 +241,7 @@ def extract(
         kept = [F.col(doc_id), F.col("type_key"), F.col(text).alias("text"), F.col(path).alias("path"),
                 kind_of(docs).alias("__kind")]
         asked = _with_requests(typed.select(*kept), jobs)
-        rows = checked_answers(_own_answers(asked), job.wanted, keep=(doc_id, "path"))
+        rows = checked_answers(_own_answers(asked), job.wanted, (doc_id, "path"), job.reject_unknown)
         return Extraction(_shaped(rows, job, doc_id), _own_answers(asked).where("group_key is not null").groupBy(
             F.col("group_key").alias("request_key")).agg(F.min("response_json").alias("response_json"), F.min("error").alias("error")))
     cache = cache if cache is not None else empty_cache(docs.sparkSession)
@@ -254,7 +256,7 @@ def _results(scan: DataFrame, requests: DataFrame, answers: DataFrame, job: Job,
     the documents, so copies of a document cost a lookup.
     """
     fields = job.wanted.fieldNames() if job.part_size else None
-    checked = checked_answers(_raw_answers(requests, answers, fields), job.wanted, typed_kinds=not _is_native(job))
+    checked = checked_answers(_raw_answers(requests, answers, fields), job.wanted, reject_unknown=job.reject_unknown)
     slim = scan.select(doc_id, "path", F.get("parts", 0)["request_key"].alias("group_key"))
     return _shaped(skew_join(slim, checked, ["group_key"], "left", spread=[doc_id]), job, doc_id)
 
@@ -287,16 +289,11 @@ def _raw_answers(requests: DataFrame, answers: DataFrame, merge_fields: Sequence
 
 
 def checked_answers(
-    answers: DataFrame, wanted: T.StructType, keep: Sequence[str] = (), typed_kinds: bool = False
+    answers: DataFrame, wanted: T.StructType, keep: Sequence[str] = (), reject_unknown: bool = False
 ) -> DataFrame:
-    """(group_key, record, errors, status, error_class, error_message) of answers with a raw map.
-
-    Answers of providers that were called keep their JSON text, so the kinds of their values are checked too; those of column
-    expressions and merged parts have none.
-    """
+    """(group_key, record, errors, status, error_class, error_message) of answers with a raw map."""
     read = answers.withColumn("record", relaxed(F.col("raw"), wanted))
-    whole = without_fence(F.col("response_json")) if typed_kinds and "response_json" in answers.columns else None
-    return _with_status(read.withColumn("errors", strict_errors(F.col("raw"), F.col("record"), wanted, whole)), keep)
+    return _with_status(read.withColumn("errors", strict_errors(F.col("raw"), F.col("record"), wanted, reject_unknown)), keep)
 
 
 def _with_status(read: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -346,7 +343,7 @@ def enrich_table(
         kept = [F.lit(job.type_key).alias("type_key"), F.col(column).alias("text"), F.lit("text").alias("__kind"),
                 F.struct("*").alias("row")]
         asked = _with_requests(table.select(*kept), {job.type_key: job})
-        return checked_answers(_own_answers(asked), job.wanted, keep=("row",)).select("row.*", *cells)
+        return checked_answers(_own_answers(asked), job.wanted, ("row",), job.reject_unknown).select("row.*", *cells)
     # Answers are joined by content, not by an id of the caller, which may repeat or be null.
     content = F.sha2(F.col(column), 256)
     slim = table.select(content.alias("__content"), F.col(column).alias("text"), F.lit("").alias("path"))
@@ -433,7 +430,7 @@ class Dispatched:
         for type_key, job in self.jobs.items():
             own, value = F.col("type_key") == type_key, relaxed(F.col("raw"), job.wanted)
             record = F.when(own, F.to_json(value)).otherwise(record)
-            errors = F.when(own, strict_errors(F.col("raw"), value, job.wanted)).otherwise(errors)
+            errors = F.when(own, strict_errors(F.col("raw"), value, job.wanted, job.reject_unknown)).otherwise(errors)
         return answers.withColumns({"record": record, "errors": errors})
 
     def _cache(self) -> DataFrame:

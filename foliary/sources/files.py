@@ -122,9 +122,9 @@ def read_records(spark: SparkSession, folder: str, recurse: bool = False) -> Dat
 def parsed_records(records: DataFrame, schema: T.StructType) -> DataFrame:
     """(path, record, errors) by the strict rule; unreadable files stay as rows with errors."""
     wanted = trimmed(schema) if schema else schema
-    raw = records.select("path", "text", raw_fields(F.col("text")).alias("raw"))
+    raw = records.select("path", raw_fields(F.col("text")).alias("raw"))
     read = raw.withColumn("record", relaxed(F.col("raw"), wanted))
-    errors = strict_errors(F.col("raw"), F.col("record"), wanted, F.col("text"))
+    errors = strict_errors(F.col("raw"), F.col("record"), wanted)
     return read.select("path", "record", errors.alias("errors"))
 
 

@@ -173,16 +173,55 @@ def test_audit_text(spark):
 @pytest.mark.parametrize("text,errors", [
     ('{"s": "x", "l": ["a"], "o": {"a": 1, "t": "u"}, "e": ["p"]}', []),
     ('{"s": 5, "l": ["a"]}', ["s: type"]),
-    ('{"s": ["a"], "l": [{"a": 1}]}', ["s: type", "l: type"]),
+    ('{"s": ["a"], "l": [{"a": 1}]}', ["s: type", "l[0]: type"]),
     ('{"s": {"x": 1}, "o": {"a": "x", "t": 7}}', ["s: type", "o.a: type", "o.t: type"]),
-    ('{"s": null, "l": [1, "b"], "o": [1], "e": ["p", "z"]}', ["l: type", "o: type", "e: enum"]),
-    ('{"s": "5", "l": [], "o": {"a": 12.0, "t": null}, "e": []}', ["o.a: type"]),
+    ('{"s": null, "l": [1, "b"], "o": [1], "e": ["p", "z"]}', ["l[0]: type", "o: type", "e[1]: enum"]),
+    ('{"s": "5", "l": [], "o": {"a": 12.0, "t": null}, "e": []}', []),
 ])
 def test_kinds_of_values(spark, text, errors):
     shape = T.StructType([field("s"), field("l", "array<string>"), field("o", "struct<a:bigint,t:string>"), field("e", "array<string>", enum=("p", "q"))])
     rows = spark.createDataFrame([(text,)], "t string").select("t", A.raw_fields(F.col("t")).alias("raw"))
     rows = rows.withColumn("r", A.relaxed(F.col("raw"), shape))
-    assert rows.select(A.strict_errors(F.col("raw"), F.col("r"), shape, F.col("t"))).first()[0] == errors
+    assert rows.select(A.strict_errors(F.col("raw"), F.col("r"), shape)).first()[0] == errors
+
+
+NESTED = T.StructType([
+    field("owner", T.StructType([
+        field("name", required=True), field("kind", enum=("home", "work"), default="home"), field("since", "date"),
+        field("at", T.StructType([field("street", required=True), field("floor", "bigint", required=True)])),
+    ]), required=True),
+    field("all", T.ArrayType(T.StructType([field("street", required=True), field("n", "bigint"), field("ok", "boolean", default=True)])), required=True),
+    field("marks", T.ArrayType(T.StringType(), containsNull=False)), field("rates", T.MapType(T.StringType(), T.DoubleType())),
+    field("grid", T.ArrayType(T.ArrayType(T.LongType()))),
+])
+
+
+@pytest.mark.parametrize("text,errors", [
+    ('{"owner": {"name": "a"}, "all": []}', []),
+    ('{"owner": {}, "all": [{"street": "x"}, {"street": null}, {"n": 1}]}', ["owner.name: missing", "all[1].street: null", "all[2].street: missing"]),
+    ('{"owner": {"name": "a", "kind": "moon", "since": "2024", "at": {"street": " ", "floor": "2"}}, "all": "x"}',
+     ["owner.kind: enum", "owner.since: type", "owner.at.street: null", "all: type"]),
+    ('{"owner": {"name": 5, "at": [1]}, "all": [5, null, {"street": ["a"], "n": "many", "ok": "on"}]}',
+     ["owner.name: type", "owner.at: type", "all[0]: type", "all[2].street: type", "all[2].n: type"]),
+    ('{"owner": "me", "all": null, "marks": ["a", null, 3], "rates": {"a": 1, "b": "2.5", "c": "x", "d": null}, "grid": [[1], ["2", "x"], 3]}',
+     ["owner: type", "all: null", "marks[1]: null", "marks[2]: type", "rates.c: type", "grid[1][1]: type", "grid[2]: type"]),
+])
+def test_nested_records_are_checked_by_path(spark, text, errors):
+    rows = spark.createDataFrame([(text,)], "t string").select(A.raw_fields(F.col("t")).alias("raw"))
+    rows = rows.withColumn("r", A.relaxed(F.col("raw"), NESTED))
+    assert rows.select(A.strict_errors(F.col("raw"), F.col("r"), NESTED)).first()[0] == errors
+
+
+def test_nested_defaults_and_unknown_keys(spark):
+    text = '{"owner": {"name": "a", "kind": null}, "all": [{"street": "x"}, {"street": "y", "ok": false}], "z": 1, "b": null}'
+    rows = spark.createDataFrame([(text,)], "t string").select(A.raw_fields(F.col("t")).alias("raw"))
+    rows = rows.withColumn("r", A.relaxed(F.col("raw"), NESTED))
+    got = rows.select("r", A.strict_errors(F.col("raw"), F.col("r"), NESTED, True).alias("e")).first()
+    assert got.r.owner.kind is None and [x.ok for x in got.r["all"]] == [True, False]
+    assert got.e == ["b: unknown", "z: unknown"]
+    inner = '{"owner": {"name": "a"}, "all": []}'
+    filled = spark.createDataFrame([(inner,)], "t string").select(A.relaxed(A.raw_fields(F.col("t")), NESTED).alias("r")).first()
+    assert filled.r.owner.kind == "home"
 
 
 def test_declared_parsers_run_before_validation(spark):
