@@ -256,6 +256,21 @@ def called_classification(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "path_text", "type_key", "status")
 
 
+@check(
+    "pipe_01_called_repeated_ids",
+    f"""SELECT CASE WHEN doc_id % 5 <> 0 THEN doc_id // 3 END AS doc_id, path_text, type_key, status FROM {_classified_sql(ROOTS)}""",
+)
+def called_repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where ids repeat and some are null: every row has an outcome of its own."""
+
+    def ask(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", classify.by_score(F.col("offered"), classify.keyword_scores(F.col("text"), TREE)).alias("choice"))
+
+    own = F.when(F.col("doc_id") % 5 != 0, F.floor(F.col("doc_id") / 3).cast("long"))
+    found = classify.classified_by_calls(docs(spark, sf).withColumn("doc_id", own), TREE, ask, roots_only=True)
+    return found.select("doc_id", "path_text", "type_key", "status")
+
+
 # -- normalisation ----------------------------------------------------------------------
 
 CUSTOMER_RECORD = T.StructType([

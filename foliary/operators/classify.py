@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -9,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.functions.text import join_path
-from foliary.operators.keyfilter import key_filter, may_contain
-from foliary.session import staged
+from foliary.operators.skew import skew_join
+from foliary.session import new_folder, staged
 
 # A registry of more bytes than this is joined without a broadcast.
 BROADCAST_BYTES = 8 << 20
+# Bytes of text in a bucket of standing texts.
+BUCKET_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -202,35 +205,62 @@ def classified(
     return _outcome(walked, F.col("__walk.first")).drop("__walk")
 
 
+CONTENT, TEXT = "__content", "text"
+
+
+def standing_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(__content, text): every different text once, written in buckets by its key.
+
+    This is the only time that texts are exchanged, copies of a text meeting in a partial aggregate first: joins by the
+    key then move the other side alone.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(-(-size // BUCKET_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed = docs.select(content_key(F.col(text)).alias(CONTENT), F.col(text).alias(TEXT))
+    once = keyed.groupBy(CONTENT).agg(F.first(TEXT).alias(TEXT)).repartition(buckets, CONTENT)
+    name = f"standing_texts_{uuid.uuid4().hex}"
+    once.write.bucketBy(buckets, CONTENT).sortBy(CONTENT).option("path", new_folder(spark, "standing-texts")).saveAsTable(name)
+    return spark.table(name)
+
+
+def content_key(text: Column) -> Column:
+    """The key of a text; no text has the one of null."""
+    return F.coalesce(F.sha2(text, 256), F.lit("null"))
+
+
+def under_way(texts: DataFrame, offered: DataFrame) -> DataFrame:
+    """Texts with what is offered to them: only ``offered`` moves."""
+    return texts.join(offered.hint("merge"), CONTENT)
+
+
 def classified_by_calls(
     docs: DataFrame, tree: Sequence[TypeNode], ask: Asker, *, doc_id: str = "doc_id", text: str = "text",
     roots_only: bool = False,
 ) -> DataFrame:
-    """The same walk with a provider that answers rows: ``ask`` turns (doc_id, text,
-    selection_path, offered) into (doc_id, choice).
+    """The same walk with a provider that answers rows, one row per row of ``docs``: doc_id, selection_path, type_key, ...
 
-    Each phase asks once about the documents still under way and writes its answers
-    down, so no call is repeated when an executor is lost.
+    ``ask`` turns (doc_id, text, selection_path, offered) into (doc_id, choice); the id it sees is the library's own key of a
+    text, because ids of the caller may repeat or be null. A text is asked about once per phase however many rows have it.
+    Each phase writes its answers down, so no call is repeated when an executor is lost. Only keys and paths move
+    from phase to phase, the texts stand still.
     """
     first, children = _offers(tree, roots_only)
-    state = docs.select(
-        doc_id, F.array().cast("array<string>").alias("selection_path"), F.lit(True).alias("open"),
+    texts = standing_texts(docs, text)
+    state = texts.select(
+        CONTENT, F.array().cast("array<string>").alias("selection_path"), F.lit(True).alias("open"),
         F.lit(None).cast("string").alias("first"),
     )
     for phase in range(1, tree_depth(tree) + 1):
         offered = state.where("open").withColumn("offered", _offered(F.col("selection_path"), first, children))
-        offered = offered.where(F.size("offered") > 0).select(doc_id, "selection_path", "offered")
-        # Texts of documents whose walk has ended are left out by a bit table before the join.
-        texts = may_contain(
-            docs.select(doc_id, F.col(text).alias("text")), key_filter(offered.select(doc_id)), [F.col(doc_id)], "__open"
-        ).where("__open").drop("__open")
-        asked = texts.join(offered, doc_id)
-        choices = staged(ask(asked).select(doc_id, "choice"), "choices")
-        answered = offered.drop("selection_path").join(choices, doc_id)
-        keys = answered.select(doc_id, "choice", resolved(F.col("choice"), F.col("offered")).alias("key"))
+        offered = offered.where(F.size("offered") > 0).select(CONTENT, "selection_path", "offered")
+        asked = under_way(texts, offered).withColumnRenamed(CONTENT, doc_id)
+        choices = staged(ask(asked).select(F.col(doc_id).alias(CONTENT), "choice"), "choices")
+        answered = offered.drop("selection_path").join(choices, CONTENT)
+        keys = answered.select(CONTENT, "choice", resolved(F.col("choice"), F.col("offered")).alias("key"))
         state = staged(
-            state.join(keys, doc_id, "left").select(
-                doc_id,
+            state.join(keys, CONTENT, "left").select(
+                CONTENT,
                 F.when(F.col("key").isNull(), F.col("selection_path"))
                 .otherwise(F.concat("selection_path", F.array("key"))).alias("selection_path"),
                 (F.col("open") & F.col("key").isNotNull()).alias("open"),
@@ -238,4 +268,6 @@ def classified_by_calls(
             ),
             "classified",
         )
-    return _outcome(state.drop("open"), F.col("first")).drop("first")
+    ended = _outcome(state.drop("open"), F.col("first")).drop("first")
+    slim = docs.select(doc_id, content_key(F.col(text)).alias(CONTENT))
+    return skew_join(slim, ended, [CONTENT], "left", spread=[doc_id]).drop(CONTENT)

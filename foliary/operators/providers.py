@@ -5,14 +5,19 @@ A provider turns (request_key, part, text) rows into (request_key, response_json
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+import time
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, as_completed, wait
+from dataclasses import dataclass, field, replace
+from threading import Lock
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ANSWER = "request_key string, response_json string, error string"
+# Answers handed on at a time.
+ROWS_OUT = 256
 
 # Patterns of the built-in rules; they read the same in Java and RE2.
 DOCUMENT_RULES = {
@@ -50,12 +55,15 @@ class RuleProvider:
 
 @dataclass(frozen=True)
 class CallProvider:
-    """Calls ``connect()`` once per task and the returned function once per request.
+    """Calls ``connect()`` once per task and the returned function once per request, ``in_flight`` calls at a time.
 
     The function gets the text of the request, or with ``send="request"`` all of it as a mapping: provider, model, system,
     max_tokens, temperature and parts (each with type and text, where a PDF is a ``document`` in base64). At most
     ``concurrency`` tasks call at the same time and a task makes about ``calls_per_task`` calls: what is more waits for
-    the next wave. A failing call is an error row; it never fails the job. The extraction job writes the answers down
+    the next wave. Inside a task a window of calls is open: a further request is read only when one of them has ended, so
+    neither requests nor answers pile up. The function must bear calls from several threads (or take ``in_flight=1``).
+    ``calls_per_second`` spaces the calls of a task. A failing call is repeated after ``pause`` seconds, doubled each time, as long as
+    the task's ``retries`` last; then it is an error row, and it never fails the job. The extraction job writes the answers down
     once per wave, so a lost executor costs no more than the calls of one.
     """
 
@@ -64,6 +72,10 @@ class CallProvider:
     waves: int = 1
     send: str = "request_text"
     calls_per_task: int = 1000
+    in_flight: int = 32
+    calls_per_second: float | None = None
+    retries: int = 0
+    pause: float = 0.5
 
     def waves_for(self, requests: int) -> int:
         return max(self.waves, 1, -(-requests // (self.concurrency * self.calls_per_task)))
@@ -72,17 +84,56 @@ class CallProvider:
         return None
 
     def answer(self, requests: DataFrame) -> DataFrame:
-        connect, send = self.connect, self.send
+        connect, send, pump = self.connect, self.send, replace(self, connect=None)
 
         def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ask = connect()
-            for batch in batches:
-                rows = []
-                for key, sent in zip(batch["request_key"], batch[send]):
-                    try:
-                        rows.append((key, ask(sent), None))
-                    except Exception as exc:  # noqa: BLE001 - reported as a row
-                        rows.append((key, None, f"{type(exc).__name__}: {exc}"))
-                yield pd.DataFrame(rows, columns=["request_key", "response_json", "error"])
+            sent = ((key, what) for batch in batches for key, what in zip(batch["request_key"], batch[send]))
+            rows: list[tuple[str, str | None, str | None]] = []
+            for row in pump.pumped(connect(), sent):
+                rows.append(row)
+                if len(rows) == ROWS_OUT:
+                    yield pd.DataFrame(rows, columns=["request_key", "response_json", "error"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["request_key", "response_json", "error"])
 
         return requests.select("request_key", send).repartition(self.concurrency).mapInPandas(call, ANSWER)
+
+    def pumped(self, ask: Callable[..., str], requests: Iterable[tuple[str, object]]) -> Iterator[tuple[str, str | None, str | None]]:
+        """(key, answer, error) of all requests, as they end; at most ``in_flight`` are open."""
+        gate = Lock()
+        left, next_call = self.retries, 0.0
+
+        def turn() -> None:
+            """Waits for this call's place in the rate."""
+            nonlocal next_call
+            if self.calls_per_second:
+                with gate:
+                    at = next_call = max(time.monotonic(), next_call) + 1 / self.calls_per_second
+                time.sleep(max(0.0, at - 1 / self.calls_per_second - time.monotonic()))
+
+        def again() -> bool:
+            nonlocal left
+            with gate:
+                left -= 1
+                return left >= 0
+
+        def one(key: str, what: object) -> tuple[str, str | None, str | None]:
+            pause = self.pause
+            while True:
+                turn()
+                try:
+                    return key, ask(what), None
+                except Exception as exc:  # noqa: BLE001 - reported as a row
+                    if not again():
+                        return key, None, f"{type(exc).__name__}: {exc}"
+                time.sleep(pause)
+                pause *= 2
+
+        with ThreadPoolExecutor(self.in_flight) as pool:
+            open_calls: set[Future] = set()
+            for key, what in requests:
+                open_calls.add(pool.submit(one, key, what))
+                if len(open_calls) >= self.in_flight:
+                    ended, open_calls = wait(open_calls, return_when=FIRST_COMPLETED)
+                    yield from (f.result() for f in ended)
+            yield from (f.result() for f in as_completed(open_calls))

@@ -209,10 +209,16 @@ def _called_answers(
         .withColumn("wave", F.pmod(F.xxhash64("request_key"), F.lit(waves)).cast("int")),
         "asked", "wave",
     )
-    answers = []
+    # Types with the same provider are asked in one job per wave.
+    by_provider: dict[int, list[str]] = {}
     for type_key, job in jobs.items():
+        by_provider.setdefault(id(job.provider), []).append(type_key)
+    answers = []
+    for types in by_provider.values():
+        job = jobs[types[0]]
         for wave in range(waves):
-            sent = as_sent(texts.where(F.col("wave") == wave), type_key, job)
+            open_texts = texts.where(F.col("wave") == wave)
+            sent = reduce(DataFrame.unionByName, [as_sent(open_texts, t, jobs[t]) for t in types])
             refused = sent.where("route_error is not null").select(
                 "request_key", F.lit(None).cast("string").alias("response_json"), F.col("route_error").alias("error")
             )

@@ -81,3 +81,31 @@ def test_walk_by_calls_agrees(spark):
 def test_invalid_first_choice_fails(spark):
     rows, asked = by_calls(spark, F.lit("nonsense"), ["x"])
     assert rows[0].status == "failed" and rows[0].error_message == "invalid type: nonsense" and asked[0] == 1
+
+
+def test_repeated_and_null_ids_give_a_row_each(spark):
+    rows = [(1, "contract rent week"), (1, "report"), (1, "contract rent week"), (None, "report"), (None, None), (2, "contract"), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    asked = []
+
+    def ask(rows):
+        asked.append(rows.count())
+        return rows.select("doc_id", C.by_score(F.col("offered"), C.keyword_scores(F.coalesce("text", F.lit("")), TREE)).alias("choice"))
+
+    done = sorted((str(r.doc_id), r.path_text, r.status) for r in C.classified_by_calls(docs, TREE, ask, roots_only=True).collect())
+    assert done == sorted([
+        ("1", "m_Contract -> m_Lease -> m_ShortLease", "ok"), ("1", "m_Contract -> m_Lease -> m_ShortLease", "ok"), ("1", "m_Report", "ok"),
+        ("None", "m_Report", "ok"), ("None", "", "failed"), ("2", "m_Contract", "ok"), ("3", "", "failed"),
+    ])
+    assert asked[0] == 5  # different texts, one of them null
+
+
+def test_texts_stand_still(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id bigint, text string")
+    texts = C.standing_texts(docs)
+    offered = spark.range(50).select(F.sha2(F.concat(F.lit("text "), "id"), 256).alias(C.CONTENT), F.lit(1).alias("offered"))
+    joined = C.under_way(texts, offered)
+    assert joined.count() == 50
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # the exchange of what is offered
+    assert C.standing_texts(docs.limit(0)).count() == 0
