@@ -79,15 +79,15 @@ RECORD = T.StructType([
 def test_all_called_paths_agree(spark):
     def connect():
         def ask(what):
-            if "one" in what:
+            if "uno-1" in what:
                 return '{"who": {"kind": 5}, "tags": ["x", 3]}'
-            if "two" in what:
+            if "dos-2" in what:
                 return '{"who": {"kind": "a"}, "tags": []}'
             return '{"who": {}}'
 
         return ask
 
-    docs = spark.createDataFrame([(i, f"p{i}", t) for i, t in enumerate(("one", "two", "three"))], "doc_id long, path string, text string")
+    docs = spark.createDataFrame([(i, f"p{i}", t) for i, t in enumerate(("uno-1", "dos-2", "tres-3"))], "doc_id long, path string, text string")
     wanted = {
         0: ("failed", ["who.kind: type", "tags[1]: type"]), 1: ("ok", []), 2: ("failed", ["who.kind: missing"]),
     }
