@@ -363,6 +363,35 @@ def incremental_crawl(spark: SparkSession, sf: str) -> DataFrame:
     return _result_columns(incremental.results(spark, target))
 
 
+_MAIL_SHAPE = T.StructType([field("customer_name"), field("contact_email")])
+_MAIL_RULES = {"customer_name": r"for ([A-Z]+)", "contact_email": r"mail (\S+)"}
+
+
+@check(
+    "str_01_entity_state",
+    """WITH d AS (SELECT c_mktsegment || CASE WHEN c_custkey % 4 = 3 THEN 'S' ELSE '' END AS name, (c_custkey % 4) * 100000000000 + c_custkey AS seen,
+                      CASE WHEN c_custkey % 4 >= 2 AND c_custkey % 5 = 0 THEN 'a' || c_custkey || '@x' END AS mail FROM customer)
+       SELECT 'Customer' AS entity, name, arg_min(mail, seen) FILTER (WHERE mail IS NOT NULL) AS contact_email, min(seen) // 100000000000 AS first_batch
+       FROM d GROUP BY name""",
+)
+def entity_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Four batches over all customers; parts are merged three at a time, the second batch is written twice."""
+    key = F.col("c_custkey")
+    segment = F.concat("c_mktsegment", F.when(key % 4 == 3, "S").otherwise(""))
+    mail = F.when((key % 4 >= 2) & (key % 5 == 0), F.concat(F.lit(" mail a"), key.cast("string"), F.lit("@x"))).otherwise("")
+    every = table(spark, sf, "customer").select(
+        key.alias("doc_id"), F.format_string("%012d", key).alias("path"), F.concat(F.lit("for "), segment, mail).alias("text")
+    )
+    target = new_folder(spark, "state")
+    job = Job("mail", _MAIL_SHAPE, RuleProvider(_MAIL_RULES, {}))
+    write = incremental.batch_writer(spark, job, target, fan=3)
+    for batch in (0, 1, 2, 1, 3):
+        write(every.where(F.col("doc_id") % 4 == batch), batch)
+    return incremental.latest_entities(spark, target).select(
+        "entity", "name", "contact_email", F.col("first_seen.batch").alias("first_batch")
+    )
+
+
 # -- sinks -------------------------------------------------------------------------------------
 
 
@@ -434,12 +463,11 @@ def database(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "database")
     parts = _records(spark, sf)
     normalise.write_database(parts, normalise.entity_tables(normalise.all_mentions(parts.values())), folder, AT)
-    stored = spark.read.parquet(f"{folder}/entities")
-    made = stored.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity_id").alias("ids")).select(
+    made = normalise.stored_entities(spark, folder).groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity_id").alias("ids")).select(
         F.concat(F.lit("entities/"), "entity").alias("written"), "n", "ids"
     )
     for type_key, key in (("customer_rec", "customer_name_id"), ("supplier_rec", "licensor_id"), ("order_rec", "contract_id_id")):
-        rows = spark.read.parquet(f"{folder}/records/{type_key}")
+        rows = normalise.stored_records(spark, folder, type_key)
         made = made.unionByName(
             rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("ids")).select(
                 F.lit(f"records/{type_key}").alias("written"), "n", "ids"

@@ -6,16 +6,17 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliary.operators.entities import (
     ATTRIBUTES, clean_name, entity_id, flat_value, harvested, merged_entities, reference_fields,
 )
-from foliary.session import staged
+from foliary.sinks.snapshots import Snapshots, merged, with_part
 
 ORDER = ("batch", "path", "pos")
+ENTITY_TABLE, ENTITY_KEYS = "entities", ("entity", "name")
 
 
 @dataclass(frozen=True)
@@ -92,39 +93,31 @@ def entity_tables(mentions: DataFrame) -> DataFrame:
     return merged_entities(mentions, ORDER)
 
 
-def write_database(normalised: dict[str, Normalised], entities: DataFrame, target: str, stamp: str) -> None:
-    """One table per record type with a folder per run, and one folder per entity under ``entities``.
+def write_database(normalised: dict[str, Normalised], entities: DataFrame, target: str, stamp: str) -> int:
+    """All tables of a run as one new version of the database in ``target``; the former one stays readable until then.
 
-    A run adds its records beside those of earlier runs; the same stamp again replaces its own. An entity that is stored
-    already keeps its attributes and its ``created_at``, and takes on what it lacked.
+    A run adds its records beside those of earlier runs; the same stamp again replaces its own. Of the entities it writes
+    only those it meets: one that is stored already keeps its attributes and its ``created_at``, and takes on what it lacked.
     """
+    store = Snapshots(entities.sparkSession, target)
+    tables = store.tables()
     at = F.lit(stamp).cast("timestamp_ntz")
-    run = "run=" + stamp.replace(":", "-").replace(" ", "_")
-    for type_key, tables in normalised.items():
-        stamped = tables.records.withColumns({"created_at": at, "updated_at": at})
-        stamped.write.mode("overwrite").parquet(f"{target}/records/{type_key}/{run}")
-    fresh = entities.withColumns({"created_at": at, "updated_at": at})
-    stored = stored_entities(entities, f"{target}/entities")
-    if stored is not None:
-        fresh = staged(_merged(stored, fresh), "entities")
-    fresh.write.mode("overwrite").partitionBy("entity").parquet(f"{target}/entities")
-
-
-def stored_entities(entities: DataFrame, path: str) -> DataFrame | None:
-    spark = entities.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    stamps = T.StructType.fromDDL("created_at timestamp_ntz, updated_at timestamp_ntz")
-    return spark.read.schema(T.StructType([*entities.schema.fields, *stamps.fields])).parquet(path)
-
-
-def _merged(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Stored values first; an entity met again is updated now."""
-    new = fresh.select(*[F.col(c).alias(f"__{c}") for c in fresh.columns])
-    same = (F.col("entity") == F.col("__entity")) & (F.col("name") == F.col("__name"))
-    columns = [
-        (F.coalesce(F.col(f"__{c}"), F.col(c)) if c == "updated_at" else F.coalesce(F.col(c), F.col(f"__{c}"))).alias(c)
-        for c in stored.columns
-    ]
-    return stored.join(new, same, "full_outer").select(*columns)
+    for type_key, made in normalised.items():
+        name = f"records/{type_key}"
+        part = store.write(made.records.withColumns({"created_at": at, "updated_at": at}), name, label=stamp)
+        tables[name] = with_part(tables.get(name, []), part)
+    fresh = store.write(entities.withColumns({"created_at": at, "updated_at": at}), ENTITY_TABLE, "entity", label=stamp)
+    tables[ENTITY_TABLE] = store.compacted(
+        ENTITY_TABLE, with_part(tables.get(ENTITY_TABLE, []), fresh), lambda rows: merged(rows, ENTITY_KEYS, ("updated_at",)), "entity"
+    )
+    return store.commit(tables)
+
+
+def stored_records(spark: SparkSession, target: str, type_key: str, version: int | None = None) -> DataFrame | None:
+    """The records of a type over all runs; None before the first one."""
+    return Snapshots(spark, target).read(f"records/{type_key}", version)
+
+
+def stored_entities(spark: SparkSession, target: str, version: int | None = None) -> DataFrame | None:
+    """One row per entity and name over all runs; a filter on ``entity`` reads the folders of that entity only."""
+    return Snapshots(spark, target).read_merged(ENTITY_TABLE, ENTITY_KEYS, ("updated_at",), version)

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.operators.cache import CACHE_SCHEMA, PREFIX_LENGTH, empty_cache
-from foliary.operators.entities import upserted
 from foliary.plans.extraction import Job, extract
-from foliary.plans.normalise import ORDER, entity_tables, normalise
+from foliary.plans.normalise import ENTITY_KEYS, ENTITY_TABLE, entity_tables, normalise
 from foliary.session import staged
+from foliary.sinks.snapshots import FAN, Snapshots, merged, with_part
 
 EPOCH = "1970-01-01 00:00:00"
 CACHE = f"{CACHE_SCHEMA}, batch int"
@@ -35,11 +35,15 @@ def _earlier(spark: SparkSession, folder: str, batch: int, schema: str | None =
     return rows.where(F.col("batch") < batch)
 
 
-def batch_writer(spark: SparkSession, job: Job, target: str, with_entities: bool = True) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: extract, then write results, new cache rows and the entity table of this batch.
+def batch_writer(
+    spark: SparkSession, job: Job, target: str, with_entities: bool = True, fan: int = FAN
+) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: extract, then write results, new cache rows and the entities that this batch meets.
 
-    Every output goes to a folder named after the batch and replaces it, so a batch
-    that is run again after a failure leaves the same files.
+    Results and cache rows go to a folder named after the batch and replace it. The entities become one part of the
+    stored state, which takes the place of the part of the same batch; where that part is merged already, a repeat adds
+    nothing new. So a batch that is run again after a failure leaves the same tables, and none rewrites entities it
+    did not meet but for the merging of ``fan`` parts of a size.
     """
 
     def write(docs: DataFrame, batch: int) -> None:
@@ -59,21 +63,19 @@ def batch_writer(spark: SparkSession, job: Job, target: str, with_entities: bool
                 F.col(f"record.{f}").alias(f) for f in job.wanted.fieldNames()
             ])
             mentions = normalise(good, job.wanted, "path", batch=batch).mentions
-            old = _earlier(spark, f"{target}/entities", batch)
-            if old is None:
-                table = entity_tables(mentions)
-            else:
-                last = old.agg(F.max("batch")).first()[0]
-                table = upserted(old.where(F.col("batch") == last).drop("batch"), mentions, ORDER) if last is not None \
-                    else entity_tables(mentions)
-            table.write.mode("overwrite").parquet(f"{target}/entities/batch={batch}")
+            store = Snapshots(spark, f"{target}/state")
+            parts = store.tables().get(ENTITY_TABLE, [])
+            met = store.write(entity_tables(mentions), ENTITY_TABLE, label=str(batch))
+            store.commit({ENTITY_TABLE: store.compacted(
+                ENTITY_TABLE, with_part(parts, met), lambda rows: merged(rows, ENTITY_KEYS), fan=fan
+            )})
 
     return write
 
 
 def run_available(
     spark: SparkSession, source: str, schema: str, job: Job, target: str, checkpoint: str, *, with_entities: bool = True,
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = None, fan: int = FAN,
 ) -> None:
     """Process the files of ``source`` that no earlier run has seen, then stop."""
     reader = spark.readStream.schema(schema)
@@ -81,7 +83,7 @@ def run_available(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     query = (
         reader.parquet(source)
-        .writeStream.foreachBatch(batch_writer(spark, job, target, with_entities))
+        .writeStream.foreachBatch(batch_writer(spark, job, target, with_entities, fan))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -93,9 +95,6 @@ def results(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(f"{target}/results")
 
 
-def latest_entities(spark: SparkSession, target: str) -> DataFrame:
-    rows = spark.read.parquet(f"{target}/entities")
-    last = rows.agg(F.max("batch")).first()[0]
-    return rows.where(F.col("batch") == last).drop("batch")
-
-
+def latest_entities(spark: SparkSession, target: str) -> DataFrame | None:
+    """The state after the last whole batch; None before the first one."""
+    return Snapshots(spark, f"{target}/state").read_merged(ENTITY_TABLE, ENTITY_KEYS)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliary.operators import entities as E
-from foliary.plans.normalise import ORDER, all_mentions, entity_tables, normalise, write_database
+from foliary.plans.normalise import (
+    ORDER, all_mentions, entity_tables, normalise, stored_entities, stored_records, write_database,
+)
 from foliary.schema import field
 from foliary.session import new_folder
 
@@ -124,9 +126,9 @@ def test_delete_removes_orphans(spark):
 def test_database(spark, normalised):
     target = new_folder(spark, "db")
     write_database({"rec": normalised}, entity_tables(all_mentions([normalised])), target, "2024-01-01 00:00:00")
-    stored = spark.read.parquet(f"{target}/entities")
+    stored = stored_entities(spark, target)
     assert stored.where("entity = 'Contract'").count() == 2 and "created_at" in stored.columns
-    assert spark.read.parquet(f"{target}/records/rec").count() == 4
+    assert stored_records(spark, target, "rec").count() == 4
 
 
 def test_a_second_run_keeps_what_is_stored(spark):
@@ -135,6 +137,6 @@ def test_a_second_run_keeps_what_is_stored(spark):
     for stamp, rows in (("2024-01-01 00:00:00", [("p", "Ann", None), ("q", "Bob", "b@x")]), ("2024-01-02 00:00:00", [("r", "Ann", "a@x"), ("s", "Cid", None)])):
         parts = {"t": normalise(spark.createDataFrame(rows, "path string, customer_name string, contact_email string"), shape, "path")}
         write_database(parts, entity_tables(all_mentions(parts.values())), target, stamp)
-    stored = {r.name: (r.contact_email, str(r.created_at)[:10], str(r.updated_at)[:10]) for r in spark.read.parquet(f"{target}/entities").collect()}
+    stored = {r.name: (r.contact_email, str(r.created_at)[:10], str(r.updated_at)[:10]) for r in stored_entities(spark, target).collect()}
     assert stored == {"Ann": ("a@x", "2024-01-01", "2024-01-02"), "Bob": ("b@x", "2024-01-01", "2024-01-01"), "Cid": (None, "2024-01-02", "2024-01-02")}
-    assert spark.read.parquet(f"{target}/records/t").count() == 4
+    assert stored_records(spark, target, "t").count() == 4

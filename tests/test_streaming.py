@@ -7,6 +7,7 @@ from foliary.plans.extraction import Job, extract
 from foliary.plans.normalise import entity_tables, normalise
 from foliary.schema import field
 from foliary.session import new_folder
+from foliary.sinks.snapshots import Snapshots
 from foliary.streaming import incremental
 
 SCHEMA = "doc_id bigint, path string, text string"
@@ -43,3 +44,28 @@ def test_a_repeated_batch_leaves_the_same_files(spark):
     assert incremental.results(spark, target).count() == 2
     assert spark.read.parquet(f"{target}/cache").count() == 1
     assert incremental.latest_entities(spark, target).count() == 1
+
+
+def test_a_batch_writes_only_entities_it_meets(spark):
+    job = Job("t", SHAPE, RuleProvider(RULES, {}))
+    target = new_folder(spark, "out")
+    write = incremental.batch_writer(spark, job, target, fan=4)
+    assert incremental.latest_entities(spark, target) is None
+    texts = ["for Ann", "for Bob bob@x", "for Ann ann@x", "for Cid", "for Ann other@x", "nobody", "for Bob"]
+    for batch, text in enumerate(texts):
+        write(spark.createDataFrame([(batch, f"p{batch}", text)], SCHEMA), batch)
+        if batch == 2:
+            parts = Snapshots(spark, f"{target}/state").tables()["entities"]
+            assert [Snapshots(spark, f"{target}/state").rows([p]).count() for p in parts] == [1, 1, 1]
+    parts = Snapshots(spark, f"{target}/state").tables()["entities"]
+    assert [p.level for p in parts] == [1, 0, 0, 0]
+
+    def state():
+        return sorted(map(repr, incremental.latest_entities(spark, target).collect()))
+
+    before = state()
+    for batch in (6, 1):  # one that is still apart, one that is merged already
+        write(spark.createDataFrame([(batch, f"p{batch}", texts[batch])], SCHEMA), batch)
+    assert state() == before
+    got = {r.name: (r.contact_email, r.first_seen.batch) for r in incremental.latest_entities(spark, target).collect()}
+    assert got == {"Ann": ("ann@x", 0), "Bob": ("bob@x", 1), "Cid": (None, 3)}
