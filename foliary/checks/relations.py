@@ -389,6 +389,15 @@ _TAKEN = """CASE WHEN doc_id % 40 = 7 THEN source || '_1' WHEN doc_id % 40 = 8 T
                  WHEN doc_id % 40 = 9 THEN source || '_1_1' ELSE source END"""
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    n = F.col("doc_id") % 40
+    base = (
+        F.when(n == 7, F.concat("source", F.lit("_1"))).when(n == 8, F.concat("source", F.lit("_3")))
+        .when(n == 9, F.concat("source", F.lit("_1_1"))).otherwise(F.col("source"))
+    )
+    return rows.select("doc_id", F.col("lang").alias("folder"), base.alias("base"))
+
+
 @check(
     "win_01_unique_names",
     rf"""WITH d AS (SELECT doc_id, lang AS folder, {_TAKEN} AS base FROM documents),
@@ -402,13 +411,37 @@ _TAKEN = """CASE WHEN doc_id % 40 = 7 THEN source || '_1' WHEN doc_id % 40 = 8 T
          FROM r""",
 )
 def unique_names(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.col("doc_id") % 40
-    base = (
-        F.when(n == 7, F.concat("source", F.lit("_1"))).when(n == 8, F.concat("source", F.lit("_3")))
-        .when(n == 9, F.concat("source", F.lit("_1_1"))).otherwise(F.col("source"))
+    return naming.unique_names(_named(table(spark, sf, "documents")), "folder", "base", ["doc_id"])
+
+
+@check(
+    "win_01_names_beside_earlier_ones",
+    rf"""WITH d AS (SELECT doc_id, lang AS folder, {_TAKEN} AS base FROM documents),
+             e AS (SELECT DISTINCT lang AS folder, CASE doc_id % 9 WHEN 0 THEN source WHEN 1 THEN source || '_1' WHEN 2 THEN source || '_4'
+                          ELSE source || '_' || doc_id END AS name FROM documents),
+             t AS (SELECT folder, name FROM e UNION SELECT folder, base FROM d),
+             k AS (SELECT folder, regexp_extract(name, '\A(.+)_([1-9][0-9]*)\z', 1) AS base,
+                          regexp_extract(name, '\A(.+)_([1-9][0-9]*)\z', 2)::BIGINT AS k
+                   FROM t WHERE regexp_matches(name, '\A(.+)_([1-9][0-9]*)\z')
+                   UNION ALL SELECT folder, name, 0 FROM e),
+             c AS (SELECT folder, base, count(*) AS n FROM d GROUP BY ALL),
+             s AS (SELECT folder, base, unnest(range(n + (SELECT count(*) FROM k WHERE k.folder = c.folder AND k.base = c.base))) AS k FROM c),
+             f AS (SELECT s.*, row_number() OVER (PARTITION BY folder, base ORDER BY k) AS place
+                   FROM s ANTI JOIN k USING (folder, base, k)),
+             r AS (SELECT *, row_number() OVER (PARTITION BY folder, base ORDER BY doc_id) AS place FROM d)
+         SELECT doc_id, r.folder, r.base, CASE WHEN k = 0 THEN r.base ELSE r.base || '_' || k END AS name
+         FROM r JOIN f USING (folder, base, place)""",
+)
+def names_beside_earlier_ones(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents beside names that stand in the target already."""
+    every = table(spark, sf, "documents")
+    n = F.col("doc_id") % 9
+    name = (
+        F.when(n == 0, F.col("source")).when(n == 1, F.concat("source", F.lit("_1"))).when(n == 2, F.concat("source", F.lit("_4")))
+        .otherwise(F.concat_ws("_", "source", F.col("doc_id").cast("string")))
     )
-    rows = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("folder"), base.alias("base"))
-    return naming.unique_names(rows, "folder", "base", ["doc_id"])
+    there = every.select(F.col("lang").alias("folder"), name.alias("base")).distinct()
+    return naming.unique_names(_named(every), "folder", "base", ["doc_id"], existing=there)
 
 
 @check(

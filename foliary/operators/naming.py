@@ -12,37 +12,44 @@ from foliary.operators.skew import ordinal, skew_join
 _NUMBERED = r"\A(.+)_([1-9][0-9]{0,17})\z"
 
 
-def unique_names(files: DataFrame, folder: str, base: str, order: Sequence[str], out: str = "name") -> DataFrame:
-    """``base``, ``base_1``, ``base_2`` ... by ``order``, skipping names another file really has.
-
-    The first file of a base keeps it, so every real base is taken. The n-th further
-    file of a base gets the n-th number whose name is not a real base. Those numbers
-    come from numbering the files and the taken names together, so no loop is needed
-    and a base of any size is spread over many tasks.
+def unique_names(
+    files: DataFrame, folder: str, base: str, order: Sequence[str], out: str = "name", existing: DataFrame | None = None
+) -> DataFrame:
+    """``base``, ``base_1``, ``base_2`` ... by ``order``, skipping names another file really has and those of ``existing``.
+
+    ``existing`` has the columns ``folder`` and ``base`` too: names that stand in the target already. The first file of a
+    base keeps it unless it stands there. The n-th further file of a base gets the n-th number whose name is neither a real
+    base nor there. Those numbers come from numbering the files and the taken names together, so no loop is needed
+    and a base of any size is spread over many tasks. Null folders and bases are names like others, but meet no existing one.
     """
     rows = ordinal(files, [folder, base], order, "__rank", start=0)
     bases = rows.where("__rank = 0").select(folder, base)
-    further = rows.where("__rank > 0").groupBy(folder, base).agg(F.max("__rank").alias("__last"))
 
-    numbered: Column = F.regexp_extract(base, _NUMBERED, 2)
-    taken = (
-        bases.where(F.col(base).rlike(_NUMBERED))
-        .select(folder, F.regexp_extract(base, _NUMBERED, 1).alias(base), numbered.cast("long").alias("__k"))
-        .join(further.select(folder, base), [folder, base], "left_semi")
-    )
-    # The j-th taken number k stands after the files whose rank is at most k - j.
+    def numbered(names: DataFrame) -> DataFrame:
+        """Of each name with a number at its end the base and the number."""
+        return names.where(F.col(base).rlike(_NUMBERED)).select(
+            folder, F.regexp_extract(base, _NUMBERED, 1).alias(base),
+            F.regexp_extract(base, _NUMBERED, 2).cast("long").alias("__k"),
+        )
+
+    taken = numbered(bases)
+    if existing is not None:
+        there = existing.select(folder, base)
+        taken = taken.unionByName(there.withColumn("__k", F.lit(0).cast("long"))).unionByName(numbered(there)).distinct()
+    taken = taken.join(bases, [folder, base], "left_semi")
+    # The j-th taken number k, the base itself being 0, stands after the files whose rank is at most k - j.
     blockers = ordinal(taken, [folder, base], ["__k"], "__j").select(
         folder, base, (F.col("__k") - F.col("__j")).alias("__at"), F.lit(1).alias("__taken"), F.col("__k").alias("__t")
     )
     blocked = blockers.select(folder, base).distinct().withColumn("__blocked", F.lit(True))
     marked = skew_join(rows, blocked, [folder, base], "left", spread=list(order))
 
-    free = marked.where("__blocked is null or __rank = 0").withColumn("__slot", F.col("__rank"))
-    mixed = marked.where("__blocked and __rank > 0").withColumns(
+    free = marked.where("__blocked is null").withColumn("__slot", F.col("__rank"))
+    mixed = marked.where("__blocked").withColumns(
         {"__at": F.col("__rank"), "__taken": F.lit(0), "__t": F.col("__rank")}
     )
     slots = ordinal(
-        mixed.unionByName(blockers, allowMissingColumns=True), [folder, base], ["__at", "__taken", "__t"], "__slot"
+        mixed.unionByName(blockers, allowMissingColumns=True), [folder, base], ["__at", "__taken", "__t"], "__slot", start=0
     ).where("__taken = 0")
     name = F.when(F.col("__slot") == 0, F.col(base)).otherwise(F.concat_ws("_", base, F.col("__slot").cast("string")))
     return free.unionByName(slots.select(*free.columns)).select(*files.columns, name.alias(out))

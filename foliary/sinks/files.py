@@ -37,10 +37,13 @@ def json_manifest(results: DataFrame, schema: T.StructType, record: str = "recor
 
 
 def package_manifest(results: DataFrame, ancestry: Column, base: Column, order: Sequence[str],
-                     extension: str = ".pdf") -> DataFrame:
-    """Folder by type ancestry, a unique stem, and the targets of document and JSON."""
+                     extension: str = ".pdf", existing: DataFrame | None = None) -> DataFrame:
+    """Folder by type ancestry, a unique stem, and the targets of document and JSON.
+
+    ``existing`` (see ``stems_in``) keeps a further package from overwriting the files of an earlier one.
+    """
     placed = results.withColumns({"folder": folder_path(ancestry), "base": base})
-    named = unique_names(placed, "folder", "base", order)
+    named = unique_names(placed, "folder", "base", order, existing=existing)
     return named.withColumns(
         {
             "document_target": F.concat_ws("/", "folder", F.concat("name", F.lit(extension))),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,24 @@ def scan_or_failure(spark: SparkSession, folder: str, recurse: bool = False) ->
     return or_failure_row(found, folder, f"{NO_FILES} in {folder}")
 
 
+def stems_in(spark: SparkSession, target: str, extensions: Sequence[str] = (".pdf", ".json")) -> DataFrame:
+    """(folder, base) of the files under ``target`` that have one of the suffixes; a target that is not there has none.
+
+    Names only, contents are never read. A file right in the target has the folder ''.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "folder string, base string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(target)
+    steps = F.slice(F.split("path", "/"), depth_of(spark, target) + 1, 1 << 30)
+    named = files.select(F.array_join(F.slice(steps, 1, F.size(steps) - 1), "/").alias("folder"), F.get(steps, F.size(steps) - 1).alias("name"))
+    found = [
+        named.where(F.endswith("name", F.lit(e))).select("folder", F.expr(f"left(name, length(name) - {len(e)})").alias("base"))
+        for e in extensions
+    ]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def with_relative_path(files: DataFrame, root: str) -> DataFrame:
     return files.withColumn("relative_path", relative_to(F.col("path"), root))
 

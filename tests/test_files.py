@@ -110,6 +110,22 @@ def test_package_copies_bytes(spark, folder, tmp_path):
     assert sorted(files) == ["doc.pdf", "doc_1.pdf", "doc_2.pdf"] and b"deep" in files.values()
 
 
+def test_a_further_package_overwrites_nothing(spark, folder, tmp_path):
+    scan = sources.scan_documents(spark, str(folder), recurse=True).select("path")
+    out = tmp_path / "out k=v"
+    assert sources.stems_in(spark, str(out)).count() == 0
+    for _ in range(2):
+        there = sources.stems_in(spark, str(out))
+        made = sinks.package_manifest(scan, F.array(F.lit("Agreement"), F.lit("Terms")), F.lit("doc"), ["path"], existing=there)
+        sinks.copy_sources(made, str(out))
+    names = sorted(p.name for p in (out / "Agreements" / "Terms").iterdir())
+    assert names == ["doc.pdf", *[f"doc_{i}.pdf" for i in range(1, 6)]]
+    (out / "top.a.json").write_text("{}")
+    (out / "other.txt").write_text("x")
+    found = {tuple(r) for r in sources.stems_in(spark, str(out)).collect()}
+    assert ("", "top.a") in found and ("Agreements/Terms", "doc_5") in found and len(found) == 7
+
+
 def test_classification_table(spark):
     rows = spark.createDataFrame([("p", "b", ["a", "b"]), ("q", "c", ["c"])], "path string, type_key string, selection_path array<string>")
     table = sinks.classification_table(rows)

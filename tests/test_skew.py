@@ -106,6 +106,27 @@ def test_unique_names(spark, seed):
     assert len({(f, got[i]) for i, f, _ in items}) == len(items)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_names_beside_existing_ones(spark, seed):
+    rng = random.Random(seed)
+    bases = ["x", "x", "x", "x_1", "x_2", "x_1_1", "y", "y_01", "z"]
+    items = [(i, rng.choice("ab"), rng.choice(bases)) for i in range(90)]
+    there = {(rng.choice("abc"), rng.choice([*bases, "x_7", "x_900", "y_1", "w", "x_2_1"])) for _ in range(12)}
+    real = {(f, b) for _, f, b in items}
+    want, used = {}, set(there)
+    for i, f, b in items:
+        numbers = (k for k in range(1000) if (f, f"{b}_{k}" if k else b) not in used and (k == 0 or (f, f"{b}_{k}") not in real))
+        number = next(numbers)
+        want[i] = f"{b}_{number}" if number else b
+        used.add((f, want[i]))
+    frame = spark.createDataFrame(items, "id int, folder string, base string").repartition(5)
+    existing = spark.createDataFrame(sorted(there), "folder string, base string")
+    got = {r.id: r.name for r in unique_names(frame, "folder", "base", ["id"], existing=existing).collect()}
+    assert got == want and len({(f, got[i]) for i, f, _ in items} | there) == len(items) + len(there)
+    alone = unique_names(frame, "folder", "base", ["id"], existing=existing.where("false"))
+    assert {r.id: r.name for r in alone.collect()} == sequential_names(items)
+
+
 def test_shared_folder_is_the_named_one(spark):
     assert shared_folder(spark) == shared_folder(spark)
     named = spark.conf.get("spark.checkpoint.dir", None)
