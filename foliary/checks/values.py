@@ -473,6 +473,26 @@ def markdown_records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_KEY_LABEL = """array_to_string(list_transform(regexp_extract_all(replace(key, '_', ' '), '[A-Za-z]+|[^A-Za-z]+'),
+                lambda x: upper(x[1]) || lower(x[2:])), '')"""
+
+
+@check(
+    "fn_21_map_keys",
+    f"""SELECT c_custkey, '- **' || {_KEY_LABEL} || ':**' || chr(10) || '  ' || c_name || chr(10) || '- **Key No.1A:**' || chr(10) || '  ' || c_custkey AS markdown,
+               '<ul><li><strong>' || {_KEY_LABEL} || ':</strong> ' || c_name || '</li><li><strong>Key No.1A:</strong> ' || c_custkey || '</li></ul>' AS html
+        FROM (SELECT *, 'e-mail_OF_' || c_mktsegment || c_nationkey || 'x' AS key FROM customer)""",
+)
+def map_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys that only the rows know become labels by the rule of field names."""
+    key = F.concat(F.lit("e-mail_OF_"), "c_mktsegment", F.col("c_nationkey").cast("string"), F.lit("x"))
+    made = F.create_map(key, F.col("c_name"), F.lit("key_no.1a"), F.col("c_custkey").cast("string"))
+    shape = T.MapType(T.StringType(), T.StringType())
+    return table(spark, sf, "customer").select(
+        "c_custkey", render.markdown(made, shape).alias("markdown"), render.html(made, shape).alias("html")
+    )
+
+
 def escape_sql(expr: str) -> str:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
         expr = f"replace({expr}, '{char}', '{entity}')"

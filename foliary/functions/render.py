@@ -53,6 +53,12 @@ def scalar_text(c: Column, data_type: T.DataType) -> Column:
     return F.coalesce(text, F.lit(NULL_TEXT))
 
 
+def key_label(key: Column) -> Column:
+    """The label of a map key, by the rule of ``label``: every run of cased letters starts with a capital."""
+    runs = F.regexp_extract_all(F.replace(key, F.lit("_"), F.lit(" ")), F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
+
+
 def markdown(c: Column, data_type: T.DataType, indent: int = 0) -> Column:
     pad = " " * indent
     if isinstance(data_type, T.StructType):
@@ -65,7 +71,7 @@ def markdown(c: Column, data_type: T.DataType, indent: int = 0) -> Column:
             F.transform(
                 F.map_entries(c),
                 lambda e: F.concat(
-                    F.lit(f"{pad}- **"), F.initcap(F.replace(e["key"], F.lit("_"), F.lit(" "))), F.lit(":**\n"),
+                    F.lit(f"{pad}- **"), key_label(e["key"]), F.lit(":**\n"),
                     markdown(e["value"], data_type.valueType, indent + 2),
                 ),
             ),
@@ -90,7 +96,7 @@ def html(c: Column, data_type: T.DataType) -> Column:
         rows = F.transform(
             F.map_entries(c),
             lambda e: F.concat(
-                F.lit("<li><strong>"), escaped(F.initcap(F.replace(e["key"], F.lit("_"), F.lit(" ")))),
+                F.lit("<li><strong>"), escaped(key_label(e["key"])),
                 F.lit(":</strong>"), html(e["value"], data_type.valueType), F.lit("</li>"),
             ),
         )

@@ -139,6 +139,11 @@ def test_plain_numbers_in_rendered_text(spark):
     assert values(spark, given, render.plain_number, "double") == ["10000.0", "12345678.9", "10000000.0", "0.0005", "1.5"]
 
 
+def test_map_keys_are_labelled_like_fields(spark):
+    given = ["e-mail", "it's_a1b", "ÉCOLE_élan", "x__y", "", "日本a", "UPPER lower"]
+    assert values(spark, given, render.key_label) == [render.label(k) for k in given]
+
+
 def test_markdown_and_html(spark):
     shape = T.StructType([
         field("agreement_title"), field("signed", "date"), field("paid", "boolean"), field("at", "timestamp_ntz"),
