@@ -1,7 +1,9 @@
-"""Log-probability of texts under a backoff automaton learned from the corpus."""
+"""Log-probability of texts under a backoff automaton of word pairs, words and a root, learned from the corpus."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,8 +14,10 @@ from foliary.llm.words import Words, mix, slices
 from foliary.session import staged
 
 END, BEGIN = np.uint64(0x5EED0FE0D0F7E877), np.uint64(0xBE61A0C0DE5EED01)
+STEP, LOW = np.uint64(0x9E3779B97F4A7C15), np.uint64(16)
+BLOCK_BYTES = 8 << 20
 CLASSES = 48
-LOW = np.uint64(16)
+KINDS = ("words", "pairs", "triples")
 
 
 def learned(id_column: str = "doc_id"):
@@ -22,7 +26,11 @@ def learned(id_column: str = "doc_id"):
 
 
 class Block:
-    """Tokens of a block: per token its word and its (state, word) pair as places in sorted lists of distinct hashes."""
+    """Tokens of a block: each token's word, pair and triple as places in sorted lists of distinct hashes.
+
+    A pair is a token after the one before it (BEGIN for the first), a triple a token after a pair; the first token of a
+    text has none. The lowest bit of a pair tells that it ends a text, so is no state.
+    """
 
     def __init__(self, table: pa.Table):
         pieces, counts = [], []
@@ -38,26 +46,51 @@ class Block:
             counts.append(words.count + 1)
         self.count = np.concatenate(counts)
         tokens = np.concatenate(pieces)
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        self.first = np.concatenate([[0], np.cumsum(self.count)[:-1]])
-        before[self.first] = BEGIN
+        first = np.concatenate([[0], np.cumsum(self.count)[:-1]])
+        self.inner = np.ones(len(tokens), bool)
+        self.inner[first] = False
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
+        before = np.roll(tokens, 1)
+        before[first] = BEGIN
         # BEGIN is a state but never a token; it takes part in the list so that its count comes back too.
         self.words, place = np.unique(np.append(tokens, BEGIN), return_inverse=True)
         self.word, self.begin = place[:-1], place[-1]
-        self.state = np.empty_like(self.word)
-        self.state[1:] = self.word[:-1]
-        self.state[self.first] = self.begin
-        pairs = mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens) >> LOW
+        self.state = np.roll(self.word, 1)
+        self.state[first] = self.begin
+        pairs = (mix(before * STEP + tokens) >> LOW) & ~np.uint64(1) | (tokens == END)
         self.pairs, self.pair = np.unique(pairs, return_inverse=True)
+        after = np.flatnonzero(self.inner)
+        self.pair_state = self.pair[after - 1]
+        self.triples, self.triple = np.unique(mix(pairs[after - 1] * STEP + tokens[after]) >> LOW, return_inverse=True)
 
 
-def score_parts(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Per document what its score is made of (kind ``text``), and corpus counts, a row per block (kind ``corpus``)."""
-    count, bits = B.sizes(docs, block_bytes=block_bytes)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    every = B.in_blocks(docs, count, ("doc_id", "text")).withColumn("teaches", learned())
+def concentration(states: np.ndarray, tokens: np.ndarray, arcs: int) -> float:
+    """The prior tokens per state under which so many states with so many tokens expect ``arcs`` different arcs.
+
+    With m prior tokens a state with n tokens expects about m ln(1 + n / m) arcs. ``states`` and ``tokens`` are sums per class.
+    """
+    there = states > 0
+    mean = tokens[there] / states[there]
+    low, high = -3.0, 6.0
+    for _ in range(60):
+        m = 10 ** ((low + high) / 2)
+        if float((states[there] * m * np.log1p(mean / m)).sum()) < arcs:
+            low = math.log10(m)
+        else:
+            high = math.log10(m)
+    return 10 ** low
+
+
+def classes(counts: np.ndarray) -> tuple[list[int], list[int]]:
+    """How many counts there are in each power-of-two class, and their sums; zeros are left out."""
+    counts = counts[counts > 0]
+    level = np.minimum(np.log2(counts).astype(np.int64), CLASSES - 1)
+    states, tokens = np.bincount(level, minlength=CLASSES), np.bincount(level, counts, CLASSES)
+    return states.tolist(), tokens.astype(np.int64).tolist()
+
+
+def counted(every: DataFrame, bits: int) -> DataFrame:
+    """Per block and shard the corpus counts of the block's words, pairs and triples; one row per shard sums up the shard."""
 
     def asked(table: pa.Table) -> pa.Table:
         block = Block(table)
@@ -65,148 +98,147 @@ def score_parts(docs: DataFrame, block_bytes: int) -> DataFrame:
         weight = teaches[block.doc].astype(np.float64)
         words = np.bincount(block.word, weight, len(block.words)).astype(np.uint32)
         words[block.begin] = teaches.sum()
-        pairs = np.bincount(block.pair, weight, len(block.pairs)).astype(np.uint32)
-        w, p = B.cut_points(block.words, bits), B.cut_points(block.pairs << LOW, bits)
-        number = table.column("block")[0].as_py()
-        return pa.Table.from_pylist([
-            {
-                "shard": s, "block": number, "words": B.packed(block.words[w[s]: w[s + 1]]),
-                "word_counts": B.pack_small(words[w[s]: w[s + 1]]),
-                "pairs": B.pack_sorted(block.pairs[p[s]: p[s + 1]]), "pair_counts": B.pack_small(pairs[p[s]: p[s + 1]]),
-            }
-            for s in range(1 << bits)
-        ], pa.schema([
-            ("shard", pa.int32()), ("block", pa.int32()), ("words", pa.binary()), ("word_counts", pa.binary()),
-            ("pairs", pa.binary()), ("pair_counts", pa.binary()),
+        counts = {
+            "words": words, "pairs": np.bincount(block.pair, weight, len(block.pairs)).astype(np.uint32),
+            "triples": np.bincount(block.triple, weight[block.inner], len(block.triples)).astype(np.uint32),
+        }
+        keys = {"words": block.words, "pairs": block.pairs, "triples": block.triples}
+        cuts = {k: B.cut_points(v if k == "words" else v << LOW, bits) for k, v in keys.items()}
+        number, rows = table.column("block")[0].as_py(), []
+        for s in range(1 << bits):
+            at = {k: slice(c[s], c[s + 1]) for k, c in cuts.items()}
+            if any(a.start < a.stop for a in at.values()):
+                row = {"shard": s, "block": number}
+                for k in KINDS:
+                    row[k] = (B.packed if k == "words" else B.pack_sorted)(keys[k][at[k]])
+                    row[f"{k}_n"] = B.pack_small(counts[k][at[k]])
+                rows.append(row)
+        return pa.Table.from_pylist(rows, pa.schema([
+            ("shard", pa.int32()), ("block", pa.int32()), *[(c, pa.binary()) for k in KINDS for c in (k, f"{k}_n")],
         ]))
 
-    def totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.int64)
-        return np.split(total[place], np.cumsum([len(k) for k in keys])[:-1]), distinct, total
-
     def answered(table: pa.Table) -> pa.Table:
         rows = B.rows_of(table)
-        words, distinct, total = totals(
-            [np.frombuffer(r["words"], np.uint64) for r in rows], [B.unpack_small(r["word_counts"]) for r in rows]
-        )
-        pairs, _, _ = totals(
-            [B.unpack_sorted(r["pairs"]) for r in rows], [B.unpack_small(r["pair_counts"]) for r in rows]
-        )
-        known = int(((total > 0) & (distinct != BEGIN)).sum())
-        shard = rows[0]["shard"]
-        # The number of distinct words of the shard goes to one of its blocks.
-        out = [
-            {"block": r["block"], "shard": shard, "words": B.pack_small(w), "pairs": B.pack_small(p), "known": 0 if i else known}
-            for i, (r, w, p) in enumerate(zip(rows, words, pairs, strict=True))
-        ]
+        out = [{"block": r["block"], "shard": r["shard"]} for r in rows]
+        for k in KINDS:
+            lists = [np.frombuffer(r[k], np.uint64) if k == "words" else B.unpack_sorted(r[k]) for r in rows]
+            distinct, place = np.unique(np.concatenate(lists), return_inverse=True)
+            counts = np.concatenate([B.unpack_small(r[f"{k}_n"]) for r in rows])
+            total = np.bincount(place, counts, len(distinct)).astype(np.int64)
+            for r, n in zip(out, np.split(total[place], np.cumsum([len(x) for x in lists])[:-1]), strict=True):
+                r[k] = B.pack_small(n)
+            # What the shard knows goes along with one of its rows.
+            out[0][f"{k}_known"] = int(((total > 0) & (distinct != BEGIN)).sum()) if k == "words" else int((total > 0).sum())
+            if k == "words":
+                out[0]["tokens"] = int(total[distinct != BEGIN].sum())
+                out[0]["word_states"], out[0]["word_tokens"] = classes(total[distinct != END])
+            elif k == "pairs":
+                out[0]["pair_states"], out[0]["pair_tokens"] = classes(total[distinct & np.uint64(1) == 0])
         return pa.Table.from_pylist(out, pa.schema([
-            ("block", pa.int32()), ("shard", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary()), ("known", pa.int64()),
+            ("block", pa.int32()), ("shard", pa.int32()), *[(k, pa.binary()) for k in KINDS],
+            *[(f"{k}_known", pa.int64()) for k in KINDS], ("tokens", pa.int64()),
+            *[(c, pa.list_(pa.int64())) for c in ("word_states", "word_tokens", "pair_states", "pair_tokens")],
         ]))
 
+    asks = ", ".join(f"{k} binary, {k}_n binary" for k in KINDS)
+    tells = ", ".join(f"{k} binary, {k}_known long" for k in KINDS)
+    questions = B.per_group(every, "block", asked, f"shard int, block int, {asks}")
+    return B.per_group(
+        questions, "shard", answered,
+        f"block int, shard int, {tells}, tokens long, word_states array<long>, word_tokens array<long>,"
+        " pair_states array<long>, pair_tokens array<long>",
+    )
+
+
+class Automaton:
+    """The part of the automaton that the texts of a block can reach, and the walk of those texts through it.
+
+    A word state v has an arc for each word w seen after it, of weight (c(v, w) + m P(w)) / (c(v) + m), and a failure arc to the
+    root of weight m / (c(v) + m). A pair state does the same one order higher and fails to the state of its second word.
+    What backs off is part of an arc's weight too, so the probabilities of every state sum to one.
+    """
+
+    def __init__(self, block: Block, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, model: dict):
+        self.block = block
+        self.of_word, self.of_pair, self.of_triple = words[block.word], pairs[block.pair], triples[block.triple]
+        self.word_state, self.pair_state = words[block.state], pairs[block.pair_state]
+        self.model = model
+
+    def walk(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per token the logarithms under the root and under the automaton, and how many failure arcs the step took.
+
+        The state before a token is the pair of the two tokens before it if teaching knows that, else the word before it, else the
+        root. It hangs on these two alone, so every step of every text is worked out at once.
+        """
+        m, root = self.model, np.log10(self.of_word + 0.5) - self.model["share"]
+        at_word = (self.of_pair + m["words"] * 10 ** root) / (self.word_state + m["words"])
+        carried = (self.word_state > 0).astype(np.int64)
+        arrived = np.where(self.of_pair > 0, 1, 0)
+        inner = self.block.inner
+        weight = at_word.copy()
+        weight[inner] = (self.of_triple + m["pairs"] * at_word[inner]) / (self.pair_state + m["pairs"])
+        carried[inner] += self.pair_state > 0
+        arrived[inner] += self.of_triple > 0
+        return root, np.log10(weight), carried - arrived
+
+
+def score(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, teaches, n_tokens, n_known, train_tokens, base_score, score, n_failures for every row of ``docs``.
+
+    Tokens are the words with A-Z lower-cased, then one end; a null text has the end alone. The base is the word count
+    with 0.5 added; it is the root. Every word seen in teaching (and the beginning) is a state, and every pair of words
+    (or of the beginning and a word); a pair fails to its second word and a word to the root. ``Automaton`` has the weights;
+    the prior tokens m of an order are one number for all its states, such that as many arcs are expected as were counted.
+    ``n_failures`` is the number of failure arcs on a text's way. Counts cover all teaching documents; nothing is
+    pruned. Repeated rows are scored each and teach each; an empty table gives no rows; further columns are not looked at.
+
+    Nothing of the model is broadcast: blocks of documents ask shards of words, pairs and triples, and get back only their
+    own part of the automaton. The answers are written once, since their sums are needed before the walk.
+    """
+    count, bits = B.sizes(docs, block_bytes=block_bytes)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = docs.sparkSession.createDataFrame([], f"doc_id {kind}").toArrow().schema.field("doc_id").type
-    numbers = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("word_logs", pa.float64()), ("arc_logs", pa.float64()),
-               ("failed_logs", pa.float64())]
-    lists = [("arcs", pa.list_(pa.int64())), ("fails", pa.list_(pa.int64()))]
-    out_schema = pa.schema([("kind", pa.string()), ("doc_id", id_type), ("teaches", pa.bool_()), *numbers, *lists])
+    every = B.in_blocks(docs, count, ("doc_id", "text")).withColumn("teaches", learned())
+    replies = staged(counted(every, bits), "lm-counts")
+    found = replies.select(
+        *[F.sum(c).alias(c) for c in ("words_known", "pairs_known", "triples_known", "tokens")],
+        *[F.sum(F.coalesce(F.get(c, F.lit(i)), F.lit(0))).alias(f"{c}{i}")
+          for c in ("word_states", "word_tokens", "pair_states", "pair_tokens") for i in range(CLASSES)],
+    ).first().asDict()
+    sums = {k: v or 0 for k, v in found.items()}
+
+    def prior(name: str, arcs: str) -> float:
+        states, tokens = (np.array([sums[f"{name}_{c}{i}"] for i in range(CLASSES)], np.float64) for c in ("states", "tokens"))
+        return concentration(states, tokens, sums[arcs])
+
+    tokens = sums["tokens"]
+    model = {
+        "share": math.log10(tokens + 0.5 * (sums["words_known"] + 1)),
+        "words": prior("word", "pairs_known"), "pairs": prior("pair", "triples_known"),
+    }
+    out_schema = pa.schema([
+        ("doc_id", id_type), ("teaches", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
+        ("base_score", pa.float64()), ("score", pa.float64()), ("n_failures", pa.int64()),
+    ])
 
     def walked(table: pa.Table, answers: pa.Table) -> pa.Table:
-        replies = sorted(B.rows_of(answers), key=lambda r: r["shard"])
         if not table.num_rows:
             return out_schema.empty_table()
+        rows = sorted(B.rows_of(answers), key=lambda r: r["shard"])
         block = Block(table)
-        words = np.concatenate([B.unpack_small(r["words"]) for r in replies])
-        pairs = np.concatenate([B.unpack_small(r["pairs"]) for r in replies])
-        # The walk: a token leaves the state of the word before it, by its own arc if there is one and else over the
-        # failure arc to the root; either way it arrives in its own state. All steps of a block are worked out at once.
-        of_word, of_pair, of_state = words[block.word], pairs[block.pair], words[block.state]
-        has_arc = of_pair > 0
-        level = np.zeros(len(of_state), np.int64)
-        level[of_state > 0] = np.log2(of_state[of_state > 0]).astype(np.int64) + 1
-        level = np.minimum(level, CLASSES - 1)
+        counts = [np.concatenate([B.unpack_small(r[k]) for r in rows]) for k in KINDS]
+        automaton = Automaton(block, *counts, model)
+        root, logs, failures = automaton.walk()
         n = len(block.count)
-        logs = np.log10(of_word + 0.5)
-        arc = np.zeros(len(logs))
-        arc[has_arc] = np.log10(of_pair[has_arc] / of_state[has_arc])
-        cell = block.doc * CLASSES + level
-        arcs = np.bincount(cell[has_arc], minlength=n * CLASSES).reshape(n, CLASSES)
-        fails = np.bincount(cell[~has_arc], minlength=n * CLASSES).reshape(n, CLASSES)
-        teaches = table.column("teaches").combine_chunks()
-        from_teaching = np.asarray(teaches.to_numpy(zero_copy_only=False))[block.doc]
-        used = np.bincount(level[from_teaching], minlength=CLASSES)
-        once = np.bincount(level[from_teaching & (of_pair == 1)], minlength=CLASSES)
-        ids = table.column("doc_id").combine_chunks()
-        per_doc = pa.Table.from_arrays(
-            [
-                pa.array(["text"] * n), ids, teaches, pa.array(block.count.astype(np.int64)),
-                pa.array(np.bincount(block.doc[of_word > 0], minlength=n).astype(np.int64)),
-                pa.array(np.bincount(block.doc, logs, n)), pa.array(np.bincount(block.doc, arc, n)),
-                pa.array(np.bincount(block.doc, np.where(has_arc, 0.0, logs), n)),
-                pa.array(list(arcs), pa.list_(pa.int64())), pa.array(list(fails), pa.list_(pa.int64())),
-            ],
-            schema=out_schema,
-        )
-        known = sum(r["known"] for r in replies)
-        states = pa.Table.from_pylist(
-            [{"kind": "corpus", "n_known": known, "arcs": used.tolist(), "fails": once.tolist()}], out_schema
-        )
-        return pa.concat_tables([per_doc, states])
-
-    replies = B.per_group(
-        B.per_group(
-            every, "block", asked,
-            "shard int, block int, words binary, word_counts binary, pairs binary, pair_counts binary",
-        ),
-        "shard", answered, "block int, shard int, words binary, pairs binary, known long",
-    )
-    return every.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
+        return pa.Table.from_arrays([
+            table.column("doc_id").combine_chunks(), table.column("teaches").combine_chunks(), pa.array(block.count.astype(np.int64)),
+            pa.array(np.bincount(block.doc[automaton.of_word > 0], minlength=n).astype(np.int64)),
+            pa.array(np.full(n, tokens, np.int64)), pa.array(np.bincount(block.doc, root, n)), pa.array(np.bincount(block.doc, logs, n)),
+            pa.array(np.bincount(block.doc, failures, n).astype(np.int64)),
+        ], schema=out_schema)
+
+    return every.groupBy("block").cogroup(replies.select("block", "shard", *KINDS).groupBy("block")).applyInArrow(
         walked,
-        f"kind string, doc_id {kind}, teaches boolean, n_tokens long, n_known long, word_logs double, arc_logs double,"
-        " failed_logs double, arcs array<long>, fails array<long>",
-    )
-
-
-def score(docs: DataFrame, *, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
-    """doc_id, teaches, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
-
-    Tokens are the words with A-Z lower-cased, then one end; a null text has the end alone. The base is the word count
-    with 0.5 added. In the automaton every word seen in teaching is a state (and the beginning is one). A state h has an arc
-    for each word w that followed it, of weight (1 - f) c(h, w) / c(h), and a failure arc of weight f to the root, whose arcs
-    are the base. f is the part of the tokens after states of about the same count (a power of two) whose pair occurs
-    nowhere else, so what a state's own text would have been without that token. A state never seen fails without cost.
-    Counts cover all teaching documents; no word or pair is pruned. Repeated rows are scored each and teach each; an
-    empty table gives no rows; further columns are not looked at.
-
-    Nothing of the model is broadcast: blocks of documents ask shards of words and pairs, and get back only their own part
-    of the automaton. Texts are shuffled once.
-    """
-    parts = staged(score_parts(docs, block_bytes), "lm-parts")
-    sums = parts.groupBy("kind").agg(
-        F.sum("n_known").alias("known"), F.sum(F.when(F.col("teaches"), F.col("n_tokens"))).alias("tokens"),
-    )
-    found = {r["kind"]: r for r in sums.collect()}
-    tokens = (found["text"]["tokens"] or 0) if "text" in found else 0
-    distinct = (found["corpus"]["known"] or 0) if "corpus" in found else 0
-    levels = parts.where("kind = 'corpus'").select(F.posexplode(F.arrays_zip("arcs", "fails"))).groupBy("pos").agg(
-        F.sum("col.arcs").alias("used"), F.sum("col.fails").alias("once")
-    ).collect()
-    fail = np.full(CLASSES, 0.5)
-    for r in levels:
-        if r["used"]:
-            fail[r["pos"]] = min(0.999, max(0.001, r["once"] / r["used"]))
-    fail_logs, arc_logs = np.log10(fail), np.log10(1 - fail)
-    fail_logs[0] = 0.0
-    share = float(np.log10(tokens + 0.5 * (distinct + 1)))
-
-    def weighed(counts: str, logs: np.ndarray):
-        weights = F.array(*[F.lit(float(x)) for x in logs])
-        return F.aggregate(F.zip_with(counts, weights, lambda n, x: n * x), F.lit(0.0), lambda a, x: a + x)
-
-    failed = F.aggregate("fails", F.lit(0).cast("long"), lambda a, x: a + x)
-    return parts.where("kind = 'text'").select(
-        "doc_id", "teaches", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("word_logs") - F.col("n_tokens") * share).alias("base_score"),
-        (
-            F.col("arc_logs") + F.col("failed_logs") - failed * share + weighed("arcs", arc_logs) + weighed("fails", fail_logs)
-        ).alias("score"),
+        f"doc_id {kind}, teaches boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double,"
+        " n_failures long",
     )

@@ -124,6 +124,67 @@ def base_scores(rows):
     ]
 
 
+class Automaton:
+    """Explicit states, arcs and failure arcs; states are tuples of up to two tokens, None ends a text, False begins one."""
+
+    def __init__(self, rows):
+        count = [Counter(), Counter(), Counter()]
+        begun = 0
+        for doc_id, text in rows:
+            if crc(doc_id) % 5 != 1:
+                line = [False, *words(lower(text)), None]
+                begun += 1
+                for n in range(3):
+                    count[n].update(tuple(line[i: i + n + 1]) for i in range(len(line) - n))
+        tokens = Counter({w: n for (w,), n in count[0].items() if w is not False})
+        self.vocabulary = list(tokens)
+        total = sum(tokens.values()) + 0.5 * (len(tokens) + 1)
+        self.root = lambda w: math.log10((tokens[w] + 0.5) / total)
+        self.arcs, self.failure = {}, {}
+        for order in (1, 2):
+            states = {s: n for s, n in count[order - 1].items() if s[-1] is not None}
+            m = self.prior(list(states.values()), len(count[order]))
+            for s, n in states.items():
+                self.failure[s] = (s[1:], math.log10(m / (n + m)))
+            for gram, n in count[order].items():
+                lower_order = self.step(gram[1:-1], gram[-1])[0]
+                self.arcs[gram[:-1], gram[-1]] = math.log10((n + m * 10 ** lower_order) / (states[gram[:-1]] + m))
+
+    @staticmethod
+    def prior(counts, arcs):
+        classes = {}
+        for n in counts:
+            classes.setdefault(n.bit_length(), []).append(n)
+        low, high = -3.0, 6.0
+        for _ in range(60):
+            m = 10 ** ((low + high) / 2)
+            expected = sum(len(c) * m * math.log1p(sum(c) / len(c) / m) for c in classes.values())
+            low, high = (math.log10(m), high) if expected < arcs else (low, math.log10(m))
+        return 10 ** low
+
+    def step(self, state, word):
+        """Logarithm, failure arcs taken, and the state it arrives in."""
+        log, failures = 0.0, 0
+        while state and (state, word) not in self.arcs:
+            if state in self.failure:
+                log += self.failure[state][1]
+                failures += 1
+            state = state[1:]
+        log += self.arcs[state, word] if state else self.root(word)
+        return log, failures, (*state, word)[-2:]
+
+
+def automaton_scores(rows):
+    automaton, found = Automaton(rows), []
+    for doc_id, text in rows:
+        state, log, failures = (False,), 0.0, 0
+        for word in [*words(lower(text)), None]:
+            step, failed, state = automaton.step(state, word)
+            log, failures = log + step, failures + failed
+        found.append((doc_id, failures, log))
+    return found
+
+
 def infix_distance(pattern, text):
     row = list(range(len(pattern) + 1))
     best = row[-1]

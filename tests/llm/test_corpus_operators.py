@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -195,10 +196,23 @@ def test_scores(request, table):
     wanted = sorted(brute.base_scores(rows), key=repr)
     got = sorted(((*[r[c] for c in columns], r.base_score) for r in found), key=repr)
     assert np.allclose([r[4] for r in got], [r[4] for r in wanted], rtol=1e-9)
-    assert all(r.score <= 0 for r in found)
+    walked = sorted(brute.automaton_scores(rows), key=repr)
+    got = sorted(((r.doc_id, r.n_failures, r.score) for r in found), key=repr)
+    assert [r[:2] for r in got] == [r[:2] for r in walked]
+    assert np.allclose([r[2] for r in got], [r[2] for r in walked], rtol=1e-9)
     assert sum(r.score for r in found) > sum(r.base_score for r in found)
 
 
+def test_probabilities_of_every_state_sum_to_one(small):
+    rows, _ = small
+    automaton = brute.Automaton(rows)
+    rng = np.random.default_rng(5)
+    states = [(), ("<unseen>",), ("<unseen>", "<unseen>"), *automaton.failure]
+    for i in [0, 1, 2, *rng.integers(3, len(states), 40)]:
+        total = math.fsum(10 ** automaton.step(states[i], w)[0] for w in [*automaton.vocabulary, "<unseen>"])
+        assert abs(total - 1) < 1e-9, states[i]
+
+
 def test_matching_within_an_edit_distance():
     rng = random.Random(2)
     letters = "abcde "
