@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliary.checks.base import DOCS, check, docs, table
-from foliary.checks.relations import URL_PATH, url_path
+from foliary.checks.relations import URL_PATH, answer_text, url_path
 from foliary.checks.scans import CACHE, DOCUMENT_RECORD, _cache_rows
-from foliary.checks.values import CUSTOMER_SHAPE, MARKDOWN, customer_record, customer_source
+from foliary.checks.values import CUSTOMER_SHAPE, EVENT_RECORD, MARKDOWN, customer_record, customer_source
 from foliary.functions import text as X
 from foliary.operators import cache as C
 from foliary.operators import classify, summary
@@ -520,6 +520,32 @@ def index_rows_html(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.index_rows_html(rows, "title", "file", ["url"]).select("page_id", "row")
 
 
+class GivenAnswers:
+    """A provider for texts that are answers already."""
+
+    def native(self, text: Column, fields: Sequence[str]) -> Column:
+        return text
+
+
+@check(
+    "set_02_keys_in_results",
+    """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS status,
+              CASE WHEN event_id % 5 <> 0 THEN array_to_string(list_sort(list_concat(
+                CASE WHEN event_id % 2 = 1 THEN ['kind'] ELSE [] END, CASE WHEN event_id % 3 <> 0 THEN ['note'] ELSE ['tags'] END)),
+                ', ') END AS missing,
+              CASE WHEN event_id % 5 <> 0 THEN CASE event_id % 3 WHEN 0 THEN 'note' WHEN 1 THEN 'tags' ELSE '' END END AS empty
+       FROM events""",
+)
+def keys_in_results(spark: SparkSession, sf: str) -> DataFrame:
+    """A job that reports missing and empty keys beside its records; every fifth answer cannot be read."""
+    broken = F.when(F.col("event_id") % 5 == 0, F.lit("{")).otherwise(answer_text())
+    events = table(spark, sf, "events").select("event_id", F.col("event_id").cast("string").alias("path"), broken.alias("text"))
+    job = Job("event", EVENT_RECORD, GivenAnswers(), report_keys=True)
+    return extraction.extract(events, job, doc_id="event_id").results.select(
+        "event_id", "status", F.array_join("missing_keys", ", ").alias("missing"), F.array_join("empty_keys", ", ").alias("empty")
+    )
+
+
 @check(
     "snk_08_cache_append",
     f"""SELECT request_key, response_json FROM {CACHE}

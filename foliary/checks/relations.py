@@ -16,7 +16,7 @@ from foliary.operators.assemble import latest_by_field
 from foliary.operators.requests import part_requests
 from foliary.operators.skew import ordinal
 from foliary.schema import parts
-from foliary.session import staged
+from foliary.session import new_folder, staged
 from foliary.sources.files import union_results
 
 # -- joins --------------------------------------------------------------------
@@ -36,6 +36,18 @@ def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
     return C.hits(_requests(spark, sf), cache, ["doc_id"])
 
 
+@check(
+    "jn_01_indexed_lookup",
+    f"""SELECT d.doc_id, md5(d.text) AS request_key, c.response_json
+        FROM documents d LEFT JOIN {CACHE} c ON c.request_key = md5(d.text)""",
+)
+def indexed_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Cached answers from the stored table: by the filter of few keys at small sizes, by a join beyond them."""
+    folder = new_folder(spark, "cache")
+    C.append(C.new_entries(_cache_rows(spark, sf), C.empty_cache(spark), "2024-01-01 00:00:00"), folder)
+    return C.hits(_requests(spark, sf), C.read_cache(spark, folder), ["doc_id"])
+
+
 @check(
     "jn_02_cache_misses",
     f"""SELECT md5(text) AS request_key, min(doc_id) AS doc_id FROM documents d

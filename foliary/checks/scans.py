@@ -292,14 +292,35 @@ def provider_routing(spark: SparkSession, sf: str) -> DataFrame:
        WHERE NOT mixed GROUP BY conv_id""",
 )
 def message_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return requests.normalised_messages(_messages(spark, sf), "conv_id", "turn", "kind", "text")
+
+
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when((F.col("conv_id") % 4 == 0) & (F.col("turn") % 3 == 1), "document").otherwise("string")
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "text", kind.alias("kind"))
     lists = table(spark, sf, "events").select(
         (-1 - F.col("user_id") % 7).alias("conv_id"), F.col("event_id").alias("turn"), F.col("props").alias("text"),
         F.lit("string").alias("kind"),
     )
-    rows = rows.unionByName(lists)
-    return requests.normalised_messages(rows, "conv_id", "turn", "kind", "text")
+    return rows.unionByName(lists)
+
+
+@check(
+    "prj_09_message_pieces",
+    """WITH k AS (SELECT conv_id, turn, text,
+                         CASE WHEN conv_id % 4 = 0 AND turn % 3 = 1 THEN 'document' ELSE 'string' END AS kind
+                  FROM conversations
+                  UNION ALL SELECT -1 - user_id % 7, event_id, props, 'string' FROM events),
+            m AS (SELECT *, bool_or(kind <> 'string') OVER (PARTITION BY conv_id) AS mixed FROM k),
+            p AS (SELECT conv_id, CASE WHEN mixed THEN turn ELSE 0 END AS seq,
+                         CASE WHEN kind = 'document' THEN 'document' ELSE 'text' END AS type, turn, text FROM m),
+            n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, seq, type ORDER BY turn, text) AS n FROM p)
+       SELECT conv_id, seq, type, ((n - 1) // 1024)::BIGINT AS piece, string_agg(text, chr(10) ORDER BY n) AS text
+       FROM n GROUP BY ALL""",
+)
+def message_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The same lists in pieces of 1024 items, so that a list of a seventh of all events meets no single task."""
+    return requests.message_pieces(_messages(spark, sf), "conv_id", "turn", "kind", "text")
 
 
 @check(

@@ -1,19 +1,29 @@
 """The answer table: keyed lookups, misses, union and append.
 
 Rows are (request_key, response_json, created_at), partitioned by the first two hex
-digits of the key so that a lookup of few keys reads few folders. Runs that overlap may
-append one key twice; every lookup takes the newest row of a key, so results never multiply.
+digits of the key. Inside a file they stand in the order of their keys, in small pages with bounds, and
+every row group has a Bloom filter of its keys: a lookup of few keys reads few folders, and of them the row groups
+and pages that can hold a key. Runs that overlap may append one key twice; every lookup takes
+the newest row of a key, so results never multiply.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.operators.skew import skew_join
 
 CACHE_SCHEMA = "request_key string, response_json string, created_at timestamp_ntz, prefix string"
 PREFIX_LENGTH = 2
+# Up to so many keys go to the scan as a filter; more are joined.
+FEW_KEYS = 4096
+# Equal keys tested one by one in a single filter: beyond ten the reader only compares with the least and the greatest.
+KEYS_PER_TEST = 10
+INDEXED = {
+    "parquet.bloom.filter.enabled#request_key": "true", "parquet.bloom.filter.adaptive.enabled": "true",
+    "parquet.block.size": str(16 << 20), "parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "64",
+}
 
 
 def empty_cache(spark: SparkSession) -> DataFrame:
@@ -37,12 +47,26 @@ def latest(cache: DataFrame) -> DataFrame:
 
 
 def narrowed(cache: DataFrame, keys: DataFrame) -> DataFrame:
-    """The folders of the cache that can hold any of the keys; at most 256 prefixes are looked up first."""
+    """The part of the cache that can hold any of the keys, by their at most 256 prefixes and, if they are few, by themselves."""
     if "prefix" not in cache.columns:
         return cache
     prefix = F.substring("request_key", 1, PREFIX_LENGTH).alias("prefix")
-    found = sorted(r["prefix"] for r in keys.select(prefix).distinct().collect() if r["prefix"] is not None)
-    return cache.where(F.col("prefix").isin(found)) if found else cache.where(F.lit(False))
+    asked = keys.select("request_key").where("request_key is not null").distinct()
+    found = {r["prefix"]: r["n"] for r in asked.groupBy(prefix).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not found:
+        return cache.where(F.lit(False))
+    inside = cache.where(F.col("prefix").isin(sorted(found)))
+    if sum(found.values()) > FEW_KEYS:
+        return inside
+    few = sorted(r["request_key"] for r in asked.collect())
+    tests = [F.col("request_key").isin(few[i: i + KEYS_PER_TEST]) for i in range(0, len(few), KEYS_PER_TEST)]
+    return inside.where(_any(tests))
+
+
+def _any(tests: list[Column]) -> Column:
+    """One of the tests holds; as a balanced tree, since a chain of hundreds would be as deep."""
+    half = len(tests) // 2
+    return tests[0] if len(tests) == 1 else _any(tests[:half]) | _any(tests[half:])
 
 
 def hits(requests: DataFrame, cache: DataFrame, spread: list[str]) -> DataFrame:
@@ -88,4 +112,5 @@ def append(entries: DataFrame, path: str) -> None:
 
     Rebalancing puts a small prefix into one file and splits a large one.
     """
-    entries.hint("rebalance", "prefix").write.mode("append").partitionBy("prefix").parquet(path)
+    sorted_rows = entries.hint("rebalance", "prefix").sortWithinPartitions("prefix", "request_key")
+    sorted_rows.write.mode("append").options(**INDEXED).partitionBy("prefix").parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.operators.skew import ordinal, skew_join
+from foliary.session import staged
 
 _NUMBERED = r"\A(.+)_([1-9][0-9]{0,17})\z"
 
@@ -22,7 +23,8 @@ def unique_names(
     base nor there. Those numbers come from numbering the files and the taken names together, so no loop is needed
     and a base of any size is spread over many tasks. Null folders and bases are names like others, but meet no existing one.
     """
-    rows = ordinal(files, [folder, base], order, "__rank", start=0)
+    # Written once: the ranks are read for the bases, the taken names and the rows themselves.
+    rows = staged(ordinal(files, [folder, base], order, "__rank", start=0), "ranked-names")
     bases = rows.where("__rank = 0").select(folder, base)
 
     def numbered(names: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from foliary import schema
 from foliary.functions.text import decoded, is_pdf, parts_key
-from foliary.operators.skew import skew_join
+from foliary.operators.skew import ordinal, skew_join
 from foliary.session import staged
 
 # Fixed values.
@@ -100,12 +100,40 @@ def part_requests(docs: DataFrame, n_parts: int) -> DataFrame:
     return docs.withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(n_parts))))
 
 
+def message_pieces(
+    items: DataFrame, owner: str, position: str, kind: str, text: str, items_per_piece: int = 1024
+) -> DataFrame:
+    """Message lists as typed parts in pieces of bounded length: (owner, seq, type, piece, text).
+
+    The parts are those of ``normalised_messages``. A part of more than ``items_per_piece`` items comes in several rows with
+    ``piece`` counting from 0; their texts, joined by newlines in that order, are its text. So no list, however long,
+    meets one task or one value. A null text adds nothing, not even a newline. A null owner is an owner like others.
+    """
+    numbered = ordinal(_parts(items, owner, position, kind, text), [owner, "seq", "type"], ["__at", "__text"], "__n", start=0)
+    piece = F.floor(F.col("__n") / items_per_piece).cast("long").alias("piece")
+    return (
+        numbered.groupBy(owner, "seq", "type", piece)
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("__n").alias("n"), F.col("__text").alias("text")))).alias("items"))
+        .select(owner, "seq", "type", "piece", F.array_join(F.transform("items", lambda x: x["text"]), "\n").alias("text"))
+    )
+
+
 def normalised_messages(items: DataFrame, owner: str, position: str, kind: str, text: str) -> DataFrame:
     """Message lists as typed parts: (owner, seq, type, text).
 
     A list of plain strings becomes one part of newline-joined text, of any length: it is the text of one request.
     A list with any other kind keeps its items apart. Items at the same position stand in the order of their texts.
     """
+    return (
+        _parts(items, owner, position, kind, text)
+        .groupBy(owner, "seq", "type")
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("__at").alias("at"), F.col("__text").alias("text")))).alias("items"))
+        .select(owner, "seq", "type", F.array_join(F.transform("items", lambda x: x["text"]), "\n").alias("text"))
+    )
+
+
+def _parts(items: DataFrame, owner: str, position: str, kind: str, text: str) -> DataFrame:
+    """Every item with the part it belongs to: (owner, seq, type, __at, __text)."""
     mixed = (
         items.groupBy(owner)
         .agg(F.bool_or(F.col(kind) != "string").alias("mixed"))
@@ -116,12 +144,8 @@ def normalised_messages(items: DataFrame, owner: str, position: str, kind: str,
     # Whole lists and single items share one grouping: an item alone is its own part.
     segment = F.when(F.col("mixed"), F.col(position)).otherwise(0)
     part_type = F.when(F.col("mixed") & (F.col(kind) != "string"), F.col(kind)).otherwise("text")
-    return (
-        marked.select(owner, segment.cast("long").alias("seq"), part_type.alias("type"),
-                      F.struct(F.col(position).alias("at"), F.col(text).alias("text")).alias("item"))
-        .groupBy(owner, "seq", "type")
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
-        .select(owner, "seq", "type", F.array_join(F.transform("items", lambda x: x["text"]), "\n").alias("text"))
+    return marked.select(
+        owner, segment.cast("long").alias("seq"), part_type.alias("type"), F.col(position).alias("__at"), F.col(text).alias("__text")
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliary import schema as S
-from foliary.functions.answers import raw_fields, relaxed, strict_errors, without_fence
+from foliary.functions.answers import empty_keys, missing_keys, raw_fields, relaxed, strict_errors, without_fence
 from foliary.functions.encode import cell
 from foliary.functions.text import is_blank
 from foliary.operators.assemble import merged_parts
@@ -56,6 +56,8 @@ class Job:
     part_size: int | None = None
     # Whether a key that the record does not have is an error.
     reject_unknown: bool = False
+    # Whether the results tell which keys of the record did not come, and which came empty.
+    report_keys: bool = False
     wanted: T.StructType = field(init=False)
 
     def __post_init__(self) -> None:
@@ -66,6 +68,9 @@ class Job:
         return S.parts(self.record, self.part_size) if self.part_size else [self.wanted]
 
 
+REPORT = ("missing_keys", "empty_keys")
+
+
 @dataclass(frozen=True)
 class Extraction:
     results: DataFrame
@@ -247,7 +252,7 @@ def extract(
         kept = [F.col(doc_id), F.col("type_key"), F.col(text).alias("text"), F.col(path).alias("path"),
                 kind_of(docs).alias("__kind")]
         asked = _with_requests(typed.select(*kept), jobs)
-        rows = checked_answers(_own_answers(asked), job.wanted, (doc_id, "path"), job.reject_unknown)
+        rows = checked_answers(_own_answers(asked), job.wanted, (doc_id, "path"), job.reject_unknown, job.report_keys)
         return Extraction(_shaped(rows, job, doc_id), _own_answers(asked).where("group_key is not null").groupBy(
             F.col("group_key").alias("request_key")).agg(F.min("response_json").alias("response_json"), F.min("error").alias("error")))
     cache = cache if cache is not None else empty_cache(docs.sparkSession)
@@ -262,7 +267,7 @@ def _results(scan: DataFrame, requests: DataFrame, answers: DataFrame, job: Job,
     the documents, so copies of a document cost a lookup.
     """
     fields = job.wanted.fieldNames() if job.part_size else None
-    checked = checked_answers(_raw_answers(requests, answers, fields), job.wanted, reject_unknown=job.reject_unknown)
+    checked = checked_answers(_raw_answers(requests, answers, fields), job.wanted, (), job.reject_unknown, job.report_keys)
     slim = scan.select(doc_id, "path", F.get("parts", 0)["request_key"].alias("group_key"))
     return _shaped(skew_join(slim, checked, ["group_key"], "left", spread=[doc_id]), job, doc_id)
 
@@ -271,7 +276,7 @@ def _shaped(rows: DataFrame, job: Job, doc_id: str) -> DataFrame:
     return rows.select(
         doc_id, "path", F.col("group_key").alias("request_key"), F.coalesce("status", F.lit(NO_RESULT)).alias("status"),
         F.lit(job.type_key).alias("type_key"), with_lineage("record", job, F.col("path")).alias("record"),
-        "errors", "error_class", "error_message",
+        "errors", "error_class", "error_message", *(REPORT if job.report_keys else ()),
     )
 
 
@@ -295,10 +300,16 @@ def _raw_answers(requests: DataFrame, answers: DataFrame, merge_fields: Sequence
 
 
 def checked_answers(
-    answers: DataFrame, wanted: T.StructType, keep: Sequence[str] = (), reject_unknown: bool = False
+    answers: DataFrame, wanted: T.StructType, keep: Sequence[str] = (), reject_unknown: bool = False, report_keys: bool = False
 ) -> DataFrame:
-    """(group_key, record, errors, status, error_class, error_message) of answers with a raw map."""
+    """(group_key, record, errors, status, error_class, error_message) of answers with a raw map.
+
+    With ``report_keys`` also missing_keys and empty_keys; null where no answer could be read.
+    """
     read = answers.withColumn("record", relaxed(F.col("raw"), wanted))
+    if report_keys:
+        read = read.withColumns({"missing_keys": missing_keys(F.col("raw"), wanted), "empty_keys": empty_keys(F.col("raw"), wanted)})
+        keep = (*keep, *REPORT)
     return _with_status(read.withColumn("errors", strict_errors(F.col("raw"), F.col("record"), wanted, reject_unknown)), keep)
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliary.catalog import AGREEMENT, EMPLOYMENT_AGREEMENT, LICENSE_AGREEMENT
-from foliary.operators.cache import append, asked_of, empty_cache, misses, new_entries, read_cache
+from foliary.operators.cache import append, asked_of, empty_cache, misses, narrowed, new_entries, read_cache
 from foliary.operators.providers import CallProvider, RuleProvider
-from foliary.operators.requests import normalised_messages, part_requests, routed, with_extra
+from foliary.operators.requests import message_pieces, normalised_messages, part_requests, routed, with_extra
 from foliary.operators.summary import failure_summary, run_summary
 from foliary.plans import extraction
 from foliary.plans.extraction import Job, dispatch, enrich_table, extract, table_job
@@ -194,6 +194,55 @@ def test_long_message_lists_are_one_part(spark):
     assert part_requests(rows.select("turn"), 3).count() == 3000
 
 
+def test_message_pieces_are_the_parts_cut(spark):
+    plain = spark.range(0, 2500).select(
+        F.lit(1).alias("c"), F.col("id").alias("turn"), F.lit("string").alias("kind"), F.col("id").cast("string").alias("text"))
+    other = spark.createDataFrame(
+        [(2, 0, "string", "a"), (2, 1, "document", "b"), (2, 1, "document", "b"), (2, 2, "string", None), (None, 0, "string", "x"), (None, 1, "string", "")],
+        "c int, turn long, kind string, text string")
+    rows = plain.unionByName(other)
+    pieces = message_pieces(rows, "c", "turn", "kind", "text", 1000).orderBy("c", "seq", "type", "piece").collect()
+    assert [r.piece for r in pieces if r.c == 1] == [0, 1, 2]
+    joined = {}
+    for r in pieces:
+        key = (r.c, r.seq, r.type)
+        joined[key] = f"{joined[key]}\n{r.text}" if key in joined else r.text
+    # Without a null owner and with it the parts are the same; the joins of mixed lists keep null owners.
+    assert joined == {(r.c, r.seq, r.type): r.text for r in normalised_messages(rows, "c", "turn", "kind", "text").collect()}
+    assert message_pieces(rows.limit(0), "c", "turn", "kind", "text").count() == 0
+
+
+def _rows_scanned(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    found, todo = [], [plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return sum(found)
+
+
+def test_lookups_of_few_keys_read_few_pages(spark, tmp_path):
+    folder = new_folder(spark, "cache")
+    # Two runs, so every prefix has a file of about 1,500 rows and one of about 80.
+    for first, last in ((0, 380_000), (380_000, 400_000)):
+        body = F.concat(F.lit('{"v":"'), F.sha2(F.col("id").cast("string"), 512), F.lit('"}'))
+        fresh = spark.range(first, last, 1, 8).select(F.md5(F.col("id").cast("string")).alias("request_key"), body.alias("response_json"))
+        append(new_entries(fresh, empty_cache(spark), "2024-01-01 00:00:00"), folder)
+    cache = read_cache(spark, folder)
+    # Half of the keys are not there.
+    asked = spark.range(0, 800_000, 1600).select(F.md5(F.col("id").cast("string")).alias("request_key"))
+    asked = asked.unionByName(asked).unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS request_key"))
+    found = narrowed(cache, asked)
+    assert found.count() == 250
+    scanned = _rows_scanned(found.select("request_key", "response_json"))
+    assert 250 <= scanned < 400_000 / 10, scanned
+    assert narrowed(cache, asked.where("request_key is null")).count() == 0
+
+
 def test_repeated_cache_rows_do_not_multiply_results(spark, docs, tmp_path):
     job = Job("t", FACTS, RuleProvider())
     fresh = extract(docs, job, cache=empty_cache(spark)).fresh
