@@ -60,11 +60,12 @@ class CallProvider:
     The function gets the text of the request, or with ``send="request"`` all of it as a mapping: provider, model, system,
     max_tokens, temperature and parts (each with type and text, where a PDF is a ``document`` in base64). At most
     ``concurrency`` tasks call at the same time and a task makes about ``calls_per_task`` calls: what is more waits for
-    the next wave. Inside a task a window of calls is open: a further request is read only when one of them has ended, so
+    the next wave. A wave is a Spark job of its own, so there are at most ``most_waves`` of them, and beyond that their tasks
+    make more calls. Inside a task a window of calls is open: a further request is read only when one of them has ended, so
     neither requests nor answers pile up. The function must bear calls from several threads (or take ``in_flight=1``).
     ``calls_per_second`` spaces the calls of a task. A failing call is repeated after ``pause`` seconds, doubled each time, as long as
-    the task's ``retries`` last; then it is an error row, and it never fails the job. The extraction job writes the answers down
-    once per wave, so a lost executor costs no more than the calls of one.
+    ``retries`` of ``calls_per_task`` calls last; then it is an error row, and it never fails the job. The extraction job writes
+    the answers down once per wave, so a lost executor costs no more than the calls of one.
     """
 
     connect: Callable[[], Callable[..., str]]
@@ -76,9 +77,10 @@ class CallProvider:
     calls_per_second: float | None = None
     retries: int = 0
     pause: float = 0.5
+    most_waves: int = 16
 
     def waves_for(self, requests: int) -> int:
-        return max(self.waves, 1, -(-requests // (self.concurrency * self.calls_per_task)))
+        return max(self.waves, 1, min(self.most_waves, -(-requests // (self.concurrency * self.calls_per_task))))
 
     def native(self, text: Column, fields: Sequence[str]) -> None:
         return None
@@ -117,6 +119,11 @@ class CallProvider:
                 left -= 1
                 return left >= 0
 
+        def renew() -> None:
+            nonlocal left
+            with gate:
+                left = self.retries
+
         def one(key: str, what: object) -> tuple[str, str | None, str | None]:
             pause = self.pause
             while True:
@@ -131,7 +138,9 @@ class CallProvider:
 
         with ThreadPoolExecutor(self.in_flight) as pool:
             open_calls: set[Future] = set()
-            for key, what in requests:
+            for number, (key, what) in enumerate(requests):
+                if number % self.calls_per_task == 0:
+                    renew()
                 open_calls.add(pool.submit(one, key, what))
                 if len(open_calls) >= self.in_flight:
                     ended, open_calls = wait(open_calls, return_when=FIRST_COMPLETED)

@@ -18,13 +18,14 @@ from foliary.functions.text import is_blank
 from foliary.operators.assemble import merged_parts
 from foliary.operators.cache import asked_of, empty_cache, misses
 from foliary.operators.keyfilter import key_filter, may_contain
+from foliary.operators.providers import ANSWER
 from foliary.operators.requests import (
     DEFAULT_MAX_TOKENS, TABLE_MAX_TOKENS, instruction, request_key, request_text, routed, text_part, unknown_provider,
     with_extra, with_option_defaults,
 )
 from foliary.operators.skew import skew_join
 from foliary.operators.summary import FAILED, NO_RESULT, OK
-from foliary.session import staged
+from foliary.session import staged, written
 
 SYSTEM = "You extract structured facts from documents."
 
@@ -229,8 +230,8 @@ def _called_answers(
             )
             given = job.provider.answer(sent.where("route_error is null"))
             # Answers are written down wave by wave: what is written is never asked again.
-            answers.append(staged(given.unionByName(refused), "answers"))
-    return reduce(DataFrame.unionByName, answers)
+            answers.append(written(given.unionByName(refused), "answers"))
+    return docs.sparkSession.read.schema(ANSWER).parquet(*answers)
 
 
 def no_error() -> Column:

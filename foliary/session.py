@@ -52,6 +52,11 @@ def staged(df: DataFrame, label: str, *by: str) -> DataFrame:
     Cuts the lineage so that a lost executor costs one re-read, and pins values
     that must not change between two uses (slice numbers, provider answers).
     """
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, label, *by))
+
+
+def written(df: DataFrame, label: str, *by: str) -> str:
+    """The folder that ``staged`` writes, for tables written piece by piece and read as one."""
     path = new_folder(df.sparkSession, label)
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path

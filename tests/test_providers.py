@@ -112,3 +112,40 @@ def test_unknown_keys_can_be_errors(spark):
     provider = CallProvider(lambda: lambda what: '{"who": {"kind": "a"}, "more": 1}', concurrency=1)
     assert extract(docs, Job("t", RECORD, provider)).results.first().status == "ok"
     assert extract(docs, Job("t", RECORD, provider, reject_unknown=True)).results.first().errors == ["more: unknown"]
+
+
+def test_retries_come_anew_with_each_share_of_calls():
+    calls = []
+
+    def ask(what):
+        calls.append(what)
+        if calls.count(what) == 1:
+            raise ValueError("no answer")
+        return what
+
+    provider = CallProvider(None, in_flight=1, retries=2, pause=0.001, calls_per_task=2)
+    rows = list(provider.pumped(ask, [(str(i), str(i)) for i in range(6)]))
+    assert rows == [(str(i), str(i), None) for i in range(6)]
+
+
+def noted(monkeypatch):
+    """What providers are asked to answer, one table per wave."""
+    asked, answer = [], CallProvider.answer
+    monkeypatch.setattr(CallProvider, "answer", lambda self, requests: asked.append(requests) or answer(self, requests))
+    return asked
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_waves_do_not_grow_with_the_input(spark, monkeypatch):
+    assert CallProvider(None, concurrency=8).waves_for(8_001) == 2
+    assert CallProvider(None, concurrency=8).waves_for(3_000_000) == 16
+    assert CallProvider(None, waves=40).waves_for(1) == 40
+    docs = spark.range(40).selectExpr("id AS doc_id", "'p' AS path", "concat('text ', id) AS text")
+    asked, provider = noted(monkeypatch), CallProvider(lambda: lambda what: '{"who": {"kind": "a"}}', concurrency=1, calls_per_task=1)
+    done = extract(docs, Job("t", RECORD, provider))
+    assert len(asked) == 16 and sum(r.count() for r in asked) == 40
+    assert done.results.where("status = 'ok'").count() == 40
+    assert plan_of(done.fresh).count("Relation") == 1
