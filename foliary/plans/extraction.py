@@ -185,21 +185,33 @@ def missing_requests(
     )
 
 
-def as_sent(rows: DataFrame, type_key: str, job: Job) -> DataFrame:
-    """The rows of ``missing_requests`` of one type with the request, as a text and as a struct with all options."""
-    prompts = F.array(*[F.lit(instruction(part)) for part in job.part_schemas])
-    prompt = prompts[F.col("part") - 1]
-    own = rows.where(F.col("type_key") == type_key)
-    body = request_text(prompt, F.concat_ws("\n", F.col("text"), F.lit(job.extra)))
+def as_sent(rows: DataFrame, jobs: Mapping[str, Job]) -> DataFrame:
+    """The rows of ``missing_requests`` of the given types with the request, as a text and as a struct with all options.
+
+    However many the types, the rows are read once: each finds the options of its type in a constant map.
+    """
+    options = F.create_map(*[c for type_key, job in jobs.items() for c in (F.lit(type_key), _options(job))])
+    own = rows.where(F.col("type_key").isin(*jobs)).withColumn("__job", options[F.col("type_key")])
+    prompt, extra = F.col("__job.prompts")[F.col("part") - 1], F.col("__job.extra")
+    body = request_text(prompt, F.concat_ws("\n", F.col("text"), extra))
     parts = F.array(text_part(prompt), F.struct(F.col("kind").alias("type"), F.col("text")))
-    options = with_option_defaults(own.withColumns({
-        "provider": F.lit(job.provider_name), "model": F.lit(job.model).cast("string"), "small_model": F.lit(None).cast("string"),
-        "temperature": F.lit(job.temperature).cast("double"), "max_tokens": F.lit(job.max_tokens),
-        "parts": with_extra(parts, F.lit(job.extra).cast("string")), "system": F.lit(job.system), "request_text": body,
+    sent = with_option_defaults(own.withColumns({
+        "provider": F.col("__job.provider"), "model": F.col("__job.model"), "small_model": F.lit(None).cast("string"),
+        "temperature": F.col("__job.temperature"), "max_tokens": F.col("__job.max_tokens"),
+        "parts": with_extra(parts, extra), "system": F.col("__job.system"), "request_text": body,
     }))
     route, error = routed(F.col("provider"))
     request = F.struct(route.alias("provider"), "model", "system", "max_tokens", "temperature", "parts")
-    return options.select("request_key", "part", "text", "request_text", request.alias("request"), error.alias("route_error"))
+    return sent.select("request_key", "part", "text", "request_text", request.alias("request"), error.alias("route_error"))
+
+
+def _options(job: Job) -> Column:
+    return F.struct(
+        F.array(*[F.lit(instruction(part)) for part in job.part_schemas]).alias("prompts"),
+        F.lit(job.provider_name).alias("provider"), F.lit(job.model).cast("string").alias("model"), F.lit(job.system).cast("string").alias("system"),
+        F.lit(job.extra).cast("string").alias("extra"), F.lit(job.max_tokens).cast("int").alias("max_tokens"),
+        F.lit(job.temperature).cast("double").alias("temperature"),
+    )
 
 
 def _called_answers(
@@ -222,15 +234,20 @@ def _called_answers(
     answers = []
     for types in by_provider.values():
         job = jobs[types[0]]
+        # A type whose provider is not known is refused, so nothing of it is sent.
+        known = {t: jobs[t] for t in types if unknown_provider(jobs[t].provider_name) is None}
+        unknown = {t: jobs[t] for t in types if t not in known}
         for wave in range(waves):
             open_texts = texts.where(F.col("wave") == wave)
-            sent = reduce(DataFrame.unionByName, [as_sent(open_texts, t, jobs[t]) for t in types])
-            refused = sent.where("route_error is not null").select(
-                "request_key", F.lit(None).cast("string").alias("response_json"), F.col("route_error").alias("error")
-            )
-            given = job.provider.answer(sent.where("route_error is null"))
+            given = []
+            if known:
+                given.append(job.provider.answer(as_sent(open_texts, known).where("route_error is null")))
+            if unknown:
+                given.append(as_sent(open_texts, unknown).where("route_error is not null").select(
+                    "request_key", F.lit(None).cast("string").alias("response_json"), F.col("route_error").alias("error")
+                ))
             # Answers are written down wave by wave: what is written is never asked again.
-            answers.append(written(given.unionByName(refused), "answers"))
+            answers.append(written(reduce(DataFrame.unionByName, given), "answers"))
     return docs.sparkSession.read.schema(ANSWER).parquet(*answers)
 
 

@@ -149,3 +149,27 @@ def test_waves_do_not_grow_with_the_input(spark, monkeypatch):
     assert len(asked) == 16 and sum(r.count() for r in asked) == 40
     assert done.results.where("status = 'ok'").count() == 40
     assert plan_of(done.fresh).count("Relation") == 1
+
+
+def test_types_of_one_provider_are_read_once(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(i, f"p{i}", f"text {i}", t, None) for i, t in enumerate(("a", "b", "c", "a", None, "d"))],
+        "doc_id long, path string, text string, type_key string, error_message string",
+    )
+    asked, provider = noted(monkeypatch), CallProvider(lambda: lambda what: "{}", concurrency=2)
+    other = T.StructType([field("place")])
+    jobs = {
+        "a": Job("a", RECORD, provider, model="m", extra="Be brief.", max_tokens=9),
+        "b": Job("b", other, provider, provider_name="openai", system="s", temperature=0.5),
+        "c": Job("c", RECORD, provider, provider_name="Nobody"),
+    }
+    found = {r.doc_id: (r.status, r.error_message) for r in dispatch(docs, jobs).results().collect()}
+    assert found[2] == ("failed", "Unknown provider 'nobody'") and found[1] == ("ok", None) and found[5] == ("no_result", None)
+    (wave,) = asked
+    assert plan_of(wave).count("Relation") == 1
+    sent = {r.text: r for r in wave.collect()}
+    assert sorted(sent) == ["text 0", "text 1", "text 3"]
+    a, b = sent["text 0"].request, sent["text 1"].request
+    assert (a.provider, a.model, a.max_tokens, a.temperature, len(a.parts)) == ("anthropic", "m", 9, 0.0, 3)
+    assert (b.provider, b.model, b.max_tokens, b.temperature, len(b.parts)) == ("openai", "gpt-4.1", 2048, 0.5, 2)
+    assert b.system == "s" and "place" in sent["text 1"].request_text and "Be brief." in sent["text 0"].request_text
