@@ -24,6 +24,11 @@ SPARE = 2
 BATCH_ENTRIES = 1 << 20
 FAMILY_CHUNK = 512
 SEGMENT = 32
+# Bits of a sketch per element, and at all, at least; sketches are compared in chunks of so many bytes, or so many of the largest.
+SKETCH_BITS = 2
+LEAST_BITS = 256
+SKETCH_CHUNK = 1 << 20
+SKETCHES = 64
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -49,6 +54,23 @@ def set_digest(values: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """For each of a power of two of bits whether the elements dealt to it are odd in number.
+
+    Two sets differ in at least as many elements as their sketches differ in bits, also after both were folded to fewer words.
+    """
+    bits = max(LEAST_BITS, 1 << (SKETCH_BITS * len(values) - 1).bit_length())
+    place = (mix(values ^ np.uint64(0x3C3C3C3C)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(bool), bitorder="little").view("<u8")
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """Sketches, word by word, as they are with ``size`` words."""
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2:]
+    return words
+
+
 def class_tops() -> list[int]:
     """Largest set size of each size class; a class is half as large again as the one before."""
     tops = [1]
@@ -221,8 +243,46 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
     return found
 
 
+def alike(sizes: np.ndarray, words: np.ndarray, split: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Pairs without circles that connect all sets whose sketches do not tell that they are not linked.
+
+    A column of ``words`` is the sketch of a set; the sets are in order of size, up to ``split`` and from there on. Each one before
+    ``split`` is compared with those from it on, and if there are none, with each other.
+    """
+    coarse, found = folded(words, max(1, len(words) // 2)), []
+    owner = np.arange(len(sizes))
+    across = split < len(sizes)
+    others = sizes[split:] if across else sizes
+
+    def roots(numbers: np.ndarray) -> np.ndarray:
+        at = owner[numbers]
+        while (owner[at] != at).any():
+            at = owner[at]
+        owner[numbers] = at
+        return at
+
+    for i in range(split):
+        n = int(sizes[i])
+        begin = split + int(np.searchsorted(others, -(-n * percent // 100))) if across else i + 1
+        end = (split if across else 0) + int(np.searchsorted(others, n * 100 // percent, "right"))
+        # Linked sets differ in so many elements at most.
+        most = (n + sizes[begin:end]) * (100 - percent) // (100 + percent)
+        apart = np.zeros(end - begin, np.uint32)
+        for row in coarse:
+            apart += np.bitwise_count(row[begin:end] ^ row[i])
+        near = begin + np.flatnonzero(apart <= most)
+        apart = np.bitwise_count(words[:, near] ^ words[:, i: i + 1]).sum(axis=0, dtype=np.int64)
+        near = near[apart <= most[near - begin]]
+        tops = roots(near)
+        mine = int(roots(np.array([i]))[0])
+        tops, first = np.unique(tops, return_index=True)
+        found += [(i, int(near[at])) for top, at in zip(tops, first, strict=True) if top != mine]
+        owner[tops] = mine
+    return found
+
+
 def set_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, for every row."""
+    """doc_id, n_shingles, digest of the set and its sketch, for every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,12 +291,12 @@ def set_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([set_digest(s) for s in sets], pa.int64()),
+                        pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([B.packed(sketch(s)) for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "digest"],
+                    names=["doc_id", "n_shingles", "digest", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(measured, f"doc_id {kind}, n_shingles long, digest long")
+    return docs.select("doc_id", "text").mapInArrow(measured, f"doc_id {kind}, n_shingles long, digest long, sketch binary")
 
 
 def candidates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -285,6 +345,71 @@ def candidates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     return B.per_group(dealt, "shard", tied, "a long, b long")
 
 
+def in_pairs(chunked: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+    """Rows with a ``chunk`` of ``chunks`` of their group, once for every pair (low, high) of chunks that theirs is one of."""
+    return chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        *group, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", *columns
+    )
+
+
+def narrowed(family: DataFrame, every: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) with every family of more than FAMILY_CHUNK sets divided into those that sketches leave.
+
+    Texts that have a line in common agree in a part by chance, the more of them the larger the corpus, and chance ties
+    families to each other. Sets of a family are compared by their sketches, which are a small part of the sets, within the
+    size class of the larger one, in chunks of about SKETCH_CHUNK bytes. A linked pair stays together, and a set that is like no
+    other one leaves.
+    """
+    large = staged(
+        family.groupBy("component").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > FAMILY_CHUNK)
+        .select(F.col("component").alias("family")), "shingle-large"
+    )
+    if large.isEmpty():
+        return family
+    inside = staged(family.join(large, family["component"] == large["family"]).select("node", "family"), "shingle-inside")
+    slim = may_contain(every.select("digest", "n_shingles", "sketch"), key_filter(inside.select("node")), [F.col("digest")], "__inside")
+    members = slim.where("__inside").join(inside, F.col("digest") == inside["node"]).dropDuplicates(["digest"])
+
+    def in_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_pylist()
+            spans = [range(bisect_left(TOPS, n), bisect_left(TOPS, n * 100 // percent) + 1) for n in sizes]
+            rows = pa.array([row for row, span in enumerate(spans) for _ in span], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[c.take(rows) for c in batch.columns], pa.array([at for span in spans for at in span], pa.int32())],
+                names=[*batch.schema.names, "class"],
+            )
+
+    dealt = staged(
+        members.select("family", "digest", "n_shingles", "sketch").mapInArrow(
+            in_classes, "family long, digest long, n_shingles long, sketch binary, class int"
+        ), "shingle-sketches",
+    )
+    size = F.octet_length("sketch")
+    chunks = dealt.groupBy("family", "class").agg(
+        F.ceil(F.sum(size) / F.greatest(F.lit(SKETCH_CHUNK), SKETCHES * F.max(size))).cast("int").alias("chunks")
+    )
+    chunked = dealt.join(chunks, ["family", "class"]).withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
+
+    def compared(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("chunk", "ascending"), ("n_shingles", "ascending"), ("digest", "ascending")])
+        chunk, digest = (table.column(c).to_numpy() for c in ("chunk", "digest"))
+        sketches = [np.frombuffer(b, "<u8") for b in table.column("sketch").to_pylist()]
+        size = min(len(s) for s in sketches)
+        words = np.ascontiguousarray(np.stack([folded(s, size) for s in sketches], axis=1))
+        split = int((chunk == table.column("low")[0].as_py()).sum())
+        both = table.column("low")[0].as_py() == table.column("high")[0].as_py() or 0 < split < len(sketches)
+        links = alike(table.column("n_shingles").to_numpy(), words, split, percent) if both else []
+        return pa.table({
+            "a": pa.array([int(digest[i]) for i, _ in links], pa.int64()), "b": pa.array([int(digest[j]) for _, j in links], pa.int64()),
+        })
+
+    links = in_pairs(chunked, ["family", "class"], ["digest", "n_shingles", "sketch"]).groupBy("family", "class", "low", "high")
+    parts = staged(components(links.applyInArrow(compared, "a long, b long")), "shingle-parts")
+    small = family.join(large, family["component"] == large["family"], "left_anti")
+    return small.select("node", "component").union(parts.select("node", "component"))
+
+
 def verified(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between digests, from (digest, family, chunks, text): one text per set that has a candidate.
 
@@ -306,10 +431,7 @@ def verified(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     sets = texts.select("digest", "family", "chunks", "text").mapInArrow(
         as_sets, "digest long, family long, chunks int, elements binary"
     ).withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    paired = sets.withColumn("other", other).select(
-        "family", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "digest", "elements"
-    )
+    paired = in_pairs(sets, ["family"], ["digest", "elements"])
 
     def compared(table: pa.Table) -> pa.Table:
         rows = sorted(B.rows_of(table), key=lambda r: (r["chunk"], len(r["elements"]), r["digest"]))
@@ -337,7 +459,7 @@ def similar_groups(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PE
 
     1. Equal sets fall together by size and digest, with a native aggregate.
     2. Sets that agree in a part of their elements are candidates, and joined candidates a family. No linked pair is
-       missed (see ``signatures``), and a family holds little else.
+       missed (see ``signatures``). A large family, which may be held together by chance, is divided (see ``narrowed``).
     3. Within a family, sets in one global order are stored in a trie and looked up in it.
     4. Families and the resulting components are found by star joins.
     """
@@ -345,7 +467,7 @@ def similar_groups(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PE
     classes = staged(
         every.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("keeper")), "shingle-classes"
     )
-    family = staged(components(candidates(docs, shingle, percent)), "shingle-families")
+    family = narrowed(staged(components(candidates(docs, shingle, percent)), "shingle-families"), every, percent)
     chunks = family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / FAMILY_CHUNK).cast("int").alias("chunks"))
     wanted = staged(
         family.join(chunks, "component").join(classes, family["node"] == classes["digest"])
@@ -385,4 +507,9 @@ def one_of_each_group(docs: DataFrame, *, shingle: int = SHINGLE, percent: int =
         groups.groupBy("doc_id").agg(F.max(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("stays"))
         .where(~F.col("stays")).select(F.col("doc_id").alias("__gone"))
     )
-    return docs.join(staged(gone, "shingle-gone"), docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    gone = staged(gone, "shingle-gone")
+    # Rows that certainly stay are told apart by a bit table, so only the texts of the others may enter an exchange.
+    rows = docs.select(F.col("doc_id").alias("__id"), F.struct("*").alias("__row"))
+    flagged = may_contain(rows, key_filter(gone), [F.col("__id")], "__doubtful")
+    doubtful = flagged.where("__doubtful").join(gone, F.col("__id").eqNullSafe(F.col("__gone")), "left_anti")
+    return flagged.where(~F.col("__doubtful")).select("__row.*").union(doubtful.select("__row.*"))

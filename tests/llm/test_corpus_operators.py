@@ -187,6 +187,89 @@ def test_linked_sets_share_a_signature_at_any_similarity(percent):
             assert np.intersect1d(codes[owners == 0], codes[owners == 1]).size
 
 
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_sketches_keep_linked_sets_together(percent):
+    rng = np.random.default_rng(6)
+    sets, linked = [], []
+    for n in (1, 2, 7, 30, 60, 128, 129, 400, 1500):
+        for _ in range(8):
+            whole = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+            gone = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+            more = rng.integers(0, 1 << 62, int(rng.integers(0, (n - gone) * 100 // percent - n + 1)), dtype=np.uint64)
+            linked.append((len(sets), len(sets) + 1))
+            sets += [np.unique(whole), np.unique(np.concatenate([whole[gone:], more]))]
+    for i, j in linked:
+        assert 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))
+    pairs = [jaccard.sketch(s) for s in sets]
+    least = min(len(p) for p in pairs)
+    for size in (least, 1):
+        words = [jaccard.folded(p, size) for p in pairs]
+        order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+        for left, right in ((order, []), (order[::2], order[1::2]), (order[:9], order[9:])):
+            rows = left + right
+            found = jaccard.alike(np.array([len(sets[i]) for i in rows]), np.stack([words[i] for i in rows], axis=1), len(left), percent)
+            owner = list(range(len(sets)))
+            for i, j in found:
+                a, b = owner[rows[i]], owner[rows[j]]
+                assert a != b
+                owner = [a if o == b else o for o in owner]
+            assert all(owner[i] == owner[j] for i, j in linked if not right or (i in left) != (j in left))
+    # Sets of up to 128 elements that have nothing in common are told apart by whole sketches.
+    some = sorted((s for s in sets[::2] if 30 <= len(s) <= 128), key=len)
+    assert not jaccard.alike(np.array([len(s) for s in some]), np.stack([jaccard.sketch(s) for s in some], axis=1), len(some), percent)
+
+
+def test_a_family_tied_by_a_common_line_is_divided(spark, monkeypatch):
+    rng = random.Random(8)
+    line = [f"license{i}" for i in range(14)]
+    rows = [(i, " ".join(line + [f"v{rng.randrange(100000)}" for _ in range(rng.randrange(12, 18))])) for i in range(400)]
+    for i in range(0, 400, 40):
+        # Some near copies, one of them in a chain of three.
+        rows += [(1000 + i, rows[i][1] + " more"), (2000 + i, rows[i][1] + " more yet"), (3000 + i, rows[i][1])]
+    monkeypatch.setattr(jaccard, "FAMILY_CHUNK", 16)
+    monkeypatch.setattr(jaccard, "SKETCH_CHUNK", 2048, raising=False)
+    monkeypatch.setattr(jaccard, "SKETCHES", 40, raising=False)
+    verified, copies = jaccard.verified, []
+
+    def counted(texts, *rest):
+        copies.extend(texts.agg(F.count(F.lit(1)), F.sum("chunks")).first())
+        return verified(texts, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    wanted = brute.jaccard_groups(rows, size=5, percent=80)
+    assert len({c for _, _, c in wanted}) == 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(jaccard.similar_groups(docs, shingle=5, percent=80), ["doc_id", "n_shingles", "component_id"], wanted)
+    assert 20 <= copies[0] and copies[1] <= 100
+
+
+def test_texts_that_stay_enter_no_exchange(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20)), "kept") for i in range(500)] + [(None, "a b c d e f g", "kept")]
+    rows += [(600, rows[7][1] + " more", "gone"), (601, rows[8][1] + " more", "gone"), (9, "another text of this id", "kept")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __bits string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = jaccard.one_of_each_group(docs, shingle=5, percent=80)
+        assert left.columns == docs.columns
+        found = sorted(map(tuple, left.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == sorted((r for r in rows if r[2] == "kept"), key=repr)
+    todo, moved = [left._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        else:
+            if node.nodeName() == "Exchange" and any(c in node.output().toString() for c in ("text#", "__row#")):
+                moved += node.metrics().apply("shuffleRecordsWritten").value()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert 2 <= moved <= 10
+
+
 @pytest.mark.parametrize("table", ["awkward", "small"])
 def test_scores(request, table):
     rows, docs = request.getfixturevalue(table)
